@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, quality, recompression
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,8 +21,16 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digests(recompression.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_codec,)}
+    return {f.__name__: f for f in (op3_bpe_codec, op5_recompression, op6_quality_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
