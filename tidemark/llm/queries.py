@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, recompression
+from tidemark.llm import bpe, quality, recompression, run_length_index
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.digests(run_length_index.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER)))
@@ -30,7 +34,7 @@ def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_codec, op5_recompression, op6_quality_divergence)}
+    return {f.__name__: f for f in (op1_run_length_index, op3_bpe_codec, op5_recompression, op6_quality_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
