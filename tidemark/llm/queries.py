@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, recompression, run_length_index
+from tidemark.llm import bpe, near_duplicates, quality, recompression, run_length_index
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,8 +33,12 @@ def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
+def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classify(_table(spark, sf_dir, "documents"), width=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_length_index, op3_bpe_codec, op5_recompression, op6_quality_divergence)}
+    return {f.__name__: f for f in (op1_run_length_index, op3_bpe_codec, op5_recompression, op6_quality_divergence, op9_multi_index_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
