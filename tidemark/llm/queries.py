@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, near_duplicates, quality, recompression, run_length_index
+from tidemark.llm import bpe, near_duplicates, pitman_yor, quality, recompression, run_length_index
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,8 +37,12 @@ def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classify(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_length_index, op3_bpe_codec, op5_recompression, op6_quality_divergence, op9_multi_index_minhash)}
+    return {f.__name__: f for f in (op1_run_length_index, op3_bpe_codec, op5_recompression, op6_quality_divergence, op9_multi_index_minhash, op10_pitman_yor)}
 
 
 def oracle_sql() -> dict[str, str]:
