@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, near_duplicates, pitman_yor, quality, recompression, run_length_index
+from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, pitman_yor, quality, recompression, run_length_index
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +21,11 @@ def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_index.digests(run_length_index.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_spread.remove_boilerplate(_table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER)))
@@ -33,6 +39,10 @@ def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classify(_table(spark, sf_dir, "documents"), width=2)
 
@@ -42,8 +52,24 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_length_index, op3_bpe_codec, op5_recompression, op6_quality_divergence, op9_multi_index_minhash, op10_pitman_yor)}
+    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op9_multi_index_minhash, op10_pitman_yor)}
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) AS z FROM documents
+), l AS (
+  SELECT doc_id, source, z[2] AS place, z[1] AS line, trim(z[1], concat(' ', chr(9), chr(13), chr(11), chr(12))) AS bare FROM lines
+), b AS (
+  SELECT bare, min(struct_pack(d := doc_id, p := place)) AS first FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce(source, '')) >= 3
+), m AS (
+  SELECT l.*, b.bare IS NOT NULL AND NOT (b.first.d = doc_id AND b.first.p = place) AS gone FROM l LEFT JOIN b ON l.bare = b.bare
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_spread": OP2_SQL}
