@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, pitman_yor, quality, recompression, run_length_index
+from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -31,6 +31,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.pseudonymise(_table(spark, sf_dir, "documents"), count=True)
+    return out.select("doc_id", "n_replaced", "text")
+
+
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digests(recompression.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -43,6 +48,19 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def tool_schemas(spark: SparkSession) -> DataFrame:
+    """The tools of tool_calls.as_tool_messages()."""
+    common = [("query", "string", True), ("limit", "integer", True)]
+    rows = [(n, a, t, r) for n in ("search", "translate", "summarise") for a, t, r in common] + [(n, "after", "string", False) for n in ("search", "summarise")]
+    return spark.createDataFrame(rows, "name string, argument string, type string, required boolean")
+
+
+def op8_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = tool_calls.as_tool_messages(_table(spark, sf_dir, "conversations"))
+    out = tool_calls.link(messages, tool_schemas(spark))
+    return out.select("conv_id", "call_id", "turn", "name", "level", "place", "result_turn", F.sha2("content", 256).alias("content_sha256"), "linked", "valid", "problems", F.sha2("json", 256).alias("json_sha256"))
+
+
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classify(_table(spark, sf_dir, "documents"), width=2)
 
@@ -52,7 +70,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op9_multi_index_minhash, op10_pitman_yor)}
+    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op4_surrogates, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op8_tool_links, op9_multi_index_minhash, op10_pitman_yor)}
 
 
 OP2_SQL = r"""
@@ -71,5 +89,28 @@ FROM m GROUP BY doc_id
 """
 
 
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, any_value(text) AS text, length(any_value(text)) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+), r AS (
+  SELECT conv_id, turn, any_value(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+), k AS (
+  SELECT c.*, concat('c', conv_id, '-', turn) AS call_id, ['search', 'translate', 'summarise'][n % 3 + 1] AS name,
+    CASE WHEN conv_id % 5 = 0 THEN concat('n', n) ELSE concat('', n) END AS lim, CASE WHEN turn >= 2 THEN concat('$c', conv_id, '-', turn - 2) END AS after
+  FROM c
+), lv AS (
+  SELECT k.*, CASE WHEN list_has_all((SELECT list(o.turn) FROM c o WHERE o.conv_id = k.conv_id), range(turn % 2, turn + 1, 2)) THEN turn // 2 END AS level FROM k
+), p AS (
+  SELECT lv.*, concat_ws(',', CASE WHEN conv_id % 5 = 0 THEN 'type:limit' END, CASE WHEN after IS NOT NULL AND name = 'translate' THEN 'unknown:after' END) AS problems FROM lv
+)
+SELECT p.conv_id, call_id, p.turn, name, level,
+  CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY p.conv_id ORDER BY level NULLS LAST, p.turn, call_id) END AS place,
+  r.turn AS result_turn, sha256(r.content) AS content_sha256, r.turn IS NOT NULL AS linked, problems = '' AS valid, problems,
+  sha256(concat('{"arguments":{', CASE WHEN after IS NOT NULL THEN concat('"after":', to_json(after), ',') ELSE '' END, '"limit":', CASE WHEN p.conv_id % 5 = 0 THEN to_json(lim) ELSE lim END,
+    ',"query":', to_json(text), '},"id":"', call_id, '","name":"', name, '"}')) AS json_sha256
+FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.turn = p.turn + 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_spread": OP2_SQL}
+    return {"op2_line_spread": OP2_SQL, "op8_tool_links": OP8_SQL}
