@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each a call of one operator of tidemark.llm."""
+"""A corpus pipeline of five stages, each a call of one operator of tidemark.llm.
+
+Rejected documents go (quality rules, near-duplicates, benchmark overlaps), boilerplate
+lines go from the texts, and the last stage returns the ids of what is left.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,52 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, quality
+from tidemark.llm.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are close to their language's references."""
+    return quality.keep(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without lines that several sites share, but for each line's first occurrence."""
+    return line_spread.remove_boilerplate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no item of the benchmark."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids of every document."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
 
 
-STAGES: list[tuple[str, Stage]] = [("tokenise", tokenise)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("tokenise", tokenise),
+]
 
-#: BPE and the exact near-duplicate closure have no SQL form; tests/llm compares run() with a brute-force version.
+#: BPE has no SQL form; tests/llm compares run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to `documents`, each one's result written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else written(docs), sf_dir)
     return docs
