@@ -12,11 +12,15 @@ Documents with equal sets are one class from the start (an aggregation); only cl
 representatives go on. In a bucket of keys, members of a key are screened by set size
 and by the lowest bits of all symbols (at most MOST_BITS of 64 differ: at 0.8 the
 mean is 6.4 and the bound is missed in about one pair of 10**6). Links are sought in
-two steps, so that a key with many copies costs no pair of copies: first each member
-with the key's least document; what passes is confirmed on full sets, and components
-form. Then all screened pairs of a key's members that are still in different
-components are confirmed in the same way. A pair within a component needs no check, so
-the components are those of all screened pairs, and nothing is capped.
+steps, so that a key with many copies costs no pair of copies. First each member is
+paired with its key's hub, the member nearest to the majority of the members' bits;
+what full sets confirm gives components. Then, for keys whose members are still in
+different components, bitmaps of the sets give an upper bound of each cross pair's
+similarity that never errs; each member offers its OFFERS best partners in other
+components whose bounds reach the threshold and that weren't tried under this key, full
+sets confirm or reject them, and components grow. This is repeated until no member has a
+partner left. A pair within a component needs no check, so the components are those of
+all screened pairs, and nothing is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set and is
 linked with nothing; fewer words than a shingle make one shingle; rows with one id
@@ -39,7 +43,7 @@ from tidemark.llm.tokens import BASE_WORDS, U64, ascii_lower, byte_view, mix, pi
 SHINGLE, SIMILARITY = 5, 80
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
-MOST_BITS = 20
+MOST_BITS, MOST_ROUNDS, OFFERS = 20, 30, 8
 PIECE_BYTES, BUCKET_ENTRIES, BLOCK = 1 << 19, 400_000, 1024
 _A = mix(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _X = mix(np.arange(SYMBOLS + 1, 2 * SYMBOLS + 1, dtype=U64))
@@ -136,6 +140,16 @@ def _passes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (100 * small >= percent * large) & (np.bitwise_count(a["bits"] ^ b["bits"]) <= MOST_BITS)
 
 
+def _hubs(e: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The place of each key's member nearest to the majority of its members' bits (the least document of two)."""
+    major = np.zeros(len(start), U64)
+    for i in range(64 if len(e) else 0):
+        ones = np.add.reduceat(((e["bits"] >> U64(i)) & U64(1)).astype(np.int64), start)
+        major |= (2 * ones > size).astype(U64) << U64(i)
+    away = np.bitwise_count(e["bits"] ^ np.repeat(major, size)).astype(np.int64)
+    return np.minimum.reduceat(np.where(np.repeat(size > 2, size), away, 0) << 40 | np.arange(len(e)), start) & ((1 << 40) - 1) if len(e) else start
+
+
 def _groups(entries: DataFrame, percent: int) -> DataFrame:
     """Of each bucket: packed first links (`u`, `v`), and the members of keys with three or more (`entries`, `sizes`)."""
 
@@ -146,11 +160,10 @@ def _groups(entries: DataFrame, percent: int) -> DataFrame:
         e = e[~again]
         start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1])) if len(e) else np.empty(0, np.int64)
         size = np.diff(np.append(start, len(e)))
-        leader = e[np.repeat(start, size)]
-        follows = np.repeat(size > 1, size)
-        follows[start] = False
-        ok = follows & _passes(leader, e, percent)
-        links = np.unique(np.stack([leader["doc"][ok], e["doc"][ok]], 1), axis=0)
+        leader = e[np.repeat(_hubs(e, start, size), size)]
+        ok = (leader["doc"] != e["doc"]) & np.repeat(size > 1, size) & _passes(leader, e, percent)
+        one, two = leader["doc"][ok], e["doc"][ok]
+        links = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
         big = np.repeat(size > 2, size)
         return pa.table({"u": pa.array([np.ascontiguousarray(links[:, 0]).tobytes()], pa.binary()), "v": pa.array([np.ascontiguousarray(links[:, 1]).tobytes()], pa.binary()), "entries": pa.array([e[big].tobytes()], pa.binary()), "sizes": pa.array([size[size > 2].astype(np.int64).tobytes()], pa.binary())})
 
@@ -184,25 +197,80 @@ def _members(groups: DataFrame) -> DataFrame:
     return groups.select("entries", "sizes").mapInArrow(run, "key bigint, doc bigint, bits bigint, n bigint").distinct()
 
 
-def _later_links(members: DataFrame, percent: int) -> DataFrame:
-    """Screened pairs of a key's members that are in different components (`root`)."""
+def _bitmaps(texts: DataFrame, width: int) -> DataFrame:
+    """Bitmaps of the documents' sets, of a power of two of bits (16 for each shingle at least): `doc`, `map`."""
 
-    def run(table: pa.Table) -> pa.Table:
-        e = np.empty(table.num_rows, np.dtype([*_ENTRY.descr, ("root", "<i8")]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(byte_view(batch.column(1))[1], PIECE_BYTES):
+                sets, off = shingle_sets(batch.column(1).slice(a, b - a), width)
+                maps = []
+                for i in range(b - a):
+                    own = sets[off[i] : off[i + 1]]
+                    bits = np.zeros(max(512, 1 << int(16 * max(1, len(own)) - 1).bit_length()), bool)
+                    bits[(own & U64(len(bits) - 1)).astype(np.int64)] = True
+                    maps.append(np.packbits(bits, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(maps, pa.binary())], names=["doc", "map"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, map binary")
+
+
+def _folded(maps: list[bytes], length: int) -> np.ndarray:
+    """Bitmaps as rows of `length` bytes; longer ones are folded, which keeps every common place common."""
+    out = np.empty((len(maps), length // 8), U64)
+    for i, m in enumerate(maps):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(m, U64).reshape(-1, length // 8), axis=0)
+    return out
+
+
+def _best_partners(e: np.ndarray, maps: list[bytes], tried: set[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Each member's best partners of other components whose bounds reach the threshold."""
+    length = np.array([len(m) for m in maps])
+    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    for bytes_ in np.unique(length).tolist():
+        # sizes of a pair differ by a factor below two, so its bitmaps have this length or, one of them, twice this
+        own = np.flatnonzero((length == bytes_) | (length == 2 * bytes_))
+        folded = _folded([maps[i] for i in own], bytes_)
+        lost = e["n"][own].astype(np.int64) - np.bitwise_count(folded).sum(1, dtype=np.int64)
+        first = length[own] == bytes_
+        for a in range(0, len(own), BLOCK):
+            for b in range(0, len(own), BLOCK):
+                one, two = e[own[a : a + BLOCK], None], e[None, own[b : b + BLOCK]]
+                i, j = np.nonzero((one["root"] != two["root"]) & (first[a : a + BLOCK, None] | first[None, b : b + BLOCK]) & _passes(one, two, percent))
+                for c in range(0, len(i), 1 << 16):
+                    x, y = a + i[c : c + (1 << 16)], b + j[c : c + (1 << 16)]
+                    total = e["n"][own[x]].astype(np.int64) + e["n"][own[y]].astype(np.int64)
+                    common = np.minimum(np.bitwise_count(folded[x] & folded[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y]), total // 2)
+                    ok = 100 * common >= percent * (total - common)
+                    x, y, share = own[x[ok]], own[y[ok]], (common / np.maximum(total - common, 1))[ok]
+                    if tried and len(x):
+                        fresh = np.fromiter(((min(p), max(p)) not in tried for p in zip(e["doc"][x].tolist(), e["doc"][y].tolist(), strict=True)), bool, len(x))
+                        x, y, share = x[fresh], y[fresh], share[fresh]
+                    found = _top(*(np.concatenate(p) for p in zip(found, (x, y, share), strict=True)))
+    one, two = e["doc"][found[0]], e["doc"][found[1]]
+    return sorted(set(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist(), strict=True)))
+
+
+def _top(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The OFFERS best partners of each member."""
+    order = np.lexsort((-share, x))
+    x = x[order]
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    order = order[rank < OFFERS]
+    return x[rank < OFFERS], y[order], share[order]
+
+
+def _offers(members: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs to confirm: `key`, `u`, `v`. members: `key`, `doc`, `bits`, `n`, `map`, `root`."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        e = np.empty(left.num_rows, np.dtype([*_ENTRY.descr, ("root", "<i8")]))
         for name in ("doc", "bits", "n", "root"):
-            e[name] = np.asarray(table[name]).view(U64) if name == "bits" else np.asarray(table[name])
-        e = e[np.argsort(e["doc"], kind="stable")]
-        found = [np.empty((0, 2), np.int64)]
-        for a in range(0, len(e), BLOCK):
-            for b in range(a, len(e), BLOCK):
-                one, two = e[a : a + BLOCK, None], e[None, b : b + BLOCK]
-                i, j = np.nonzero((one["root"] != two["root"]) & (one["doc"] < two["doc"]) & _passes(one, two, percent))
-                found.append(np.stack([e["doc"][a + i], e["doc"][b + j]], 1))
-        links = np.concatenate(found)
-        return pa.table({"u": links[:, 0], "v": links[:, 1]})
+            e[name] = np.asarray(left[name]).view(U64) if name == "bits" else np.asarray(left[name])
+        found = _best_partners(e, left["map"].to_pylist(), set(zip(right["u"].to_pylist(), right["v"].to_pylist(), strict=True)), percent) if len(e) > 1 else []
+        return pa.table({"key": pa.array([left["key"][0].as_py()] * len(found) if found else [], pa.int64()), "u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    return members.join(mixed, "key", "left_semi").groupBy("key").applyInArrow(run, "u bigint, v bigint").distinct()
+    return members.groupBy("key").cogroup(tried.groupBy("key")).applyInArrow(run, "key bigint, u bigint, v bigint")
 
 
 def confirm(links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -228,6 +296,7 @@ def confirm(links: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """Every document with the size of its set, its component (the least id it reaches) and whether it is the one that stays."""
+    spark = docs.sparkSession
     sig = keep(signatures(docs, id_col, text_col, width))
     known = sig.filter("n > 0 AND doc IS NOT NULL")
     classes = known.groupBy("p1", "p2", "n").agg(F.min(F.struct("doc", "bits", "keys")).alias("m"), F.count("*").alias("members"))
@@ -239,11 +308,25 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     asked = first.select(F.col("u").alias("doc")).union(first.select(F.col("v").alias("doc"))).union(members.select("doc")).distinct()
     texts = keep(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(asked, "doc", "left_semi"))
     links = keep(confirm(first, texts, width, percent))
-    roots = components(links)
-    members = keep(members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
-    more = keep(confirm(_later_links(members, percent), texts, width, percent))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    roots, tried, mapped = components(links), None, None
+    for _ in range(MOST_ROUNDS):
+        rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+        rooted = rooted.join(mixed, "key", "left_semi")
+        if mapped is None:
+            members = mapped = keep(rooted.drop("root").join(_bitmaps(texts, width), "doc"))
+            rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        tried = spark.createDataFrame([], "key bigint, u bigint, v bigint") if tried is None else tried
+        offers = keep(_offers(rooted, tried, percent))
+        if offers.isEmpty():
+            break
+        # a key without offers will have none later: components only grow
+        members = members.join(offers.select("key").distinct(), "key", "left_semi")
+        tried = keep(tried.unionByName(offers))
+        links = keep(links.unionByName(confirm(offers.select("u", "v").distinct(), texts, width, percent)))
+        roots = components(links)
+    else:
+        raise RuntimeError(f"links still found after {MOST_ROUNDS} rounds")
     # equal sets: only classes with several members are joined, each copied SALTS times so that one large class meets many tasks
     salts = 16
     several = classes.filter("members > 1").select("p1", "p2", "n", F.col("doc").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
