@@ -58,7 +58,7 @@ def tool_schemas(spark: SparkSession) -> DataFrame:
 def op8_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = tool_calls.as_tool_messages(_table(spark, sf_dir, "conversations"))
     out = tool_calls.link(messages, tool_schemas(spark))
-    return out.select("conv_id", "call_id", "turn", "name", "level", "place", "result_turn", F.sha2("content", 256).alias("content_sha256"), "linked", "valid", "problems", F.sha2("json", 256).alias("json_sha256"))
+    return out.select("conv_id", "call_id", "turn", "name", "level", "result_turn", F.sha2("content", 256).alias("content_sha256"), "linked", "valid", "problems", F.sha2("json", 256).alias("json_sha256"))
 
 
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,11 @@ WITH c AS (
     CASE WHEN conv_id % 5 = 0 THEN concat('n', n) ELSE concat('', n) END AS lim, CASE WHEN turn >= 2 THEN concat('$c', conv_id, '-', turn - 2) END AS after
   FROM c
 ), lv AS (
-  SELECT k.*, CASE WHEN list_has_all((SELECT list(o.turn) FROM c o WHERE o.conv_id = k.conv_id), range(turn % 2, turn + 1, 2)) THEN turn // 2 END AS level FROM k
+  SELECT k.*, CASE WHEN after IS NULL OR EXISTS (SELECT 1 FROM c o WHERE o.conv_id = k.conv_id AND o.turn = k.turn - 2) THEN 0 END AS level FROM k
 ), p AS (
   SELECT lv.*, concat_ws(',', CASE WHEN conv_id % 5 = 0 THEN 'type:limit' END, CASE WHEN after IS NOT NULL AND name = 'translate' THEN 'unknown:after' END) AS problems FROM lv
 )
 SELECT p.conv_id, call_id, p.turn, name, level,
-  CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY p.conv_id ORDER BY level NULLS LAST, p.turn, call_id) END AS place,
   r.turn AS result_turn, sha256(r.content) AS content_sha256, r.turn IS NOT NULL AS linked, problems = '' AS valid, problems,
   sha256(concat('{"arguments":{', CASE WHEN after IS NOT NULL THEN concat('"after":', to_json(after), ',') ELSE '' END, '"limit":', CASE WHEN p.conv_id % 5 = 0 THEN to_json(lim) ELSE lim END,
     ',"query":', to_json(text), '},"id":"', call_id, '","name":"', name, '"}')) AS json_sha256
