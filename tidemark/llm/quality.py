@@ -18,6 +18,7 @@ alike; other columns pass through untouched, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,44 +40,74 @@ MIN_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, ALLOWANCE = 50, 0.25, 0.23,
 _P = "__quality_"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once; Catalyst would copy it to each of its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
 def _language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), lang).otherwise("other")
 
 
-def _class_counts(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds the classes' character counts; each class is taken out of what the ones before left."""
-    df = docs.withColumn(f"{_P}rest", F.coalesce(text, F.lit("")))
-    for name, pattern in CLASSES.items():
-        df = df.withColumn(f"{_P}left", F.regexp_replace(f"{_P}rest", pattern, ""))
-        df = df.withColumn(f"{_P}{name}", F.length(f"{_P}rest") - F.length(f"{_P}left")).drop(f"{_P}rest").withColumnRenamed(f"{_P}left", f"{_P}rest")
-    return df.withColumn(f"{_P}other", F.length(f"{_P}rest")).drop(f"{_P}rest")
-
-
-def _counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """Adds the words, and the two histograms as arrays of counts."""
-    df = _class_counts(docs, F.col(text_col)).withColumn(f"{_P}words", words_of(F.col(text_col))).withColumn(f"{_P}lang", _language(F.col(lang_col)))
-    listed = reduce(lambda c, x: c.when(F.col(f"{_P}lang") == x[0], F.array(*map(F.lit, x[1]))), COMMON_WORDS.items(), F).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn(f"{_P}listed", listed)
-    df = df.withColumn(f"{_P}common", F.filter(F.transform(f"{_P}words", F.lower), lambda w: F.array_contains(F.col(f"{_P}listed"), w)))
-    seen = F.transform(f"{_P}listed", lambda s: F.size(F.filter(f"{_P}common", lambda w: w == s)).cast("long"))
-    return df.select(
-        *docs.columns,
-        *(f"{_P}{x}" for x in ("words", "lang", "space", "symbol")),
-        F.array(*(F.col(f"{_P}{x}").cast("long") for x in [*CLASSES, "other"])).alias(f"{_P}classes"),
-        F.concat(seen, F.array((F.size(f"{_P}words") - F.size(f"{_P}common")).cast("long"))).alias(f"{_P}word_counts"),
-    )
+def class_counts(text: Column) -> Column:
+    """Characters of each class; a class is taken out of what the ones before left."""
+    def rest(left: Column, patterns: list[str]) -> Column:
+        if not patterns:
+            return F.array(F.length(left).cast("long"))
+        return _let(F.regexp_replace(left, patterns[0], ""), lambda x: F.concat(F.array((F.length(left) - F.length(x)).cast("long")), rest(x, patterns[1:])))
+
+    return rest(text, list(CLASSES.values()))
+
+
+def word_counts(words: Column, language: Column) -> Column:
+    """Counts of the language's common words, and of all others."""
+    listed = reduce(lambda c, x: c.when(language == x[0], F.array(*map(F.lit, x[1]))), COMMON_WORDS.items(), F).otherwise(F.array().cast("array<string>"))
+
+    def counts(known: Column) -> Column:
+        common = F.filter(F.transform(words, F.lower), lambda w: F.array_contains(known, w))
+        each = lambda c: F.concat(F.transform(known, lambda s: F.size(F.filter(c, lambda w: w == s)).cast("long")), F.array((F.size(words) - F.size(c)).cast("long")))
+        return _let(common, each)
+
+    return _let(listed, counts)
+
+
+def repeated_words(words: Column) -> Column:
+    """The number of words in windows of WINDOW words that the text has twice or more."""
+    def windows(hashes: Column) -> Column:
+        # get() reads one element; slice() would copy the whole array for every window
+        n = F.size(hashes) - WINDOW
+        at = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW)))
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+        step = lambda a, p: F.struct((a["n"] + WINDOW - F.greatest(F.lit(0), a["reach"] - p)).alias("n"), (p + WINDOW).alias("reach"))
+        return F.aggregate(places, start, step, lambda a: a["n"])
+
+    def twice(ordered: Column) -> Column:
+        beside = lambda j: F.get(ordered, j)["h"]
+        found = F.filter(ordered, lambda e, j: F.coalesce(beside(j + 1) == e["h"], F.lit(False)) | F.when(j > 0, beside(j - 1) == e["h"]).otherwise(False))
+        return _let(F.sort_array(F.transform(found, lambda e: e["i"])), covered)
+
+    def count(h: Column) -> Column:
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(ordered, twice)).otherwise(0)
+
+    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), count).cast("long")
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS) -> DataFrame:
     """The summed histograms of each known language, and of all others: `language`, `class_counts`, `word_counts`."""
-    df = _counts(docs.select(text_col, lang_col), text_col, lang_col).filter(F.size(f"{_P}words") >= min_words)
     most = max(map(len, COMMON_WORDS.values())) + 1
-    sums = [F.sum(F.get(f"{_P}classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.get(f"{_P}word_counts", F.lit(i))).alias(f"w{i}") for i in range(most)]
-    return df.groupBy(F.col(f"{_P}lang").alias("language")).agg(*sums).select(
+    text, language = F.coalesce(F.col(text_col), F.lit("")), _language(F.col(lang_col))
+    counted = _let(words_of(text), lambda w: F.when(F.size(w) >= min_words, F.struct(class_counts(text).alias("c"), word_counts(w, language).alias("w"))))
+    df = docs.select(language.alias("language"), counted.alias("x"))
+    sums = [F.sum(F.get(f"x.{k}", F.lit(i))).alias(f"{k}{i}") for k, n in (("c", len(CLASSES) + 1), ("w", most)) for i in range(n)]
+    return df.groupBy("language").agg(*sums).filter("c0 IS NOT NULL").select(
         "language",
         F.array(*(f"c{i}" for i in range(len(CLASSES) + 1))).alias("class_counts"),
         F.filter(F.array(*(f"w{i}" for i in range(most))), lambda x: x.isNotNull()).alias("word_counts"),
@@ -85,28 +116,14 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2) of two arrays of counts; 0 if either has no counts."""
-    total_p, total_q = (F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b) for x in (p, q))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = F.zip_with(F.transform(p, lambda x: x / total_p), F.transform(q, lambda x: x / total_q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.coalesce(F.when((total_p > 0) & (total_q > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)))), F.lit(0.0))
-
-
-def _repeated_words(df: DataFrame) -> DataFrame:
-    """Adds the number of words in windows of WINDOW words that the text has twice or more."""
-    n = F.size(f"{_P}words")
-    # get() reads one element; slice() would copy the whole array for every window
-    df = df.withColumn(f"{_P}word_hashes", F.transform(f"{_P}words", lambda w: F.xxhash64(w)))
-    at = lambda i: F.xxhash64(*(F.get(F.col(f"{_P}word_hashes"), i + k) for k in range(WINDOW)))
-    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), at)).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(f"{_P}hashes", hashes)
-    df = df.withColumn(f"{_P}repeats", F.size(F.array_distinct(f"{_P}hashes")) < F.size(f"{_P}hashes"))
-    df = df.withColumn(f"{_P}sorted", F.when(F.col(f"{_P}repeats"), F.array_sort(F.transform(f"{_P}hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    beside = lambda j: F.get(F.col(f"{_P}sorted"), j)["h"]
-    twice = F.filter(f"{_P}sorted", lambda e, j: (beside(j + 1) == e["h"]) | F.when(j > 0, beside(j - 1) == e["h"]).otherwise(False))
-    df = df.withColumn(f"{_P}places", F.sort_array(F.transform(twice, lambda e: e["i"])))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
-    covered = F.aggregate(f"{_P}places", start, lambda a, p: F.struct((a["n"] + WINDOW - F.greatest(F.lit(0), a["reach"] - p)).alias("n"), (p + WINDOW).alias("reach")), lambda a: a["n"])
-    return df.withColumn(f"{_P}repeated", F.coalesce(F.when(F.col(f"{_P}repeats"), covered), F.lit(0)).cast("long"))
+
+    def distance(t: Column) -> Column:
+        terms = F.zip_with(F.transform(p, lambda x: x / t["p"]), F.transform(q, lambda x: x / t["q"]), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
+        return F.when((t["p"] > 0) & (t["q"] > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))))
+
+    return F.coalesce(_let(F.struct(total(p).alias("p"), total(q).alias("q")), distance), F.lit(0.0))
 
 
 def assess(
@@ -121,28 +138,31 @@ def assess(
     """The rows of `docs`, each with a struct `quality` of its measures and its verdict (`kept`)."""
     refs = references(docs, text_col, lang_col, min_words) if refs is None else refs
     refs = refs.select(F.col("language").alias(f"{_P}lang"), F.col("class_counts").alias(f"{_P}ref_classes"), F.col("word_counts").alias(f"{_P}ref_words"))
-    df = _repeated_words(_counts(docs, text_col, lang_col)).join(F.broadcast(refs), f"{_P}lang", "left")
-    n = F.size(f"{_P}words").cast("long")
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    df = df.withColumn(f"{_P}lines", lines).withColumn(f"{_P}n", n)
-    df = df.withColumn(f"{_P}by_class", js_distance(F.col(f"{_P}classes"), F.col(f"{_P}ref_classes")))
-    df = df.withColumn(f"{_P}by_word", js_distance(F.col(f"{_P}word_counts"), F.col(f"{_P}ref_words")))
-    failed = (F.col(f"{_P}n") < LEAST_WORDS) | (100 * F.col(f"{_P}repeated") > MOST_REPEATED_PERCENT * F.col(f"{_P}n"))
-    df = df.withColumn(f"{_P}failed", failed)
-    slack = ALLOWANCE / F.sqrt(F.col(f"{_P}n"))
-    near = (F.col(f"{_P}n") < min_words) | ((F.col(f"{_P}by_class") <= most_class_distance + slack) & (F.col(f"{_P}by_word") <= most_word_distance + slack))
-    measures = F.struct(
-        F.col(f"{_P}n").alias("n_words"),
-        (F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.col(f"{_P}space")).cast("long").alias("word_chars"),
-        F.col(f"{_P}symbol").cast("long").alias("n_symbols"),
-        (F.size(f"{_P}lines") - F.size(F.array_distinct(f"{_P}lines"))).cast("long").alias("n_dup_lines"),
-        F.col(f"{_P}repeated").alias("n_repeat_words"),
-        F.col(f"{_P}failed").alias("base_failed"),
-        (~F.col(f"{_P}failed") & near).alias("kept"),
-        F.round(f"{_P}by_class", 4).alias("class_distance"),
-        F.round(f"{_P}by_word", 4).alias("word_distance"),
-    )
-    return df.select(*docs.columns, measures.alias("quality") if "quality" not in docs.columns else measures.alias(f"{_P}out"))
+    text, language = F.coalesce(F.col(text_col), F.lit("")), _language(F.col(lang_col))
+    df = docs.withColumn(f"{_P}lang", language).join(F.broadcast(refs), f"{_P}lang", "left")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n"] < LEAST_WORDS) | (100 * m["repeated"] > MOST_REPEATED_PERCENT * m["n"])
+        slack = ALLOWANCE / F.sqrt(m["n"])
+        near = (m["n"] < min_words) | ((m["by_class"] <= most_class_distance + slack) & (m["by_word"] <= most_word_distance + slack))
+        return F.struct(
+            m["n"].alias("n_words"), m["word_chars"].alias("word_chars"), m["symbols"].alias("n_symbols"), m["dup_lines"].alias("n_dup_lines"), m["repeated"].alias("n_repeat_words"),
+            failed.alias("base_failed"), (~failed & near).alias("kept"), F.round(m["by_class"], 4).alias("class_distance"), F.round(m["by_word"], 4).alias("word_distance"),
+        )
+
+    def measures(w: Column, classes: Column) -> Column:
+        of = list(CLASSES)
+        dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        values = F.struct(
+            F.size(w).cast("long").alias("n"), (F.length(text) - F.get(classes, F.lit(of.index("space")))).cast("long").alias("word_chars"), F.get(classes, F.lit(of.index("symbol"))).alias("symbols"),
+            dup.cast("long").alias("dup_lines"), repeated_words(w).alias("repeated"), js_distance(classes, F.col(f"{_P}ref_classes")).alias("by_class"),
+            _let(word_counts(w, F.col(f"{_P}lang")), lambda c: js_distance(c, F.col(f"{_P}ref_words"))).alias("by_word"),
+        )
+        return _let(values, verdict)
+
+    judged = _let(words_of(text), lambda w: _let(class_counts(text), lambda c: measures(w, c)))
+    return df.select(*docs.columns, judged.alias("quality" if "quality" not in docs.columns else f"{_P}out"))
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
