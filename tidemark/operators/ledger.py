@@ -105,11 +105,11 @@ def verify(batches: DataFrame, leaf_rows: DataFrame, raw: DataFrame, head: str =
     links = batches.withColumn("expected", F.lag("root", 1, head).over(Window.orderBy("batch_id")))
     again = leaf_rows.select("batch_id", "leaf_index", "event_uid", "raw_hash").join(raw.select("event_uid", F.sha2("raw_bytes", 256).alias("now"), F.lit(True).alias("found")), "event_uid", "left")
     state = again.groupBy("batch_id").agg(F.count("*").alias("n"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("now") != F.col("raw_hash")).alias("altered"))
-    roots = merkle_roots_of_arrays(again.select("batch_id", "leaf_index", leaf_hash(F.col("event_uid"), F.coalesce("now", "raw_hash")).alias("leaf"))).select("batch_id", F.col("root").alias("inner"))
+    roots = merkle_roots_of_arrays(again.select("batch_id", "leaf_index", leaf_hash(F.col("event_uid"), F.coalesce("now", "raw_hash")).alias("leaf"))).select("batch_id", F.col("root").alias("now_root"))
     df = links.join(state, "batch_id", "left").join(roots, "batch_id", "left")
     reason = (
         F.when(F.col("prev_root") != F.col("expected"), "broken_link").when(F.coalesce("n", F.lit(0)) != F.col("leaf_count"), "leaf_count").when(F.col("missing") > 0, "missing_event")
-        .when(F.col("altered") > 0, "altered_event").when(node_hash(F.col("prev_root"), F.coalesce("inner", empty_root())) != F.col("root"), "root")
+        .when(F.col("altered") > 0, "altered_event").when(node_hash(F.col("prev_root"), F.coalesce("now_root", empty_root())) != F.col("root"), "root")
     )
     return df.select("batch_id", "root", "leaf_count", reason.alias("reason"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.identity import div
 from tidemark.plans.normalize import summary
 
 COUNTABLE = ("source_id", "parse_status", "class_uid", "severity_id", "dst_ip", "mapping_id", "first_status")
@@ -22,7 +23,7 @@ def append(events: DataFrame, path: str) -> dict[str, int]:
     spark = events.sparkSession
     existing = spark.read.parquet(path) if _exists(spark, path) else None
     before = existing.count() if existing is not None else 0
-    day = F.date_format(F.timestamp_millis(F.floor(F.col("received_at_ns") / F.lit(1_000_000)).cast("bigint")), "yyyy-MM-dd")
+    day = F.date_format(F.timestamp_millis(div(F.col("received_at_ns"), 1_000_000)), "yyyy-MM-dd")
     new_events(events, existing).withColumn("day", day).write.mode("append").partitionBy("source_id", "day").parquet(path)
     accepted = spark.read.parquet(path).count() - before
     return {"accepted": accepted, "duplicates": events.count() - accepted}

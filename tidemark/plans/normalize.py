@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions.binding import let
 from tidemark.operators.frames import STRATEGIES, format_of, with_body
-from tidemark.operators.identity import text_of
+from tidemark.operators.identity import div, text_of
 from tidemark.operators.parsers import group_index, java_regex, parse
 from tidemark.plans.catalogue import CLASSES, FIELDS, column, spark_type
 from tidemark.plans.mapping import Condition, Mapping, Ref, Registry, Spec
@@ -144,7 +144,7 @@ def normalize(raw: DataFrame, registry: Registry, now_ms: int | None = None, sou
     sources: the sources that the rows can have, if known; their plans only are built.
     now_ms: the clock against which event times are plausible; without it they have no upper bound.
     """
-    raw = raw.withColumn("observed_time", F.floor(F.col("received_at_ns") / F.lit(1_000_000)).cast("bigint"))
+    raw = raw.withColumn("observed_time", div(F.col("received_at_ns"), 1_000_000))
     known = {s: m for s, m in registry.mappings().items() if sources is None or s in sources}
     parts = [_source(raw.filter(F.col("source_id") == s), m, now_ms) for s, m in sorted(known.items())]
     if sources is None or set(sources) - set(known):
