@@ -33,8 +33,11 @@ def empty_root() -> Column:
 
 
 def number(events: DataFrame, first: int = 0) -> DataFrame:
-    """Adds `seq`: consecutive numbers in order of (received_at_ns, event_uid)."""
-    ranged = events.repartitionByRange("received_at_ns", "event_uid").sortWithinPartitions("received_at_ns", "event_uid").withColumn("__id", F.monotonically_increasing_id())
+    """Adds `seq`: consecutive numbers in order of (received_at_ns, event_uid).
+
+    The sorted ranges are persisted: their sizes and their rows must come from one dealing.
+    """
+    ranged = events.repartitionByRange("received_at_ns", "event_uid").sortWithinPartitions("received_at_ns", "event_uid").withColumn("__id", F.monotonically_increasing_id()).persist()
     ranged = ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
