@@ -310,18 +310,18 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     links = keep(confirm(first, texts, width, percent))
     roots, tried, mapped = components(links), None, None
     for _ in range(MOST_ROUNDS):
-        rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-        rooted = rooted.join(mixed, "key", "left_semi")
-        if mapped is None:
-            members = mapped = keep(rooted.drop("root").join(_bitmaps(texts, width), "doc"))
+        if mapped is None:  # keys whose members are in several components
             rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+            mapped = keep(members.join(mixed, "key", "left_semi").join(_bitmaps(texts, width), "doc"))
+        rooted = mapped.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         tried = spark.createDataFrame([], "key bigint, u bigint, v bigint") if tried is None else tried
         offers = keep(_offers(rooted, tried, percent))
         if offers.isEmpty():
             break
-        # a key without offers will have none later: components only grow
-        members = members.join(offers.select("key").distinct(), "key", "left_semi")
+        # a member without offers will have none later: components only grow, and what was tried stays tried
+        offered = offers.select("key", F.col("u").alias("doc")).union(offers.select("key", F.col("v").alias("doc"))).distinct()
+        mapped = keep(mapped.join(offered, ["key", "doc"]))
         tried = keep(tried.unionByName(offers))
         links = keep(links.unionByName(confirm(offers.select("u", "v").distinct(), texts, width, percent)))
         roots = components(links)
