@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import frames, identity, ledger, store, templates
+from tidemark.operators import discovery, frames, identity, ledger, store, templates
 from tidemark.operators.parsers import parse
 from tidemark.plans.mapping import Mapping, Registry
 from tidemark.plans.normalize import normalize
 from tidemark.sinks import render
+from tidemark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -377,3 +378,30 @@ def high_water_mark(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("record_id"), F.col("event_type").alias("channel"))
     marks = e.filter("channel = 'view'").unionByName(e.filter("channel = 'click' AND record_id <= 5000"))
     return store.above_mark(e, store.new_marks(marks))
+
+
+@query("SELECT event_type AS source_id, k.key AS key, k.type AS type FROM (SELECT DISTINCT event_type FROM events) e, (SELECT unnest([{'key': 'ip', 'type': 'ip'}, {'key': 'n', 'type': 'integer'}, {'key': 'who', 'type': 'string'}, {'key': 'mac', 'type': 'mac'}, {'key': 'port', 'type': 'port'}]) AS k)")
+def common_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rare = F.when(F.col("event_id") % 2 == 0, line(" rare=", F.col("user_id"))).otherwise("")
+    text = line("ip=10.0.0.", F.col("user_id") % 200, " n=", F.col("event_id") * 70000, " who=u", F.col("user_id"), " mac=aa:bb:cc:dd:ee:0", F.col("user_id") % 10, " port=", F.col("event_id") % 65535 + 1, rare)
+    samples = e.select(F.col("event_type").alias("source_id"), F.col("event_id").alias("sample"), text.alias("body"))
+    return discovery.common_keys(discovery.key_values(samples))
+
+
+REOBSERVE_SQL = """
+WITH RECURSIVE o AS (
+  SELECT user_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events
+), t AS (
+  SELECT user_id, at_ms, n, at_ms AS last, true AS hit FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.user_id, o.at_ms, o.n, CASE WHEN o.at_ms - t.last >= 36000000 THEN o.at_ms ELSE t.last END, o.at_ms - t.last >= 36000000 FROM t JOIN o ON o.user_id = t.user_id AND o.n = t.n + 1
+)
+SELECT user_id, count(*) AS n, sum(at_ms) AS total FROM t WHERE hit GROUP BY 1
+"""
+
+
+@query(REOBSERVE_SQL)
+def reobserve(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").select("user_id", ms("ts").alias("at_ms"))
+    return ingest.reobserve(seen, ["user_id"], 36_000_000).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("at_ms").alias("total"))
