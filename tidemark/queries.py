@@ -64,13 +64,11 @@ rules:
     ocsf_class: 4002
     fields: {time: {from: $at, transform: epoch_millis}, http_request.http_method: {from: $type, lookup: http_method_activity, default: GET}, http_request.url.text: $url, src_endpoint.ip: $src, severity_id: 1}
 """
-#: Of an event: source and destination address, port (0 is no port) and severity.
-_SRC, _DST = ("10.", F.col("user_id") % 200, ".", F.col("event_id") % 250, ".7"), ("192.168.", F.col("user_id") % 5, ".", F.lit(1))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("at", ms("ts"))
-    text = line("<134>Jan  2 03:04:05 host app[7]: type=", F.col("event_type"), " user=", F.col("user_id"), " sev=", F.col("user_id") % 7, " src=", *_SRC, " dst=", *_DST, " port=", F.col("event_id") % 70000, " size=", F.col("event_id") % 1500, ' url="http://h/', F.col("user_id"), '" at=', F.col("at"))
+    text = line("<134>Jan  2 03:04:05 host app[7]: type=", F.col("event_type"), " user=", F.col("user_id"), " sev=", F.col("user_id") % 7, " src=10.", F.col("user_id") % 200, ".", F.col("event_id") % 250, ".7 dst=192.168.", F.col("user_id") % 5, ".1 port=", F.col("event_id") % 70000, " size=", F.col("event_id") % 1500, ' url="http://h/', F.col("user_id"), '" at=', F.col("at"))
     return e.select("event_id", "event_type", "user_id", "at", text.cast("binary").alias("raw_bytes"), (F.col("at") * 1_000_000).alias("received_at_ns"))
 
 
