@@ -111,5 +111,46 @@ FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.turn = p.turn + 1
 """
 
 
+def _op6_sql() -> str:
+    q = quality
+    known = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in q.COMMON_WORDS.items())
+    patterns = [p.replace("\\t-\\r", "\\x09-\\x0D").replace("'", "''") for p in q.CLASSES.values()]
+    chain, most = "", max(map(len, q.COMMON_WORDS.values())) + 1
+    for i, pattern in enumerate(patterns):
+        chain += f", r{i + 1} AS (SELECT *, regexp_replace(s{i}, '{pattern}', '', 'g') AS s{i + 1} FROM r{i})"
+    classes = ", ".join(f"length(s{i}) - length(s{i + 1})" for i in range(len(patterns))) + f", length(s{len(patterns)})"
+    sums = lambda name, n: ", ".join(f"sum({name}[{i + 1}])" for i in range(n))
+
+    def distance(p: str, r: str) -> str:
+        x, y = f"({p}[i] / list_sum({p}))", f"({r}[i] / list_sum({r}))"
+        half = lambda v: f"CASE WHEN {v} > 0 THEN {v} * log2({v} / (({x} + {y}) / 2)) ELSE 0 END"
+        return f"coalesce(CASE WHEN list_sum({p}) > 0 AND list_sum({r}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: ({half(x)} + {half(y)}) / 2)))) END, 0)"
+
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS s0, CASE WHEN lang IN ({', '.join(repr(k) for k in q.COMMON_WORDS)}) THEN lang ELSE 'other' END AS lang FROM documents
+), r0 AS (SELECT *, list_filter(string_split_regex(s0, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w, coalesce(CASE lang {known} END, []) AS known FROM d){chain}
+, h AS (
+  SELECT doc_id, lang, s0, w, [{classes}] AS c, list_transform(known, lambda k: len(list_filter(w, lambda x: lower(x) = k))) AS hits FROM r{len(patterns)}
+), k AS (SELECT *, list_append(hits, len(w) - coalesce(list_sum(hits), 0)) AS n FROM h
+), ref AS (
+  SELECT lang, [{sums('c', len(patterns) + 1)}] AS rc, list_filter([{sums('n', most)}], lambda x: x IS NOT NULL) AS rn FROM k WHERE len(w) >= {q.MIN_WORDS} GROUP BY lang
+), g AS (
+  SELECT doc_id, i, list_slice(w, i, i + {q.WINDOW - 1}) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i FROM k WHERE len(w) >= {q.WINDOW})
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS m FROM g) WHERE m > 1
+), rep AS (SELECT doc_id, count(DISTINCT j) AS m FROM (SELECT doc_id, unnest(range(i, i + {q.WINDOW})) AS j FROM twice) GROUP BY doc_id
+), ln AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS m FROM (SELECT doc_id, unnest(string_split(s0, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \\x09-\\x0D]') GROUP BY doc_id
+), f AS (
+  SELECT k.doc_id, len(w) AS n_words, length(s0) - c[2] AS word_chars, c[6] AS n_symbols, coalesce(ln.m, 0) AS n_dup_lines, coalesce(rep.m, 0) AS n_repeat_words, {distance('k.c', 'ref.rc')} AS dc, {distance('k.n', 'ref.rn')} AS dw
+  FROM k LEFT JOIN ref USING (lang) LEFT JOIN rep ON rep.doc_id = k.doc_id LEFT JOIN ln ON ln.doc_id = k.doc_id
+), v AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < {q.MIN_WORDS} OR (dc <= {q.MOST_CLASS_DISTANCE} + {q.ALLOWANCE} / sqrt(greatest(n_words, 1)) AND dw <= {q.MOST_WORD_DISTANCE} + {q.ALLOWANCE} / sqrt(greatest(n_words, 1)))) AS kept,
+  round(dc, 4) AS class_distance, round(dw, 4) AS word_distance FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_spread": OP2_SQL, "op8_tool_links": OP8_SQL}
+    return {"op2_line_spread": OP2_SQL, "op6_quality_divergence": _op6_sql(), "op8_tool_links": OP8_SQL}
