@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import discovery, frames, identity, ledger, store, templates
+from tidemark.operators import discovery, frames, identity, ledger, report, store, templates
 from tidemark.operators.parsers import parse
 from tidemark.plans.mapping import Mapping, Registry
 from tidemark.plans.normalize import normalize
@@ -403,3 +403,17 @@ SELECT user_id, count(*) AS n, sum(at_ms) AS total FROM t WHERE hit GROUP BY 1
 def reobserve(spark, sf_dir):
     seen = table(spark, sf_dir, "events").select("user_id", ms("ts").alias("at_ms"))
     return ingest.reobserve(seen, ["user_id"], 36_000_000).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("at_ms").alias("total"))
+
+
+@query(f"""WITH {_P}, o AS (SELECT status, row_number() OVER (ORDER BY at_ms, event_id) AS n FROM p) SELECT (SELECT count(*) FROM o) AS events, (SELECT count(*) FROM o WHERE status = 'full') AS full_events, (SELECT (count(*) + 499) // 500 FROM o) AS batches, 0 AS unplaced""")
+def dossier_totals(spark, sf_dir):
+    raw, leaf, chained = _sealed(spark, sf_dir)
+    d = report.dossiers(raw, projection(spark, sf_dir), leaf, chained)
+    return d.agg(F.count("*").alias("events"), F.count_if(F.col("parse_status") == "full").alias("full_events"), F.countDistinct("batch_root").alias("batches"), F.count_if(F.col("leaf_index").isNull()).alias("unplaced"))
+
+
+@query("SELECT (SELECT (count(*) + 499) // 500 FROM events) AS batch_count, (SELECT count(*) FROM events) AS event_count, (SELECT min(epoch_us(ts) // 1000) FROM events) AS from_ms, (SELECT max(epoch_us(ts) // 1000) FROM events) AS until_ms, true AS intact")
+def certificate_figures(spark, sf_dir):
+    raw, leaf, chained = _sealed(spark, sf_dir)
+    c = report.certificate(chained, ledger.verify(chained, leaf, raw), raw)
+    return c.select("batch_count", "event_count", identity.div(F.col("from_ns"), 1_000_000).alias("from_ms"), identity.div(F.col("until_ns"), 1_000_000).alias("until_ms"), "intact")
