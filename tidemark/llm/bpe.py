@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import byte_view, pieces
 
 #: Text bytes whose words are encoded together, and words kept between pieces.
-PIECE_BYTES, KEPT_WORDS = 1 << 20, 400_000
+PIECE_BYTES, KEPT_WORDS = 1 << 20, 200_000
 _NO_RANK = np.iinfo(np.int64).max
 #: The word pattern of the public tokenizer file, and ASCII separators that Python takes for white space and the file does not.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -154,7 +154,7 @@ class _Index(dict):
 
 
 class _Memory:
-    """Chunks and words met so far in a Python worker with their ids; forgets them all when there are many."""
+    """Chunks and words met so far in a task with their ids; forgets them all when there are many."""
 
     def __init__(self, tok: Tokenizer) -> None:
         self.tok = tok
@@ -219,16 +219,6 @@ class _Memory:
         return data[keep], np.concatenate([[0], np.cumsum(np.diff(at) - full)])
 
 
-#: One memory for each tokenizer in a Python worker, kept from task to task.
-_MEMORIES: dict[int, _Memory] = {}
-
-
-def _memory(spec: str) -> _Memory:
-    if (key := hash(spec)) not in _MEMORIES:
-        _MEMORIES[key] = _Memory(Tokenizer(spec))
-    return _MEMORIES[key]
-
-
 def _ragged(kind: pa.DataType, values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
@@ -242,7 +232,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     key_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _memory(spec.value)
+        memory = _Memory(Tokenizer(spec.value))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in pieces(byte_view(texts)[1], PIECE_BYTES):
@@ -262,7 +252,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     key_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _memory(spec.value)
+        memory = _Memory(Tokenizer(spec.value))
         for batch in batches:
             rows = [np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)

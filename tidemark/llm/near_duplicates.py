@@ -44,7 +44,7 @@ SHINGLE, SIMILARITY = 5, 80
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
 MOST_BITS, MOST_ROUNDS, OFFERS = 20, 30, 8
-PIECE_BYTES, BUCKET_ENTRIES, BLOCK = 1 << 19, 400_000, 1024
+PIECE_BYTES, BUCKET_ENTRIES, BLOCK = 1 << 19, 400_000, 512
 _A = mix(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _X = mix(np.arange(SYMBOLS + 1, 2 * SYMBOLS + 1, dtype=U64))
 
@@ -237,8 +237,8 @@ def _best_partners(e: np.ndarray, maps: list[bytes], tried: set[tuple[int, int]]
             for b in range(0, len(own), BLOCK):
                 one, two = e[own[a : a + BLOCK], None], e[None, own[b : b + BLOCK]]
                 i, j = np.nonzero((one["root"] != two["root"]) & (first[a : a + BLOCK, None] | first[None, b : b + BLOCK]) & _passes(one, two, percent))
-                for c in range(0, len(i), 1 << 16):
-                    x, y = a + i[c : c + (1 << 16)], b + j[c : c + (1 << 16)]
+                for c in range(0, len(i), 1 << 14):
+                    x, y = a + i[c : c + (1 << 14)], b + j[c : c + (1 << 14)]
                     total = e["n"][own[x]].astype(np.int64) + e["n"][own[y]].astype(np.int64)
                     common = np.minimum(np.bitwise_count(folded[x] & folded[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y]), total // 2)
                     ok = 100 * common >= percent * (total - common)
