@@ -241,3 +241,19 @@ def test_tool_calls(spark):
     assert (got[1, "b"].level, got[1, "c"].level, got[1, "b"].problems) == (0, 1, "type:x")
     assert got[2, "a"].problems == "unknown_tool" and got[2, "p"].level is None and got[2, "q"].level is None and got[2, "r"].level is None
     assert got[2, "q"].problems == "unknown:z" and '"z":"\\"é\\""' in got[2, "q"].json and got[2, "r"].problems == "missing:y"
+
+
+def test_tool_calls_are_ordered_over_all_turns(spark):
+    call = '{"tool_calls": [{"id": "%s", "name": "add", "arguments": %s}]}'
+    chain = [(1, i, call % (f"c{i}", '{"x": "$c%d"}' % (i - 1) if i else "{}")) for i in range(150)]
+    one_turn = [(2, 0, call % (f"c{i:03}", '{"x": "$c%03d"}' % (i - 1) if i else "{}")) for i in range(100)]
+    needs = {"a": "", "b": "a", "c": "ab", "d": "bc", "e": "da", "p": "q", "q": "p", "r": "pa", "s": "r", "t": "?", "u": "te", "v": "v", "w": "z", "z": "a"}
+    mixed = [(3, i, call % (k, "{%s}" % ", ".join(f'"{n}": "${x}"' for n, x in enumerate(v)).replace("$?", "$unknown"))) for i, (k, v) in enumerate(needs.items())]
+    schemas = spark.createDataFrame([("add", "x", "string", False)], "name string, argument string, type string, required boolean")
+    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(spark.createDataFrame(chain + one_turn + mixed, "conv_id long, turn long, text string"), schemas).collect()}
+    assert all((got[1, f"c{i}"].depth, got[1, f"c{i}"].place, got[1, f"c{i}"].level) == (i, i + 1, 0) for i in range(150))
+    assert all((got[2, f"c{i:03}"].depth, got[2, f"c{i:03}"].level) == (i, i) for i in range(100))
+    depth = {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "w": 2, "z": 1}
+    assert {k: got[3, k].depth for k in needs} == {k: depth.get(k) for k in needs}
+    assert {k: got[3, k].place for k in needs} == dict.fromkeys(needs) | {"a": 1, "b": 2, "z": 3, "c": 4, "w": 5, "d": 6, "e": 7}
+    assert got[3, "w"].level is None and got[3, "s"].level == 0

@@ -4,12 +4,15 @@ Messages carry tool calls and results as JSON in their texts:
 `{"tool_calls": [{"id": ..., "name": ..., "arguments": {...}}]}` and
 `{"tool_call_id": ..., "content": ...}`. Calls and results are hash-joined on
 conversation and identifier. A call depends on the calls whose identifiers its argument
-values name as "$identifier". A call can only use results that are there, so turns are
-the outer order: what a call needs was called in an earlier turn, or in its own. Within
-a turn levels follow by rounds of joins (0 without needs in the turn, else one more than
-the last of them), so rounds grow with the longest chain within a turn, not with the
-conversation or the data. (turn, level, identifier) is a topological order. Calls in or
-behind a cycle within a turn, and calls that name unknown or later ones, have no level.
+values name as "$identifier". `depth` is a call's level over all of them, of whatever
+turn (0 without needs, else one more than the deepest), and `place` counts a
+conversation's calls in that topological order. `level` is the level within the call's own
+turn, where what an earlier turn called counts as there. Both come from pointer doubling
+over the needs: rounds grow with the logarithm of the longest chain, without a limit.
+Calls in or behind a cycle, and calls that name unknown identifiers or stand behind such
+calls, have no depth and no place; they have no level if that is so within their turn, or
+if what they need is called later. A round's rows are pairs of a call and one it reaches
+by so many steps: as many as calls for chains, more where calls need several others.
 Arguments are checked against a table of
 schemas (`name`, `argument`, `type`, `required`), broadcast only if Spark finds it
 small. The call is written as canonical JSON: keys in order, no spaces.
@@ -23,7 +26,7 @@ call isn't. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import keep
@@ -32,7 +35,6 @@ CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<stri
 RESULT = "struct<tool_call_id:string,content:string>"
 #: Patterns of an argument's text for each schema type.
 TYPES = {"integer": "^-?[0-9]+$", "number": "^-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$", "string": "(?s)^.*$"}
-MOST_DEPTH = 64
 
 
 def _quoted(text: Column) -> Column:
@@ -54,29 +56,49 @@ def results_of(messages: DataFrame) -> DataFrame:
     return parsed.select("conv_id", F.col("turn").alias("result_turn"), F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content")).filter("call_id IS NOT NULL")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """`conv_id`, `call_id`, `level` of the calls that can be ordered."""
+def needs_of(calls: DataFrame) -> DataFrame:
+    """`conv_id`, `call_id`, `turn`, `needs`, `needs_turn`: one row for each identifier that a call names; unknown ones have no turn."""
     refs = F.array_distinct(F.filter(F.map_values("arguments"), lambda v: v.rlike("^\\$[A-Za-z0-9_.:-]+$")))
     edges = calls.select("conv_id", "call_id", "turn", F.explode(refs).alias("ref")).select("conv_id", "call_id", "turn", F.expr("substring(ref, 2)").alias("needs"))
     named = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
-    # needs of earlier turns are met; a need that is unknown or later never is
-    waiting = keep(edges.join(named, ["conv_id", "needs"], "left").filter("needs_turn IS NULL OR needs_turn >= turn").select("conv_id", "call_id", "needs"))
-    done = keep(calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    same_turn = edges.join(named, ["conv_id", "needs"]).filter("needs_turn = turn")
-    if same_turn.isEmpty():
-        return done
-    last = done
-    for depth in range(1, MOST_DEPTH + 1):
-        # a call is ready once all that it needs have levels; only calls that need one of the last round's can be newly so
-        touched = waiting.join(last.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        known = done.join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
-        open_ = waiting.join(touched, ["conv_id", "call_id"], "left_semi").join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"])
-        ready = open_.join(known, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.bool_and(F.coalesce(F.col("needs_turn") <= F.col("turn"), F.lit(False))).alias("ready")).filter("ready")
-        last = keep(ready.select("conv_id", "call_id", F.lit(depth).alias("level")))
-        if last.isEmpty():
-            return done
-        done = done.unionByName(last)
-    raise RuntimeError(f"chains of more than {MOST_DEPTH} calls in a turn")
+    return edges.join(named, ["conv_id", "needs"], "left").select("conv_id", "call_id", "turn", "needs", "needs_turn")
+
+
+def longest(edges: DataFrame) -> DataFrame:
+    """`conv_id`, `call_id`, `far` of the calls with needs: steps of the longest chain of needs, null where chains don't end.
+
+    `edges` has `conv_id`, `call_id`, `needs`; a call that can't be met needs itself.
+    """
+    on = ["conv_id", "call_id"]
+    # calls reached by `step` steps; `done` has the longest chains of fewer steps that end
+    open_ = keep(edges.select("conv_id", "call_id", "needs").distinct())
+    waiting = open_.select(on).distinct()
+    most = waiting.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    ends = open_.select("conv_id", F.col("needs").alias("call_id")).distinct().join(waiting, on, "left_anti")
+    done = keep(ends.withColumn("far", F.lit(0).cast("long")))
+    step = 1
+    # a chain of more steps than a conversation has calls with needs never ends
+    while step <= most and not open_.isEmpty():
+        there = done.select("conv_id", F.col("call_id").alias("needs"), (F.col("far") + step).alias("far"))
+        done = keep(done.unionByName(open_.join(there, ["conv_id", "needs"]).select(*on, "far")).groupBy(on).agg(F.max("far").alias("far")))
+        onward = open_.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("onward"))
+        open_ = keep(open_.join(onward, ["conv_id", "needs"]).select(*on, F.col("onward").alias("needs")).distinct())
+        step *= 2
+    endless = open_.select(*on, F.lit(True).alias("endless")).distinct()
+    return waiting.join(done, on, "left").join(endless, on, "left").select(*on, F.when(F.col("endless").isNull(), F.col("far")).alias("far"))
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """`conv_id`, `call_id`, `level` (within the turn) and `depth` (over all needs) of every call; null where it can't be ordered."""
+    on = ["conv_id", "call_id"]
+    needs = keep(needs_of(calls))
+    unmet = lambda bad: F.when(bad, F.col("call_id")).otherwise(F.col("needs")).alias("needs")
+    # needs of earlier turns are met within a turn; a need that is unknown or later never is
+    within = longest(needs.filter("needs_turn IS NULL OR needs_turn >= turn").select(*on, unmet(F.expr("needs_turn IS NULL OR needs_turn > turn"))))
+    over_all = longest(needs.select(*on, unmet(F.col("needs_turn").isNull())))
+    ordered = lambda df, name: df.select(*on, F.col("far").alias(name), F.lit(True).alias(f"has_{name}"))
+    out = calls.select(on).join(ordered(within, "level"), on, "left").join(ordered(over_all, "depth"), on, "left")
+    return out.select(*on, *(F.when(F.col(f"has_{n}").isNull(), F.lit(0)).otherwise(F.col(n)).cast("long").alias(n) for n in ("level", "depth")))
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -104,15 +126,20 @@ def canonical(call_id: Column, name: Column, arguments: Column, types: Column) -
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each call of `messages` (`conv_id`, `turn`, `text`): its level within the turn, result, problems and canonical JSON."""
+    """One row for each call of `messages` (`conv_id`, `turn`, `text`): its order, result, problems and canonical JSON.
+
+    `place` counts a conversation's calls by depth, then turn, then identifier; it is null without a depth.
+    """
     calls = keep(calls_of(messages))
     first = results_of(messages).join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).filter("result_turn >= turn")
     first = first.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "content")).alias("r")).select("conv_id", "call_id", "r.*")
     types = schemas.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("argument", "type"))).alias("types"))
     on = ["conv_id", "call_id"]
     df = calls.join(levels(calls), on, "left").join(first, on, "left").join(problems(calls, schemas), on, "left").join(types, "name", "left")
+    order = Window.partitionBy("conv_id").orderBy(F.col("depth").asc_nulls_last(), "turn", "call_id")
+    place = F.when(F.col("depth").isNotNull(), F.row_number().over(order))
     return df.select(
-        "conv_id", "call_id", "turn", "name", F.col("level").cast("long").alias("level"), "result_turn", "content",
+        "conv_id", "call_id", "turn", "name", "level", "depth", place.cast("long").alias("place"), "result_turn", "content",
         F.col("result_turn").isNotNull().alias("linked"), (F.size("problems") == 0).alias("valid"), F.array_join("problems", ",").alias("problems"),
         canonical(F.col("call_id"), F.col("name"), F.col("arguments"), F.coalesce("types", F.create_map().cast("map<string,string>"))).alias("json"), "repeats",
     )
