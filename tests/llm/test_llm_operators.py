@@ -5,8 +5,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +206,36 @@ def test_decontamination(spark):
     assert {d: v[2] for d, v in got.items()} == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
 
 
+@pytest.mark.parametrize("size", range(12, 21))
+def test_seeds_hit_every_accepted_overlap(size):
+    changes = size * (100 - decontamination.PERCENT) // 100
+    seeds = [sum(1 << at + i for i, c in enumerate(m) if c == "1") for m in decontamination.MASKS for at in range(size - len(m) + 1)]
+    for n in range(changes + 1):
+        for places in combinations(range(size), n):
+            changed = sum(1 << i for i in places)
+            assert any(not s & changed for s in seeds), places
+
+
+def test_decontamination_finds_substitutions_anywhere(spark):
+    items = [(n, [f"w{n}x{i}" for i in range(n)]) for n in (12, 15, 20, 24, 30)]
+    changes = [(12, (0, 11)), (12, (4,)), (12, (3, 7)), (15, (3, 7, 11)), (20, (9, 10)), (20, (4, 8, 12, 16)), (24, (4, 9, 14, 19)), (30, (4, 9, 14, 19, 24, 29)), (20, (0, 4, 8, 12, 16)), (12, (0, 5, 11))]
+    docs = [(d, " ".join(["before", *("other" if i in at else w for i, w in enumerate(dict(items)[n])), "after"])) for d, (n, at) in enumerate(changes)]
+    got = as_dict(decontamination.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(x)) for n, x in items], "item_id long, text string")))
+    assert {d: v[0] for d, v in got.items()} == {d: [n] if d < 8 else [] for d, (n, _) in enumerate(changes)}
+    with pytest.raises(ValueError, match="percent"):
+        decontamination.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"), percent=70)
+
+
+def test_decontamination_in_parts(monkeypatch):
+    items = ["a b c d " * 6, "x y z " * 5, "five words stand here alone"]
+    tokens, off = decontamination.tokens_of(pa.array(["a b c d " * 40, None, "q " + "x y z " * 9, "Five words stand here alone"]))
+    block = decontamination._Block([1, 2, 3], items)
+    want = [x.tolist() for x in block.overlaps(tokens, off, 20, 80)]
+    monkeypatch.setattr(decontamination, "MOST_HITS", 3)
+    monkeypatch.setattr(decontamination, "MOST_COMPARED", 5)
+    assert [x.tolist() for x in block.overlaps(tokens, off, 20, 80)] == want and set(zip(*want[:2])) == {(0, 0), (2, 1), (3, 2)}
+
+
 def test_surrogates(spark):
     rows = [(1, "Call +1 (743) 555-3824 or 743-555-3824, card 4785 3805-9239 1139, Hein.19@mail5.example.com"), (2, 'Mr. John Smith met Mrs Anna SMITH at 10.2.3.4. token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (3, None), (4, "no 1 2"), (5, "hein.19@MAIL5.example.com Господин Иванов")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,17 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks select some of SPAN neighbouring tokens; the selected tokens' fingerprint is
+Fixed masks select some of a few neighbouring tokens; the selected tokens' fingerprint is
 a seed, so a substitution at an unselected place leaves the seed alike. Seeds of the
 documents are joined with those of the test items by hash. Around each hit document
 and item are compared token by token along the diagonal: an overlap of `overlap`
 tokens (or the whole item, if shorter) with at least `percent` equal tokens marks the
-document. Any such overlap with two neighbouring substitutions or fewer in SPAN tokens
-has a hit under some mask.
+document. Any such overlap has a hit under some mask, wherever its substitutions are:
+with a fifth of the tokens changed or fewer, a run of four equal ones is left in any window
+of SPAN tokens or more, but for 15 tokens changed at places 3, 7 and 11, which the second
+mask hits. Limits for which that doesn't hold are refused.
 
 Items are cut into blocks of at most BLOCK_TOKENS tokens by a running sum, and one
 pass over the documents joins one block, so what is broadcast is bounded (about 40
 bytes a token and mask) whatever the number of items; passes grow with the items, not
-with the documents. Documents are never shuffled.
+with the documents. Documents are never shuffled. Short seeds have many hits, so hits and
+compared tokens are taken in parts of at most MOST_HITS and MOST_COMPARED (or one place's).
 
 Tokens are words, A-Z lower-cased, ASCII marks at their ends dropped. Defined results:
 null and empty texts match nothing; items of fewer than SPAN tokens match only as a
@@ -30,11 +33,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import BASE_WORDS, U64, ascii_lower, byte_view, mix, pieces, prefix_sums, span_hashes, word_bounds, word_hashes
 
-#: Places of a seed's tokens within SPAN.
-MASKS = ("111011010111", "110110111011", "101111101101")
-SPAN = len(MASKS[0])
+#: Places of a seed's tokens. Items of fewer than SPAN tokens match as a whole.
+MASKS = ("1111", "1110111")
+SPAN = 12
 OVERLAP, PERCENT, LEAST_TOKENS = 20, 80, 5
 PIECE_BYTES, BLOCK_TOKENS = 1 << 19, 1 << 18
+MOST_HITS, MOST_COMPARED = 1 << 18, 1 << 22
 _POINTS = np.zeros(256, bool)
 _POINTS[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
@@ -74,7 +78,8 @@ class _Block:
         self.seeds, self.at, self.low = [], [], []
         for mask in MASKS:
             seeds = seeds_of(self.tokens, mask)
-            at = np.flatnonzero(item[: len(seeds)] == item[SPAN - 1 :][: len(seeds)]) if len(seeds) else np.empty(0, np.int64)
+            at = np.flatnonzero(item[: len(seeds)] == item[len(mask) - 1 :]) if len(seeds) else np.empty(0, np.int64)
+            at = at[self.size[item[at]] >= SPAN]
             self._add(seeds[at], at)
         short = np.flatnonzero((self.size >= LEAST_TOKENS) & (self.size < SPAN))
         self.short = sorted(set(self.size[short].tolist()))
@@ -92,9 +97,8 @@ class _Block:
         self.at.append(at[order])
         self.low.append(low)
 
-    def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of equal seeds: in the documents' tokens and in the items'."""
-        here, there = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def hits(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of equal seeds, in parts: in the documents' tokens and in the items'."""
         sums = prefix_sums(tokens, BASE_WORDS) if self.short else None
         for k, (own, at, low) in enumerate(zip(self.seeds, self.at, self.low, strict=True)):
             if k < len(MASKS):
@@ -104,24 +108,33 @@ class _Block:
                 seeds = span_hashes(sums, begin, begin + self.short[k - len(MASKS)], BASE_WORDS)
             maybe = np.flatnonzero(low[(seeds & U64((1 << 20) - 1)).astype(np.int64)])
             first, last = np.searchsorted(own, seeds[maybe], "left"), np.searchsorted(own, seeds[maybe], "right")
-            n = last - first
-            here.append(np.repeat(maybe, n))
-            there.append(at[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        return np.concatenate(here), np.concatenate(there)
+            some = last > first
+            maybe, first, n = maybe[some], first[some], (last - first)[some]
+            for a, z in parts(n, MOST_HITS):
+                m = n[a:z]
+                yield np.repeat(maybe[a:z], m), at[np.repeat(first[a:z] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
 
     def overlaps(self, tokens: np.ndarray, words: np.ndarray, overlap: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Verified overlaps: document row, item, and most equal tokens in a window of the overlap's length."""
-        here, there = self.hits(tokens)
-        row = np.searchsorted(words, here, "right") - 1
-        item = self.item[there]
-        begin = here - (there - self.off[item])  # where the item's first token would stand
-        _, first = np.unique(np.stack([row, item, begin]), axis=1, return_index=True)
-        row, item, begin = row[first], item[first], begin[first]
+        found = [np.empty((0, 4), np.int64)]
+        for here, there in self.hits(tokens):
+            row = np.searchsorted(words, here, "right") - 1
+            item = self.item[there]
+            begin = here - (there - self.off[item])  # where the item's first token would stand
+            room = np.minimum(words[row + 1], begin + self.size[item]) - np.maximum(words[row], begin)
+            ok = np.flatnonzero(room >= np.minimum(overlap, self.size[item]))
+            ok = ok[np.lexsort((begin[ok], item[ok], row[ok]))]
+            if len(ok):
+                ok = ok[np.append(True, (np.diff(begin[ok]) != 0) | (np.diff(item[ok]) != 0) | (np.diff(row[ok]) != 0))]
+            for a, z in parts(room[ok], MOST_COMPARED):
+                found.append(self.verified(tokens, words, row[ok[a:z]], item[ok[a:z]], begin[ok[a:z]], overlap, percent))
+        row, item, _, most = np.unique(np.concatenate(found), axis=0).T
+        return row, item, most
+
+    def verified(self, tokens: np.ndarray, words: np.ndarray, row: np.ndarray, item: np.ndarray, begin: np.ndarray, overlap: int, percent: int) -> np.ndarray:
+        """Row, item, begin and most equal tokens of the diagonals that hold an overlap; each has room for one."""
         low, high = np.maximum(words[row], begin), np.minimum(words[row + 1], begin + self.size[item])
-        need = np.minimum(overlap, self.size[item])
-        room = high - low
-        ok = room >= need
-        row, item, begin, low, room, need = (a[ok] for a in (row, item, begin, low, room, need))
+        need, room = np.minimum(overlap, self.size[item]), high - low
         start = np.cumsum(room) - room
         place = np.arange(int(room.sum())) - np.repeat(start, room) + np.repeat(low, room)
         same = tokens[place] == self.tokens[place - np.repeat(begin, room) + np.repeat(self.off[item], room)]
@@ -131,7 +144,15 @@ class _Block:
         equal = sums[at + np.repeat(need, windows)] - sums[at]
         most = np.maximum.reduceat(equal, np.cumsum(windows) - windows) if len(windows) else np.empty(0, np.int64)
         good = 100 * most >= np.where(self.size[item] < SPAN, 100, percent) * need
-        return row[good], item[good], most[good]
+        return np.stack([row, item, begin, most], axis=1)[good]
+
+
+def parts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbouring ranges whose sizes sum up to about `most`."""
+    if not len(sizes):
+        return []
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True))
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
@@ -148,6 +169,8 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_
     """The rows of `docs` with `overlaps`: an array of (item, matched) of the items that they verifiably overlap."""
     if "overlaps" in docs.columns:
         raise ValueError("docs has a column named overlaps")
+    if overlap < SPAN or percent < PERCENT:
+        raise ValueError(f"seeds find all overlaps of {SPAN} tokens or more and {PERCENT} percent or more only")
     out = docs.withColumn("overlaps", F.array().cast("array<struct<item:bigint,matched:bigint>>"))
     for block in blocks(items, item_id_col, item_text_col):
         rows = block.collect()  # one block: bounded by BLOCK_TOKENS
