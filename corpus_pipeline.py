@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each a call of one operator of tidemark.llm.
 
 Rejected documents go (quality rules, near-duplicates, benchmark overlaps), boilerplate
-lines go from the texts, and the last stage returns the ids of what is left.
+lines go from the texts, and the last stage returns the ids of what is left and their
+decoded texts.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE ids of every document."""
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
+    """BPE ids of every document, and the text that they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [

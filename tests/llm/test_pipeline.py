@@ -123,3 +123,14 @@ def test_pipeline(spark):
     assert got == {d["doc_id"]: b"".join(i.to_bytes(4, "little") for i in lib.encode(d["text"], add_special_tokens=False).ids) for d in want}
     assert 0 < len(want) < len(docs)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "tokenise"]
+
+
+def test_last_stage_decodes(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(50)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()} | {-1: "", -2: "Ab<|endoftext|> é 日本"}
+    odd = spark.createDataFrame([(-1, None), (-2, texts[-2])], "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES[-1][1](spark, docs.select("doc_id", "text").union(odd), SF).select("doc_id", "decoded").collect())
+    assert got == {d: lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for d, t in texts.items()}
