@@ -26,6 +26,7 @@ from tidemark.functions.scalars import LOOKUPS, TIMED_TRANSFORMS, TRANSFORMS
 from tidemark.operators.parsers import FORMATS, group_index
 from tidemark.plans.catalogue import CLASSES
 
+# The operators and keys of the mapping language.
 OPERATORS = ("equals", "not_equals", "contains", "startswith", "regex", "exists", "in")
 _SPEC_KEYS = {"from", "regex", "group", "transform", "lookup", "default", "tz"}
 _RULE_KEYS = {"name", "match", "ocsf_class", "fields"}

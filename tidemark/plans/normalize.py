@@ -21,7 +21,7 @@ from tidemark.plans.catalogue import CLASSES, FIELDS, column, spark_type
 from tidemark.plans.mapping import Condition, Mapping, Ref, Registry, Spec
 
 WELL_KNOWN_MAX, EPHEMERAL_MIN, DRIFT_MS = 1023, 49152, 3_600_000
-NO_TIME = "device time not mapped; 'time' falls back to the receipt clock"
+NO_TIME = "no event time in the record: the receipt time stands in"
 RECORD = ("event_uid", "raw_hash", "source_id", "observed_time", "parse_status", "class_uid", "mapping_id", "mapping_version", "mapping_hash", "rule_name", "mapping_coverage", "fields", "unmapped", "errors", "warnings", "notes")
 _STRINGS = "array<string>"
 
