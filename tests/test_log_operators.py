@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import frames, identity, ledger, store, templates
+from tidemark.functions import clock
+from tidemark.operators import frames, identity, ledger, store, templates, views
 from tidemark.operators.parsers import parse, xml_values
 from tidemark.plans.mapping import Mapping, MappingError, Ref, Registry
 from tidemark.plans.normalize import NO_TIME, normalize
@@ -157,13 +158,32 @@ def test_merkle_roots_and_proofs(spark):
     rows = [(b, i, hashlib.sha256(f"{b}.{i}".encode()).hexdigest()) for b in (1, 2, 3, 5, 8, 13, 17) for i in range(b)]
     df = spark.createDataFrame(rows, "batch_id long, leaf_index int, leaf string")
     want = {b: _root([x for c, _, x in rows if c == b]) for b in (1, 2, 3, 5, 8, 13, 17)}
-    assert {r.batch_id: r.root for r in ledger.merkle_roots(df, 32).collect()} == want
+    for span in (8, 32):
+        assert {r.batch_id: r.root for r in ledger.merkle_roots(df, span).collect()} == want
     assert {r.batch_id: r.root for r in ledger.merkle_roots_of_arrays(df).collect()} == want
-    for i in (0, 7, 12):
-        steps = ledger.proof_of(df, 13, i)
-        leaf = next(x for b, j, x in rows if (b, j) == (13, i))
-        made = F.array(*(F.struct(F.lit(s).alias("sibling"), F.lit(left).alias("is_left")) for s, left in steps))
-        assert one(spark, ledger.proves(F.lit(leaf), made, F.lit(want[13])))
+    uids = df.withColumn("event_uid", F.concat_ws(".", "batch_id", "leaf_index"))
+    made = ledger.proofs(uids, uids.filter("batch_id IN (1, 13, 17)").select("event_uid")).withColumn("ok", ledger.proves(F.col("leaf"), F.col("steps"), F.col("root"))).collect()
+    assert len(made) == 31 and all(r.ok and r.root == want[r.batch_id] for r in made)
+
+
+def test_sealing_waits_for_size_or_time(spark, tmp_path):
+    raw = identity.capture(spark.createDataFrame([(str(i).encode(), i * 10**9) for i in range(1, 8)], "raw_bytes binary, ns long"), "s", F.col("ns"))
+    path = str(tmp_path / "ledger")
+    assert ledger.seal(raw, path, {"s": "h"}, 7 * 10**9, 3, flush=False) == 2  # the seventh waits
+    assert ledger.seal(raw, path, {"s": "h"}, 7 * 10**9 + 1, 3, flush=False) == 0
+    assert ledger.seal(raw, path, {"s": "h"}, 8 * 10**9, 3, flush=False) == 1  # it waited a second
+    assert ledger.seal(raw, path, {"s": "h"}, 9 * 10**9, 3) == 0
+    batches, leaf = ledger.read(spark, path, "batches"), ledger.read(spark, path, "leaves")
+    assert [(r.batch_id, r.leaf_count, r.mapping_set) for r in batches.orderBy("batch_id").collect()] == [(1, 3, '{"s": "h"}'), (2, 3, '{"s": "h"}'), (3, 1, '{"s": "h"}')]
+    assert ledger.verify(batches, leaf, raw).filter("reason IS NOT NULL").count() == 0 and ledger.verify(batches, leaf, start=2).count() == 2
+    assert [r.leaf_index for r in ledger.leaves_of(leaf, 2).collect()] == [0, 1, 2] and ledger.batch_of(batches, 3).first().first_uid == ledger.batch_of(batches, 3).first().last_uid
+
+
+def test_windows_and_dumps(spark):
+    assert clock.window(10**12, "24H") == ("24h", 10**12 - 86_400_000, None) and clock.window(5, "all") == ("all", None, None) and clock.window(10**12, "?")[0] == "1h"
+    assert one(spark, clock.bound_ms(F.lit("2026-09-17"))) == 1789583400000 and one(spark, clock.bound_ms(F.lit("nonsense"))) is None
+    assert one(spark, views.hex_dump(F.lit(b"")) == "") and one(spark, views.hex_dump(F.lit(bytes(range(17))))).splitlines()[1] == "0010   10"
+    assert one(spark, views.hex_dump(F.lit(b"x" * 400), 2)).splitlines()[-1] == "... (23 additional lines truncated for display)"
 
 
 def test_verify_finds_tampering(spark):

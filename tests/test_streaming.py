@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import discovery
+from tidemark.operators import discovery, templates
 from tidemark.plans.mapping import Registry
+from tidemark.sources import tail
 from tidemark.streaming import ingest
 
 
@@ -31,3 +32,34 @@ def test_common_keys(spark):
     values = discovery.key_values(spark.createDataFrame(rows, "source_id string, sample long, body string"))
     assert {(r.key, r.type) for r in discovery.common_keys(values).collect()} == {("src", "ip"), ("n", "integer")}
     assert values.filter(F.col("key") == "src").count() == 3
+
+
+def test_tail_follows_appends_rotation_and_partial_lines(spark, tmp_path):
+    logs, out = tmp_path / "logs" / "zeek", str(tmp_path / "out")
+    logs.mkdir(parents=True)
+    spark.dataSource.register(tail.TailSource)
+    log = logs / "conn.log"
+
+    def poll():
+        lines = spark.readStream.format("tail").option("path", str(tmp_path / "logs")).load()
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(bytes(r.raw_bytes) for r in spark.read.parquet(out).collect())
+
+    log.write_bytes(b"#head\none\r\n\ntw")
+    assert poll() == [b"one"]
+    with log.open("ab") as f:
+        f.write(b"o\nthree\n")
+    assert poll() == [b"one", b"three", b"two"]
+    log.write_bytes(b"new\n")  # shorter than before: rotated
+    assert poll() == [b"new", b"one", b"three", b"two"]
+    assert poll() == [b"new", b"one", b"three", b"two"]
+    assert {r.source_id for r in spark.read.parquet(out).collect()} == {"zeek_conn"}
+
+
+def test_miner_state_round_trip():
+    one, lines = templates.Miner(), [f"user {i} did {w} now".split() for i, w in enumerate(["a", "b", "c"] * 5)]
+    two = templates.Miner()
+    for line in lines:
+        assert one.add(line) == two.add(line)
+        two = templates.Miner.loads(two.dumps())
+    assert one.templates == two.templates

@@ -1,15 +1,50 @@
-"""What samples of an unknown source have in common: keys, and the types that fit all their values."""
+"""Discovery: mappings proposed from samples of sources that have none, scored, queued, approved, and applied to the backlog.
+
+All sources are examined in one job: samples become rows of key and value (or of position and
+token), what all samples of a source share is an aggregate, and a proposal is a row. Only
+proposals (one row for each unknown source) reach the driver, where their mappings are compiled.
+The proposal store is a DataFrame with one row for each proposal; its functions return the next state.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import written
 from tidemark.functions.scalars import coerce
-from tidemark.operators.parsers import kv_pairs
+from tidemark.operators import frames, store
+from tidemark.operators.identity import text_of
+from tidemark.operators.parsers import kv_pairs, parse, xml_map
+from tidemark.plans.catalogue import CLASSES
+from tidemark.plans.mapping import Mapping, MappingError, Registry
+from tidemark.plans.normalize import normalize
 
 #: Types from the narrowest, in the order in which they are tried.
 NARROWEST = ("ip", "port", "mac", "integer")
+# Which field a vendor's key names.
+HINTS = {
+    "src": "src_endpoint.ip", "src_ip": "src_endpoint.ip", "source": "src_endpoint.ip", "saddr": "src_endpoint.ip", "srcaddr": "src_endpoint.ip", "from": "src_endpoint.ip",
+    "spt": "src_endpoint.port", "src_port": "src_endpoint.port", "sport": "src_endpoint.port", "srcport": "src_endpoint.port",
+    "dst": "dst_endpoint.ip", "dst_ip": "dst_endpoint.ip", "dest": "dst_endpoint.ip", "dest_ip": "dst_endpoint.ip", "daddr": "dst_endpoint.ip", "dstaddr": "dst_endpoint.ip", "to": "dst_endpoint.ip",
+    "dpt": "dst_endpoint.port", "dst_port": "dst_endpoint.port", "dport": "dst_endpoint.port", "dstport": "dst_endpoint.port", "dest_port": "dst_endpoint.port",
+    "bytes": "traffic.bytes", "in": "traffic.bytes_in", "out": "traffic.bytes_out", "pkts": "traffic.packets", "packets": "traffic.packets",
+    "dur": "duration", "duration": "duration", "elapsed": "duration",
+    "user": "user.name", "usr": "user.name", "username": "user.name",
+    "act": "message", "action": "message", "msg": "message", "sig": "finding_info.title", "signature": "finding_info.title",
+    "cls": "metadata.log_name", "class": "metadata.log_name",
+}
+# Formats of detection that have keys, and their names in mappings; the order in which classes win a tie.
+KEYED = {"cef": "cef", "leef": "leef", "json": "json", "xml": "xml", "csv": "csv", "key_value": "kv"}
+CLASS_ORDER = (4001, 4002, 3002, 2004)
+# Limits of proposals and of the gate that approves them.
+LEAST_PROPOSED, SAMPLES, HOLDOUT, LEAST_SAMPLES, LEAST_FIELDS, BAR = 5, 60, 20, 20, 3, 0.95
+IP_PORT = r"^\d{1,3}(?:\.\d{1,3}){3}[/:]\d{1,5}$"
+STATES = ("pending", "approved", "rejected")
+STORE = "proposal_id bigint, source_id string, format string, class_uid int, yaml string, fields int, confidence double, sample_count bigint, state string, created_ns bigint, decided_ns bigint, decided_by string, note string"
 
 
 def key_values(samples: DataFrame, body_col: str = "body") -> DataFrame:
@@ -25,3 +60,210 @@ def common_keys(values: DataFrame) -> DataFrame:
     seen = values.groupBy("source_id", "key").agg(F.count("*").alias("n"), *fits)
     kind = F.coalesce(*(F.when(F.col(t), F.lit(t)) for t in NARROWEST), F.lit("string"))
     return seen.join(total, "source_id").filter("n = samples").select("source_id", "key", kind.alias("type"))
+
+
+def samples_of(raw: DataFrame, limit: int = SAMPLES) -> DataFrame:
+    """The newest `limit` events of each source, written once: `source_id`, `sample` (0 is the newest), `text`, `body`, `format`."""
+    w = Window.partitionBy("source_id").orderBy(F.desc("received_at_ns"), F.desc("event_uid"))
+    newest = raw.withColumn("sample", F.row_number().over(w) - 1).filter(F.col("sample") < limit)
+    return written(frames.detect(newest.select("source_id", "sample", "event_uid", "raw_hash", "raw_bytes", "received_at_ns", text_of(F.col("raw_bytes")).alias("text")), "text"), "samples")
+
+
+def _named(fmt: str, samples: DataFrame) -> DataFrame:
+    """`source_id`, `sample`, `key`, `value` of the samples that parse in a format with keys."""
+    if fmt in ("json", "xml"):
+        named = F.from_json("body", "map<string,string>") if fmt == "json" else xml_map(F.col("body"))
+        rows = samples.select("source_id", "sample", named.alias("named"), named.isNull().alias("bad"))
+    else:
+        parsed = samples.select("source_id", "sample", parse(fmt, F.col("body")).alias("p"))
+        rows = parsed.select("source_id", "sample", F.col("p.named").alias("named"), F.col("p.error").isNotNull().alias("bad"))
+    return rows.filter("NOT bad").select("source_id", "sample", F.explode_outer("named").alias("key", "value"))
+
+
+def hinted(values: DataFrame) -> DataFrame:
+    """`source_id`, `target`, `ref`, `trusted`: keys common to all samples that name a field; endpoint names whose values are of another type aren't trusted."""
+    hint = F.try_element_at(F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv)), F.lower("key"))
+    wanted = F.when(F.col("target").endswith("_endpoint.ip"), "ip").when(F.col("target").endswith("_endpoint.port"), "port")
+    known = common_keys(values).withColumn("target", hint).filter("target IS NOT NULL").withColumn("trusted", F.coalesce(wanted == F.col("type"), F.lit(True)))
+    # of several keys for one field the least one counts
+    return known.groupBy("source_id", "target", "trusted").agg(F.min("key").alias("key")).select("source_id", "target", F.concat(F.lit("$"), F.col("key")).alias("ref"), "trusted")
+
+
+def positional(samples: DataFrame) -> DataFrame:
+    """`source_id`, `target`, `ref`: endpoints at positions whose tokens are address and port, or addresses, in every sample; the first is the source."""
+    tokens = samples.select("source_id", "sample", F.split(F.trim("body"), r"\s+").alias("tokens"))
+    shape = tokens.select("source_id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
+    every = shape.groupBy("source_id", "at").agg(F.count("*").alias("n"), F.bool_and(F.col("token").rlike(IP_PORT)).alias("pair"), F.bool_and(coerce(F.col("token"), "ip").isNotNull()).alias("ip"))
+    total = tokens.groupBy("source_id").agg(F.count("*").alias("samples"))
+    every = every.join(total, "source_id").filter("n = samples")
+    places = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("at") + 1)))
+    found = every.groupBy("source_id").agg(places(F.col("pair")).alias("pairs"), places(F.col("ip") & ~F.col("pair")).alias("ips"))
+    spec = lambda p, how: F.concat(F.lit("{ from: $"), p.cast("string"), F.lit(f", transform: {how} }}"))
+    row = lambda t, r: F.struct(F.lit(t).alias("target"), r.alias("ref"))
+    pair = lambda i: F.get("pairs", F.lit(i))
+    plain = lambda i: F.concat(F.lit("$"), F.get("ips", F.lit(i)).cast("string"))
+    of_pairs = F.array(*(row(f"{side}_endpoint.{part}", spec(pair(i), how)) for i, side in enumerate(("src", "dst")) for part, how in (("ip", "before_slash"), ("port", "after_slash"))))
+    of_ips = F.array(row("src_endpoint.ip", plain(0)), row("dst_endpoint.ip", plain(1)))
+    return found.select("source_id", F.explode(F.when(F.size("pairs") >= 2, of_pairs).when(F.size("ips") >= 2, of_ips)).alias("f")).select("source_id", "f.*")
+
+
+def pick_class(targets: Column) -> Column:
+    """The class that has most of the fields; of equals the first in CLASS_ORDER."""
+    hits = lambda uid: F.size(F.filter(targets, lambda t: t.isin(*CLASSES[uid])))
+    best = F.greatest(*(hits(uid) for uid in CLASS_ORDER))
+    return F.coalesce(*(F.when(hits(uid) == best, uid) for uid in CLASS_ORDER))
+
+
+def yaml_of(source: Column, fmt: Column, class_uid: Column, fields: Column, sample_count: Column, detected: Column, approved_by: Column | None = None) -> Column:
+    """A proposal as a mapping file. fields: array of (target, ref) in order."""
+    head = F.concat(
+        F.lit("# Proposed from "), sample_count.cast("string"), F.lit(" events of unknown shape; format found: "), detected, F.lit(".\n# Fields are inferred from the data and wait for approval.\nsource: "), source, F.lit("\nformat: "), fmt,
+        F.lit('\nocsf_version: "1.5.0"\nversion: 1\nauthor: discovery\n'),
+    )
+    by = F.lit("") if approved_by is None else F.coalesce(F.concat(F.lit("approved_by: "), approved_by, F.lit("\n")), F.lit(""))
+    lines = F.array_join(F.transform(fields, lambda f: F.concat(F.lit("      "), f["target"], F.lit(": "), f["ref"], F.lit("\n"))), "")
+    return F.concat(head, by, F.lit("description: Proposed mapping for "), source, F.lit(".\nrules:\n  - name: inferred\n    ocsf_class: "), class_uid.cast("string"), F.lit("\n    fields:\n"), lines)
+
+
+def propose(samples: DataFrame, least: int = LEAST_PROPOSED) -> DataFrame:
+    """A proposal for each source of samples_of(): `source_id`, `detected`, `format`, `class_uid`, `fields` (array of target, ref), `sample_count`, `notes`, `yaml`.
+
+    The newest sample's format counts. Sources with fewer than `least` samples, or whose samples don't parse, have no proposal; one
+    without known fields has no `fields` and no `yaml`.
+    """
+    per = samples.groupBy("source_id").agg(F.count("*").alias("sample_count"), F.min_by("format", "sample").alias("detected")).filter(F.col("sample_count") >= least)
+    typed = samples.join(per, "source_id")
+    values = [_named(fmt, typed.filter(F.col("detected") == name)) for name, fmt in KEYED.items() if fmt != "csv"]
+    values = reduce(DataFrame.unionByName, values)
+    known = hinted(values.filter("value IS NOT NULL"))
+    free = typed.filter(~F.col("detected").isin(*KEYED))
+    found = known.filter("trusted").select("source_id", "target", "ref").unionByName(positional(free))
+    fields = found.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("target", "ref"))).alias("fields"))
+    doubted = known.filter("NOT trusted").groupBy("source_id").agg(F.array_sort(F.collect_list(F.concat(F.substring("ref", 2, 200), F.lit(" looks like "), "target", F.lit(" by name but not by its values")))).alias("doubts"))
+    out = per.join(fields, "source_id", "left").join(doubted, "source_id", "left")
+    format_ = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KEYED.items() for x in kv)), F.col("detected")), F.lit("ssv"))
+    none = F.array().cast("array<struct<target:string,ref:string>>")
+    out = out.select("source_id", "detected", format_.alias("format"), F.coalesce("fields", none).alias("fields"), "sample_count", F.coalesce("doubts", F.array().cast("array<string>")).alias("doubts"))
+    out = out.withColumn("class_uid", F.when(F.size("fields") > 0, pick_class(F.transform("fields", lambda f: f["target"]))).otherwise(4001))
+    notes = F.when(F.size("fields") == 0, F.array(F.lit("no stable structure and no known key in the samples"))).when(~F.col("detected").isin(*KEYED), F.array(F.lit("endpoints are taken from stable positions; the first is the source"))).otherwise(F.array().cast("array<string>"))
+    yaml = F.when(F.size("fields") > 0, yaml_of(F.col("source_id"), F.col("format"), F.col("class_uid"), F.col("fields"), F.col("sample_count"), F.col("detected")))
+    return out.select("source_id", "detected", "format", "class_uid", "fields", "sample_count", F.concat("doubts", notes).alias("notes"), yaml.alias("yaml"))
+
+
+def score(proposals: DataFrame, samples: DataFrame, holdout: int = HOLDOUT) -> DataFrame:
+    """The gate's checks of each proposal on its source's oldest `holdout` samples: `support`, `fields`, `fill`, `valid`, `sane` (0 to 1), `confidence` (the least) and `auto` (all pass).
+
+    A proposal without fields, or whose mapping doesn't load, scores 0.
+    """
+    registry, bad = Registry(), []
+    for r in proposals.filter("yaml IS NOT NULL").select("source_id", "yaml").collect():  # one row for each unknown source
+        try:
+            registry.add(Mapping.from_yaml(r["yaml"]))
+        except MappingError:
+            bad.append(r["source_id"])
+    own = proposals.select("source_id", "sample_count", F.size("fields").alias("n_fields"))
+    last = samples.join(own.select("source_id", "sample_count"), "source_id").filter(F.col("sample") >= F.col("sample_count") - holdout)
+    known = list(registry.sources())
+    counts = "source_id string, total bigint, parsed bigint, full bigint, errors bigint, warned bigint"
+    if known:
+        records = normalize(last.select("event_uid", "raw_hash", "source_id", "raw_bytes", "received_at_ns"), registry, sources=known)
+        tested = records.groupBy("source_id").agg(
+            F.count("*").alias("total"), F.count_if(F.col("parse_status") != "quarantined").alias("parsed"), F.count_if(F.col("parse_status") == "full").alias("full"), F.sum(F.size("errors")).alias("errors"), F.count_if(F.size("warnings") > 0).alias("warned"),
+        )
+    else:
+        tested = samples.sparkSession.createDataFrame([], counts)
+    share = lambda n: F.coalesce(n / F.col("total"), F.lit(0.0))
+    df = own.join(tested, "source_id", "left").withColumns({
+        "support": F.when(F.col("total").isNull(), 0.0).otherwise(F.least(F.col("sample_count") / LEAST_SAMPLES, F.lit(1.0))), "fields": F.least(F.col("n_fields") / LEAST_FIELDS, F.lit(1.0)),
+        "fill": share(F.col("parsed")), "valid": share(F.col("full")), "sane": F.when(F.col("total").isNull(), 0.0).otherwise(1 - share(F.col("warned"))),
+    })
+    checks = ["support", "fields", "fill", "valid", "sane"]
+    passed = (F.col("sample_count") >= LEAST_SAMPLES) & (F.col("n_fields") >= LEAST_FIELDS) & (F.col("fill") >= 0.95) & (F.col("errors") == 0) & (F.col("warned") == 0)
+    df = df.withColumn("confidence", F.least(*checks))
+    return df.select("source_id", "sample_count", "n_fields", *checks, "confidence", F.coalesce(passed & (F.col("confidence") >= BAR), F.lit(False)).alias("auto"))
+
+
+def empty_store(spark) -> DataFrame:
+    return spark.createDataFrame([], STORE)
+
+
+def add(queue: DataFrame, proposals: DataFrame, scores: DataFrame, created_ns: int) -> DataFrame:
+    """The store with new proposals pending; a source's earlier pending one goes."""
+    new = proposals.join(scores.select("source_id", "confidence", "n_fields"), "source_id")
+    kept = queue.join(new.select("source_id", F.lit("pending").alias("state")), ["source_id", "state"], "left_anti").select(queue.columns)
+    last = queue.agg(F.coalesce(F.max("proposal_id"), F.lit(0)).alias("last"))
+    numbered = new.withColumn("nth", F.row_number().over(Window.orderBy("source_id"))).join(F.broadcast(last), F.lit(True))  # a row for each unknown source
+    null = lambda t: F.lit(None).cast(t)
+    rows = numbered.select((F.col("last") + F.col("nth")).cast("bigint").alias("proposal_id"), "source_id", "format", "class_uid", "yaml", F.col("n_fields").alias("fields"), "confidence", "sample_count", F.lit("pending").alias("state"), F.lit(created_ns).cast("bigint").alias("created_ns"), null("bigint").alias("decided_ns"), null("string").alias("decided_by"), null("string").alias("note"))
+    return kept.unionByName(rows)
+
+
+def decide(queue: DataFrame, proposal_id: int, state: str, by: str, decided_ns: int, note: str | None = None) -> DataFrame:
+    """The store after a named decision on a pending proposal; decided ones stay as they are."""
+    if state not in STATES[1:]:
+        raise ValueError(f"not a decision: {state}")
+    if not by:
+        raise ValueError("a decision must name who made it")
+    this = (F.col("proposal_id") == proposal_id) & (F.col("state") == "pending")
+    new = {"decided_ns": F.lit(decided_ns), "decided_by": F.lit(by), "note": F.lit(note), "state": F.lit(state)}
+    return queue.select(*(F.when(this, new[c]).otherwise(F.col(c)).cast(t).alias(c) if c in new else F.col(c) for c, t in queue.dtypes))
+
+
+def pending(queue: DataFrame) -> DataFrame:
+    return queue.filter("state = 'pending'").orderBy(F.desc("confidence"), "created_ns", "proposal_id")
+
+
+def history(queue: DataFrame, limit: int = 30) -> DataFrame:
+    return queue.filter("state <> 'pending'").orderBy(F.desc("decided_ns"), "proposal_id").limit(limit)
+
+
+def state_counts(queue: DataFrame) -> DataFrame:
+    """`state`, `n` of all three states, 0 included."""
+    states = queue.sparkSession.createDataFrame([(s,) for s in STATES], "state string")
+    return states.join(queue.groupBy("state").agg(F.count("*").alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def to_examine(p: DataFrame, queue: DataFrame, least: int = LEAST_PROPOSED) -> DataFrame:
+    """Sources with quarantined events and why one isn't examined (`reason`, null if it is): too few events, a pending proposal, a rejected one."""
+    known = queue.groupBy("source_id").agg(F.bool_or(F.col("state") == "pending").alias("waits"), F.bool_or(F.col("state") == "rejected").alias("refused"))
+    reason = F.when(F.col("n") < least, F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" events, need {least}"))).when(F.col("waits"), "awaiting review").when(F.col("refused"), "a previous proposal was rejected")
+    return store.quarantined_sources(p).join(known, "source_id", "left").select("source_id", "n", reason.alias("reason"))
+
+
+def run(raw: DataFrame, p: DataFrame, queue: DataFrame, created_ns: int) -> tuple[DataFrame, DataFrame]:
+    """One round of discovery: proposals with their scores (those with `auto` are to be activated), and the store with the others queued."""
+    sources = to_examine(p, queue).filter("reason IS NULL").select("source_id")
+    samples = samples_of(raw.join(F.broadcast(sources), "source_id", "left_semi"))  # unknown sources, a row each
+    found = propose(samples).filter(F.size("fields") > 0)
+    scores = score(found, samples)
+    return found.join(scores.drop("sample_count"), "source_id"), add(queue, found, scores.filter("NOT auto"), created_ns)
+
+
+def approve(queue: DataFrame, proposal_id: int, by: str, decided_ns: int, folder: str | Path, registry: Registry) -> tuple[DataFrame, str]:
+    """Activates a pending proposal: its mapping goes to the registry's folder. Returns the store and the source, whose backlog is then to be replayed."""
+    row = queue.filter(F.col("proposal_id") == proposal_id).first()
+    if row is None or row["state"] != "pending":
+        raise ValueError(f"no pending proposal {proposal_id}")
+    activate(row["source_id"], row["yaml"], by, folder, registry)
+    return decide(queue, proposal_id, "approved", by, decided_ns), row["source_id"]
+
+
+def activate(source_id: str, yaml: str, by: str, folder: str | Path, registry: Registry) -> None:
+    text = yaml if "\napproved_by:" in yaml else yaml.replace("author: discovery\n", f"author: discovery\napproved_by: {by}\n")
+    Mapping.from_yaml(text)  # a file that doesn't load is never written
+    Path(folder, f"{source_id}.yaml").write_text(text, encoding="utf-8")
+    registry.refresh()
+
+
+def backfill(raw: DataFrame, p: DataFrame, registry: Registry, source_id: str, now_ns: int) -> DataFrame:
+    """The projection after a source's raw events went through its mapping again."""
+    return store.upsert(p, normalize(raw.filter(F.col("source_id") == source_id), registry, sources=[source_id]), now_ns)
+
+
+def backfill_counts(before: DataFrame, after: DataFrame, source_id: str) -> DataFrame:
+    """`replayed`, `normalized` (no longer quarantined), `still_quarantined` of a source."""
+    a = after.filter(F.col("source_id") == source_id)
+    was = before.filter(F.col("source_id") == source_id).select("event_uid", F.col("parse_status").alias("was"))
+    return a.join(was, "event_uid", "left").agg(
+        F.count("*").alias("replayed"), F.count_if(F.col("parse_status") != "quarantined").alias("normalized"), F.count_if(F.col("parse_status") == "quarantined").alias("still_quarantined"), F.count_if((F.col("was") == "quarantined") & (F.col("parse_status") != "quarantined")).alias("resolved"),
+    )

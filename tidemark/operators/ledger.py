@@ -1,22 +1,35 @@
 """Sealing and verification: ordered Merkle batches of raw events, chained.
 
 Events are numbered without a global sort in one task: ranges of (time, uid) are sorted
-by the cluster, the ranges' sizes (one row for each) give their offsets, and numbers
-within a range follow. Batches of leaves are hashed by native expressions, level by
-level: a level's pair hashes are one aggregation over half of the nodes, so a batch may
-have any size. Only the chain itself, one root after the other, is a fold; it runs over
-the roots of one seal in one row, as a chain must.
+by the cluster and written, the ranges' sizes (one row for each) give their offsets, and
+numbers within a range follow. Leaves are hashed by native expressions: subtrees of SPAN
+leaves are folded as rows, and only their roots are shuffled again. Only the chain itself,
+one root after the other, is a sequence; its task streams the sorted roots of one seal
+and holds the last one.
+
+A ledger is a folder with two Parquet tables that only grow: `batches` and `leaves`. A seal
+writes its leaves first and its batches last, both under the seal's own name, so what a seal that
+failed left behind belongs to no batch; and events that are sealed are never sealed again.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+import json
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import written
+
 GENESIS = "0" * 64
-BATCH_SIZE = 5000
+BATCH_SIZE, BATCH_NS, SPAN = 5000, 1_000_000_000, 4096
+BATCHES = "batch_id bigint, prev_root string, root string, leaf_count bigint, first_uid string, last_uid string, sealed_at_ns bigint, mapping_set string, seal string"
+LEAVES = "batch_id bigint, leaf_index int, event_uid string, raw_hash string, seal string"
+CHECKPOINTS = "checkpoint_id bigint, day string, first_batch bigint, last_batch bigint, chain_head string, batch_count bigint, event_count bigint, created_at_ns bigint"
 
 
 def leaf_hash(uid: Column, raw_hash: Column) -> Column:
@@ -35,13 +48,14 @@ def empty_root() -> Column:
 def number(events: DataFrame, first: int = 0) -> DataFrame:
     """Adds `seq`: consecutive numbers in order of (received_at_ns, event_uid).
 
-    The sorted ranges are persisted: their sizes and their rows must come from one dealing.
+    The sorted ranges are written first: their sizes and their rows must come from one dealing.
     """
-    ranged = events.repartitionByRange("received_at_ns", "event_uid").sortWithinPartitions("received_at_ns", "event_uid").withColumn("__id", F.monotonically_increasing_id()).persist()
-    ranged = ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    order = ["received_at_ns", "event_uid"]
+    ranged = written(events.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("seq", F.col("__before") + F.col("__at") + F.lit(first)).drop("__id", "__part", "__at", "__before")
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("__at", at).join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("seq", F.col("__before") + F.col("__at") + F.lit(first)).drop("__part", "__at", "__before")
 
 
 def leaves(events: DataFrame, batch_size: int = BATCH_SIZE, first_batch: int = 1) -> DataFrame:
@@ -50,41 +64,75 @@ def leaves(events: DataFrame, batch_size: int = BATCH_SIZE, first_batch: int = 1
     return at.select((F.floor(F.col("seq") / batch_size) + first_batch).alias("batch_id"), (F.col("seq") % batch_size).cast("int").alias("leaf_index"), "event_uid", "raw_hash", leaf_hash(F.col("event_uid"), F.col("raw_hash")).alias("leaf"))
 
 
-def merkle_roots(leaf_rows: DataFrame, most_leaves: int = BATCH_SIZE) -> DataFrame:
-    """`batch_id`, `root`, `leaf_count`; an odd last node is promoted. leaf_rows: batch_id, leaf_index (0, 1, ...), leaf."""
+def _fold(level: Column) -> Column:
+    """The root over an array of hashes; an odd last node is promoted."""
+    def up(level: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
+        return F.transform(pairs, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(F.size(level), F.lit(1)))).cast("int"), F.lit(1)))
+    return F.get(F.aggregate(steps, level, lambda level, _: up(level)), F.lit(0))
+
+
+def merkle_roots(leaf_rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """`batch_id`, `root`, `leaf_count`. leaf_rows: batch_id, leaf_index (0, 1, ...), leaf.
+
+    Subtrees of `span` (a power of two) leaves are folded in rows; their roots are the leaves of the tree above, which
+    is folded alike, so a batch of span * span leaves takes two shuffles, and no row holds more than `span` hashes.
+    """
+    def folded(nodes: DataFrame, by: list[Column | str]) -> DataFrame:
+        level = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])
+        return nodes.groupBy(*by).agg(level.alias("level"), F.sum("n").alias("n")).withColumn("h", _fold(F.col("level"))).drop("level")
+
     nodes = leaf_rows.select("batch_id", F.col("leaf_index").cast("bigint").alias("i"), F.col("leaf").alias("h"), F.lit(1).cast("bigint").alias("n"))
-    for _ in range(max(0, math.ceil(math.log2(max(1, most_leaves))))):
-        left, right = F.max(F.when(F.col("i") % 2 == 0, F.col("h"))), F.max(F.when(F.col("i") % 2 == 1, F.col("h")))
-        nodes = nodes.groupBy("batch_id", F.floor(F.col("i") / 2).alias("i")).agg(F.when(right.isNull(), left).otherwise(node_hash(left, right)).alias("h"), F.sum("n").alias("n"))
-    return nodes.select("batch_id", F.col("h").alias("root"), F.col("n").alias("leaf_count"))
+    nodes = folded(nodes, ["batch_id", F.floor(F.col("i") / span).alias("up")]).withColumnRenamed("up", "i")
+    return folded(nodes, ["batch_id"]).select("batch_id", F.col("h").alias("root"), F.col("n").alias("leaf_count"))
 
 
 def merkle_roots_of_arrays(leaf_rows: DataFrame) -> DataFrame:
     """As merkle_roots(), with a batch's leaves folded as one array: one shuffle, for batches that fit a row (BATCH_SIZE leaves do)."""
     rows = leaf_rows.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf_index", "leaf"))), lambda x: x["leaf"]).alias("level"), F.count("*").alias("leaf_count"))
+    return rows.select("batch_id", _fold(F.col("level")).alias("root"), "leaf_count")
 
-    def up(level: Column) -> Column:
-        pairs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
-        return F.transform(pairs, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(F.size("level"), F.lit(1)))).cast("int"), F.lit(1)))
-    root = F.get(F.aggregate(steps, F.col("level"), lambda level, _: up(level)), F.lit(0))
-    return rows.select("batch_id", root.alias("root"), "leaf_count")
+def proofs(leaf_rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Inclusion proofs of many events: `event_uid`, `batch_id`, `leaf_index`, `leaf`, `steps` (array of sibling, is_left), `root`.
+
+    leaf_rows: batch_id, leaf_index, event_uid, leaf; events: event_uid. A batch's leaves are one array (BATCH_SIZE).
+    """
+    wanted = leaf_rows.join(events.select("event_uid").distinct(), "event_uid", "left_semi")
+    rows = leaf_rows.join(wanted.select("batch_id").distinct(), "batch_id", "left_semi").groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf_index", "leaf"))), lambda x: x["leaf"]).alias("level"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            steps, roots, trees = [], [], {}
+            for number, level, index in zip(columns["batch_id"], columns["level"], columns["leaf_index"], strict=True):
+                levels = trees.setdefault(number, None) or _levels(level)
+                trees = {number: levels}
+                own = []
+                for hashes in levels[:-1]:
+                    if index ^ 1 < len(hashes):
+                        own.append({"sibling": hashes[index ^ 1], "is_left": index % 2 == 1})
+                    index //= 2
+                steps.append(own)
+                roots.append(levels[-1][0])
+            kept = [batch.column(batch.schema.names.index(n)) for n in ("event_uid", "batch_id", "leaf_index", "leaf")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(steps, pa.list_(pa.struct([("sibling", pa.string()), ("is_left", pa.bool_())]))), pa.array(roots, pa.string())], names=["event_uid", "batch_id", "leaf_index", "leaf", "steps", "root"])
 
-def proof_of(leaf_rows: DataFrame, batch_id: int, index: int) -> list[tuple[str, bool]]:
-    """Siblings on the way to a batch's root: (hash, sibling is on the left). A batch's leaves are bounded by its size."""
-    import hashlib
+    return wanted.join(rows, "batch_id").select("event_uid", "batch_id", "leaf_index", "leaf", "level").mapInArrow(run, "event_uid string, batch_id bigint, leaf_index int, leaf string, steps array<struct<sibling:string,is_left:boolean>>, root string")
 
-    level = [r["leaf"] for r in leaf_rows.filter(F.col("batch_id") == batch_id).orderBy("leaf_index").select("leaf").collect()]
-    steps = []
-    while len(level) > 1:
-        other = index ^ 1
-        if other < len(level):
-            steps.append((level[other], other < index))
-        level = [hashlib.sha256(b"\x01" + bytes.fromhex(level[i]) + bytes.fromhex(level[i + 1])).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        index //= 2
-    return steps
+
+def _levels(level: list[str]) -> list[list[str]]:
+    out = [level]
+    while len(out[-1]) > 1:
+        low = out[-1]
+        out.append([_node(low[i], low[i + 1]) if i + 1 < len(low) else low[i] for i in range(0, len(low), 2)])
+    return out
+
+
+def _node(left: str, right: str) -> str:
+    return hashlib.sha256(b"\x01" + bytes.fromhex(left) + bytes.fromhex(right)).hexdigest()
 
 
 def proves(leaf: Column, steps: Column, root: Column) -> Column:
@@ -94,22 +142,108 @@ def proves(leaf: Column, steps: Column, root: Column) -> Column:
 
 def chain(inner: DataFrame, head: str = GENESIS) -> DataFrame:
     """Chained roots of batches: root = node(previous root, inner root). inner: batch_id, root, leaf_count of one seal."""
-    one = inner.agg(F.array_sort(F.collect_list(F.struct("batch_id", F.col("root").alias("inner"), "leaf_count"))).alias("b"))
-    start = F.array(F.struct(F.lit(0).cast("bigint").alias("batch_id"), F.lit(None).cast("string").alias("prev_root"), F.lit(None).cast("string").alias("inner"), F.lit(head).alias("root"), F.lit(0).cast("bigint").alias("leaf_count")))
-    grown = F.aggregate("b", start, lambda acc, x: F.concat(acc, F.array(F.struct(x["batch_id"].cast("bigint").alias("batch_id"), F.element_at(acc, -1)["root"].alias("prev_root"), x["inner"].alias("inner"), node_hash(F.element_at(acc, -1)["root"], x["inner"]).alias("root"), x["leaf_count"].cast("bigint").alias("leaf_count")))))
-    return one.select(F.explode(F.slice(grown, 2, F.size("b"))).alias("c")).select("c.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = head
+        for batch in batches:
+            before, roots = [], []
+            for own in batch.column(1).to_pylist():
+                before.append(last)
+                last = _node(last, own)
+                roots.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), batch.column(1), pa.array(roots, pa.string()), batch.column(2)], names=["batch_id", "prev_root", "inner", "root", "leaf_count"])
+
+    ordered = inner.select(F.col("batch_id").cast("bigint").alias("batch_id"), "root", F.col("leaf_count").cast("bigint").alias("leaf_count")).repartition(1).sortWithinPartitions("batch_id")
+    return ordered.mapInArrow(run, "batch_id bigint, prev_root string, inner string, root string, leaf_count bigint")
+
+
+def read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The `batches` or `leaves` of a ledger; leaves of seals that weren't finished are left out."""
+    schema = {"batches": BATCHES, "leaves": LEAVES, "checkpoints": CHECKPOINTS}[name]
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(f"{path}/{name}")
+    return df.join(read(spark, path, "batches").select("batch_id", "seal"), ["batch_id", "seal"], "left_semi") if name == "leaves" else df
 
 
-def verify(batches: DataFrame, leaf_rows: DataFrame, raw: DataFrame, head: str = GENESIS) -> DataFrame:
-    """Every batch with the first reason against it, or null: broken_link, leaf_count, missing_event, altered_event, root.
+def unsealed(raw: DataFrame, sealed_leaves: DataFrame) -> DataFrame:
+    """Raw events that no batch holds; of events with one idempotency key, the first."""
+    once = raw.groupBy("idem_key").agg(F.min(F.struct("received_at_ns", "event_uid", "raw_hash")).alias("e")).select("e.*")
+    return once.join(sealed_leaves.select("event_uid"), "event_uid", "left_anti")
 
-    batches: batch_id, prev_root, root, leaf_count; raw: event_uid, raw_bytes. The leaves are hashed anew from the raw bytes.
+
+def seal(raw: DataFrame, path: str, mapping_set: dict[str, str], sealed_at_ns: int, batch_size: int = BATCH_SIZE, flush: bool = True, batch_ns: int = BATCH_NS) -> int:
+    """Seals what is unsealed in batches of `batch_size`, chained to the ledger at `path`; returns the number of new batches.
+
+    The rest that fills no batch is sealed by `flush`, or once its oldest event was received `batch_ns` before `sealed_at_ns`;
+    else it waits. mapping_set: the content hashes by which records are derived, committed with each batch.
     """
-    links = batches.withColumn("expected", F.lag("root", 1, head).over(Window.orderBy("batch_id")))
-    again = leaf_rows.select("batch_id", "leaf_index", "event_uid", "raw_hash").join(raw.select("event_uid", F.sha2("raw_bytes", 256).alias("now"), F.lit(True).alias("found")), "event_uid", "left")
-    state = again.groupBy("batch_id").agg(F.count("*").alias("n"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("now") != F.col("raw_hash")).alias("altered"))
-    roots = merkle_roots_of_arrays(again.select("batch_id", "leaf_index", leaf_hash(F.col("event_uid"), F.coalesce("now", "raw_hash")).alias("leaf"))).select("batch_id", F.col("root").alias("now_root"))
-    df = links.join(state, "batch_id", "left").join(roots, "batch_id", "left")
+    spark = raw.sparkSession
+    batches = read(spark, path, "batches")
+    last = batches.agg(F.max(F.struct("batch_id", "root")).alias("m")).first()["m"]
+    first, head = (last["batch_id"] + 1, last["root"]) if last else (1, GENESIS)
+    own = written(leaves(unsealed(raw, read(spark, path, "leaves")).select("event_uid", "raw_hash", "received_at_ns"), batch_size, first), "leaves")
+    sizes = own.groupBy("batch_id").agg(F.count("*").alias("n"))
+    if not flush:
+        rest = sizes.filter(F.col("n") < batch_size).first()  # at most one batch isn't full
+        if rest is not None:
+            oldest = own.filter(F.col("batch_id") == rest["batch_id"]).join(raw.select("event_uid", "received_at_ns"), "event_uid").agg(F.min("received_at_ns")).first()[0]
+            if oldest > sealed_at_ns - batch_ns:
+                own = own.filter(F.col("batch_id") != rest["batch_id"])
+    if own.isEmpty():
+        return 0
+    name = uuid.uuid4().hex
+    ends = own.groupBy("batch_id").agg(F.min_by("event_uid", "leaf_index").alias("first_uid"), F.max_by("event_uid", "leaf_index").alias("last_uid"))
+    chained = chain(merkle_roots_of_arrays(own), head).join(ends, "batch_id")
+    own.select("batch_id", "leaf_index", "event_uid", "raw_hash", F.lit(name).alias("seal")).write.mode("append").parquet(f"{path}/leaves")
+    out = chained.select("batch_id", "prev_root", "root", "leaf_count", "first_uid", "last_uid", F.lit(sealed_at_ns).cast("bigint").alias("sealed_at_ns"), F.lit(json.dumps(mapping_set, sort_keys=True)).alias("mapping_set"), F.lit(name).alias("seal"))
+    out.coalesce(1).write.mode("append").parquet(f"{path}/batches")  # in one file: whole or not there
+    return read(spark, path, "batches").filter(F.col("seal") == name).count()
+
+
+def checkpoint(spark: SparkSession, path: str, day: str, created_at_ns: int) -> None:
+    """Writes down the state of all batches so far; an empty ledger has nothing to write down."""
+    state = totals(read(spark, path, "batches"))
+    if state.first()["batch_count"] == 0:
+        raise ValueError("the ledger is empty")
+    known = read(spark, path, "checkpoints").agg((F.coalesce(F.max("checkpoint_id"), F.lit(0)) + 1).alias("checkpoint_id"))
+    row = state.join(F.broadcast(known), F.lit(True)).select("checkpoint_id", F.lit(day).alias("day"), "first_batch", "last_batch", "chain_head", "batch_count", "event_count", F.lit(created_at_ns).cast("bigint").alias("created_at_ns"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/checkpoints")
+
+
+def locate(leaf_rows: DataFrame, events: DataFrame) -> DataFrame:
+    """`event_uid`, `batch_id`, `leaf_index` of events; null for those in no batch."""
+    return events.select("event_uid").join(leaf_rows.select("event_uid", "batch_id", "leaf_index"), "event_uid", "left")
+
+
+def batch_of(batches: DataFrame, batch_id: int) -> DataFrame:
+    return batches.filter(F.col("batch_id") == batch_id)
+
+
+def leaves_of(leaf_rows: DataFrame, batch_id: int) -> DataFrame:
+    return leaf_rows.filter(F.col("batch_id") == batch_id).orderBy("leaf_index").select("leaf_index", "event_uid", "raw_hash")
+
+
+def verify(batches: DataFrame, leaf_rows: DataFrame, raw: DataFrame | None = None, head: str = GENESIS, start: int = 1, end: int | None = None) -> DataFrame:
+    """Every batch of a range with the first reason against it, or null: broken_link, leaf_count, missing_event, altered_event, root.
+
+    batches: batch_id, prev_root, root, leaf_count. With `raw` (event_uid, raw_bytes) the leaves are hashed anew from the raw
+    bytes; without, from their recorded hashes. The link of the first batch of a range that starts later isn't checked.
+    """
+    within = F.col("batch_id") >= start if end is None else F.col("batch_id").between(start, end)
+    batches, leaf_rows = batches.filter(within), leaf_rows.filter(within).select("batch_id", "leaf_index", "event_uid", "raw_hash")
+    before = batches.select((F.col("batch_id") + 1).alias("batch_id"), F.col("root").alias("expected"))
+    links = batches.join(before, "batch_id", "left").withColumn("expected", F.when(F.col("batch_id") == 1, head).when(F.col("batch_id") == start, F.col("prev_root")).otherwise(F.coalesce("expected", F.lit(""))))
+    if raw is None:
+        again = leaf_rows.withColumns({"now": F.col("raw_hash"), "found": F.lit(True)})
+    else:
+        again = leaf_rows.join(raw.select("event_uid", F.sha2("raw_bytes", 256).alias("now"), F.lit(True).alias("found")), "event_uid", "left")
+    state = again.groupBy("batch_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("now") != F.col("raw_hash")).alias("altered"),
+        F.transform(F.array_sort(F.collect_list(F.struct("leaf_index", leaf_hash(F.col("event_uid"), F.coalesce("now", "raw_hash")).alias("leaf")))), lambda x: x["leaf"]).alias("level"),
+    ).withColumn("now_root", _fold(F.col("level"))).drop("level")
+    df = links.join(state, "batch_id", "left")
     reason = (
         F.when(F.col("prev_root") != F.col("expected"), "broken_link").when(F.coalesce("n", F.lit(0)) != F.col("leaf_count"), "leaf_count").when(F.col("missing") > 0, "missing_event")
         .when(F.col("altered") > 0, "altered_event").when(node_hash(F.col("prev_root"), F.coalesce("now_root", empty_root())) != F.col("root"), "root")
@@ -117,5 +251,21 @@ def verify(batches: DataFrame, leaf_rows: DataFrame, raw: DataFrame, head: str =
     return df.select("batch_id", "root", "leaf_count", reason.alias("reason"))
 
 
+def verify_checkpoints(checkpoints: DataFrame, batches: DataFrame) -> DataFrame:
+    """Checkpoints with the first reason against them, or null: chain_head, event_count, batch_count."""
+    upto = checkpoints.join(batches, F.col("batch_id").between(F.col("first_batch"), F.col("last_batch")), "left")
+    now = upto.groupBy("checkpoint_id").agg(F.count("root").alias("b"), F.coalesce(F.sum("leaf_count"), F.lit(0)).alias("e"), F.max_by("root", "batch_id").alias("r"))
+    reason = F.when(~F.col("chain_head").eqNullSafe(F.col("r")), "chain_head").when(F.col("event_count") != F.col("e"), "event_count").when(F.col("batch_count") != F.col("b"), "batch_count")
+    return checkpoints.join(now, "checkpoint_id").select("checkpoint_id", "day", "last_batch", reason.alias("reason"))
+
+
+def first_divergence(verified: DataFrame) -> DataFrame:
+    """One row: `ok`, `batches_checked` and `events_checked` before the first batch that fails, its id and reason."""
+    bad = verified.agg(F.min(F.when(F.col("reason").isNotNull(), F.struct("batch_id", "reason"))).alias("bad"))
+    good = F.col("bad").isNull() | (F.col("batch_id") < F.col("bad.batch_id"))
+    counted = verified.join(F.broadcast(bad), F.lit(True)).agg(F.count_if(good).alias("batches_checked"), F.coalesce(F.sum(F.when(good, F.col("leaf_count"))), F.lit(0)).alias("events_checked"), F.any_value("bad").alias("bad"))
+    return counted.select(F.col("bad").isNull().alias("ok"), "batches_checked", "events_checked", F.col("bad.batch_id").alias("first_divergence"), F.col("bad.reason").alias("reason"))
+
+
 def totals(batches: DataFrame) -> DataFrame:
     return batches.agg(F.count("*").alias("batch_count"), F.coalesce(F.sum("leaf_count"), F.lit(0)).alias("event_count"), F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.max_by("root", "batch_id").alias("chain_head"))

@@ -21,6 +21,7 @@ from tidemark.functions.binding import let
 FORMATS = ("csv", "ssv", "tsv", "json", "xml", "kv", "key_value", "cef", "leef", "raw")
 _KV = r'([A-Za-z_][\w.\-]*)=("([^"]*)"|\S*)'
 _STRINGS = "array<string>"
+_WS = " \t\n\r\x0b\x0c"
 
 
 def _empty() -> Column:
@@ -28,21 +29,32 @@ def _empty() -> Column:
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(_WS))
 
 
 def first_csv_record(body: Column) -> Column:
-    """Cells of the first record; doubled quotes within quotes stand for one."""
+    """Cells of the first record; doubled quotes within quotes stand for one. A body without quotes is split plainly."""
+    plain = F.split(F.regexp_extract(body, r"^[^\r\n]*", 0), ",")
     line = F.concat(F.regexp_extract(body, r'^((?:"(?:[^"]|"")*"|[^\r\n])*)', 1), F.lit(","))
     cells = F.regexp_extract_all(line, F.lit(r'((?:"(?:[^"]|"")*")?[^,]*),'), F.lit(1))
     unquote = lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, r'^"((?:[^"]|"")*)"', "$1"), '""', '"')).otherwise(c)
-    return F.transform(cells, unquote)
+    return F.when(body.contains('"'), F.transform(cells, unquote)).otherwise(plain)
 
 
 def kv_pairs(text: Column) -> Column:
     """All key=value pairs in order: array of (key, value)."""
-    keys, values, inner = (F.regexp_extract_all(text, F.lit(f"(?U){_KV}"), F.lit(i)) for i in (1, 2, 3))
-    return F.zip_with(keys, F.zip_with(values, inner, lambda v, q: F.when(v.startswith('"'), q).otherwise(v)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    def pair(found: Column) -> Column:
+        at = F.instr(found, "=")
+        value = F.substr(found, at + 1, F.length(found))
+        closed = value.endswith('"') & (F.length(value) > 1)
+        bare = F.when(~value.startswith('"'), value).when(closed, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise("")
+        return F.struct(F.substr(found, F.lit(1), at - 1).alias("key"), bare.alias("value"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?U){_KV}"), F.lit(0)), pair)
+
+
+def last_value(pairs: Column, key: str) -> Column:
+    return F.get(F.filter(pairs, lambda p: p["key"] == key), F.size(F.filter(pairs, lambda p: p["key"] == key)) - 1)["value"]
 
 
 def pairs_map(pairs: Column) -> Column:
@@ -139,7 +151,7 @@ def parse(fmt: str, body: Column, names: Iterable[str] = ()) -> Column:
     if fmt == "xml":
         return let(xml_map(body), lambda found: out(_empty(), found, F.when(found.isNull(), "not well-formed xml")))
     if fmt in ("kv", "key_value"):
-        return let(kv_pairs(body), lambda pairs: out(_empty(), pairs_map(pairs), F.when(F.size(pairs) == 0, "no key=value pairs found")))
+        return let(kv_pairs(body), lambda pairs: out(_empty(), chosen(lambda n: last_value(pairs, n)) if names else pairs_map(pairs), F.when(F.size(pairs) == 0, "no key=value pairs found")))
     if fmt in ("cef", "leef"):
         return _spec(fmt, body, out)
     if fmt == "raw":

@@ -22,5 +22,13 @@ def certificate(batches: DataFrame, verified: DataFrame, raw: DataFrame) -> Data
     return chain.join(F.broadcast(bad), F.lit(True)).join(F.broadcast(period), F.lit(True)).withColumn("intact", F.col("first_bad").isNull())
 
 
+def source_table(raw: DataFrame, registry) -> DataFrame:
+    """The certificate's sources: events and period of each, with the mapping (version, content hash, who approved it) by which it is read."""
+    per = raw.groupBy("source_id").agg(F.count("*").alias("events"), F.min("received_at_ns").alias("from_ns"), F.max("received_at_ns").alias("until_ns"))
+    rows = [(s, m.format, m.version, m.content_hash(), m.approved_by) for s, m in sorted(registry.mappings().items())]
+    known = raw.sparkSession.createDataFrame(rows, "source_id string, format string, version int, mapping_hash string, approved_by string")
+    return per.join(F.broadcast(known), "source_id", "left")  # a row for each mapping
+
+
 def last_batches(batches: DataFrame, limit: int = 40) -> DataFrame:
     return batches.orderBy(F.desc("batch_id")).limit(limit).orderBy("batch_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import written
 from tidemark.operators.identity import div
 from tidemark.plans.normalize import summary
 
@@ -19,14 +20,45 @@ def new_events(events: DataFrame, existing: DataFrame | None = None) -> DataFram
 
 
 def append(events: DataFrame, path: str) -> dict[str, int]:
-    """Appends what is new to a Parquet table by source and day; returns accepted and duplicate counts."""
+    """Appends what is new to a Parquet table by source and day; returns accepted and duplicate counts.
+
+    Only the table's partitions of the batch's sources and days are read. The new rows are written to the shared folder
+    first, so the counts and the table come from one evaluation.
+    """
     spark = events.sparkSession
-    existing = spark.read.parquet(path) if _exists(spark, path) else None
-    before = existing.count() if existing is not None else 0
+    seen = Observation()
     day = F.date_format(F.timestamp_millis(div(F.col("received_at_ns"), 1_000_000)), "yyyy-MM-dd")
-    new_events(events, existing).withColumn("day", day).write.mode("append").partitionBy("source_id", "day").parquet(path)
-    accepted = spark.read.parquet(path).count() - before
-    return {"accepted": accepted, "duplicates": events.count() - accepted}
+    batch = written(events.withColumn("day", day).observe(seen, F.count("*").alias("submitted")), "batch")
+    existing = None
+    if _exists(spark, path):
+        parts = batch.select("source_id", "day").distinct()  # of one batch: a row for each source and day
+        existing = spark.read.parquet(path).withColumn("day", F.col("day").cast("string")).join(F.broadcast(parts), ["source_id", "day"], "left_semi")
+    new = written(new_events(batch, existing), "new")
+    new.write.mode("append").partitionBy("source_id", "day").parquet(path)
+    accepted = new.count()
+    return {"accepted": accepted, "duplicates": seen.get["submitted"] - accepted}
+
+
+def ingest_outcome(submitted: DataFrame, accepted: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of counters: submitted, accepted, duplicates, normalized, partial, quarantined, and the share of accepted events that normalised fully."""
+    n = submitted.agg(F.count("*").alias("submitted")).join(F.broadcast(accepted.agg(F.count("*").alias("accepted"))), F.lit(True))
+    of = lambda s: F.count_if(F.col("parse_status") == s)
+    out = n.join(F.broadcast(records.agg(of("full").alias("normalized"), of("partial").alias("partial"), of("quarantined").alias("quarantined"))), F.lit(True))
+    coverage = F.when(F.col("accepted") > 0, F.round(F.col("normalized") / F.col("accepted"), 4)).otherwise(0.0)
+    return out.select("submitted", "accepted", (F.col("submitted") - F.col("accepted")).alias("duplicates"), "normalized", "partial", "quarantined", coverage.alias("coverage"))
+
+
+def get(raw: DataFrame, event_uid: str) -> DataFrame:
+    """The raw event of a uid. The uid's time names its day, so a table by day is pruned to one or two."""
+    ms = int(event_uid.replace("-", "")[:12], 16)
+    if "day" in raw.columns:
+        at = F.timestamp_millis(F.lit(ms))
+        raw = raw.filter(F.col("day").cast("string") == F.date_format(at, "yyyy-MM-dd"))
+    return raw.filter(F.col("event_uid") == event_uid)
+
+
+def count(raw: DataFrame) -> DataFrame:
+    return raw.agg(F.count("*").alias("n"))
 
 
 def _exists(spark, path: str) -> bool:

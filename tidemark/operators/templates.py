@@ -7,6 +7,7 @@ a task holds the templates of its group, not its lines.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -87,6 +88,21 @@ class Miner:
         return at
 
 
+    def dumps(self) -> str:
+        """The tree as JSON, for state kept between micro-batches."""
+        flat = lambda d: [[list(k), sorted(v) if isinstance(v, set) else v] for k, v in d.items()]
+        return json.dumps({"levels": self.levels, "threshold": self.threshold, "children": self.children, "templates": self.templates, "leaves": flat(self.leaves), "branches": flat(self.branches)})
+
+    @classmethod
+    def loads(cls, text: str) -> Miner:
+        held = json.loads(text)
+        out = cls(held["levels"] + 2, held["threshold"], held["children"])
+        out.templates = held["templates"]
+        out.leaves = {tuple(k): v for k, v in held["leaves"]}
+        out.branches = {tuple(k): set(v) for k, v in held["branches"]}
+        return out
+
+
 def mine(lines: DataFrame, depth: int = DEPTH, threshold: float = SIMILARITY) -> DataFrame:
     """`source`, `line_id`, `first_id`: each line's cluster, named by its first line. lines: source, line_id, text."""
     df = lines.select("source", "line_id", tokens(mask(F.col("text"))).alias("line")).withColumn("size", F.size("line"))

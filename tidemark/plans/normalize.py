@@ -103,18 +103,22 @@ def _source(raw: DataFrame, m: Mapping, now_ms: int | None) -> DataFrame:
     matched = F.col("rule_at") >= 0
     wrong = F.array_compact(F.array(*(F.when(given[t].isNotNull() & typed[t].isNull(), F.lit(f"{t}: not a valid {FIELDS[t]}")) for t in typed)))
     fields = {n: F.when(matched, typed[n]) if n in typed else F.lit(None).cast(spark_type(k)) for n, k in FIELDS.items()}
-    fields["observed_time"] = F.when(matched, F.col("observed_time"))
+    plausible = F.col("observed_time") >= S.LEAST_MS
+    plausible = plausible if now_ms is None else plausible & (F.col("observed_time") <= now_ms + S.SKEW_MS)
+    fields["observed_time"] = F.when(matched & plausible, F.col("observed_time"))
     no_time = matched & (given["time"].isNull() if "time" in given else F.lit(True))
-    fields["time"] = F.when(no_time, F.col("observed_time")).otherwise(fields["time"])
+    fields["time"] = F.when(no_time, fields["observed_time"]).otherwise(fields["time"])
     df = df.withColumn("fields", F.struct(*(c.alias(column(n)) for n, c in fields.items())))
     at = {n: F.col("fields")[column(n)] for n in FIELDS}
     missing = F.when(matched & at["time"].isNull(), F.lit("time: required"))
-    df = df.withColumn("errors", F.when(matched, F.array_compact(F.concat(wrong, F.array(missing)))).otherwise(F.array().cast(_STRINGS)))
+    clock = F.when(~plausible, F.lit("observed_time: not a valid timestamp"))
+    df = df.withColumn("errors", F.when(matched, F.array_compact(F.concat(wrong, F.array(clock, missing)))).otherwise(F.array().cast(_STRINGS)))
+    nothing = reduce(lambda a, n: a & at[n].isNull(), dict.fromkeys([*typed, "time", "observed_time"]), F.lit(True))
     warnings = F.when(matched, F.concat(F.col("failed"), _semantic(at))).when(F.col("rule_at") == -1, F.array(F.lit(f"no rule in {m.source} matched this event"))).otherwise(F.array(F.concat(F.lit("parse failed: "), F.col("error"))))
     rule = F.col("rule_at")
     return df.select(
         "event_uid", "raw_hash", "source_id", "observed_time",
-        F.when(~matched, "quarantined").when(F.size("errors") > 0, "partial").otherwise("full").alias("parse_status"),
+        F.when(~matched | ((F.size("errors") > 0) & nothing), "quarantined").when(F.size("errors") > 0, "partial").otherwise("full").alias("parse_status"),
         _case([(i, F.lit(r.ocsf_class)) for i, r in enumerate(m.rules)]).cast("int").alias("class_uid"),
         F.lit(m.source).alias("mapping_id"), F.lit(m.version).alias("mapping_version"), F.when(matched, F.lit(m.content_hash())).alias("mapping_hash"),
         _case([(i, F.lit(r.name)) for i, r in enumerate(m.rules)]).alias("rule_name"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.functions.lineage import written
 from tidemark.operators import discovery, frames, identity, ledger, report, store, templates
 from tidemark.operators.parsers import parse
 from tidemark.plans.mapping import Mapping, Registry
@@ -80,9 +81,10 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(raw, registry, sources=["app_events"])
 
 
-def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projection of the events, kept as a table would be: several reads follow, and their filters stop at it."""
-    return store.upsert(None, event_records(spark, sf_dir), 0).persist()
+def projection(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The projection of the events as a table would hold it: written and read again, so that filters stop at it; only `columns`, if any are named."""
+    out = store.upsert(None, event_records(spark, sf_dir), 0)
+    return written(out.select(*columns) if columns else out, "projection")
 
 
 _CLASS = "CASE WHEN event_type IN ('purchase', 'refund') THEN 2004 WHEN event_type = 'view' THEN 4001 WHEN event_type LIKE 'cl%' THEN 4002 END"
@@ -240,13 +242,13 @@ def firewall_by_destination(spark, sf_dir):
 
 @query(f"WITH {_P} SELECT dst_ip AS k, count(*) AS n FROM p WHERE dst_ip IS NOT NULL GROUP BY 1 ORDER BY n DESC, k LIMIT 20")
 def counts_by_destination(spark, sf_dir):
-    return store.counts_by(projection(spark, sf_dir), "dst_ip")
+    return store.counts_by(projection(spark, sf_dir, "dst_ip"), "dst_ip")
 
 
 @query(f"""WITH {_P} SELECT 'source_id' AS dimension, 'app_events' AS k, count(*) AS n FROM p UNION ALL SELECT 'parse_status', status, count(*) FROM p GROUP BY 2 UNION ALL SELECT 'class_uid', CAST(class_uid AS VARCHAR), count(*) FROM p WHERE class_uid IS NOT NULL GROUP BY 2
   UNION ALL SELECT 'severity_id', CAST(severity AS VARCHAR), count(*) FROM p WHERE severity IS NOT NULL GROUP BY 2 UNION ALL SELECT 'dst_ip', dst_ip, count(*) FROM p WHERE dst_ip IS NOT NULL GROUP BY 2""")
 def overview_counts(spark, sf_dir):
-    return store.overview_counts(projection(spark, sf_dir))
+    return store.overview_counts(projection(spark, sf_dir, *store.COUNTABLE[:5]))
 
 
 @query(f"""WITH {_P}, w AS (SELECT status AS first_status, CASE WHEN status = 'quarantined' AND user_id % 3 = 0 THEN 'full' ELSE status END AS s FROM p)
@@ -254,28 +256,28 @@ def overview_counts(spark, sf_dir):
   round(count(*) FILTER (first_status = 'quarantined' AND s <> 'quarantined') / count(*) FILTER (first_status = 'quarantined'), 4) AS resolution_rate FROM w""")
 def quarantine_after_upsert(spark, sf_dir):
     """A second wave resolves a third of the quarantined events; first statuses are carried."""
-    records = event_records(spark, sf_dir).persist()
+    records = written(event_records(spark, sf_dir), "records")
     wave = identity.capture(event_lines(spark, sf_dir).filter("user_id % 3 = 0"), "app_events", F.col("received_at_ns"))
     registry = Registry()
     registry.add(Mapping.from_yaml(EVENT_MAPPING + "  - name: rest\n    ocsf_class: 2004\n    fields: {finding_info.title: $type}\n"))
-    again = normalize(wave, registry, sources=["app_events"]).persist()
+    again = written(normalize(wave, registry, sources=["app_events"]), "records")
     return store.quarantine_summary(store.upsert(store.upsert(None, records, 1), again, 2))
 
 
 @query("""WITH b AS (SELECT min((epoch_us(ts) // 1000)) AS lo, max((epoch_us(ts) // 1000)) AS hi FROM events), w AS (SELECT lo, greatest((hi - lo) // 40, 1000) AS width FROM b)
   SELECT ((epoch_us(ts) // 1000) - lo) // width AS bucket, lo + ((epoch_us(ts) // 1000) - lo) // width * width AS start_ms, 'app_events' AS source_id, count(*) AS n FROM events, w GROUP BY 1, 2""")
 def timeline_buckets(spark, sf_dir):
-    return store.timeline(projection(spark, sf_dir))
+    return store.timeline(projection(spark, sf_dir, "source_id", "observed_time"))
 
 
 @query(f"WITH {_P} SELECT round(avg(CASE WHEN class_uid IS NULL THEN 0 ELSE 1 END), 4) AS coverage FROM p")
 def average_coverage(spark, sf_dir):
-    return store.average_coverage(projection(spark, sf_dir))
+    return store.average_coverage(projection(spark, sf_dir, "mapping_coverage"))
 
 
 @query(f"WITH {_P} SELECT severity AS severity_id, at_ms AS observed_time, count(*) AS n FROM (SELECT * FROM p WHERE severity >= 3 AND user_id % 10 <> 0 ORDER BY severity DESC, at_ms DESC LIMIT 500) GROUP BY 1, 2")
 def findings_topk(spark, sf_dir):
-    p = projection(spark, sf_dir)
+    p = projection(spark, sf_dir, "event_uid", "class_uid", "severity_id", "observed_time", "summary", "fields")
     normal = p.filter(F.col("fields")["user_uid"].endswith("0")).select("event_uid", F.lit("normal").alias("triage_status"), F.lit("ana").alias("triaged_by"), F.lit(None).cast("string").alias("triage_note"), F.lit(1).cast("bigint").alias("triaged_ns"))
     views = p.filter("class_uid = 4001").select("event_uid", F.split("summary", "[.]")[1].cast("bigint").alias("u"))
     normal = normal.unionByName(views.filter("u % 10 = 0").select("event_uid", F.lit("normal").alias("triage_status"), F.lit("ana").alias("triaged_by"), F.lit(None).cast("string").alias("triage_note"), F.lit(1).cast("bigint").alias("triaged_ns")))
@@ -408,7 +410,7 @@ def reobserve(spark, sf_dir):
 @query(f"""WITH {_P}, o AS (SELECT status, row_number() OVER (ORDER BY at_ms, event_id) AS n FROM p) SELECT (SELECT count(*) FROM o) AS events, (SELECT count(*) FROM o WHERE status = 'full') AS full_events, (SELECT (count(*) + 499) // 500 FROM o) AS batches, 0 AS unplaced""")
 def dossier_totals(spark, sf_dir):
     raw, leaf, chained = _sealed(spark, sf_dir)
-    d = report.dossiers(raw, projection(spark, sf_dir), leaf, chained)
+    d = report.dossiers(raw, projection(spark, sf_dir, "event_uid", "parse_status"), leaf, chained)
     return d.agg(F.count("*").alias("events"), F.count_if(F.col("parse_status") == "full").alias("full_events"), F.countDistinct("batch_root").alias("batches"), F.count_if(F.col("leaf_index").isNull()).alias("unplaced"))
 
 

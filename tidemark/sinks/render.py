@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import written
 from tidemark.plans.catalogue import FIELDS, NAMES, column
 
 #: OCSF severities on the CEF scale.
@@ -46,14 +47,29 @@ def leef(vendor: str = "Tidemark", product: str = "Tidemark") -> Column:
     return F.concat(head, F.lit("|"), F.concat_ws("\t", *(_pair(k, v, lambda c: F.replace(c, F.lit("\t"), F.lit(" "))) for k, v in values.items())))
 
 
+LINEAGE = ("class_uid", "event_uid", "mapping_hash", "mapping_id", "mapping_version", "observed_time", "parse_status", "raw_hash", "rule_name", "source_id")
+
+
 def flat() -> list[Column]:
-    """A record's lineage columns (always present) and its fields (left out of JSON when null), under their dotted names."""
-    lineage = [F.col(c) for c in ("class_uid", "event_uid", "mapping_hash", "mapping_id", "mapping_version", "observed_time", "parse_status", "raw_hash", "rule_name", "source_id")]
-    return lineage + [_field(n).alias(n) for n in sorted(FIELDS) if n != "observed_time"] + [F.round("mapping_coverage", 4).alias("mapping_coverage")]
+    """A record's lineage columns and its fields, under their dotted names."""
+    return [F.col(c) for c in LINEAGE] + [F.round("mapping_coverage", 4).alias("mapping_coverage")] + [_field(n).alias(n) for n in sorted(FIELDS) if n != "observed_time"]
+
 
+def _merged(*parts: Column) -> Column:
+    """JSON objects without common keys as one, its keys in order."""
+    inner = lambda p: F.substr(p, F.lit(2), F.length(p) - 2)
+    return F.to_json(F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *(F.nullif(inner(p), F.lit("")) for p in parts)), F.lit("}"))))
 
-def ocsf_json() -> Column:
-    return F.to_json(F.struct(*flat()))
+
+def ocsf_json(pretty: bool = False) -> Column:
+    """A record as JSON, keys in order: lineage is always there (null or not), fields and `unmapped` only if they are set."""
+    lineage = F.to_json(F.struct(*(F.col(c) for c in LINEAGE), F.round("mapping_coverage", 4).cast("decimal(5,4)").alias("mapping_coverage")), {"ignoreNullFields": "false"})
+    fields = F.to_json(F.struct(*(_field(n).alias(n) for n in sorted(FIELDS) if n != "observed_time")))
+    unmapped = F.when(F.size("unmapped") > 0, F.to_json(F.struct(F.col("unmapped").alias("unmapped")))).otherwise("{}")
+    whole = _merged(lineage, fields, unmapped)
+    if not pretty:
+        return whole
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r'([{,])("(?:[^"\\\\]|\\\\.)*":)', "$1\n  $2 "), r"\}$", "\n}"), r"^\{\n\}$", "{}")
 
 
 ADAPTERS: dict[str, Callable[[], Column]] = {"ocsf-json": ocsf_json, "jsonl": ocsf_json, "cef": cef, "leef": leef}
@@ -70,8 +86,18 @@ def partition_columns() -> dict[str, Column]:
     return {"date": F.date_format(F.timestamp_millis("observed_time"), "yyyy-MM-dd"), "class": F.coalesce("class_uid", F.lit(0))}
 
 
-def export(records: DataFrame, root: str, fmt: str = "parquet") -> None:
-    records.withColumns(partition_columns()).write.mode("overwrite").partitionBy("date", "class").format(fmt).save(root)
+def export(records: DataFrame, root: str, fmt: str = "parquet", mode: str = "append") -> dict[str, int]:
+    """Adds records to a lake by date and class; returns the rows written to each partition."""
+    rows = written(records.withColumns(partition_columns()), "export")
+    rows.write.mode(mode).partitionBy("date", "class").format(fmt).save(root)
+    return {f"date={r['date']}/class={r['class']}": r["n"] for r in rows.groupBy("date", "class").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+
+
+def export_ndjson(records: DataFrame, path: str) -> int:
+    """Writes records as lines of JSON; returns how many there were."""
+    rows = written(records.select(ocsf_json().alias("value")), "ndjson")
+    rows.write.mode("error").text(path)
+    return rows.count()
 
 
 def partition_counts(records: DataFrame) -> DataFrame:

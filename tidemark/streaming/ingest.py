@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import identity, store
+from tidemark.operators import identity, ledger, store, templates
 from tidemark.plans.mapping import Registry
 from tidemark.plans.normalize import normalize
 
@@ -22,23 +23,37 @@ def read_lines(spark, path: str) -> DataFrame:
     return lines.filter(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("raw_bytes"))
 
 
-def ingest(lines: DataFrame, source_id: str, raw_path: str, registry: Registry, checkpoint: str, received_at_ns: Callable[[int], int], sink: Callable[[DataFrame, int], None], transport: str = "file", once: bool = True) -> StreamingQuery:
+def ingest(lines: DataFrame, source_id: str | None, raw_path: str, registry: Registry, checkpoint: str, received_at_ns: Callable[[int], int], sink: Callable[[DataFrame, int], None], transport: str = "file", once: bool = True) -> StreamingQuery:
     """Appends each micro-batch to the raw table, then hands its records to `sink`.
 
+    Without a `source_id` the lines' own column counts, so one stream takes many sources (as sources.tail gives them).
     received_at_ns gives a batch's receipt time from its number, so a batch that is run
     again has the same keys and appends nothing. Mappings are taken up between batches.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         registry.refresh()
-        raw = identity.capture(df, source_id, F.lit(received_at_ns(number)), transport=transport)
+        raw = identity.capture(df, source_id or F.col("source_id"), F.lit(received_at_ns(number)), transport=transport)
         store.append(raw, raw_path)
-        sink(normalize(raw, registry, sources=[source_id]), number)
+        once_each = store.new_events(raw)
+        sources = [source_id] if source_id else [r[0] for r in raw.select("source_id").distinct().collect()]  # of one batch
+        if sources:
+            sink(normalize(once_each, registry, sources=sources), number)
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
 
 
+def sealing(raw_path: str, ledger_path: str, registry: Registry, now_ns: Callable[[], int], batch_size: int = ledger.BATCH_SIZE) -> Callable[[DataFrame, int], None]:
+    """A sink that seals what a micro-batch appended: full batches at once, the rest when its oldest event has waited long enough."""
+
+    def seal(records: DataFrame, number: int) -> None:
+        spark = records.sparkSession
+        ledger.seal(spark.read.parquet(raw_path), ledger_path, registry.hashes(), now_ns(), batch_size, flush=False)
+
+    return seal
+
+
 def reobserve(sightings: DataFrame, key_cols: list[str], timeout_ms: int = REOBSERVE_MS) -> DataFrame:
     """Sightings to report: a key's first, then each that is `timeout_ms` or more after the last reported.
 
@@ -60,3 +75,44 @@ def reobserve(sightings: DataFrame, key_cols: list[str], timeout_ms: int = REOBS
             yield part[keep]
 
     return ordered.mapInPandas(run, schema)
+
+
+def reobserve_stream(sightings: DataFrame, key_cols: list[str], timeout_ms: int = REOBSERVE_MS) -> DataFrame:
+    """As reobserve(), over a stream: each key's last reported time is kept as state between micro-batches.
+
+    Within a micro-batch a key's sightings are taken in order of time; one that is older than the last reported is not reported.
+    """
+    names, schema = sightings.columns, sightings.schema
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        times = pd.concat(parts)["at_ms"].sort_values()
+        reported = []
+        for at in times:
+            if last is None or at - last >= timeout_ms:
+                last = int(at)
+                reported.append(last)
+        if reported:
+            state.update((last,))
+            yield pd.DataFrame({c: [key[key_cols.index(c)]] * len(reported) if c in key_cols else reported for c in names})
+
+    if set(names) != {*key_cols, "at_ms"}:
+        raise ValueError("sightings have their keys and at_ms")
+    return sightings.groupBy(*key_cols).applyInPandasWithState(run, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def mine_stream(lines: DataFrame) -> DataFrame:
+    """Template mining over a stream: `source`, `size`, `line_id`, `template`, the template of each line's cluster as it is after the line.
+
+    Each (source, number of tokens) keeps its tree as state; within a micro-batch lines are taken in order of `line_id`.
+    """
+    df = lines.select("source", "line_id", templates.tokens(templates.mask(F.col("text"))).alias("line")).withColumn("size", F.size("line"))
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        miner = templates.Miner.loads(state.get[0]) if state.exists else templates.Miner()
+        rows = pd.concat(parts).sort_values("line_id")
+        found = [" ".join(miner.templates[miner.add(list(line))]) for line in rows["line"]]
+        state.update((miner.dumps(),))
+        yield pd.DataFrame({"source": [key[0]] * len(rows), "size": [key[1]] * len(rows), "line_id": rows["line_id"].to_numpy(), "template": found})
+
+    return df.groupBy("source", "size").applyInPandasWithState(run, "source string, size int, line_id bigint, template string", "tree string", "append", GroupStateTimeout.NoTimeout)
