@@ -1,31 +1,33 @@
 """Near-duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
 A document's set holds its distinct shingles of words. Its signature has SYMBOLS
-MinHash symbols of 16 bits. The signature's distance is the number of symbols that
-differ. It is cut into CHUNKS chunks of CHUNK symbols: by the pigeonhole principle two
-signatures at distance 2 * CHUNKS - 1 or less have a chunk with one error at most.
+MinHash symbols of 16 bits, and the distance of two signatures is the number of symbols
+that differ. It is cut into CHUNKS chunks of CHUNK symbols: by the pigeonhole principle
+two signatures at distance 2 * CHUNKS - 1 or less have a chunk with one error at most.
 Every chunk enumerates that error's place: a key is the chunk without one symbol. So
-all pairs within distance 31 of 64 meet under a key, for sure. At similarity 0.8 the
-distance is 12.8 on average and above 31 in about one pair of 10**8.
+all pairs within distance 31 of 64 meet under a key, for sure; no other screen drops a
+pair. At similarity 0.8 the distance is 12.8 on average and above 31 in about one pair of
+10**8.
 
 Documents with equal sets are one class from the start (an aggregation); only class
-representatives go on. In a bucket of keys, members of a key are screened by set size
-and by the lowest bits of all symbols (at most MOST_BITS of 64 differ: at 0.8 the
-mean is 6.4 and the bound is missed in about one pair of 10**6). Links are sought in
-steps, so that a key with many copies costs no pair of copies. First each member is
-paired with its key's hub, the member nearest to the majority of the members' bits;
-what full sets confirm gives components. Then, for keys whose members are still in
-different components, bitmaps of the sets give an upper bound of each cross pair's
-similarity that never errs; each member offers its OFFERS best partners in other
-components whose bounds reach the threshold and that weren't tried under this key, full
-sets confirm or reject them, and components grow. This is repeated until no member has a
-partner left. A pair within a component needs no check, so the components are those of
-all screened pairs, and nothing is capped.
+representatives go on. Links are sought in two steps, so that a key with many copies
+costs no pair of copies. First each member of a key meets the key's hub, the member
+nearest to the majority of the members' bits; a document's BEST most frequent hubs are
+compared on full sets, which gives components. Then only keys whose members are in
+several components are open: members outside a key's largest component meet all its members
+of other components, in cells of bounded size. Cells of signatures come first: they
+leave those members that have a pair within the distance under no earlier key. These are
+compared on full sets, and a cell returns a spanning forest of what it links. So every
+pair within the distance is either compared on full sets or already in one component, in
+one round, without a cap.
+
+Hot keys: a list that may exceed HOT members is dealt over salts before any task holds it
+(counted beforehand by ranges of keys); its parts' hubs meet in a second grouping.
 
 Defined results: a null or empty text, or one without words, has an empty set and is
 linked with nothing; fewer words than a shingle make one shingle; rows with one id
 count as one document for links; rows without id are returned, unlinked; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. `docs` is read three times.
 """
 
 from __future__ import annotations
@@ -37,14 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, keep
+from tidemark.llm.shared import bitmap, components, in_bitmap, released, written
 from tidemark.llm.tokens import BASE_WORDS, U64, ascii_lower, byte_view, mix, pieces, prefix_sums, span_hashes, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY = 5, 80
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
-MOST_BITS, MOST_ROUNDS, OFFERS = 20, 30, 8
-PIECE_BYTES, BUCKET_ENTRIES, BLOCK = 1 << 19, 400_000, 512
+#: Hubs of a document that are compared first, of those whose lowest bits differ from its own in NEAR_BITS places at most (others are left to the second step).
+BEST, NEAR_BITS = 2, 20
+PIECE_BYTES, BUCKET_ENTRIES, HOT, SALTS, HUB_LINKS = 1 << 19, 200_000, 100_000, 16, 500
+DISTANCE = 2 * CHUNKS - 1
+#: A cell's rows and bytes on each side, about; bytes of a set's fingerprint in a cell (40 bits: a cell has 10**6 of them at most).
+BLOCK_ROWS, BLOCK_BYTES, SLICE, FINGERPRINT = 2048, 1 << 21, 1 << 14, 5
 _A = mix(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _X = mix(np.arange(SYMBOLS + 1, 2 * SYMBOLS + 1, dtype=U64))
 
@@ -65,79 +71,118 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[first], np.searchsorted(row[first], np.arange(len(sizes) + 1))
 
 
-def _signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-empty sets: their rows, lowest symbol bits, and keys of all chunks."""
+def _symbols(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the non-empty sets: their rows, and their symbols."""
     rows = np.flatnonzero(np.diff(off) > 0)
-    bits = np.zeros(len(rows), U64)
-    keys = np.empty((len(rows), SYMBOLS), U64)
-    if not len(rows):
-        return rows, bits, keys
-    begin = off[rows]
-    for chunk in range(CHUNKS):
-        symbol = []
-        for i in range(chunk * CHUNK, (chunk + 1) * CHUNK):
-            least = mix(np.minimum.reduceat((sets ^ _X[i]) * _A[i], begin))
-            symbol.append(least & U64(0xFFFF))
-            bits |= (least & U64(1)) << U64(i)
-        for out in range(CHUNK):
-            key = np.full(len(rows), chunk * CHUNK + out + 1, U64)
-            for i in range(CHUNK):
-                if i != out:
-                    key = (key << U64(16)) | symbol[i]
-            keys[:, chunk * CHUNK + out] = mix(key)
-    return rows, bits, keys
+    out = np.empty((len(rows), SYMBOLS), np.uint16)
+    for i in range(SYMBOLS if len(rows) else 0):
+        out[:, i] = mix(np.minimum.reduceat((sets ^ _X[i]) * _A[i], off[rows])) & U64(0xFFFF)
+    return rows, out
+
+
+def _keys(symbols: np.ndarray) -> np.ndarray:
+    """The keys of signatures: each chunk without each of its symbols."""
+    wide, keys = symbols.astype(U64), np.empty((len(symbols), SYMBOLS), U64)
+    for at in range(SYMBOLS):
+        key = np.full(len(symbols), at + 1, U64)
+        for i in range(at - at % CHUNK, at - at % CHUNK + CHUNK):
+            if i != at:
+                key = (key << U64(16)) | wide[:, i]
+        keys[:, at] = mix(key)
+    return keys
+
+
+def _lowest(symbols: np.ndarray) -> np.ndarray:
+    """The lowest bits of all symbols."""
+    return np.packbits((symbols & 1).astype(bool), axis=1, bitorder="little").view(U64).ravel()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (`doc`, `n`, `p1`, `p2`, `bits`, `keys`): set size, set fingerprint, lowest bits, 64 packed keys (null for an empty set)."""
+    """Rows (`doc`, `n`, `p1`, `p2`, `symbols`): set size, set fingerprint (two sums), packed symbols (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in pieces(byte_view(texts)[1], PIECE_BYTES):
                 sets, off = shingle_sets(texts.slice(a, b - a), width)
-                rows, bits, keys = _signatures(sets, off)
-                n = np.diff(off)
-                columns = {"p1": np.zeros(b - a, np.int64), "p2": np.zeros(b - a, np.int64), "bits": np.zeros(b - a, np.int64)}
+                rows, symbols = _symbols(sets, off)
+                sums = np.zeros((2, b - a), np.int64)
                 packed: list[bytes | None] = [None] * (b - a)
                 if len(rows):
-                    columns["p1"][rows] = np.add.reduceat(mix(sets), off[rows]).view(np.int64)
-                    columns["p2"][rows] = np.add.reduceat(mix(sets + U64(1)), off[rows]).view(np.int64)
-                    columns["bits"][rows] = bits.view(np.int64)
+                    for i in range(2):
+                        sums[i, rows] = np.add.reduceat(mix(sets + U64(i)), off[rows]).view(np.int64)
                     for i, row in enumerate(rows.tolist()):
-                        packed[row] = keys[i].tobytes()
-                arrays = [ids.slice(a, b - a), pa.array(n), *map(pa.array, columns.values()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", *columns, "keys"])
+                        packed[row] = symbols[i].tobytes()
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off)), pa.array(sums[0]), pa.array(sums[1]), pa.array(packed, pa.binary())], names=["doc", "n", "p1", "p2", "symbols"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc bigint, n bigint, p1 bigint, p2 bigint, bits bigint, keys binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc bigint, n bigint, p1 bigint, p2 bigint, symbols binary")
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("bits", "<u8"), ("n", "<u4")])
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
 
-def _entries(classes: DataFrame, n_buckets: int) -> DataFrame:
-    """The representatives' keys, packed by bucket."""
+def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The `texts` of documents in `ids` (`doc`), and of few others; no text is shuffled for it, a bitmap of the ids is broadcast (bounded)."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc").alias("key")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, bits, n = (np.asarray(batch.column(i)) for i in range(3))
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(-1, SYMBOLS)
+            yield batch.filter(pa.array(in_bitmap(shared.value, np.asarray(batch.column(2)).view(U64)))).select([0, 1])
+
+    return texts.filter("doc IS NOT NULL").select("doc", "text", F.xxhash64("doc").alias("key")).mapInArrow(run, "doc bigint, text string")
+
+
+_ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("at", "u1")])
+
+
+def _signed(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("symbols").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _hot_ranges(classes: DataFrame, n_ranges: int, hot: int) -> dict[int, int]:
+    """Ranges of keys with more than `hot` entries, and how many salts they need: no key outside has a longer list.
+
+    The ranges are counted in the tasks and summed by Spark. With entries / hot * 8 ranges only those
+    with a hot key come out, so what reaches the driver is bounded by the number of such keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_ranges, np.int64)
+        for batch in batches:
+            total += np.bincount((_keys(_signed(batch)) % U64(n_ranges)).astype(np.int64).ravel(), minlength=n_ranges)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["at", "n"])
+
+    found = classes.select("symbols").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    return {r["at"]: -(-r["n"] // hot) for r in found.collect()}
+
+
+def _entries(classes: DataFrame, n_buckets: int, n_ranges: int, hot: dict[int, int]) -> DataFrame:
+    """The representatives' keys, packed by bucket; salt is 0, or 1 and more for parts of hot ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = np.zeros(n_ranges, np.int64)
+        salts[list(hot)] = list(hot.values())
+        for batch in batches:
+            docs, n, symbols = np.asarray(batch.column("doc")), np.asarray(batch.column("n")), _signed(batch)
+            keys = _keys(symbols)
             out = np.empty(keys.shape, _ENTRY)
             out["key"] = (keys // U64(n_buckets)).astype(np.uint32)
-            out["doc"], out["bits"], out["n"] = docs[:, None], bits.view(U64)[:, None], np.minimum(n, 0xFFFFFFFF)[:, None]
-            bucket = (keys % U64(n_buckets)).astype(np.int32).ravel()
-            order = np.argsort(bucket, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-            flat = out.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([flat[p].tobytes() for p in parts], pa.binary())], names=["bucket", "entries"])
+            out["doc"], out["bits"], out["n"], out["at"] = docs[:, None], _lowest(symbols)[:, None], np.minimum(n, 0xFFFFFFFF)[:, None], np.arange(SYMBOLS)[None]
+            parts = salts[(keys % U64(n_ranges)).astype(np.int64)]
+            salt = np.where(parts > 0, 1 + (mix(docs.astype(U64))[:, None] % np.maximum(parts, 1).astype(U64)).astype(np.int64), 0)
+            yield _dealt((keys % U64(n_buckets)).astype(np.int64).ravel(), salt.ravel(), out.ravel())
 
-    return classes.select("doc", "bits", "n", "keys").mapInArrow(run, "bucket int, entries binary")
+    return classes.select("doc", "n", "symbols").mapInArrow(run, "bucket int, salt int, entries binary")
 
 
-def _passes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The screen: set sizes and lowest bits allow the similarity."""
-    small, large = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
-    return (100 * small >= percent * large) & (np.bitwise_count(a["bits"] ^ b["bits"]) <= MOST_BITS)
+def _dealt(bucket: np.ndarray, salt: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((salt, bucket))
+    cuts = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
+    parts = np.split(order, cuts) if len(order) else []
+    first = np.array([p[0] for p in parts], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(salt[first].astype(np.int32)), pa.array([entries[p].tobytes() for p in parts], pa.binary())], names=["bucket", "salt", "entries"])
 
 
 def _hubs(e: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -151,131 +196,227 @@ def _hubs(e: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _groups(entries: DataFrame, percent: int) -> DataFrame:
-    """Of each bucket: packed first links (`u`, `v`), and the members of keys with three or more (`entries`, `sizes`)."""
+    """Of each bucket and salt: packed first links (`u`, `v`), member lists (`docs`, `sizes`, `names`, places of their keys `ats`), and for salted ones the hubs as entries."""
 
     def run(table: pa.Table) -> pa.Table:
+        bucket, salt = table["bucket"][0].as_py(), table["salt"][0].as_py()
         e = np.frombuffer(b"".join(table["entries"].to_pylist()), _ENTRY)
         e = e[np.lexsort((e["doc"], e["key"]))]
-        again = np.append(False, (e["key"][1:] == e["key"][:-1]) & (e["doc"][1:] == e["doc"][:-1]))
-        e = e[~again]
-        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1])) if len(e) else np.empty(0, np.int64)
+        e = e[np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["doc"][1:] != e["doc"][:-1]))]
+        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
         size = np.diff(np.append(start, len(e)))
-        leader = e[np.repeat(_hubs(e, start, size), size)]
-        ok = (leader["doc"] != e["doc"]) & np.repeat(size > 1, size) & _passes(leader, e, percent)
-        one, two = leader["doc"][ok], e["doc"][ok]
-        links = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
-        big = np.repeat(size > 2, size)
-        return pa.table({"u": pa.array([np.ascontiguousarray(links[:, 0]).tobytes()], pa.binary()), "v": pa.array([np.ascontiguousarray(links[:, 1]).tobytes()], pa.binary()), "entries": pa.array([e[big].tobytes()], pa.binary()), "sizes": pa.array([size[size > 2].astype(np.int64).tobytes()], pa.binary())})
-
-    return entries.groupBy("bucket").applyInArrow(run, "u binary, v binary, entries binary, sizes binary")
+        hubs = _hubs(e, start, size)
+        leader = e[np.repeat(hubs, size)]
+        small, large = (f(leader["n"], e["n"]).astype(np.int64) for f in (np.minimum, np.maximum))
+        ok = (leader["doc"] != e["doc"]) & (100 * small >= percent * large) & (np.bitwise_count(leader["bits"] ^ e["bits"]) <= NEAR_BITS)
+        # a whole list is named by its members, so equal lists of other keys come once; a part of a list by its key
+        names = mix(np.add.reduceat(mix(e["doc"].astype(U64)), start)) if salt == 0 else mix(U64(bucket << 32) ^ e["key"][start].astype(U64))
+        listed = size > (1 if salt == 0 else 0)
+        if salt == 0:  # the one of the first key
+            order = np.flatnonzero(listed)[np.lexsort((e["at"][start[listed]], names[listed]))]
+            listed[order[1:][names[order[1:]] == names[order[:-1]]]] = False
+        packed = (leader["doc"][ok], e["doc"][ok], e["doc"][np.repeat(listed, size)], size[listed].astype(np.int64), names[listed], e["at"][start[listed]], e[hubs] if salt else e[:0])
+        return pa.table({"bucket": pa.array([bucket], pa.int32())} | {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in zip(("u", "v", "docs", "sizes", "names", "ats", "hubs"), packed, strict=True)})
+
+    return entries.groupBy("bucket", "salt").applyInArrow(run, "bucket int, u binary, v binary, docs binary, sizes binary, names binary, ats binary, hubs binary")
 
 
 def _first_links(groups: DataFrame) -> DataFrame:
+    """Each document with its BEST hubs: those of most of its keys (`u`: hub, `v`)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64) for i in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return groups.select("u", "v").mapInArrow(run, "u bigint, v bigint").distinct()
+    times = groups.select("u", "v").mapInArrow(run, "u bigint, v bigint").groupBy("u", "v").agg(F.count("*").alias("n"))
+    # a document has SYMBOLS hubs at most
+    best = times.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "u")), False), 1, BEST).alias("best"))
+    return best.select("v", F.explode("best.u").alias("u"))
 
 
 def _members(groups: DataFrame) -> DataFrame:
-    """Rows (`key`, `doc`, `bits`, `n`) of the keys with three members or more; equal member lists of a bucket come once."""
+    """Rows (`name`, `at`, `doc`) of the lists with two members or more; equal lists come once, for their first key."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                e, size = np.frombuffer(packed, _ENTRY), np.frombuffer(counts, np.int64)
-                start = np.cumsum(size) - size
-                key = mix(np.add.reduceat(mix(e["doc"].astype(U64)), start)) if len(e) else np.empty(0, U64)  # names the list, not the key
-                _, first = np.unique(key, return_index=True)
-                chosen = np.zeros(len(size), bool)
-                chosen[first] = True
-                rows = np.repeat(chosen, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size)[rows].view(np.int64)), pa.array(e["doc"][rows]), pa.array(e["bits"][rows].view(np.int64)), pa.array(e["n"][rows].astype(np.int64))], names=["key", "doc", "bits", "n"])
+            for docs, sizes, names, ats in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ends = 8 * np.cumsum(np.frombuffer(sizes, np.int64))
+                parts = [docs[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)] if len(ends) else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names, np.int64)), pa.array(np.frombuffer(ats, np.uint8).astype(np.int32)), pa.array(parts, pa.binary())], names=["name", "at", "docs"])
 
-    return groups.select("entries", "sizes").mapInArrow(run, "key bigint, doc bigint, bits bigint, n bigint").distinct()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(2).to_pylist()
+            name, at = (np.repeat(np.asarray(batch.column(i)), [len(d) // 8 for d in docs]) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(at), pa.array(np.frombuffer(b"".join(docs), np.int64))], names=["name", "at", "doc"])
+
+    packed = groups.select("docs", "sizes", "names", "ats").mapInArrow(lists, "name bigint, at int, docs binary")
+    once = packed.groupBy("name", "docs").agg(F.min("at").alias("at")).select("name", "at", "docs")
+    return once.mapInArrow(rows, "name bigint, at int, doc bigint")
 
 
-def _bitmaps(texts: DataFrame, width: int) -> DataFrame:
-    """Bitmaps of the documents' sets, of a power of two of bits (16 for each shingle at least): `doc`, `map`."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """`doc`, `shingles`: packed fingerprints of the documents' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(byte_view(batch.column(1))[1], PIECE_BYTES):
                 sets, off = shingle_sets(batch.column(1).slice(a, b - a), width)
-                maps = []
-                for i in range(b - a):
-                    own = sets[off[i] : off[i + 1]]
-                    bits = np.zeros(max(512, 1 << int(16 * max(1, len(own)) - 1).bit_length()), bool)
-                    bits[(own & U64(len(bits) - 1)).astype(np.int64)] = True
-                    maps.append(np.packbits(bits, bitorder="little").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(maps, pa.binary())], names=["doc", "map"])
-
-    return texts.select("doc", "text").mapInArrow(run, "doc bigint, map binary")
-
-
-def _folded(maps: list[bytes], length: int) -> np.ndarray:
-    """Bitmaps as rows of `length` bytes; longer ones are folded, which keeps every common place common."""
-    out = np.empty((len(maps), length // 8), U64)
-    for i, m in enumerate(maps):
-        out[i] = np.bitwise_or.reduce(np.frombuffer(m, U64).reshape(-1, length // 8), axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.ascontiguousarray(sets[off[i] : off[i + 1]].view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT]).tobytes() for i in range(b - a)], pa.binary())], names=["doc", "shingles"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, shingles binary")
+
+
+def common_counts(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """The sizes of the intersections of packed sets: a row for each of `one`, a column for each of `two`."""
+    size = [np.array([len(x) // FINGERPRINT for x in side], np.int64) for side in (one, two)]
+    flat = np.zeros((int(size[0].sum() + size[1].sum()), 8), np.uint8)
+    flat[:, :FINGERPRINT] = np.frombuffer(b"".join([*one, *two]), np.uint8).reshape(-1, FINGERPRINT)
+    flat = flat.view(U64).ravel()
+    distinct, at = np.unique(flat, return_inverse=True)
+    cut = int(size[0].sum())
+    at, row = (at[:cut], at[cut:]), [np.repeat(np.arange(len(s)), s) for s in size]
+    times = [np.bincount(a, minlength=len(distinct)) for a in at]
+    out = np.zeros((len(one), len(two)), np.int32)
+    pairs = times[0] * times[1]
+    dense = pairs * 512 > len(one) * len(two)  # bits of a slice cost less than pairs
+    number = np.cumsum(dense) - 1
+    for low in range(0, int(dense.sum()), SLICE):
+        bits = []
+        for a, r, s in zip(at, row, (one, two), strict=True):
+            own = dense[a] & (number[a] >= low) & (number[a] < low + SLICE)
+            grid = np.zeros((len(s), min(SLICE, -(-(int(dense.sum()) - low) // 64) * 64)), bool)
+            grid[r[own], number[a[own]] - low] = True
+            bits.append(np.packbits(grid, axis=1).view(U64))
+        step = max(1, (1 << 22) // max(1, bits[1].size))
+        for i in range(0, len(one), step):
+            out[i : i + step] += np.bitwise_count(bits[0][i : i + step, None] & bits[1][None]).sum(2, dtype=np.int32)
+    # the others: pairs of rows by shingle
+    rest = (pairs > 0) & ~dense
+    own = [np.flatnonzero(rest[a]) for a in at]
+    left, right = (r[o][np.argsort(a[o], kind="stable")] for a, r, o in zip(at, row, own, strict=True))
+    n_left, n_right = times[0][rest], times[1][rest]
+    first_left, first_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    total = np.concatenate([[0], np.cumsum(n_left * n_right)])
+    a = 0
+    while a < len(n_left):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 20), "right")) - 1)
+        m = (n_left * n_right)[a:b]
+        inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        width = np.repeat(n_right[a:b], m)
+        x, y = left[np.repeat(first_left[a:b], m) + inner // width], right[np.repeat(first_right[a:b], m) + inner % width]
+        np.add.at(out, (x, y), 1)
+        a = b
     return out
 
 
-def _best_partners(e: np.ndarray, maps: list[bytes], tried: set[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
-    """Each member's best partners of other components whose bounds reach the threshold."""
-    length = np.array([len(m) for m in maps])
-    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    for bytes_ in np.unique(length).tolist():
-        # sizes of a pair differ by a factor below two, so its bitmaps have this length or, one of them, twice this
-        own = np.flatnonzero((length == bytes_) | (length == 2 * bytes_))
-        folded = _folded([maps[i] for i in own], bytes_)
-        lost = e["n"][own].astype(np.int64) - np.bitwise_count(folded).sum(1, dtype=np.int64)
-        first = length[own] == bytes_
-        for a in range(0, len(own), BLOCK):
-            for b in range(0, len(own), BLOCK):
-                one, two = e[own[a : a + BLOCK], None], e[None, own[b : b + BLOCK]]
-                i, j = np.nonzero((one["root"] != two["root"]) & (first[a : a + BLOCK, None] | first[None, b : b + BLOCK]) & _passes(one, two, percent))
-                for c in range(0, len(i), 1 << 14):
-                    x, y = a + i[c : c + (1 << 14)], b + j[c : c + (1 << 14)]
-                    total = e["n"][own[x]].astype(np.int64) + e["n"][own[y]].astype(np.int64)
-                    common = np.minimum(np.bitwise_count(folded[x] & folded[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y]), total // 2)
-                    ok = 100 * common >= percent * (total - common)
-                    x, y, share = own[x[ok]], own[y[ok]], (common / np.maximum(total - common, 1))[ok]
-                    if tried and len(x):
-                        fresh = np.fromiter(((min(p), max(p)) not in tried for p in zip(e["doc"][x].tolist(), e["doc"][y].tolist(), strict=True)), bool, len(x))
-                        x, y, share = x[fresh], y[fresh], share[fresh]
-                    found = _top(*(np.concatenate(p) for p in zip(found, (x, y, share), strict=True)))
-    one, two = e["doc"][found[0]], e["doc"][found[1]]
-    return sorted(set(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist(), strict=True)))
-
-
-def _top(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The OFFERS best partners of each member."""
-    order = np.lexsort((-share, x))
-    x = x[order]
-    rank = np.arange(len(x)) - np.searchsorted(x, x)
-    order = order[rank < OFFERS]
-    return x[rank < OFFERS], y[order], share[order]
-
-
-def _offers(members: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs to confirm: `key`, `u`, `v`. members: `key`, `doc`, `bits`, `n`, `map`, `root`."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        e = np.empty(left.num_rows, np.dtype([*_ENTRY.descr, ("root", "<i8")]))
-        for name in ("doc", "bits", "n", "root"):
-            e[name] = np.asarray(left[name]).view(U64) if name == "bits" else np.asarray(left[name])
-        found = _best_partners(e, left["map"].to_pylist(), set(zip(right["u"].to_pylist(), right["v"].to_pylist(), strict=True)), percent) if len(e) > 1 else []
-        return pa.table({"key": pa.array([left["key"][0].as_py()] * len(found) if found else [], pa.int64()), "u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
-
-    return members.groupBy("key").cogroup(tried.groupBy("key")).applyInArrow(run, "key bigint, u bigint, v bigint")
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (`u`, `v`) as stars: each node that isn't the least of its component, with the least."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = np.minimum(new, new[label])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[label[moved]], nodes[moved]
+
+
+def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links between components (`u`, `v`: roots) of the cells' rows: `name`, `a`, `b`, `asks`, `root`, `shingles`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table["asks"])
+        root = [np.asarray(table["root"].filter(pa.array(m))) for m in (asks, ~asks)]
+        sets = [table["shingles"].filter(pa.array(m)).to_pylist() for m in (asks, ~asks)]
+        u = v = np.empty(0, np.int64)
+        if len(sets[0]) and len(sets[1]):
+            common = common_counts(*sets)
+            n = [np.array([len(x) // FINGERPRINT for x in s], np.int32) for s in sets]
+            union = n[0][:, None] + n[1][None] - common
+            i, j = np.nonzero((root[0][:, None] != root[1][None]) & (common > 0) & (100 * common >= percent * union))
+            u, v = forest(root[0][i], root[1][j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return cells.groupBy("name", "a", "b").applyInArrow(run, "u bigint, v bigint")
+
+
+def _candidates(cells: DataFrame, percent: int) -> DataFrame:
+    """Rows (`name`, `doc`) of the cells that have a pair of two components within DISTANCE, under no earlier key. cells: `asks`, `at`, `doc`, `root`, `n`, `symbols`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table["asks"])
+        one, two = ({c: np.asarray(part[c]) for c in ("doc", "root", "n")} | {"symbols": _signed(part)} for part in (table.filter(pa.array(m)) for m in (asks, ~asks)))
+        at, flagged = table["at"][0].as_py(), [np.zeros(len(one["doc"]), bool), np.zeros(len(two["doc"]), bool)]
+        step = max(1, (1 << 17) // max(1, len(two["doc"])))
+        for i in range(0, len(one["doc"]) if len(two["doc"]) else 0, step):
+            x = {c: v[i : i + step] for c, v in one.items()}
+            near = x["root"][:, None] != two["root"][None]
+            near &= 100 * np.minimum(x["n"][:, None], two["n"][None]) >= percent * np.maximum(x["n"][:, None], two["n"][None])
+            a, b = np.nonzero(near)
+            same = x["symbols"][a] == two["symbols"][b]
+            by_chunk = same.reshape(-1, CHUNKS, CHUNK)
+            count = by_chunk.sum(2)
+            first = np.argmax(count >= CHUNK - 1, axis=1)
+            within = by_chunk[np.arange(len(a)), first]
+            key = first * CHUNK + np.where(within.all(1), 0, np.argmin(within, axis=1))
+            ok = (count.sum(1) >= SYMBOLS - DISTANCE) & (key == at)
+            flagged[0][i + a[ok]] = True
+            flagged[1][b[ok]] = True
+        docs = np.unique(np.concatenate([one["doc"][flagged[0]], two["doc"][flagged[1]]]))
+        return pa.table({"name": pa.array([table["name"][0].as_py()] * len(docs), pa.int64()), "doc": pa.array(docs)})
+
+    return cells.groupBy("name", "a", "b").applyInArrow(run, "name bigint, doc bigint")
+
+
+def _several(rows: DataFrame, row_bytes: int, entry_bytes: int) -> DataFrame:
+    """The rows (`name`, `doc`, `root`, `n`, ...) of the lists whose rows are of several components, with each list's largest component and numbers of blocks."""
+    by_root = rows.groupBy("name", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    lists = by_root.groupBy("name").agg(F.count("*").alias("roots"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "root")).alias("big")).filter("roots > 1")
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil((c * row_bytes + s * entry_bytes) / BLOCK_BYTES), F.lit(1)).cast("int")
+    lists = lists.select("name", F.col("big.root").alias("big"), blocks(F.col("c") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("na"), blocks(F.col("c"), F.col("s")).alias("nb"))
+    return rows.join(lists, "name")
+
+
+def _cells(rows: DataFrame, *payload: str) -> DataFrame:
+    """Cells of _several()'s rows: blocks of members outside the largest component (`asks`) against blocks of all members."""
+    at = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = rows.filter("root <> big").select("name", at(F.col("na")).alias("a"), every(F.col("nb")).alias("b"), F.lit(True).alias("asks"), *payload)
+    two = rows.select("name", every(F.col("na")).alias("a"), at(F.col("nb")).alias("b"), F.lit(False).alias("asks"), *payload)
+    return one.unionByName(two)
+
+
+def _links_between(members: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components (`u`, `v`: roots) that members of a common list have. nodes: `doc`, `n`, `root`; classes: `doc`, `symbols`."""
+    rooted = written(members.join(nodes, "doc"))
+    open_ = written(_several(rooted, 2 * SYMBOLS, 0))
+    signed = open_.join(classes.select("doc", "symbols"), "doc")
+    found = written(_candidates(_cells(signed, "at", "doc", "root", "n", "symbols"), percent).distinct())
+    released(rooted, open_)
+    sets = written(_sets(_picked(texts, found.select("doc")), width))
+    rows = _several(found.join(nodes, "doc"), 0, FINGERPRINT).join(sets, "doc")
+    links = written(_cell_links(_cells(rows, "root", "shingles"), percent))
+    released(found, sets)
+    return links
 
 
 def confirm(links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (`u`, `v`) whose full sets are similar enough. texts: `doc`, `text`."""
-    both = links.join(texts.select(F.col("doc").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("doc").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
+    """The links (`u`: hub, `v`) whose full sets are similar enough. texts: `doc`, `text`. A hub is copied once for each HUB_LINKS of its links, as many link with one."""
+    parts = links.groupBy("u").agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("parts"))
+    dealt = links.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("salt"))
+    one = dealt.join(texts.select(F.col("doc").alias("v"), F.col("text").alias("tv")), "v")
+    hubs = texts.join(parts.withColumnRenamed("u", "doc"), "doc").select(F.col("doc").alias("u"), F.col("text").alias("tu"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    both = one.join(hubs, ["u", "salt"]).select("u", "v", "tu", "tv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,48 +432,41 @@ def confirm(links: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 keep_rows = (100 * common >= percent * union) & (common > 0)
                 yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep_rows)) for i in range(2)], names=["u", "v"])
 
-    return both.mapInArrow(run, "u bigint, v bigint").distinct()
+    return both.mapInArrow(run, "u bigint, v bigint")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = SIMILARITY, hot: int = HOT) -> DataFrame:
     """Every document with the size of its set, its component (the least id it reaches) and whether it is the one that stays."""
-    spark = docs.sparkSession
-    sig = keep(signatures(docs, id_col, text_col, width))
+    sig = written(signatures(docs, id_col, text_col, width))
     known = sig.filter("n > 0 AND doc IS NOT NULL")
-    classes = known.groupBy("p1", "p2", "n").agg(F.min(F.struct("doc", "bits", "keys")).alias("m"), F.count("*").alias("members"))
-    classes = keep(classes.select("p1", "p2", "n", "members", "m.*"))
+    classes = known.groupBy("p1", "p2", "n").agg(F.min(F.struct("doc", "symbols")).alias("m"), F.count("*").alias("members"))
+    classes = written(classes.select("p1", "p2", "n", "members", "m.*"))
     n_classes = classes.count()
-    groups = keep(_groups(_entries(classes, max(1, -(-n_classes * SYMBOLS // BUCKET_ENTRIES))), percent))
-    first, members = _first_links(groups), keep(_members(groups))
-    first = keep(first)
-    asked = first.select(F.col("u").alias("doc")).union(first.select(F.col("v").alias("doc"))).union(members.select("doc")).distinct()
-    texts = keep(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(asked, "doc", "left_semi"))
-    links = keep(confirm(first, texts, width, percent))
-    roots, tried, mapped = components(links), None, None
-    for _ in range(MOST_ROUNDS):
-        if mapped is None:  # keys whose members are in several components
-            rooted = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-            mapped = keep(members.join(mixed, "key", "left_semi").join(_bitmaps(texts, width), "doc"))
-        rooted = mapped.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        tried = spark.createDataFrame([], "key bigint, u bigint, v bigint") if tried is None else tried
-        offers = keep(_offers(rooted, tried, percent))
-        if offers.isEmpty():
-            break
-        # a member without offers will have none later: components only grow, and what was tried stays tried
-        offered = offers.select("key", F.col("u").alias("doc")).union(offers.select("key", F.col("v").alias("doc"))).distinct()
-        mapped = keep(mapped.join(offered, ["key", "doc"]))
-        tried = keep(tried.unionByName(offers))
-        links = keep(links.unionByName(confirm(offers.select("u", "v").distinct(), texts, width, percent)))
-        roots = components(links)
+    n_buckets, n_ranges = max(1, -(-n_classes * SYMBOLS // BUCKET_ENTRIES)), max(1 << 10, -(-n_classes * SYMBOLS * 8 // hot))
+    ranges = _hot_ranges(classes, n_ranges, hot) if n_classes > hot else {}  # a list has n_classes members at most
+    groups = written(_groups(_entries(classes, n_buckets, n_ranges, ranges), percent))
+    if ranges:
+        hubs = written(_groups(groups.filter(F.length("hubs") > 0).select("bucket", F.lit(0).alias("salt"), F.col("hubs").alias("entries")), percent))
+        both = groups.unionByName(hubs)
     else:
-        raise RuntimeError(f"links still found after {MOST_ROUNDS} rounds")
+        both = groups
+    first, members = written(_first_links(both)), written(_members(both))
+    released(groups)
+    asked = first.select(F.col("u").alias("doc")).union(first.select(F.col("v").alias("doc")))
+    texts = written(_picked(_texts(docs, id_col, text_col), asked))
+    links = written(confirm(first, texts, width, percent))
+    released(texts, first)
+    roots = written(components(links))
+    nodes = classes.select("doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("root", "doc").alias("root"))
+    more = _links_between(members, nodes, classes, _texts(docs, id_col, text_col), width, percent)
+    joined = written(components(more.unionByName(roots.select(F.col("root").alias("u"), F.col("node").alias("v")))))
+    released(members, links, roots, more)
+    roots = joined
     # equal sets: only classes with several members are joined, each copied SALTS times so that one large class meets many tasks
-    salts = 16
-    several = classes.filter("members > 1").select("p1", "p2", "n", F.col("doc").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    own = sig.select("doc", "n", "p1", "p2", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int").alias("salt"))
+    several = classes.filter("members > 1").select("p1", "p2", "n", F.col("doc").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = sig.select("doc", "n", "p1", "p2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
     firsts = own.join(several, ["p1", "p2", "n", "salt"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("first", "doc")).otherwise(F.col("doc")).alias("first"), "salt")
-    spread = roots.filter("node <> root").select(F.col("node").alias("first"), "root", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = roots.filter("node <> root").select(F.col("node").alias("first"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = firsts.join(spread, ["first", "salt"], "left")
     component = F.coalesce("root", "first")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
