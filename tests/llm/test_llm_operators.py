@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -143,6 +145,47 @@ def test_near_duplicates_hot_groups(spark):
     assert near_duplicates.classify(empty(spark)).count() == 0
 
 
+def test_near_duplicates_split_hot_lists(spark):
+    """Lists longer than `hot` are dealt over salts, with the same result."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:k] + [f"q{i}"] + base[k + 1 :])) for i in range(90) for k in (i % 40,)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_dict(near_duplicates.classify(df, width=2, hot=20)) == as_dict(near_duplicates.classify(df, width=2))
+    assert {x[1] for x in as_dict(near_duplicates.classify(df, width=2, hot=20)).values()} == {0}
+
+
+def test_near_duplicates_family_below_the_threshold(spark):
+    """A thousand pages of one template, every two of them a little less similar than the threshold: none is linked, and no round limit is met."""
+    rows = [(i, " ".join([f"t{j}" for j in range(75)] + [f"own{i}x{j}" for j in range(10)])) for i in range(1000)]
+    got = as_dict(near_duplicates.classify(spark.createDataFrame(rows, "doc_id long, text string"), width=2))
+    assert all(got[d] == (84, d, True) for d in got) and len(got) == 1000
+
+
+def test_near_duplicates_edges(spark):
+    long = " ".join(f"v{i % 5000}" for i in range(60_000))
+    rows = [(1, long, "x"), (1, long, "x"), (2, long + " end", "x"), (None, long, "x"), (None, None, None), (3, "", "x"), (4, "one", None), (5, "ONE", "x")]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_duplicates.classify(spark.createDataFrame(rows, "doc_id long, text string, symbols string"), width=2).collect())
+    assert got == sorted([("1", 5000, "1", True)] * 2 + [("2", 5001, "1", False), ("None", 5000, "1", True), ("None", 0, "None", True), ("3", 0, "3", True), ("4", 1, "4", True), ("5", 1, "4", False)])
+
+
+def test_common_counts():
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(300 if i % 2 else 4000), rng.randint(0, 250))) for i in range(90)]
+    packed = [np.ascontiguousarray(np.array(s, np.uint64).view(np.uint8).reshape(-1, 8)[:, : near_duplicates.FINGERPRINT]).tobytes() for s in sets]
+    got = near_duplicates.common_counts(packed[:40], packed[40:])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets[40:]] for a in sets[:40]]
+
+
+def test_near_duplicate_recall(spark):
+    """Every document whose id is divisible by 50 against all: the share of linked pairs that share a component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: words(lower(r.text)) for r in docs.select("doc_id", "text").collect()}
+    sets = {d: {tuple(w[i : i + 2]) for i in range(len(w) - 1)} or ({tuple(w)} if w else set()) for d, w in text.items()}
+    pairs = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    of = {d: x[1] for d, x in as_dict(near_duplicates.classify(docs, width=2)).items()}
+    assert pairs and sum(of[a] == of[b] for a, b in pairs) == len(pairs)
+
+
 def test_pitman_yor(spark, rows, docs):
     tokens = {d: [*words(lower(t)), None] for d, t in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
@@ -226,20 +269,47 @@ def test_decontamination_finds_substitutions_anywhere(spark):
         decontamination.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"), percent=70)
 
 
-def test_decontamination_in_parts(monkeypatch):
-    items = ["a b c d " * 6, "x y z " * 5, "five words stand here alone"]
-    tokens, off = decontamination.tokens_of(pa.array(["a b c d " * 40, None, "q " + "x y z " * 9, "Five words stand here alone"]))
-    block = decontamination._Block([1, 2, 3], items)
-    want = [x.tolist() for x in block.overlaps(tokens, off, 20, 80)]
-    monkeypatch.setattr(decontamination, "MOST_HITS", 3)
-    monkeypatch.setattr(decontamination, "MOST_COMPARED", 5)
-    assert [x.tolist() for x in block.overlaps(tokens, off, 20, 80)] == want and set(zip(*want[:2])) == {(0, 0), (2, 1), (3, 2)}
+def test_decontamination_against_all_pairs(spark, monkeypatch):
+    """All documents against all items, diagonal by diagonal; small parts give the same."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    number = {}
+    bare = lambda w: w.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())) or w
+    tokens = lambda t: np.array([number.setdefault(bare(w), len(number)) for w in words(lower(t))], np.int64)
+    own = {r.item_id: tokens(r.text) for r in items.select("item_id", "text").collect()}
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        x, found, most = tokens(r.text), [], 0
+        for item, y in own.items():
+            need = min(20, len(y))
+            if len(y) < 5 or len(x) < need or not np.isin(y, x).sum() >= 0.8 * need:
+                continue
+            same = x[:, None] == y[None]
+            for k in range(need - len(x), len(y) - need + 1):
+                diagonal = np.convolve(np.diagonal(same, k), np.ones(need, int), "valid")
+                if 100 * diagonal.max() >= (100 if len(y) < 12 else 80) * need:
+                    most = max(most, int(diagonal.max()))
+                    found += [item] if item not in found else []
+        want[r.doc_id] = (sorted(found), most, not found)
+    assert as_dict(decontamination.judge(docs, items)) == want and sum(not k for _, _, k in want.values()) > 2
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+    kept = decontamination.keep_clean(docs.withColumn("overlaps", F.lit(1)).withColumn("t1", F.lit(1)), items)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x in want.items() if x[2]) and kept.columns == [*docs.columns, "overlaps", "t1"]
+
+
+def test_decontamination_edges(spark):
+    long = " ".join(f"v{i % 900}" for i in range(100_000))
+    docs = spark.createDataFrame([(None, "five words stand here alone"), (1, None), (1, ""), (2, long), (2, long), (3, "a " * 500)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Five words stand here alone"), (1, "Five words stand here alone"), (2, " ".join(f"v{i}" for i in range(100, 160))), (None, "a " * 40), (4, None), (5, "")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r["items"], r.n_matched, r.kept) for r in decontamination.judge(docs, items).collect())
+    assert got == [("1", [], 0, True), ("1", [], 0, True), ("2", [2], 20, False), ("2", [2], 20, False), ("3", [], 20, False), ("None", [1], 5, False)]
+    assert decontamination.judge(docs.limit(0), items).count() == 0
+    assert decontamination.keep_clean(docs, items.limit(0)).count() == 6
 
 
 def test_surrogates(spark):
     rows = [(1, "Call +1 (743) 555-3824 or 743-555-3824, card 4785 3805-9239 1139, Hein.19@mail5.example.com"), (2, 'Mr. John Smith met Mrs Anna SMITH at 10.2.3.4. token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (3, None), (4, "no 1 2"), (5, "hein.19@MAIL5.example.com Господин Иванов")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = as_dict(surrogates.pseudonymise(df, count=True))
+    got = as_dict(surrogates.pseudonymise(df, "k", count=True))
     assert got[3] == (None, 0) and got[4] == ("no 1 2", 0)
     for secret in ("555-3824", "9239", "ohn", "mith", "10.2.3.4", "24be64", "ein.19", "Иванов"):
         assert not any(secret.lower() in (t or "").lower() for t, _ in got.values()), secret
@@ -249,7 +319,7 @@ def test_surrogates(spark):
     assert len(digits) == 16 and sum(sum(divmod(2 * x, 10)) if i % 2 == 0 else x for i, x in enumerate(digits)) % 10 == 0
     two = re.match(r'Mr\. (\w+n) (\w+) met Mrs (\w+a) (\w+) at 2[45]\d\.', got[2][0])
     assert two and two[2].lower() == two[4].lower()
-    table = surrogates.assign(spark.createDataFrame([(i, f"user{i}@x.org 10.{i // 250}.{i % 250}.9") for i in range(1500)], "doc_id long, text string"))
+    table = surrogates.assign(spark.createDataFrame([(i, f"user{i}@x.org 10.{i // 250}.{i % 250}.9") for i in range(1500)], "doc_id long, text string"), "k")
     assert table.count() == 3000 and table.select("kind", "surrogate").distinct().count() == 3000
 
 
@@ -257,35 +327,97 @@ def test_surrogates_resolve_collisions(spark, monkeypatch):
     real = surrogates.surrogate
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, form, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(real(kind, form, attempt, key)))
     df = spark.createDataFrame([(1, "10.0.0.1 and 10.0.0.2"), (2, "10.0.0.2")], "doc_id long, text string")
-    got = as_dict(surrogates.pseudonymise(df))
+    got = as_dict(surrogates.pseudonymise(df, "k"))
     assert got[1][0].startswith("same and ") and got[2][0] == got[1][0].removeprefix("same and ") != "same"
 
 
+def test_surrogates_widen_until_they_are_distinct(spark, monkeypatch):
+    """Draws that collide for ever in their format end by getting longer."""
+    monkeypatch.setattr(surrogates, "_draw", lambda text, h: F.regexp_replace(F.regexp_replace(text, "[0-9]", "7"), "[a-zA-Z]", "x"))
+    monkeypatch.setattr(surrogates, "WIDER", 2)
+    df = spark.createDataFrame([(i, f"mail u{i:02}@a.org, call 555-10{i:02}-4444 ") for i in range(12)], "doc_id long, text string")
+    got = as_dict(surrogates.pseudonymise(df, "k", count=True))
+    assert len({x for x, _ in got.values()}) == 12 and all(n == 1 for _, n in got.values())
+
+
+def test_surrogates_against_a_plain_search(spark):
+    """Mentions found by another regular-expression engine are replaced, in place, by distinct surrogates of their kind; all else stays."""
+    import regex
+
+    extra = [(10**6, "Anna Smith met John Doe, Mr Doe and Frau Anna Schmidt; Anna left."), (10**6 + 1, None), (10**6 + 1, "12 x@y.org"), (None, "x@y.org x@y.org"), (10**6 + 2, "AKIA" + "A1" * 10 + " " + "word " * 50_000 + "10.1.2.3")]
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()] + extra
+    df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "row long, doc_id long, text string, n_replaced string")
+    out = {r.row: r for r in surrogates.pseudonymise(df, "k", count=True).collect()}
+    pattern, to, back = regex.compile(surrogates.ANY), {}, {}
+    assert len(out) == len(rows)
+    for i, (_, text) in enumerate(rows):
+        if text is None:
+            assert out[i].text is None and out[i].n_replaced == 0
+            continue
+        found, gaps = pattern.findall(text), pattern.split(text)
+        assert out[i].n_replaced == len(found) and regex.fullmatch("(.*?)".join(regex.escape(g) for g in gaps), out[i].text, regex.S)
+        new, at = [], 0
+        for k, m in enumerate(found):
+            at += len(gaps[k])
+            end = len(out[i].text) - len(gaps[-1]) if k == len(found) - 1 else out[i].text.index(gaps[k + 1], at + 1) if gaps[k + 1] else at + len(m)
+            new.append(out[i].text[at:end])
+            at = end
+        for m, x in zip(found, new, strict=True):
+            assert x != m
+            if "@" in m or regex.fullmatch(r"[0-9.]+", m) and m.count(".") == 3:
+                assert to.setdefault(m.lower(), x) == x and back.setdefault(x, m.lower()) == m.lower()
+                assert x.endswith(".example") if "@" in m else x.split(".")[0] >= "240"
+            elif not any(c.isalpha() for c in m):
+                assert [c if not c.isdigit() else "0" for c in m] == [c if not c.isdigit() else "0" for c in x]
+    one = regex.fullmatch(r"(\w+a) (\w+) met (\w+n) (\w+), Mr (\w+) and Frau (\w+a) (\w+); Anna left\.", out[len(rows) - 5].text)
+    assert one and one[4] == one[5] and one[1] == one[6] and one[2] != one[7]
+
+
+TOOL_CALL = '{"tool_calls": [{"id": "%s", "name": "%s", "arguments": %s}]}'
+
+
+def linked(spark, rows, schemas):
+    schemas = spark.createDataFrame(schemas, "name string, argument string, type string, required boolean")
+    out = tool_calls.link(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, text string, level string"), schemas)
+    return {(r.conv_id, r.call_id): r for r in out.collect()}
+
+
 def test_tool_calls(spark):
-    call = '{"tool_calls": [{"id": "%s", "name": "%s", "arguments": %s}]}'
     rows = [
-        (1, 0, call % ("a", "add", '{"x": "1", "y": "2"}')), (1, 1, '{"tool_call_id": "a", "content": "3"}'), (1, 2, call % ("b", "add", '{"y": "$a", "x": "no"}')), (1, 2, call % ("c", "add", '{"x": "$b", "y": "1"}')),
-        (2, 0, call % ("a", "nope", "{}")), (2, 0, call % ("p", "add", '{"x": "$q", "y": "1"}')), (2, 0, call % ("q", "add", '{"x": "$p", "y": "1", "z": "\\"é\\""}')), (2, 3, None), (2, 4, "tool_calls {"), (2, 5, call % ("r", "add", '{"x": "$later"}')),
+        (1, 0, TOOL_CALL % ("a", "add", '{"y": 2, "x": 1}')), (1, 1, '{"tool_call_id": "a", "content": "3"}'), (1, 2, TOOL_CALL % ("b", "add", '{"y": {"$ref": "a"}, "x": "1"}')), (1, 2, TOOL_CALL % ("c", "add", '{"x": [{"deep": {"$ref": "b"}}], "y": 1}')),
+        (2, 0, TOOL_CALL % ("a", "nope", "{}")), (2, 0, TOOL_CALL % ("p", "add", '{"x": {"$ref": "q"}, "y": 1}')), (2, 0, TOOL_CALL % ("q", "add", '{"x": {"$ref": "p"}, "y": 1, "z": "\\"é\\""}')),
+        (2, 3, None), (2, 4, '"tool_calls" {'), (2, 4, ""), (2, 5, TOOL_CALL % ("r", "add", '{"x": {"$ref": "later"}}')), (2, 6, TOOL_CALL % ("a", "add", '{"x": 1}')), (2, 6, TOOL_CALL % ("a", "add", '{"x": 1}')),
     ]
-    schemas = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "integer", True)], "name string, argument string, type string, required boolean")
-    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, text string"), schemas).collect()}
+    got = linked(spark, rows, [("add", "x", "integer", True), ("add", "y", "integer", True)])
     assert got[1, "a"].linked and got[1, "a"].content == "3" and got[1, "a"].valid and got[1, "a"].json == '{"arguments":{"x":1,"y":2},"id":"a","name":"add"}'
-    assert (got[1, "b"].level, got[1, "c"].level, got[1, "b"].problems) == (0, 1, "type:x")
-    assert got[2, "a"].problems == "unknown_tool" and got[2, "p"].level is None and got[2, "q"].level is None and got[2, "r"].level is None
+    assert [(got[1, k].level, got[1, k].place, got[1, k].problems) for k in "abc"] == [(0, 1, ""), (1, 2, "type:x"), (2, 3, "type:x")]
+    assert got[2, "a"].problems == "unknown_tool" and got[2, "a"].repeats == 2 and all(got[2, k].level is None and got[2, k].place is None for k in "pqr")
     assert got[2, "q"].problems == "unknown:z" and '"z":"\\"é\\""' in got[2, "q"].json and got[2, "r"].problems == "missing:y"
+    assert tool_calls.malformed(spark.createDataFrame(rows, "conv_id long, turn long, text string")).select("turn").collect() == [(4,)]
+    assert linked(spark, [], [("add", "x", "integer", True)]) == {}
+
+
+def test_tool_call_types(spark):
+    """JSON types are kept; a text that begins with $ is a text, and nested values are written in order."""
+    schemas = [("f", "s", "string", False), ("f", "i", "integer", False), ("f", "n", "number", False), ("f", "b", "boolean", False), ("f", "a", "array", False), ("f", "o", "object", False), ("f", "o.k", "integer", True)]
+    cases = {
+        '{"s": "$100"}': "missing:o.k", '{"s": true, "o": {"k": 1}}': "type:s", '{"i": "5", "o": {"k": 1}}': "type:i", '{"i": 5.5, "n": 5, "o": {"k": "1"}}': "type:i,type:o.k",
+        '{"n": 1e3, "b": false, "a": [], "o": {"k": {"$ref": "c0"}}}': "", '{"b": "true", "a": {}, "o": {"k": 1, "j": 2}}': "type:a,type:b,unknown:o.j", '{"i": null, "o": [1]}': "missing:o.k,type:i,type:o", "[1]": "missing:o.k",
+    }
+    got = linked(spark, [(1, i, TOOL_CALL % (f"c{i}", "f", a)) for i, a in enumerate(cases)] + [(2, 0, TOOL_CALL % ("z", "f", '{"o": {"z": [1.50, {"b": 1, "a": "é\\n"}], "k": 1}}'))], schemas)
+    assert [got[1, f"c{i}"].problems for i in range(len(cases))] == list(cases.values())
+    assert got[2, "z"].json == '{"arguments":{"o":{"k":1,"z":[1.5,{"a":"é\\n","b":1}]}},"id":"z","name":"f"}' and got[1, "c0"].level == 0
 
 
 def test_tool_calls_are_ordered_over_all_turns(spark):
-    call = '{"tool_calls": [{"id": "%s", "name": "add", "arguments": %s}]}'
-    chain = [(1, i, call % (f"c{i}", '{"x": "$c%d"}' % (i - 1) if i else "{}")) for i in range(150)]
-    one_turn = [(2, 0, call % (f"c{i:03}", '{"x": "$c%03d"}' % (i - 1) if i else "{}")) for i in range(100)]
+    ref = lambda x: '{"$ref": "%s"}' % x
+    chain = [(1, i, TOOL_CALL % (f"c{i}", "add", '{"x": %s}' % ref(f"c{i - 1}") if i else "{}")) for i in range(10_000)]
+    one_turn = [(2, 0, TOOL_CALL % (f"c{i:03}", "add", '{"x": %s}' % ref(f"c{i - 1:03}") if i else "{}")) for i in range(100)]
     needs = {"a": "", "b": "a", "c": "ab", "d": "bc", "e": "da", "p": "q", "q": "p", "r": "pa", "s": "r", "t": "?", "u": "te", "v": "v", "w": "z", "z": "a"}
-    mixed = [(3, i, call % (k, "{%s}" % ", ".join(f'"{n}": "${x}"' for n, x in enumerate(v)).replace("$?", "$unknown"))) for i, (k, v) in enumerate(needs.items())]
-    schemas = spark.createDataFrame([("add", "x", "string", False)], "name string, argument string, type string, required boolean")
-    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(spark.createDataFrame(chain + one_turn + mixed, "conv_id long, turn long, text string"), schemas).collect()}
-    assert all((got[1, f"c{i}"].depth, got[1, f"c{i}"].place, got[1, f"c{i}"].level) == (i, i + 1, 0) for i in range(150))
-    assert all((got[2, f"c{i:03}"].depth, got[2, f"c{i:03}"].level) == (i, i) for i in range(100))
-    depth = {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "w": 2, "z": 1}
-    assert {k: got[3, k].depth for k in needs} == {k: depth.get(k) for k in needs}
+    mixed = [(3, i, TOOL_CALL % (k, "add", "{%s}" % ", ".join(f'"{n}": {ref(x)}' for n, x in enumerate(v)))) for i, (k, v) in enumerate(needs.items())]
+    got = linked(spark, chain + one_turn + mixed, [("add", "x", "string", False)])
+    assert all((got[1, f"c{i}"].level, got[1, f"c{i}"].place) == (i, i + 1) for i in range(10_000))
+    assert all((got[2, f"c{i:03}"].level, got[2, f"c{i:03}"].place) == (i, i + 1) for i in range(100))
+    level = {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "w": 2, "z": 1}
+    assert {k: got[3, k].level for k in needs} == {k: level.get(k) for k in needs}
     assert {k: got[3, k].place for k in needs} == dict.fromkeys(needs) | {"a": 1, "b": 2, "z": 3, "c": 4, "w": 5, "d": 6, "e": 7}
-    assert got[3, "w"].level is None and got[3, "s"].level == 0

@@ -22,7 +22,7 @@ def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_spread.remove_boilerplate(_table(spark, sf_dir, "documents"), counts=True)
+    out = line_spread.remove_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -32,7 +32,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = surrogates.pseudonymise(_table(spark, sf_dir, "documents"), count=True)
+    out = surrogates.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.tidemark.surrogates.key", "key of the registered query"), count=True)
     return out.select("doc_id", "n_replaced", "text")
 
 
@@ -41,7 +41,7 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    return quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "quality.*")
 
 
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +50,15 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_schemas(spark: SparkSession) -> DataFrame:
     """The tools of tool_calls.as_tool_messages()."""
-    common = [("query", "string", True), ("limit", "integer", True)]
-    rows = [(n, a, t, r) for n in ("search", "translate", "summarise") for a, t, r in common] + [(n, "after", "string", False) for n in ("search", "summarise")]
-    return spark.createDataFrame(rows, "name string, argument string, type string, required boolean")
+    common = [("query", "string", True), ("filter", "object", True), ("filter.lang", "string", True), ("filter.limit", "integer", True), ("filter.of", "array", False)]
+    rows = [(n, *x) for n in ("search", "translate", "summarise") for x in common] + [(n, "after", "string", False) for n in ("search", "summarise")]
+    return spark.createDataFrame([*rows, ("merge", "sources", "array", True), ("merge", "weight", "integer", True)], "name string, argument string, type string, required boolean")
 
 
 def op8_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = tool_calls.as_tool_messages(_table(spark, sf_dir, "conversations"))
     out = tool_calls.link(messages, tool_schemas(spark))
-    return out.select("conv_id", "call_id", "turn", "name", "level", "result_turn", F.sha2("content", 256).alias("content_sha256"), "linked", "valid", "problems", F.sha2("json", 256).alias("json_sha256"))
+    return out.select("conv_id", "call_id", "turn", "name", "level", "place", "result_turn", F.sha2("content", 256).alias("content_sha256"), "linked", "valid", "problems", F.sha2("json", 256).alias("json_sha256"))
 
 
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,24 +90,26 @@ FROM m GROUP BY doc_id
 
 
 OP8_SQL = r"""
-WITH c AS (
-  SELECT conv_id, turn, any_value(text) AS text, length(any_value(text)) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+WITH u AS (
+  SELECT conv_id, turn, coalesce(min(text), '') AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
 ), r AS (
-  SELECT conv_id, turn, any_value(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+  SELECT conv_id, turn, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
 ), k AS (
-  SELECT c.*, concat('c', conv_id, '-', turn) AS call_id, ['search', 'translate', 'summarise'][n % 3 + 1] AS name,
-    CASE WHEN conv_id % 5 = 0 THEN concat('n', n) ELSE concat('', n) END AS lim, CASE WHEN turn >= 2 THEN concat('$c', conv_id, '-', turn - 2) END AS after
-  FROM c
-), lv AS (
-  SELECT k.*, CASE WHEN after IS NULL OR EXISTS (SELECT 1 FROM c o WHERE o.conv_id = k.conv_id AND o.turn = k.turn - 2) THEN 0 END AS level FROM k
-), p AS (
-  SELECT lv.*, concat_ws(',', CASE WHEN conv_id % 5 = 0 THEN 'type:limit' END, CASE WHEN after IS NOT NULL AND name = 'translate' THEN 'unknown:after' END) AS problems FROM lv
+  SELECT *, length(text) AS n, concat('c', conv_id, '-', turn) AS id, concat('c', conv_id, '-', turn - 2) AS before,
+    conv_id % 11 <> 0 AND count(*) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) = turn // 2 + 1 AS ordered FROM u
+), c AS (
+  SELECT conv_id, turn, concat(id, 'a') AS call_id, ['search', 'translate', 'summarise'][n % 3 + 1] AS name, CASE WHEN ordered THEN turn // 2 * 2 END AS level,
+    concat_ws(',', CASE WHEN conv_id % 5 = 0 THEN 'type:filter.limit' END, CASE WHEN turn >= 2 AND n % 3 = 1 THEN 'unknown:after' END) AS problems,
+    concat('{', CASE WHEN turn >= 2 THEN concat('"after":{"$ref":"', before, 'b"},') ELSE '' END, '"filter":{"lang":"en","limit":', CASE WHEN conv_id % 5 = 0 THEN concat('"', n, '"') ELSE concat('', n) END,
+      CASE WHEN conv_id % 11 = 0 THEN concat(',"of":[{"$ref":"', id, 'b"}]') ELSE '' END, '},"query":', to_json(text), '}') AS arguments FROM k
+  UNION ALL
+  SELECT conv_id, turn, concat(id, 'b'), 'merge', CASE WHEN ordered THEN turn // 2 * 2 + 1 END, CASE WHEN n % 2 = 1 THEN 'type:weight' ELSE '' END,
+    concat('{"sources":[{"$ref":"', id, 'a"}],"weight":', n // 2, CASE WHEN n % 2 = 1 THEN '.5' ELSE '' END, '}') FROM k
 )
-SELECT p.conv_id, call_id, p.turn, name, level,
+SELECT c.conv_id, call_id, c.turn, name, level, CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY c.conv_id ORDER BY level NULLS LAST, c.turn, call_id) END AS place,
   r.turn AS result_turn, sha256(r.content) AS content_sha256, r.turn IS NOT NULL AS linked, problems = '' AS valid, problems,
-  sha256(concat('{"arguments":{', CASE WHEN after IS NOT NULL THEN concat('"after":', to_json(after), ',') ELSE '' END, '"limit":', CASE WHEN p.conv_id % 5 = 0 THEN to_json(lim) ELSE lim END,
-    ',"query":', to_json(text), '},"id":"', call_id, '","name":"', name, '"}')) AS json_sha256
-FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.turn = p.turn + 1
+  sha256(concat('{"arguments":', arguments, ',"id":"', call_id, '","name":"', name, '"}')) AS json_sha256
+FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND name = 'merge'
 """
 
 

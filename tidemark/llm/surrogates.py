@@ -1,18 +1,20 @@
 """Keyed, type-consistent surrogates for personal data, in DataFrame functions only.
 
 Entities are found by one regular expression: e-mail and IPv4 addresses, payment cards,
-telephone and social-security numbers, bank accounts, secrets, and names after a title.
+telephone and social-security numbers, bank accounts, secrets, names after a title, and
+names that begin with one of a list of given names. Other names are not found.
 A mention has parts (a name: given and family name; else itself) with a kind and a
 canonical form, so all mentions of an entity, in whatever format, get one surrogate
 (coreference). The surrogate follows from SHA-512 of key, kind, canonical form and
 attempt. It keeps what the kind asks for: length, character classes and separators,
-the title's gender and the script of names, Luhn digits of cards. Addresses stay in
-reserved ranges (.example, 240.0.0.0/4).
+the gender of the given name or else of the title, the script of names, Luhn digits of cards.
+Addresses stay in reserved ranges (.example, 240.0.0.0/4).
 
 Collision checks run over the table of distinct parts: a surrogate that a smaller part
 of its kind has too, or that is itself a part in the corpus, is drawn again with the
-next attempt until none is left. Only parts with later attempts (as a rule none) are
-joined back; otherwise texts are replaced in place, without a shuffle.
+next attempt until none is left. From attempt WIDER on a surrogate has one more character or
+syllable with each attempt (an IP address is one of 2001:db8::/32), so however many entities a
+corpus has, the draws end. Only parts with later attempts (as a rule none) are joined back; otherwise texts are replaced in place, without a shuffle.
 
 Defined results: null texts stay null, texts without entities stay as they are; repeated
 rows are treated alike; an empty table gives an empty result; other columns pass
@@ -28,13 +30,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import keep
 
-KEY, MOST_ATTEMPTS = "change-me", 12
+WIDER = 8
 #: Titles that come before names, by gender.
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа", "Κυρία"],
     "n": ["Dr", "Prof"],
 }
+#: Given names that begin a person's name without a title, by gender.
+GIVEN = {
+    "f": "Anna Maria Laura Julia Sarah Emma Sophie Marie Claire Elena Olga Irina Lucia Carmen Isabel Rosa Katharina Ingrid Petra Monika Alice Emily Jane Mary Elizabeth Susan Linda Karen Nancy Helen".split(),
+    "m": "John James Robert Michael William David Richard Thomas Charles Daniel Paul Mark George Peter Hans Karl Klaus Jürgen Wolfgang Stefan Pierre Jean Jacques Michel Carlos José Juan Luis Miguel Pedro".split(),
+}
 #: Syllables of names by script, and endings of given names by gender.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ha he ka ke la le lo ma me mi na ne no ra re ri ro sa se ta te to va ve vi wa za".split(),
@@ -43,6 +50,7 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "n", "f": "a", "n": "e"}, "cyrillic": {"m": "н", "f": "а", "n": "е"}, "greek": {"m": "ς", "f": "α", "n": "ε"}}
 _TITLE = "(?:" + "|".join(t for x in TITLES.values() for t in x) + ")\\.?"
+_GIVEN = "(?:" + "|".join(n for x in GIVEN.values() for n in x) + ")"
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
@@ -52,11 +60,11 @@ PATTERNS = {
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])(?:\\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|\\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "person": f"(?<![\\p{{L}}]){_TITLE} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9])(?: \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))?",
+    "person": f"(?<![\\p{{L}}])(?:{_TITLE} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9])(?: \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))?|{_GIVEN} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))",
 }
 ANY = "|".join(PATTERNS.values())
 #: What every entity contains: texts without it aren't searched.
-HINT = f"[0-9@]|{_TITLE} "
+HINT = f"[0-9@]|(?:{_TITLE}|{_GIVEN}) "
 _DIGITS = ("card", "ssn", "phone")
 _P = "__pii_"
 _PART = "struct<kind:string,form:string>"
@@ -75,8 +83,10 @@ def _script(name: Column) -> Column:
 
 
 def _gender(m: Column) -> Column:
-    found = lambda g: m.rlike("^(?:" + "|".join(TITLES[g]) + ")\\.? ")
-    return F.when(found("m"), "m").when(found("f"), "f").otherwise("n")
+    """The gender of the given name, else of the title."""
+    title = lambda g: m.rlike("^(?:" + "|".join(TITLES[g]) + ")\\.? ")
+    given = F.regexp_extract(m, f"^(?:{_TITLE} )?(\\S+) ", 1)
+    return F.when(given.isin(*GIVEN["f"]), "f").when(given.isin(*GIVEN["m"]), "m").when(title("m"), "m").when(title("f"), "f").otherwise("n")
 
 
 def _parts(m: Column) -> Column:
@@ -112,14 +122,14 @@ def _luhn(digits: Column) -> Column:
     return F.concat(digits, ((10 - total % 10) % 10).cast("string"))
 
 
-def _name(kind: Column, h: Column) -> Column:
+def _name(kind: Column, h: Column, more: Column) -> Column:
     gender, script = F.split(kind, ":")[1], F.split(kind, ":")[2]
 
     def of(s: str) -> Column:
         syllables, n = F.array(*map(F.lit, SYLLABLES[s])), len(SYLLABLES[s])
-        two = lambda k: F.element_at(syllables, (_byte(h, F.lit(2 * k)) * 256 + _byte(h, F.lit(2 * k + 1))) % n + 1)
+        two = lambda k: F.element_at(syllables, (_byte(h, 2 * k) * 256 + _byte(h, 2 * k + 1)) % n + 1)
         end = F.when(kind.startswith("given"), reduce(lambda c, g: c.when(gender == g, F.lit(ENDINGS[s][g])), ENDINGS[s], F).otherwise("")).otherwise("")
-        return F.concat(*(two(k) for k in range(4)), end)
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), 3 + more), two), ""), end)
 
     return reduce(lambda c, s: c.when(script == s, of(s)), SYLLABLES, F).otherwise(of("latin"))
 
@@ -127,18 +137,20 @@ def _name(kind: Column, h: Column) -> Column:
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of a part."""
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 512)
-    drawn = _draw(form, h)
+    more = F.greatest(attempt - (WIDER - 1), F.lit(0)).cast("int")
+    drawn = F.concat(_draw(form, h), F.substr(F.translate(h, "abcdef", "012345"), F.lit(101), more))
     parts = F.split(form, "@")
-    email = F.concat(_draw(parts[0], h), F.lit("@"), F.regexp_replace(_draw(parts[1], F.sha2(h, 512)), "\\.[^.]*$", ".example"))
-    ip = F.concat_ws(".", (240 + _byte(h, F.lit(0)) % 15).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3)))
-    secret = F.when(form.rlike("^[0-9a-f]+$"), F.substr(h, F.lit(1), F.length(form))).otherwise(F.concat(F.regexp_extract(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", 0), _draw(F.regexp_replace(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", ""), h)))
-    card = F.when(F.length(form) == 16, _luhn(F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(14))))).otherwise(drawn)
-    iban = F.concat(F.substr(form, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3), F.length(form)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("phone", "ssn"), drawn).otherwise(_name(kind, h))
+    email = F.concat(_draw(parts[0], h), F.substr(h, F.lit(101), more), F.lit("@"), F.regexp_replace(_draw(parts[1], F.sha2(h, 512)), "\\.[^.]*$", ".example"))
+    ip6 = F.concat(F.lit("2001:db8::"), F.substr(h, F.lit(101), F.lit(4)), F.lit(":"), F.substr(h, F.lit(105), F.lit(4)), F.lit(":"), F.substr(h, F.lit(109), F.lit(4)))
+    ip = F.when(more > 0, ip6).otherwise(F.concat_ws(".", (240 + _byte(h, F.lit(0)) % 15).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3))))
+    secret = F.when(form.rlike("^[0-9a-f]+$"), F.substr(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(form) + more)).otherwise(F.concat(F.regexp_extract(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", 0), _draw(F.regexp_replace(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", ""), h), F.substr(h, F.lit(101), more)))
+    card = F.when(F.length(form) == 16, F.concat(_luhn(F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(14))), F.substr(drawn, F.lit(17), more)))).otherwise(drawn)
+    iban = F.concat(F.substr(form, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3), F.length(drawn)))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("phone", "ssn"), drawn).otherwise(_name(kind, h, more))
 
 
 def _fill(mention: Column, chars: str, value: Column) -> Column:
-    """A mention with its last characters of a class replaced, one by one, by those of a value."""
+    """A mention with its last characters of a class replaced, one by one, by those of a value; a value with more characters stands as it is."""
     count = lambda t: F.length(F.regexp_replace(t, f"[^{chars}]", ""))
     kept = count(mention) - F.length(value)
 
@@ -146,7 +158,7 @@ def _fill(mention: Column, chars: str, value: Column) -> Column:
         nth = count(F.substr(mention, F.lit(1), i + 1)) - kept
         return F.when(c.rlike(f"[{chars}]") & (nth > 0), F.substr(value, nth, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(mention, ""), char), "")
+    return F.when(kept < 0, value).otherwise(F.array_join(F.transform(F.split(mention, ""), char), ""))
 
 
 def _render(mention: Column, attempts: Column, key: str) -> Column:
@@ -166,12 +178,12 @@ def _mentions(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def assign(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def assign(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The distinct parts of the table with their surrogates: `kind`, `form`, `attempt`, `surrogate`; surrogates of a kind are distinct and no parts of the table."""
     parts = docs.select(F.explode(_mentions(F.col(text_col))).alias("m")).distinct().select(F.explode(_parts(F.col("m"))).alias("p")).select("p.*").distinct()
     table = keep(parts.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)))
     forms = table.select(F.split("kind", ":")[0].alias("base"), F.col("form").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    for _ in range(MOST_ATTEMPTS):
+    while True:
         base = F.split("kind", ":")[0]
         taken = table.groupBy(base.alias("base"), "surrogate").agg(F.min(F.struct("attempt", "kind", "form")).alias("first"), F.count("*").alias("n"))
         taken = taken.join(forms, ["base", "surrogate"], "left").filter("n > 1 OR real")
@@ -181,12 +193,14 @@ def assign(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame
         again = F.coalesce("real", F.lit(False)) | ((F.col("n") > 1) & ~((F.col("first.kind") == F.col("kind")) & (F.col("first.form") == F.col("form"))))
         bad = bad.select("kind", "form", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt"))
         table = keep(bad.withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)))
-    raise RuntimeError("surrogates still collide")
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, count: bool = False) -> DataFrame:
-    """The rows of `docs` with surrogates in place of entities; with `count` also `n_replaced`."""
-    later = assign(docs, text_col, key).filter("attempt > 0").select("kind", "form", "attempt")
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
+    """The rows of `docs` with surrogates in place of entities; with `count` also `n_replaced` (a column of that name goes)."""
+    if not key:
+        raise ValueError("a secret key is needed")
+    docs = docs.drop("n_replaced") if count else docs
+    later = assign(docs, key, text_col).filter("attempt > 0").select("kind", "form", "attempt")
     none = F.array().cast("array<struct<kind:string,form:string,attempt:int>>")
     df = docs.withColumn(f"{_P}mentions", _mentions(F.col(text_col)))
     if later.isEmpty():
