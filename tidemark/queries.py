@@ -348,12 +348,18 @@ def mine_templates(spark, sf_dir):
     return templates.templates(lines, templates.mine(lines)).select("source", "size", "template")
 
 
-@query("SELECT 1.0 AS accuracy")
+@query("SELECT round(count(*) FILTER (event_type <> 'view' AND NOT (event_type = 'click' AND event_id % 4 = 1) AND event_type <> 'error') / count(*), 6) AS accuracy FROM events")
 def template_accuracy(spark, sf_dir):
+    """Views are split in two by their length, errors take in a quarter of the clicks: neither is a right group, nor are those clicks."""
     e = table(spark, sf_dir, "events")
-    lines = e.select(F.lit("all").alias("source"), F.col("event_id").alias("line_id"), line(F.col("event_type"), " by user ", F.col("user_id"), " took ", F.col("event_id"), " ms").alias("text"), "event_type")
+    t, i = F.col("event_type"), F.col("event_id")
+    tail = F.when((t == "view") & (i % 2 == 1), " long ms").otherwise(" ms")
+    stray = (t == "click") & (i % 4 == 1)
+    text = line(F.when(stray, "error").otherwise(t), " by user ", F.col("user_id"), " took ", i, tail)
+    truth = F.when(stray, "strayed").otherwise(t)
+    lines = e.select(F.lit("all").alias("source"), i.alias("line_id"), text.alias("text"), truth.alias("truth"))
     mined = templates.mine(lines).select("line_id", F.col("first_id").alias("predicted"))
-    return templates.grouping_accuracy(mined.join(lines.select("line_id", F.col("event_type").alias("truth")), "line_id"))
+    return templates.grouping_accuracy(mined.join(lines.select("line_id", "truth"), "line_id"))
 
 
 def _customer_records(spark, sf_dir):
