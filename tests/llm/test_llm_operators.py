@@ -201,12 +201,46 @@ def test_pitman_yor(spark, rows, docs):
 
 
 def test_pitman_yor_is_a_distribution(spark):
-    """Probabilities of all known tokens and the unknown one sum to one in a context (the start of a text)."""
-    train = [(i, "a b a c") for i in range(40)]
-    probe = [(10_000 + i, t) for i, t in enumerate(["a", "b", "c", "zzz", ""])]
-    df = spark.createDataFrame([r for r in train + probe], "doc_id long, text string")
-    got = as_dict(pitman_yor.score(df))
-    assert all(v[5] < 0 for v in got.values())
+    """Probabilities of all known tokens, the end and the unknown token sum to one, at a text's start and after a word.
+
+    All words end in "aa", so every word leads to one context; its end probability follows from its sum, and the start's sum is then known.
+    """
+    rng = random.Random(3)
+    vocabulary = [f"{c}aa" for c in "bcdfghklm"]
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [(10_000 + i, " ".join(rng.choices(vocabulary, range(1, 10), k=rng.randint(1, 12)))) for i in range(300)]
+    probes = ["", "zzaa", *vocabulary, *(f"baa {w}" for w in [*vocabulary, "zzaa"])]
+    got = as_dict(pitman_yor.score(spark.createDataFrame([*train, *zip(free, probes)], "doc_id long, text string"), bucket_bytes=600))
+    p = {t: 10 ** got[d][5] for d, t in zip(free, probes)}
+    assert all(got[d][0] for d, _ in zip(free, probes))
+    end = 1 - sum(p[f"baa {w}"] for w in [*vocabulary, "zzaa"]) / p["baa"]
+    assert 0 < end < 1 and p[""] + (sum(p[w] for w in vocabulary) + p["zzaa"]) / end == pytest.approx(1, abs=1e-4)
+    assert end == pytest.approx(1 / 7.5, abs=0.05)  # a text has 6.5 words on average
+
+
+@pytest.mark.parametrize("customers", [6, 60])
+def test_gibbs_sweeps_reach_the_exact_distribution(customers):
+    """Tables of dishes after sweeps from one table each, against their exact distribution: new ** tables times generalised Stirling numbers."""
+    d, new, n = 0.8, 2.0, 3000
+    ways = {1: 1.0}
+    for i in range(1, customers):
+        ways = {t: (ways.get(t - 1, 0) + max(i - d * t, 0) * ways.get(t, 0)) / i for t in range(1, i + 2)}
+    weight = {t: w * new**t for t, w in ways.items()}
+    exact = sum(t * w for t, w in weight.items()) / sum(weight.values())
+    rng, count = np.random.default_rng(5), np.full(n, customers)
+    seats = pitman_yor.Seats(np.ones(n), count, d)
+    several = np.repeat(np.arange(n), -(-customers // pitman_yor.STEPS))
+    for _ in range(25 * pitman_yor.STEPS):
+        seats.leave(several, rng)
+        seats.sit(several, np.full(len(several), new), rng)
+    assert (seats.customers == customers).all() and seats.tables.sum() == len(seats.sizes) and seats.sizes.sum() == n * customers
+    assert seats.tables.mean() == pytest.approx(exact, rel=0.05)
+
+
+def test_equal_fingerprints_of_unequal_phrases_are_told_apart():
+    text, off = np.frombuffer(b"aaaabbbbaaaacc", np.uint8), np.array([0, 4, 8, 12, 14])
+    names = run_length_index._told_apart(text, off, np.array([7, 7, 7, 7], np.uint64)).tolist()
+    assert names[0] == names[2] and len(set(names)) == 3
 
 
 def test_quality(spark, rows, docs):

@@ -2,7 +2,8 @@
 
 A corpus operator often has to know, of millions of fingerprints in each document,
 which ones other documents have. One Spark row for each fingerprint costs more than
-the fingerprint. Here documents are dealt into batches by a hash of their id, a task
+the fingerprint. Here documents are dealt into batches by a hash of id and text (so rows
+without id, or with one id, are no batch of their own), a task
 packs what a batch asks of a bucket (a range of key hashes) into one row, the bucket
 answers every batch that asked with one packed row, and a cogroup brings the answers
 back to the batch, where the question is derived again from the text to line up with
@@ -52,7 +53,7 @@ class Batch:
 def corpus(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Corpus:
     df = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    batch = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-size // batch_bytes)))).cast("int")
+    batch = F.pmod(F.xxhash64("doc", "text"), F.lit(max(1, -(-size // batch_bytes)))).cast("int")
     return Corpus(df.select(batch.alias("batch"), "doc", "text"), max(1, -(-size // bucket_bytes)))
 
 

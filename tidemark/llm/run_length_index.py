@@ -8,7 +8,8 @@ cover it and overlap by WIDTH - 1 bytes (a prefix-free parse).
 
 Spark exchange 1 tells each batch of documents which anchors other documents have;
 only their phrases go on, each distinct one of a batch once, with its least document.
-In exchange 2 a shard holds the phrase dictionary of its anchors. An anchor with one
+In exchange 2 a shard holds the phrase dictionary of its anchors; phrases of one fingerprint are
+compared byte by byte. An anchor with one
 phrase needs no index: every string of the phrase has the phrase's documents. The
 phrases of the other anchors are laid end to end and their Burrows-Wheeler transform,
 sorted by contexts of WIDTH bytes, is kept as runs, with each run's first rank. Rows
@@ -188,6 +189,7 @@ def _reply(batches: list[int], columns: list[list[bytes]], width: int) -> Iterat
     text = np.frombuffer(b"".join(columns[3]), np.uint8)
     off = np.concatenate([[0], np.cumsum(count + width - 1)])
     prints = mix(_prints(text, off)) + count.astype(U64)
+    prints = _told_apart(text, off, prints)
     _, first, at = np.unique(prints, return_index=True, return_inverse=True)
     least = np.full(len(first), NO_ID)
     np.minimum.at(least, at, doc)
@@ -208,6 +210,29 @@ def _reply(batches: list[int], columns: list[list[bytes]], width: int) -> Iterat
         yield batch, [np.packbits(docs < np.repeat(doc[own], count[own])).tobytes()]
 
 
+def _told_apart(text: np.ndarray, off: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Names of phrases that are equal only for equal bytes: phrases with one fingerprint are compared, those that differ get names of their own."""
+    _, first, at = np.unique(prints, return_index=True, return_inverse=True)
+    size = np.diff(off)
+    rest = np.flatnonzero(first[at] != np.arange(len(prints)))
+    bad = []
+    for a in range(0, len(rest), 1 << 12):
+        own, other = rest[a : a + (1 << 12)], first[at[rest[a : a + (1 << 12)]]]
+        same = size[own] == size[other]
+        own, other, wrong = own[same], other[same], own[~same]
+        n = size[own]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        equal = text[np.repeat(off[own], n) + inner] == text[np.repeat(off[other], n) + inner]
+        ok = np.logical_and.reduceat(equal, np.cumsum(n) - n) if len(own) else np.empty(0, bool)
+        bad += [*wrong.tolist(), *own[~ok].tolist()]
+    if bad:
+        prints = prints.copy()
+        names: dict[bytes, int] = {}
+        for i in bad:
+            prints[i] = names.setdefault(text[off[i] : off[i + 1]].tobytes(), int(mix(np.array([i + 1], U64))[0] ^ prints[i]))
+    return prints
+
+
 def _prints(text: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = []
     for a, b in pieces(off, PIECE_BYTES):
