@@ -144,7 +144,8 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     ip6 = F.concat(F.lit("2001:db8::"), F.substr(h, F.lit(101), F.lit(4)), F.lit(":"), F.substr(h, F.lit(105), F.lit(4)), F.lit(":"), F.substr(h, F.lit(109), F.lit(4)))
     ip = F.when(more > 0, ip6).otherwise(F.concat_ws(".", (240 + _byte(h, F.lit(0)) % 15).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3))))
     secret = F.when(form.rlike("^[0-9a-f]+$"), F.substr(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(form) + more)).otherwise(F.concat(F.regexp_extract(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", 0), _draw(F.regexp_replace(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", ""), h), F.substr(h, F.lit(101), more)))
-    card = F.when(F.length(form) == 16, F.concat(_luhn(F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(14))), F.substr(drawn, F.lit(17), more)))).otherwise(drawn)
+    checked = _luhn(F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(14))))
+    card = F.when(F.length(form) == 16, F.concat(checked, F.substr(drawn, F.lit(17), more))).otherwise(drawn)
     iban = F.concat(F.substr(form, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3), F.length(drawn)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("phone", "ssn"), drawn).otherwise(_name(kind, h, more))
 

@@ -60,8 +60,9 @@ def calls_of(messages: DataFrame) -> DataFrame:
 
 
 def malformed(messages: DataFrame) -> DataFrame:
-    """Messages that mention calls or results but hold no JSON (or an object with a key twice): their calls can't be read."""
-    return messages.filter((F.col("text").contains('"tool_calls"') | F.col("text").contains('"tool_call_id"')) & F.try_parse_json("text").isNull())
+    """Messages that mention calls or results but hold no JSON object (or one with a key twice): their calls can't be read."""
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
+    return messages.filter((F.col("text").contains('"tool_calls"') | F.col("text").contains('"tool_call_id"')) & ~is_object)
 
 
 def results_of(messages: DataFrame) -> DataFrame:
