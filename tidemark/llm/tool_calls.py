@@ -35,13 +35,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import keep
+from tidemark.llm.shared import released, written
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 _REF = r'\{"\$ref":"((?:[^"\\]|\\.)*)"\}'
-#: Copies of what calls need, so that one call that many others need meets many tasks.
-SALTS = 8
+#: Calls that meet what they need in one task.
+MOST_WAITING = 1000
 _ON = ["conv_id", "call_id"]
 
 
@@ -70,20 +70,21 @@ def results_of(messages: DataFrame) -> DataFrame:
     return parsed.select("conv_id", F.col("turn").alias("result_turn"), F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content")).filter("call_id IS NOT NULL")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(*_ON), F.lit(SALTS)).cast("int"))
+def _dealt(waiting: DataFrame, known: DataFrame) -> DataFrame:
+    """`waiting` (`conv_id`, `call_id`, `needs`) joined with `known` (`conv_id`, `needs`, ...) on what is needed; a call that more than MOST_WAITING need is copied, so that they meet in several tasks."""
+    hot = waiting.groupBy("conv_id", "needs").agg(F.ceil(F.count("*") / MOST_WAITING).cast("int").alias("parts")).filter("parts > 1")  # one in MOST_WAITING rows at most
+    parts = F.coalesce("parts", F.lit(1))
+    left = waiting.join(hot, ["conv_id", "needs"], "left").withColumn("salt", F.pmod(F.xxhash64(*_ON), parts).cast("int")).drop("parts")
+    right = known.join(hot, ["conv_id", "needs"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["conv_id", "needs", "salt"]).drop("salt")
 
 
 def needs_of(calls: DataFrame) -> DataFrame:
     """`conv_id`, `call_id`, `needs`, `known`: one row for each identifier that a call names."""
     refs = F.transform(F.regexp_extract_all("arguments", F.lit(_REF), F.lit(1)), lambda x: F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), x, F.lit('"'))), "$", "string"))
-    edges = _salted(calls.select(*_ON, F.explode(F.array_distinct(refs)).alias("needs")))
-    named = _spread(calls.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("known")))
-    return edges.join(named, ["conv_id", "needs", "salt"], "left").select(*_ON, "needs", F.coalesce("known", F.lit(False)).alias("known"))
+    edges = written(calls.select(*_ON, F.explode(F.array_distinct(refs)).alias("needs")))
+    met = _dealt(edges, calls.select("conv_id", F.col("call_id").alias("needs"))).select(*_ON, "needs", F.lit(True).alias("known"))
+    return edges.join(met, [*_ON, "needs"], "left").select(*_ON, "needs", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def longest(edges: DataFrame) -> DataFrame:
@@ -92,20 +93,20 @@ def longest(edges: DataFrame) -> DataFrame:
     `edges` has `conv_id`, `call_id`, `needs`; a call that can't be met needs itself.
     """
     # calls reached by `step` steps; `done` has the longest chains of fewer steps that end
-    open_ = keep(edges.select(*_ON, "needs").distinct())
+    open_ = written(edges.select(*_ON, "needs").distinct())
     waiting = open_.select(*_ON).distinct()
     most = waiting.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     ends = open_.select("conv_id", F.col("needs").alias("call_id")).distinct().join(waiting, _ON, "left_anti")
-    done = keep(ends.withColumn("far", F.lit(0).cast("long")))
+    done = written(ends.withColumn("far", F.lit(0).cast("long")))
     step = 1
     # a chain of more steps than a conversation has calls with needs never ends
     while step <= most and not open_.isEmpty():
-        there = _spread(done.select("conv_id", F.col("call_id").alias("needs"), (F.col("far") + step).alias("far")))
-        at = _salted(open_)
-        done = keep(done.unionByName(at.join(there, ["conv_id", "needs", "salt"]).select(*_ON, "far")).groupBy(*_ON).agg(F.max("far").alias("far")))
-        onward = _spread(open_.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("onward")))
-        open_ = keep(at.join(onward, ["conv_id", "needs", "salt"]).select(*_ON, F.col("onward").alias("needs")).distinct())
-        step *= 2
+        there = done.select("conv_id", F.col("call_id").alias("needs"), (F.col("far") + step).alias("far"))
+        more = written(done.unionByName(_dealt(open_, there).select(*_ON, "far")).groupBy(*_ON).agg(F.max("far").alias("far")))
+        onward = open_.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("onward"))
+        further = written(_dealt(open_, onward).select(*_ON, F.col("onward").alias("needs")).distinct())
+        released(done, *([open_] if step > 1 else []))  # the first one is read again below
+        done, open_, step = more, further, 2 * step
     endless = open_.select(*_ON, F.lit(True).alias("endless")).distinct()
     return waiting.join(done, _ON, "left").join(endless, _ON, "left").select(*_ON, F.when(F.col("endless").isNull(), F.col("far")).alias("far"))
 
@@ -125,7 +126,7 @@ def places(levelled: DataFrame) -> DataFrame:
     (conversation, range) counts says how many of a conversation come before the range.
     """
     order = ["conv_id", "level", "turn", "call_id"]
-    ranged = keep(levelled.filter("level IS NOT NULL").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ranged = written(levelled.filter("level IS NOT NULL").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n"))
     within = ranged.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order[1:])))
@@ -176,7 +177,7 @@ def canonical(call_id: Column, name: Column, arguments: Column) -> Column:
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call of `messages` (`conv_id`, `turn`, `text`): its order, result, problems and canonical JSON."""
     messages = messages.select("conv_id", "turn", "text")
-    calls = keep(calls_of(messages))
+    calls = written(calls_of(messages))
     first = results_of(messages).join(calls.select(*_ON, "turn"), _ON).filter("result_turn >= turn")
     first = first.groupBy(*_ON).agg(F.min(F.struct("result_turn", "content")).alias("r")).select(*_ON, "r.*")
     df = calls.join(places(levels(calls)), _ON, "left").join(first, _ON, "left").join(problems(calls, schemas), _ON, "left")
