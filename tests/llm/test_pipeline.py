@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pytest
 
 import corpus_pipeline
 from tidemark.llm.quality import ALLOWANCE, CLASSES, COMMON_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE
@@ -134,3 +135,29 @@ def test_last_stage_decodes(spark):
     odd = spark.createDataFrame([(-1, None), (-2, texts[-2])], "doc_id long, text string")
     got = dict(corpus_pipeline.STAGES[-1][1](spark, docs.select("doc_id", "text").union(odd), SF).select("doc_id", "decoded").collect())
     assert got == {d: lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for d, t in texts.items()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, overlaps string, t1 string, keys string, salt string, n_lines string"
+
+
+def edge_rows():
+    good = " ".join(f"the {w} of" for w in ("river", "house", "garden", "winter", "letter", "market", "window", "bridge"))
+    long = " ".join(f"word{i % 4000}" for i in range(30_000))
+    rows = [(1, good), (1, good), (2, good), (None, good), (3, None), (4, ""), (5, " \n "), (6, "one two"), (7, long), (8, long + " end")]
+    return [(d, t, "en" if i % 2 else None, None if i % 3 else "s", 1, "q", "o", "t", "k", "s", "n") for i, (d, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_handle_edges(spark, stage):
+    """Nulls, empty and very long texts, repeated rows and clashing columns don't fail a stage; all but the last keep the columns."""
+    docs = spark.createDataFrame(edge_rows(), SCHEMA)
+    name, f = corpus_pipeline.STAGES[stage]
+    out = f(spark, docs, SF)
+    rows = out.collect()
+    assert f(spark, docs.limit(0), SF).count() == 0
+    ids = sorted((str(r.doc_id) for r in rows), key=str)
+    if stage < 4:
+        assert out.columns == docs.columns
+    every = sorted(str(r[0]) for r in edge_rows())
+    want = {"line_dedup": every, "decontaminate": every, "tokenise": every, "near_dedup": ["1", "1", "3", "4", "5", "6", "7", "None"]}
+    assert ids == want.get(name, ids) and (name != "quality_rules" or not {"3", "4", "5", "6"} & set(ids))
