@@ -19,27 +19,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are close to their language's references."""
+    """Documents that pass the base rules and are close to their language's references.
+
+    Null and empty texts go (they have fewer words than the rules ask for); a null or unknown language uses the
+    reference of all others; repeated rows are judged alike; an empty table stays empty.
+    """
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without lines that several sites share, but for each line's first occurrence."""
+    """All documents without lines that several sites share, but for each line's first occurrence.
+
+    No row goes. Null texts stay null; a null source is one site; a null id comes last; rows alike lose the same lines.
+    """
     return line_spread.remove_boilerplate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity 0.8."""
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8.
+
+    The least id of a group stays, with all its rows; rows without id, and texts without words, always stay.
+    """
     return near_duplicates.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no item of the benchmark."""
+    """Documents that overlap no item of the benchmark.
+
+    Null and empty texts overlap nothing; copies are judged alike; an empty benchmark keeps all.
+    """
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE ids of every document, and the text that they decode to."""
+    """BPE ids of every document, and the text that they decode to; a null text is encoded as the empty one."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
