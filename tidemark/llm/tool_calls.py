@@ -12,7 +12,8 @@ stand behind such calls, have neither.
 
 Levels come from pointer doubling over the needs: rounds grow with the logarithm of the
 longest chain, without a limit. A round's rows are pairs of a call and one that it reaches by so
-many steps: as many as calls for chains, more where calls need several others. Places are
+many steps: as many as calls for chains, more where calls need several others (calls in or behind
+a cycle leave as soon as that is seen). Places are
 counted over sorted ranges of all calls, so that one long conversation is no single task.
 
 Arguments are parsed as VARIANT, with their JSON types, and checked against a table of
@@ -92,22 +93,26 @@ def longest(edges: DataFrame) -> DataFrame:
 
     `edges` has `conv_id`, `call_id`, `needs`; a call that can't be met needs itself.
     """
-    # calls reached by `step` steps; `done` has the longest chains of fewer steps that end
-    open_ = written(edges.select(*_ON, "needs").distinct())
-    waiting = open_.select(*_ON).distinct()
+    # calls reached by `step` steps; `done` has the longest chains of fewer steps that end, `lost` the calls known to stand in or behind a cycle
+    open_ = first = written(edges.select(*_ON, "needs").distinct())
+    waiting = first.select(*_ON).distinct()
     most = waiting.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     ends = open_.select("conv_id", F.col("needs").alias("call_id")).distinct().join(waiting, _ON, "left_anti")
-    done = written(ends.withColumn("far", F.lit(0).cast("long")))
+    done, lost = written(ends.withColumn("far", F.lit(0).cast("long"))), written(open_.limit(0).select(*_ON))
     step = 1
     # a chain of more steps than a conversation has calls with needs never ends
     while step <= most and not open_.isEmpty():
+        behind = open_.join(lost.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]).select(*_ON)
+        now_lost = written(lost.unionByName(open_.filter("call_id = needs").select(*_ON)).unionByName(behind).distinct())
+        left = written(open_.join(now_lost, _ON, "left_anti"))
         there = done.select("conv_id", F.col("call_id").alias("needs"), (F.col("far") + step).alias("far"))
-        more = written(done.unionByName(_dealt(open_, there).select(*_ON, "far")).groupBy(*_ON).agg(F.max("far").alias("far")))
+        more = written(done.unionByName(_dealt(left, there).select(*_ON, "far")).groupBy(*_ON).agg(F.max("far").alias("far")))
+        # lost calls still lead on what needs them, which is then found to be lost too
         onward = open_.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("onward"))
-        further = written(_dealt(open_, onward).select(*_ON, F.col("onward").alias("needs")).distinct())
-        released(done, *([open_] if step > 1 else []))  # the first one is read again below
-        done, open_, step = more, further, 2 * step
-    endless = open_.select(*_ON, F.lit(True).alias("endless")).distinct()
+        further = written(_dealt(left, onward).select(*_ON, F.col("onward").alias("needs")).distinct())
+        released(done, lost, left, *([open_] if step > 1 else []))  # the first one is read again below
+        done, lost, open_, step = more, now_lost, further, 2 * step
+    endless = lost.unionByName(open_.select(*_ON)).distinct().withColumn("endless", F.lit(True))
     return waiting.join(done, _ON, "left").join(endless, _ON, "left").select(*_ON, F.when(F.col("endless").isNull(), F.col("far")).alias("far"))
 
 
