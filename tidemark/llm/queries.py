@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
+from tidemark.llm import bpe, conversation_trie, decontamination, line_spread, near_duplicates, periodic_runs, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -69,8 +69,17 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.forked(conversation_trie.placed(_table(spark, sf_dir, "conversations")))
+    return conversation_trie.trie_of(turns).drop("node", "parent")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op4_surrogates, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op8_tool_links, op9_multi_index_minhash, op10_pitman_yor)}
+    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op4_surrogates, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op8_tool_links, op9_multi_index_minhash, op10_pitman_yor, op11_periodic_runs, op12_conversation_trie)}
 
 
 OP2_SQL = r"""
@@ -154,5 +163,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+  SELECT conv_id, string_split(CAST(conv_id AS VARCHAR), '') AS digits FROM (SELECT DISTINCT conv_id FROM o)
+), crc AS (
+  SELECT conv_id, 1 AS pos, xor(4294967295, ascii(digits[1])) AS c, 8 AS steps, digits FROM bits
+  UNION ALL
+  SELECT conv_id, CASE WHEN steps > 0 THEN pos ELSE pos + 1 END,
+    CASE WHEN steps > 0 THEN CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END ELSE xor(c, ascii(digits[pos + 1])) END,
+    CASE WHEN steps > 0 THEN steps - 1 ELSE 8 END, digits FROM crc WHERE steps > 0 OR pos < len(digits)
+), h AS (
+  SELECT conv_id, xor(c, 4294967295) % 4 AS h, conv_id - (conv_id % 20 + 20) % 20 AS base FROM crc WHERE steps = 0 AND pos = len(digits)
+), rebuilt AS (
+  SELECT h.conv_id, 0 AS part, o.i, o.role, o.text FROM h JOIN o ON o.conv_id = h.base AND o.i <= h.h
+  UNION ALL
+  SELECT h.conv_id, 1, o.i, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id AND o.i > h.h
+), seq AS (
+  SELECT conv_id, list(sha256(concat(length(role), ':', role, text)) ORDER BY part, i) AS s, list(len(regexp_extract_all(text, '[^ \x09-\x0D]+')) ORDER BY part, i) AS w FROM rebuilt GROUP BY conv_id
+  UNION ALL SELECT conv_id, [], [] FROM h WHERE conv_id NOT IN (SELECT conv_id FROM rebuilt)
+), members AS (
+  SELECT conv_id, d, array_to_string(s[:d], ' ') AS node, CASE WHEN d > 0 THEN array_to_string(s[:d - 1], ' ') END AS parent, d = len(s) AS ends, coalesce(w[d], 0) AS words, s[:d] AS path
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seq)
+), nodes AS (
+  SELECT node, parent, d AS depth, any_value(path) AS path, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node, parent, d
+), kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), sums AS (
+  SELECT array_to_string(path[:a], ' ') AS node, sum((n_convs - 1) * words) AS saved, count(*) FILTER (childless) AS leaves
+  FROM (SELECT path, n_convs, words, kids.n IS NULL AS childless, unnest(range(0, depth + 1)) AS a FROM nodes LEFT JOIN kids ON kids.parent = node) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids ON kids.parent = n.node JOIN sums s ON s.node = n.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_spread": OP2_SQL, "op6_quality_divergence": _op6_sql(), "op8_tool_links": OP8_SQL}
+    return {"op2_line_spread": OP2_SQL, "op6_quality_divergence": _op6_sql(), "op8_tool_links": OP8_SQL, "op12_conversation_trie": OP12_SQL}
