@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversation_trie, decontamination, line_spread, near_duplicates, periodic_runs, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
+from tidemark.llm import bpe, conversation_trie, decontamination, line_spread, near_duplicates, ngram_join, periodic_runs, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -78,8 +78,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie_of(turns).drop("node", "parent")
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op4_surrogates, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op8_tool_links, op9_multi_index_minhash, op10_pitman_yor, op11_periodic_runs, op12_conversation_trie)}
+    return {f.__name__: f for f in (op1_run_length_index, op2_line_spread, op3_bpe_codec, op4_surrogates, op5_recompression, op6_quality_divergence, op7_spaced_seeds, op8_tool_links, op9_multi_index_minhash, op10_pitman_yor, op11_periodic_runs, op12_conversation_trie, op13_ngram_join)}
 
 
 OP2_SQL = r"""
@@ -200,5 +204,22 @@ FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids ON kids.paren
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), links AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * c >= 85 * (nu.n + nv.n - c)
+), edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.v FROM reach JOIN edges ON edges.u = reach.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r ON r.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_spread": OP2_SQL, "op6_quality_divergence": _op6_sql(), "op8_tool_links": OP8_SQL, "op12_conversation_trie": OP12_SQL}
+    return {"op2_line_spread": OP2_SQL, "op6_quality_divergence": _op6_sql(), "op8_tool_links": OP8_SQL, "op12_conversation_trie": OP12_SQL, "op13_ngram_join": OP13_SQL}
