@@ -46,7 +46,7 @@ WIDTH, SIMILARITY = 4, 85
 #: A band's largest size over its smallest; segments of a band that are indexed with their neighbourhoods: FEW and one of each SHARE.
 RATIO, FEW, SHARE = 1.3, 3, 12
 #: Counters of keys (a power of two: 4 MB), in slices; entries of a bucket; entries that a task packs at once; members of a list that aren't salted; copies of a class that is looked up.
-COUNTERS, SLICE, BUCKET_ENTRIES, PACK, HOT, SALTS = 1 << 20, 1 << 16, 500_000, 1 << 21, 100_000, 16
+COUNTERS, SLICE, BUCKET_ENTRIES, PACK, HOT, SALTS = 1 << 20, 1 << 16, 500_000, 1 << 19, 100_000, 16
 #: Hubs that a document is compared with first; members of each side of a cell whose pairs are told apart, others are told as members.
 BEST, PAIRED = 2, 64
 #: Bits of a sketch for each member of the largest symmetric difference, and pairs' sketch words that are compared at once.
