@@ -190,7 +190,7 @@ def trie_of(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
     subtree, `saved_tokens`: of the subtree, each node's members but one times its last turn's words, `ends_sha256`: of the ids of conversations that end there).
     """
     rows = written(prefixes(turns))
-    nodes = rows.groupBy("node").agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"))
+    nodes = written(rows.groupBy("node").agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs")))  # so that the join can split a hot node
     tops = written(_tops(rows, nodes, limit))
     most, classes, sent, done = tops.agg(F.max("class")).first()[0], [], None, None
     for k in range((most or 0) + 1):
