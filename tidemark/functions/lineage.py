@@ -28,3 +28,15 @@ def written(df: DataFrame, name: str = "written") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        shared = shared_folder(spark).rstrip("/").rsplit("/", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.split("/")[-2] != shared:
+                raise ValueError(f"not a written table: {folder}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -206,37 +206,6 @@ def lake_exports(spark, sf_dir):
 # -- ledger ------------------------------------------------------------------------------------------------------------
 
 
-def _ledger(spark, sf_dir, parts: int = 3):
-    """A ledger that three ingests were sealed in, batches of 700; the second ingest also redelivers the first."""
-    raw, path = written(_raw(spark, sf_dir)), new_path(spark, "ledger")
-    hashes = {"app_events": "0" * 8}
-    for i in range(parts):
-        ledger.seal(raw.filter(F.pmod(F.xxhash64("event_uid"), F.lit(parts)) <= i), path, hashes, 10**18 + i, 700)
-        ledger.checkpoint(spark, path, f"2024-01-0{i + 1}", 10**18 + i)
-    return raw, path
-
-
-@query("SELECT count(*) AS sealed, count(*) AS located, count(DISTINCT event_id) AS distinct_uids, 0 AS bad, 1 AS mapping_sets, true AS ends_known FROM events")
-def seal_batches(spark, sf_dir):
-    """Everything is sealed once, though ingests overlap; every batch verifies from the raw bytes and names its mappings."""
-    raw, path = _ledger(spark, sf_dir)
-    batches, leaf = ledger.read(spark, path, "batches"), ledger.read(spark, path, "leaves")
-    bad = ledger.verify(batches, leaf, raw).agg(F.count("reason").alias("bad"))
-    places = ledger.locate(leaf, raw).agg(F.count("batch_id").alias("located"), F.countDistinct("event_uid").alias("distinct_uids"))
-    about = batches.agg(F.sum("leaf_count").alias("sealed"), F.countDistinct("mapping_set").alias("mapping_sets"), F.bool_and(F.col("first_uid").isNotNull() & F.col("last_uid").isNotNull()).alias("ends_known"))
-    return about.join(bad, F.lit(True)).join(places, F.lit(True))
-
-
-@query("SELECT (SELECT count(*) FROM events) AS event_count, 3 AS checkpoints, 1 AS first_batch, true AS last_is_all, 0 AS bad")
-def checkpoint_totals(spark, sf_dir):
-    _, path = _ledger(spark, sf_dir)
-    points, batches = ledger.read(spark, path, "checkpoints"), ledger.read(spark, path, "batches")
-    bad = ledger.verify_checkpoints(points, batches).agg(F.count("reason").alias("bad"))
-    head = ledger.totals(batches).select(F.col("chain_head").alias("head"), "batch_count")
-    last = points.agg(F.count("*").alias("checkpoints"), F.max_by(F.struct("event_count", "first_batch", "chain_head", F.col("batch_count").alias("b")), "checkpoint_id").alias("x"))
-    return last.join(head, F.lit(True)).join(bad, F.lit(True)).select("x.event_count", "checkpoints", "x.first_batch", ((F.col("x.chain_head") == F.col("head")) & (F.col("x.b") == F.col("batch_count"))).alias("last_is_all"), "bad")
-
-
 @query("""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS seq, epoch_us(ts) // 1000 AS at_ms FROM events), n AS (SELECT (count(*) + 499) // 500 AS b FROM events)
   SELECT seq // 500 + 1 AS batch_id, count(*) AS n, CAST(count(*) - 1 AS INTEGER) AS last_index, min(at_ms) AS from_ms, max(at_ms) AS until_ms FROM o, n WHERE seq // 500 + 1 > b - 40 GROUP BY 1""")
 def locate_events(spark, sf_dir):
@@ -261,17 +230,6 @@ def verify_reasons(spark, sf_dir):
     return verified.select("batch_id", "reason").join(F.broadcast(first), F.lit(True))
 
 
-@query("SELECT event_id // 1000 AS batch_id, count(*) AS n, true AS all_prove, true AS one_root FROM events WHERE event_id % 10 = 3 GROUP BY 1")
-def inclusion_proofs(spark, sf_dir):
-    """Proofs of every tenth event, verified by expressions against roots computed another way; a proof of another leaf doesn't hold."""
-    e = table(spark, sf_dir, "events")
-    leaf = e.select(F.expr("event_id DIV 1000").alias("batch_id"), (F.col("event_id") % 1000).cast("int").alias("leaf_index"), F.col("event_id").cast("string").alias("event_uid"), ledger.leaf_hash(F.col("event_id").cast("string"), F.sha2("event_type", 256)).alias("leaf"))
-    made = ledger.proofs(leaf, e.filter("event_id % 10 = 3").select(F.col("event_id").cast("string").alias("event_uid")))
-    roots = ledger.merkle_roots(leaf, 64).select("batch_id", F.col("root").alias("known"))
-    holds = ledger.proves(F.col("leaf"), F.col("steps"), F.col("known")) & ~ledger.proves(F.sha2("leaf", 256), F.col("steps"), F.col("known"))
-    return made.join(roots, "batch_id").groupBy("batch_id").agg(F.count("*").alias("n"), F.bool_and(holds).alias("all_prove"), (F.countDistinct("root") == 1).alias("one_root"))
-
-
 @query("""SELECT (SELECT (count(*) + 499) // 500 FROM events) AS batches, (SELECT count(*) FROM events) AS events, strftime((SELECT min(ts) FROM events) + INTERVAL '330 minutes', '%Y-%m-%d %H:%M:%S') AS from_ist, 'INTACT' AS verdict, 'app_events' AS sources""")
 def certificate_text(spark, sf_dir):
     raw, leaf, chained = _sealed(spark, sf_dir)
@@ -509,21 +467,6 @@ def _streamed(spark, sf_dir, make, name):
     return spark.read.schema(made.schema).parquet(out)
 
 
-@query("""
-WITH RECURSIVE o AS (
-  SELECT user_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events
-), t AS (
-  SELECT user_id, at_ms, n, at_ms AS last, true AS hit FROM o WHERE n = 1
-  UNION ALL
-  SELECT o.user_id, o.at_ms, o.n, CASE WHEN o.at_ms - t.last >= 7200000 THEN o.at_ms ELSE t.last END, o.at_ms - t.last >= 7200000 FROM t JOIN o ON o.user_id = t.user_id AND o.n = t.n + 1
-)
-SELECT user_id, count(*) AS n, sum(at_ms) AS total FROM t WHERE hit GROUP BY 1
-""")
-def reobserve_stream(spark, sf_dir):
-    seen = lambda e: ingest.reobserve_stream(e.select("user_id", ms("ts").alias("at_ms")), ["user_id"], 7_200_000)
-    return _streamed(spark, sf_dir, seen, "reobserve").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("at_ms").alias("total"))
-
-
 @query("SELECT event_type AS source, concat('user <*> did ', event_type, ' on <*>') AS template, count(*) AS n FROM events GROUP BY 1")
 def mine_stream(spark, sf_dir):
     lines = lambda e: ingest.mine_stream(e.select(F.col("event_type").alias("source"), F.col("event_id").alias("line_id"), line("user ", F.col("user_id"), " did ", F.col("event_type"), " on 10.0.0.", F.col("user_id") % 200).alias("text")))

@@ -7,9 +7,13 @@ leaves are folded as rows, and only their roots are shuffled again. Only the cha
 one root after the other, is a sequence; its task streams the sorted roots of one seal
 and holds the last one.
 
-A ledger is a folder with two Parquet tables that only grow: `batches` and `leaves`. A seal
-writes its leaves first and its batches last, both under the seal's own name, so what a seal that
-failed left behind belongs to no batch; and events that are sealed are never sealed again.
+A ledger is a folder of Parquet tables that only grow: `batches`, `leaves` (by day of receipt), `nodes` (the
+batches' Merkle trees), and `steps`, the journal. Events that fill no batch yet wait in `open`. Each
+call of seal() is a step with a name of its own: it writes leaves, nodes, batches and what is open now under
+that name, and its row in `steps` last. What a step that failed left behind has no such row and counts for
+nothing; a step that is run again seals the same events. A step reads the events it is given, the open batch, and of the
+leaves only the days of these events, so its cost doesn't grow with the ledger. One
+writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -23,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import written
+from tidemark.functions.lineage import released, written
+from tidemark.operators.identity import div
 
 GENESIS = "0" * 64
 BATCH_SIZE, BATCH_NS, SPAN = 5000, 1_000_000_000, 4096
 BATCHES = "batch_id bigint, prev_root string, root string, leaf_count bigint, first_uid string, last_uid string, sealed_at_ns bigint, mapping_set string, seal string"
-LEAVES = "batch_id bigint, leaf_index int, event_uid string, raw_hash string, seal string"
+LEAVES = "batch_id bigint, leaf_index int, event_uid string, raw_hash string, seal string, day string"
+NODES = "batch_id bigint, level int, i bigint, hash string, seal string"
+OPEN = "event_uid string, raw_hash string, received_at_ns bigint"
+#: seal: the step's name; open_since_ns: when the first event that is open now was added; the last batch and its root so far.
+STEPS = "step bigint, seal string, batches bigint, last_batch bigint, head string, n_open bigint, open_since_ns bigint"
 CHECKPOINTS = "checkpoint_id bigint, day string, first_batch bigint, last_batch bigint, chain_head string, batch_count bigint, event_count bigint, created_at_ns bigint"
 
 
@@ -64,14 +73,16 @@ def leaves(events: DataFrame, batch_size: int = BATCH_SIZE, first_batch: int = 1
     return at.select((F.floor(F.col("seq") / batch_size) + first_batch).alias("batch_id"), (F.col("seq") % batch_size).cast("int").alias("leaf_index"), "event_uid", "raw_hash", leaf_hash(F.col("event_uid"), F.col("raw_hash")).alias("leaf"))
 
 
-def _fold(level: Column) -> Column:
-    """The root over an array of hashes; an odd last node is promoted."""
-    def up(level: Column) -> Column:
-        pairs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
-        return F.transform(pairs, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
+def _up(level: Column) -> Column:
+    """The level above an array of hashes; an odd last node is promoted."""
+    pairs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
+    return F.transform(pairs, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
+
 
+def _fold(level: Column) -> Column:
+    """The root over an array of hashes."""
     steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(F.size(level), F.lit(1)))).cast("int"), F.lit(1)))
-    return F.get(F.aggregate(steps, level, lambda level, _: up(level)), F.lit(0))
+    return F.get(F.aggregate(steps, level, lambda level, _: _up(level)), F.lit(0))
 
 
 def merkle_roots(leaf_rows: DataFrame, span: int = SPAN) -> DataFrame:
@@ -95,40 +106,32 @@ def merkle_roots_of_arrays(leaf_rows: DataFrame) -> DataFrame:
     return rows.select("batch_id", _fold(F.col("level")).alias("root"), "leaf_count")
 
 
-def proofs(leaf_rows: DataFrame, events: DataFrame) -> DataFrame:
+def nodes(leaf_rows: DataFrame) -> DataFrame:
+    """The batches' Merkle trees: `batch_id`, `level` (0: leaves), `i`, `hash`. leaf_rows: batch_id, leaf_index, leaf; a batch is one array (BATCH_SIZE)."""
+    rows = leaf_rows.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf_index", "leaf"))), lambda x: x["leaf"]).alias("level"))
+    height = F.ceil(F.log2(F.size("level"))).cast("int")
+    levels = F.aggregate(F.when(height > 0, F.sequence(F.lit(1), height)).otherwise(F.array().cast("array<int>")), F.array("level"), lambda made, _: F.concat(made, F.array(_up(F.element_at(made, -1)))))
+    trees = rows.select("batch_id", F.posexplode(levels).alias("level", "hashes"))
+    return trees.select("batch_id", "level", F.posexplode("hashes").alias("i", "hash")).withColumn("i", F.col("i").cast("bigint"))
+
+
+def proofs(leaf_rows: DataFrame, events: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """Inclusion proofs of many events: `event_uid`, `batch_id`, `leaf_index`, `leaf`, `steps` (array of sibling, is_left), `root`.
 
-    leaf_rows: batch_id, leaf_index, event_uid, leaf; events: event_uid. A batch's leaves are one array (BATCH_SIZE).
+    leaf_rows: batch_id, leaf_index, event_uid, leaf; events: event_uid. tree: the nodes() table, as a ledger keeps it. A proof is
+    an equi-join with a row for each level of its tree; a node without sibling is promoted and has none.
     """
-    wanted = leaf_rows.join(events.select("event_uid").distinct(), "event_uid", "left_semi")
-    rows = leaf_rows.join(wanted.select("batch_id").distinct(), "batch_id", "left_semi").groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf_index", "leaf"))), lambda x: x["leaf"]).alias("level"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            steps, roots, trees = [], [], {}
-            for number, level, index in zip(columns["batch_id"], columns["level"], columns["leaf_index"], strict=True):
-                levels = trees.setdefault(number, None) or _levels(level)
-                trees = {number: levels}
-                own = []
-                for hashes in levels[:-1]:
-                    if index ^ 1 < len(hashes):
-                        own.append({"sibling": hashes[index ^ 1], "is_left": index % 2 == 1})
-                    index //= 2
-                steps.append(own)
-                roots.append(levels[-1][0])
-            kept = [batch.column(batch.schema.names.index(n)) for n in ("event_uid", "batch_id", "leaf_index", "leaf")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(steps, pa.list_(pa.struct([("sibling", pa.string()), ("is_left", pa.bool_())]))), pa.array(roots, pa.string())], names=["event_uid", "batch_id", "leaf_index", "leaf", "steps", "root"])
-
-    return wanted.join(rows, "batch_id").select("event_uid", "batch_id", "leaf_index", "leaf", "level").mapInArrow(run, "event_uid string, batch_id bigint, leaf_index int, leaf string, steps array<struct<sibling:string,is_left:boolean>>, root string")
-
-
-def _levels(level: list[str]) -> list[list[str]]:
-    out = [level]
-    while len(out[-1]) > 1:
-        low = out[-1]
-        out.append([_node(low[i], low[i + 1]) if i + 1 < len(low) else low[i] for i in range(0, len(low), 2)])
-    return out
+    tree = nodes(leaf_rows) if tree is None else tree
+    wanted = leaf_rows.join(events.select("event_uid").distinct(), "event_uid", "left_semi").select("event_uid", "batch_id", "leaf_index", "leaf")
+    tops = tree.groupBy("batch_id").agg(F.max_by("hash", "level").alias("root"), F.max("level").alias("height"))
+    at = wanted.join(tops, "batch_id")
+    below = at.filter("height > 0").select("event_uid", "batch_id", F.col("leaf_index").cast("bigint").alias("p"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("level"))
+    place = F.expr("shiftright(p, level)")
+    asked = below.select("event_uid", "batch_id", "level", place.bitwiseXOR(F.lit(1)).cast("bigint").alias("i"), (place % 2 == 1).alias("is_left"))
+    found = asked.join(tree.select("batch_id", "level", "i", "hash"), ["batch_id", "level", "i"])
+    steps = found.groupBy("event_uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", F.col("hash").alias("sibling"), "is_left"))), lambda x: F.struct(x["sibling"].alias("sibling"), x["is_left"].alias("is_left"))).alias("steps"))
+    out = at.join(steps, "event_uid", "left")
+    return out.select("event_uid", "batch_id", "leaf_index", "leaf", F.coalesce("steps", F.array().cast("array<struct<sibling:string,is_left:boolean>>")).alias("steps"), "root")
 
 
 def _node(left: str, right: str) -> str:
@@ -157,49 +160,94 @@ def chain(inner: DataFrame, head: str = GENESIS) -> DataFrame:
     return ordered.mapInArrow(run, "batch_id bigint, prev_root string, inner string, root string, leaf_count bigint")
 
 
-def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The `batches` or `leaves` of a ledger; leaves of seals that weren't finished are left out."""
-    schema = {"batches": BATCHES, "leaves": LEAVES, "checkpoints": CHECKPOINTS}[name]
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+_SCHEMAS = {"batches": BATCHES, "leaves": LEAVES, "nodes": NODES, "steps": STEPS, "checkpoints": CHECKPOINTS}
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).parquet(f"{path}/{name}")
-    return df.join(read(spark, path, "batches").select("batch_id", "seal"), ["batch_id", "seal"], "left_semi") if name == "leaves" else df
+    return spark.read.schema(schema).parquet(path)
+
+
+def read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a ledger (`batches`, `leaves`, `nodes`, `steps`, `checkpoints`); rows of steps that weren't finished are left out."""
+    df = _stored(spark, f"{path}/{name}", _SCHEMAS[name])
+    if name in ("steps", "checkpoints"):
+        return df
+    return df.join(_stored(spark, f"{path}/steps", STEPS).select("seal"), "seal", "left_semi").select(*df.columns)
+
+
+def day_of(received_at_ns: Column) -> Column:
+    return F.date_format(F.timestamp_millis(div(received_at_ns, 1_000_000)), "yyyy-MM-dd")
+
+
+def sealed_on(spark: SparkSession, path: str, days: list[str]) -> DataFrame:
+    """The leaves of events received on some days; only these days' files are read."""
+    return read(spark, path, "leaves").filter(F.col("day").isin(days))
+
+
+def state(spark: SparkSession, path: str) -> dict:
+    """The last step: `step`, `seal`, `last_batch`, `head`, `n_open`, `open_since_ns`; of a new ledger, step 0."""
+    last = read(spark, path, "steps").agg(F.max_by(F.struct("step", "seal", "last_batch", "head", "n_open", "open_since_ns"), "step").alias("s")).first()["s"]
+    return last.asDict() if last else {"step": 0, "seal": None, "last_batch": 0, "head": GENESIS, "n_open": 0, "open_since_ns": None}
 
 
-def unsealed(raw: DataFrame, sealed_leaves: DataFrame) -> DataFrame:
-    """Raw events that no batch holds; of events with one idempotency key, the first."""
-    once = raw.groupBy("idem_key").agg(F.min(F.struct("received_at_ns", "event_uid", "raw_hash")).alias("e")).select("e.*")
-    return once.join(sealed_leaves.select("event_uid"), "event_uid", "left_anti")
+def open_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events that were added and fill no batch yet: `event_uid`, `raw_hash`, `received_at_ns`."""
+    last = state(spark, path)
+    return _stored(spark, f"{path}/open/{last['seal']}", OPEN) if last["n_open"] else spark.createDataFrame([], OPEN)
 
 
 def seal(raw: DataFrame, path: str, mapping_set: dict[str, str], sealed_at_ns: int, batch_size: int = BATCH_SIZE, flush: bool = True, batch_ns: int = BATCH_NS) -> int:
-    """Seals what is unsealed in batches of `batch_size`, chained to the ledger at `path`; returns the number of new batches.
+    """Adds events to the ledger at `path` and seals full batches of `batch_size`, chained to the last one; returns the number of new batches.
 
-    The rest that fills no batch is sealed by `flush`, or once its oldest event was received `batch_ns` before `sealed_at_ns`;
-    else it waits. mapping_set: the content hashes by which records are derived, committed with each batch.
+    raw: the events to add (those of one ingest; those that are sealed or open already are left out, so a redelivery
+    does no harm). What fills no batch waits with the open events, in order of receipt, until it does, until `flush`, or until the first of them
+    was added `batch_ns` before `sealed_at_ns`. mapping_set: the content hashes by which records are derived, committed with each batch.
     """
     spark = raw.sparkSession
-    batches = read(spark, path, "batches")
-    last = batches.agg(F.max(F.struct("batch_id", "root")).alias("m")).first()["m"]
-    first, head = (last["batch_id"] + 1, last["root"]) if last else (1, GENESIS)
-    own = written(leaves(unsealed(raw, read(spark, path, "leaves")).select("event_uid", "raw_hash", "received_at_ns"), batch_size, first), "leaves")
-    sizes = own.groupBy("batch_id").agg(F.count("*").alias("n"))
-    if not flush:
-        rest = sizes.filter(F.col("n") < batch_size).first()  # at most one batch isn't full
-        if rest is not None:
-            oldest = own.filter(F.col("batch_id") == rest["batch_id"]).join(raw.select("event_uid", "received_at_ns"), "event_uid").agg(F.min("received_at_ns")).first()[0]
-            if oldest > sealed_at_ns - batch_ns:
-                own = own.filter(F.col("batch_id") != rest["batch_id"])
-    if own.isEmpty():
+    last, name = state(spark, path), uuid.uuid4().hex
+    once = raw.groupBy("event_uid").agg(F.min(F.struct("received_at_ns", "raw_hash")).alias("e")).select("event_uid", "e.raw_hash", "e.received_at_ns")
+    given = written(once.withColumn("day", day_of(F.col("received_at_ns"))), "given")
+    days = [r[0] for r in given.select("day").distinct().collect()]  # of one ingest
+    waiting = open_events(spark, path)
+    new = given.join(sealed_on(spark, path, days).select("event_uid"), "event_uid", "left_anti").join(waiting.select("event_uid"), "event_uid", "left_anti")
+    pending = written(waiting.withColumn("new", F.lit(False)).unionByName(new.drop("day").withColumn("new", F.lit(True))), "pending")
+    n = pending.count()
+    since = last["open_since_ns"] if last["n_open"] else sealed_at_ns
+    due = flush or (n > 0 and sealed_at_ns - since >= batch_ns)
+    full = n if due else n - n % batch_size
+    numbered = written(number(pending), "numbered") if n else pending.withColumn("seq", F.lit(0).cast("bigint"))
+    rest, batches, head = numbered.filter(F.col("seq") >= full), -(-full // batch_size), last["head"]
+    if batches:
+        at = F.col("seq")
+        own = numbered.filter(at < full).select((F.floor(at / batch_size) + last["last_batch"] + 1).alias("batch_id"), (at % batch_size).cast("int").alias("leaf_index"), "event_uid", "raw_hash", leaf_hash(F.col("event_uid"), F.col("raw_hash")).alias("leaf"), day_of(F.col("received_at_ns")).alias("day"))
+        tree = written(nodes(own), "nodes")
+        roots = tree.groupBy("batch_id").agg(F.max_by("hash", "level").alias("root"), F.count_if(F.col("level") == 0).alias("leaf_count"))
+        ends = own.groupBy("batch_id").agg(F.min_by("event_uid", "leaf_index").alias("first_uid"), F.max_by("event_uid", "leaf_index").alias("last_uid"))
+        own.select("batch_id", "leaf_index", "event_uid", "raw_hash", F.lit(name).alias("seal"), "day").repartition("day", "batch_id").write.mode("append").partitionBy("day").parquet(f"{path}/leaves")
+        tree.withColumn("seal", F.lit(name)).write.mode("append").parquet(f"{path}/nodes")
+        about = [F.lit(sealed_at_ns).cast("bigint").alias("sealed_at_ns"), F.lit(json.dumps(mapping_set, sort_keys=True)).alias("mapping_set"), F.lit(name).alias("seal")]
+        out = written(chain(roots, head).join(ends, "batch_id").select("batch_id", "prev_root", "root", "leaf_count", "first_uid", "last_uid", *about), "batches")
+        out.write.mode("append").parquet(f"{path}/batches")
+        head = out.agg(F.max_by("root", "batch_id")).first()[0]
+        released(tree, out)
+    rest.select("event_uid", "raw_hash", "received_at_ns").write.parquet(f"{path}/open/{name}")
+    # what waits now waits since it was added: since an earlier step, if one that had waited still does
+    kept = n > full and last["n_open"] > 0 and not rest.filter("NOT new").isEmpty()
+    row = (last["step"] + 1, name, batches, last["last_batch"] + batches, head, n - full, (since if kept else sealed_at_ns) if n > full else None)
+    spark.createDataFrame([row], STEPS).coalesce(1).write.mode("append").parquet(f"{path}/steps")  # in one file: the step counts, or doesn't
+    released(given, pending, *([numbered] if n else []))
+    return batches
+
+
+def tick(spark: SparkSession, path: str, mapping_set: dict[str, str], now_ns: int, batch_size: int = BATCH_SIZE, batch_ns: int = BATCH_NS) -> int:
+    """Seals what is open if the first of it was added `batch_ns` ago or more; returns the number of new batches."""
+    last = state(spark, path)
+    if not last["n_open"] or now_ns - last["open_since_ns"] < batch_ns:
         return 0
-    name = uuid.uuid4().hex
-    ends = own.groupBy("batch_id").agg(F.min_by("event_uid", "leaf_index").alias("first_uid"), F.max_by("event_uid", "leaf_index").alias("last_uid"))
-    chained = chain(merkle_roots_of_arrays(own), head).join(ends, "batch_id")
-    own.select("batch_id", "leaf_index", "event_uid", "raw_hash", F.lit(name).alias("seal")).write.mode("append").parquet(f"{path}/leaves")
-    out = chained.select("batch_id", "prev_root", "root", "leaf_count", "first_uid", "last_uid", F.lit(sealed_at_ns).cast("bigint").alias("sealed_at_ns"), F.lit(json.dumps(mapping_set, sort_keys=True)).alias("mapping_set"), F.lit(name).alias("seal"))
-    out.coalesce(1).write.mode("append").parquet(f"{path}/batches")  # in one file: whole or not there
-    return read(spark, path, "batches").filter(F.col("seal") == name).count()
+    return seal(spark.createDataFrame([], OPEN), path, mapping_set, now_ns, batch_size)
 
 
 def checkpoint(spark: SparkSession, path: str, day: str, created_at_ns: int) -> None:
@@ -251,12 +299,32 @@ def verify(batches: DataFrame, leaf_rows: DataFrame, raw: DataFrame | None = Non
     return df.select("batch_id", "root", "leaf_count", reason.alias("reason"))
 
 
+def running(batches: DataFrame) -> DataFrame:
+    """`batch_id`, `root`, and over all batches so far `b` (their number) and `e` (their events).
+
+    Sorted ranges are written and summed, as number() does, so no task holds more than a range.
+    """
+    ranged = written(batches.select("batch_id", "root", "leaf_count").repartitionByRange("batch_id").withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("b"), F.sum("leaf_count").alias("e"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = sizes.select("__part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in ("b", "e")))
+    own = Window.partitionBy("__part").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.withColumns({"b": F.count("*").over(own), "e": F.sum("leaf_count").over(own)})
+    return sums.join(F.broadcast(before), "__part").select("batch_id", "root", (F.col("b") + F.col("__b")).alias("b"), (F.col("e") + F.col("__e")).alias("e"))
+
+
 def verify_checkpoints(checkpoints: DataFrame, batches: DataFrame) -> DataFrame:
-    """Checkpoints with the first reason against them, or null: chain_head, event_count, batch_count."""
-    upto = checkpoints.join(batches, F.col("batch_id").between(F.col("first_batch"), F.col("last_batch")), "left")
-    now = upto.groupBy("checkpoint_id").agg(F.count("root").alias("b"), F.coalesce(F.sum("leaf_count"), F.lit(0)).alias("e"), F.max_by("root", "batch_id").alias("r"))
-    reason = F.when(~F.col("chain_head").eqNullSafe(F.col("r")), "chain_head").when(F.col("event_count") != F.col("e"), "event_count").when(F.col("batch_count") != F.col("b"), "batch_count")
-    return checkpoints.join(now, "checkpoint_id").select("checkpoint_id", "day", "last_batch", reason.alias("reason"))
+    """Checkpoints with the first reason against them, or null: chain_head, event_count, batch_count.
+
+    The state at a batch is a running sum, so a checkpoint is joined with its last batch and with the one before its first by their ids.
+    """
+    sums = written(running(batches), "running")
+    last = sums.select(F.col("batch_id").alias("last_batch"), F.col("root").alias("r"), F.col("b").alias("b2"), F.col("e").alias("e2"))
+    before = sums.select((F.col("batch_id") + 1).alias("first_batch"), F.col("b").alias("b1"), F.col("e").alias("e1"))
+    now = checkpoints.join(last, "last_batch", "left").join(before, "first_batch", "left")
+    count = lambda c: F.coalesce(f"{c}2", F.lit(0)) - F.coalesce(f"{c}1", F.lit(0))
+    reason = F.when(~F.col("chain_head").eqNullSafe(F.col("r")), "chain_head").when(F.col("event_count") != count("e"), "event_count").when(F.col("batch_count") != count("b"), "batch_count")
+    return now.select("checkpoint_id", "day", "last_batch", reason.alias("reason"))
 
 
 def first_divergence(verified: DataFrame) -> DataFrame:

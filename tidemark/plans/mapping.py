@@ -20,7 +20,10 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import LOOKUPS, TIMED_TRANSFORMS, TRANSFORMS
 from tidemark.operators.parsers import FORMATS, group_index
@@ -265,3 +268,20 @@ class Registry:
 
     def hashes(self) -> dict[str, str]:
         return {s: m.content_hash() for s, m in sorted(self.mappings().items())}
+
+
+def checked(texts: DataFrame, yaml_col: str) -> DataFrame:
+    """Rows of mappings' texts with `error`: why a text wouldn't load, or null."""
+
+    @F.pandas_udf("string")
+    def error(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> str | None:
+            try:
+                Mapping.from_yaml(text or "")
+            except MappingError as e:
+                return str(e)
+            return None
+
+        return texts.map(of)
+
+    return texts.withColumn("error", error(F.col(yaml_col)))

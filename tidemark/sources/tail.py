@@ -1,13 +1,18 @@
 """Append-following log files as a Structured Streaming source.
 
-`spark.readStream.format("tail")` follows files that grow: its offset holds, for each file,
-the identity, the size and how far complete lines were read. A file that shrank or was replaced is
-read from its start (rotation); bytes after the last newline wait for the next batch. The
-planned partitions are byte ranges of files, so a batch that is run again reads the same
-bytes, and files are read by the executors, which must see the folder as the driver does.
+`spark.readStream.format("tail")` follows files that grow. Its offset holds, for each file, the
+identity (inode) and the size that is taken; the driver only lists files and never opens one. A planned
+partition is a byte range of a file, and gives the lines that end in it: the task that has the range looks back
+for the start of its first line. So every line comes once, wherever ranges are cut; bytes
+after the last newline come with the range that brings their newline; a long backlog is many
+tasks; and a batch that is run again reads the same bytes.
+
+A file that shrank, or whose path now names another inode, is read from its start. What the former file held
+beyond its offset is read to its end, if it was renamed within its folder. Files are read
+by the executors, which must see the folder as the driver does.
 
 Options: `path` (a folder), `specs` (JSON list of [pattern, source_id, skip_prefix]; default
-SPECS), `maxBytesPerFile` (a batch takes no more of one file).
+SPECS), `maxBytesPerTrigger` (dealt fairly over the files that have grown).
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -34,7 +40,8 @@ SPECS = (
     ("auditd/audit.log", "linux_auditd", None),
 )
 SCHEMA = "source_id string, path string, raw_bytes binary"
-MOST_BYTES = 8 << 20
+#: Bytes of a trigger, of a partition, and of one read.
+MOST_BYTES, RANGE_BYTES, BLOCK = 1 << 30, 32 << 20, 1 << 18
 
 
 def source_of(path: Column, specs=SPECS) -> Column:
@@ -52,82 +59,123 @@ def kept(path: Column, line: Column, specs=SPECS) -> Column:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, source: str, skip: str | None, start: int, end: int) -> None:
-        self.path, self.source, self.skip, self.start, self.end = path, source, skip, start, end
+    """Bytes [start, end) of a file; `last`: the file has ended, so its last line needs no newline."""
+
+    def __init__(self, path: str, name: str, source: str, skip: str | None, start: int, end: int, last: bool) -> None:
+        self.path, self.name, self.source, self.skip, self.start, self.end, self.last = path, name, source, skip, start, end, last
+
+
+def shares(wanted: dict[str, int], most: int) -> dict[str, int]:
+    """`most` dealt over what is wanted: small wishes are met, the others get equal parts of the rest."""
+    out, left = {}, most
+    for i, (key, n) in enumerate(sorted(wanted.items(), key=lambda x: (x[1], x[0]))):
+        out[key] = min(n, max(0, left) // (len(wanted) - i))
+        left -= out[key]
+    return out
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.folder = options["path"]
         self.specs = [tuple(s) for s in json.loads(options["specs"])] if "specs" in options else list(SPECS)
-        self.most = int(options.get("maxbytesperfile", options.get("maxBytesPerFile", MOST_BYTES)))
+        self.most = int(options.get("maxbytespertrigger", options.get("maxBytesPerTrigger", MOST_BYTES)))
         self.known: dict[str, dict] = {}
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
-    def _files(self) -> Iterator[tuple[str, tuple]]:
+    def _spec(self, path: str) -> tuple | None:
+        inner = os.path.relpath(path, self.folder)
+        return next((s for s in self.specs if fnmatch.fnmatch(inner, s[0]) and inner.count("/") == s[0].count("/")), None)
+
+    def _files(self) -> dict[str, os.stat_result]:
+        found = {}
         for folder, _, names in os.walk(self.folder):
-            for name in sorted(names):
-                full = os.path.join(folder, name)
-                inner = os.path.relpath(full, self.folder)
-                spec = next((s for s in self.specs if fnmatch.fnmatch(inner, s[0]) and inner.count("/") == s[0].count("/")), None)
-                if spec:
-                    yield full, spec
+            for name in names:
+                path = os.path.join(folder, name)
+                try:
+                    if self._spec(path):
+                        found[path] = os.stat(path)
+                except OSError:  # it went meanwhile
+                    continue
+        return found
+
+    def _renamed(self, path: str, old: dict) -> tuple[str, int] | None:
+        """Where a file went that `path` named before, and its size."""
+        with os.scandir(os.path.dirname(path)) as entries:
+            return next(((e.path, e.stat().st_size) for e in entries if e.inode() == old["inode"] and e.path != path), None)
 
     def latestOffset(self) -> dict:
-        files = dict(self.known)
-        for path, _ in self._files():
-            try:
-                st = os.stat(path)
-            except OSError:
-                continue
+        # a former file stays for the one offset that takes its rest
+        files = {key: f for key, f in self.known.items() if "of" not in f}
+        wanted: dict[str, int] = {}
+        for path, st in self._files().items():
             old = files.get(path)
-            if old is None or old["inode"] != st.st_ino or st.st_size < old["size"]:
-                old = {"inode": st.st_ino, "size": 0, "at": 0, "turn": (old["turn"] + 1 if old else 0)}
-            files[path] = old | {"size": st.st_size, "at": _last_line_end(path, old["at"], min(st.st_size, old["at"] + self.most), st.st_size)}
+            if old is None or old["inode"] != st.st_ino or st.st_size < old["at"]:
+                if old is not None and old["inode"] != st.st_ino and (rest := self._renamed(path, old)) and rest[1] > old["at"]:
+                    files[f"{path}\n{old['inode']}"] = {"of": path, "inode": old["inode"], "path": rest[0], "from": old["at"], "at": rest[1]}
+                old = {"inode": st.st_ino, "at": 0, "turn": old["turn"] + 1 if old else 0}
+            files[path] = old
+            if st.st_size > old["at"]:
+                wanted[path] = st.st_size - old["at"]
+        for path, n in shares(wanted, self.most).items():
+            files[path] = files[path] | {"at": files[path]["at"] + n}
         self.known = files
         return {"files": files}
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
-        specs, out = dict(self._files()), []
         self.known = self.known or dict(end["files"])
-        for path, now in sorted(end["files"].items()):
-            old = start["files"].get(path)
-            begin = old["at"] if old and old["turn"] == now["turn"] else 0
-            if now["at"] > begin and path in specs:
-                out.append(_Range(path, specs[path][1], specs[path][2], begin, now["at"]))
+        out = []
+        for key, now in sorted(end["files"].items()):
+            old, name = start["files"].get(key), now.get("of", key)
+            if "of" in now:
+                begin = now["at"] if old else now["from"]
+            else:
+                begin = old["at"] if old and old["turn"] == now["turn"] else 0
+            spec = self._spec(name)
+            for low in range(begin, now["at"], RANGE_BYTES):
+                high = min(now["at"], low + RANGE_BYTES)
+                out.append(_Range(now.get("path", key), name, spec[1], spec[2], low, high, "of" in now and high == now["at"]))
         return out
 
-    def read(self, partition: _Range) -> Iterator[tuple[str, str, bytes]]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        skip = partition.skip.encode() if partition.skip else None
         with open(partition.path, "rb") as f:
+            held = [_before(f, partition.start)]  # pieces of a line that hasn't ended
             f.seek(partition.start)
             left = partition.end - partition.start
-            while left > 0:
-                line = f.readline(left)
-                left -= len(line)
-                if not line:
-                    break
-                line = line.rstrip(b"\r\n")
-                if line.strip() and not (partition.skip and line.startswith(partition.skip.encode())):
-                    yield partition.source, partition.path, line
+            while left > 0 and (block := f.read(min(BLOCK, left))):
+                left -= len(block)
+                first, newline, rest = block.partition(b"\n")
+                held.append(first)
+                if newline:
+                    *lines, last = rest.split(b"\n")
+                    yield _lines(partition, [b"".join(held), *lines], skip)
+                    held = [last]
+            if partition.last and any(held):
+                yield _lines(partition, [b"".join(held)], skip)
 
     def commit(self, end: dict) -> None:
-        self.known = {p: s for p, s in self.known.items() if os.path.exists(p)} or self.known
-
-
-def _last_line_end(path: str, start: int, end: int, size: int) -> int:
-    """The place after the last newline in [start, end); a line longer than that is waited for, or taken to its end."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        at = f.read(end - start).rfind(b"\n")
-        if at >= 0:
-            return start + at + 1
-        if end < size:  # a line longer than the limit
-            f.seek(end)
-            rest = f.readline()
-            return end + len(rest) if rest.endswith(b"\n") else start
-    return start
+        self.known = {key: f for key, f in self.known.items() if os.path.exists(f.get("path", key))} or self.known
+
+
+def _before(f, at: int) -> bytes:
+    """The bytes between the last newline before a place and the place."""
+    pieces: list[bytes] = []
+    while at > 0:
+        low = max(0, at - BLOCK)
+        f.seek(low)
+        _, newline, own = f.read(at - low).rpartition(b"\n")
+        pieces.append(own)
+        if newline:
+            break
+        at = low
+    return b"".join(reversed(pieces))
+
+
+def _lines(partition: _Range, lines: list[bytes], skip: bytes | None) -> pa.RecordBatch:
+    lines = [x for x in (y.rstrip(b"\r") for y in lines) if x.strip() and not (skip and x.startswith(skip))]
+    return pa.RecordBatch.from_arrays([pa.array([partition.source] * len(lines), pa.string()), pa.array([partition.name] * len(lines), pa.string()), pa.array(lines, pa.binary())], names=["source_id", "path", "raw_bytes"])
 
 
 class TailSource(DataSource):

@@ -23,12 +23,22 @@ def read_lines(spark, path: str) -> DataFrame:
     return lines.filter(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("raw_bytes"))
 
 
-def ingest(lines: DataFrame, source_id: str | None, raw_path: str, registry: Registry, checkpoint: str, received_at_ns: Callable[[int], int], sink: Callable[[DataFrame, int], None], transport: str = "file", once: bool = True) -> StreamingQuery:
-    """Appends each micro-batch to the raw table, then hands its records to `sink`.
+def scan_lines(spark, path: str) -> DataFrame:
+    """The lines of files as bytes, with their file's `path`; blank lines are left out."""
+    lines = spark.read.format("text").load(path).select(F.input_file_name().alias("path"), "value")
+    return lines.filter(F.trim("value", F.lit(" \t\r\n")) != "").select("path", F.col("value").cast("binary").alias("raw_bytes"))
+
+
+def ingest(
+    lines: DataFrame, source_id: str | None, raw_path: str, registry: Registry, checkpoint: str, received_at_ns: Callable[[int], int], sink: Callable[[DataFrame, int], None],
+    transport: str = "file", once: bool = True, seal: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Appends each micro-batch to the raw table, seals its events with `seal`, then hands its records to `sink`.
 
     Without a `source_id` the lines' own column counts, so one stream takes many sources (as sources.tail gives them).
     received_at_ns gives a batch's receipt time from its number, so a batch that is run
-    again has the same keys and appends nothing. Mappings are taken up between batches.
+    again has the same keys, appends nothing and seals nothing; its records are handed on again, as the first run may have failed before
+    its sink was done. Mappings are taken up between batches.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -36,6 +46,8 @@ def ingest(lines: DataFrame, source_id: str | None, raw_path: str, registry: Reg
         raw = identity.capture(df, source_id or F.col("source_id"), F.lit(received_at_ns(number)), transport=transport)
         store.append(raw, raw_path)
         once_each = store.new_events(raw)
+        if seal:
+            seal(once_each, number)
         sources = [source_id] if source_id else [r[0] for r in raw.select("source_id").distinct().collect()]  # of one batch
         if sources:
             sink(normalize(once_each, registry, sources=sources), number)
@@ -44,12 +56,11 @@ def ingest(lines: DataFrame, source_id: str | None, raw_path: str, registry: Reg
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
 
 
-def sealing(raw_path: str, ledger_path: str, registry: Registry, now_ns: Callable[[], int], batch_size: int = ledger.BATCH_SIZE) -> Callable[[DataFrame, int], None]:
-    """A sink that seals what a micro-batch appended: full batches at once, the rest when its oldest event has waited long enough."""
+def sealing(ledger_path: str, registry: Registry, now_ns: Callable[[], int], batch_size: int = ledger.BATCH_SIZE, batch_ns: int = ledger.BATCH_NS) -> Callable[[DataFrame, int], None]:
+    """Seals the events of a micro-batch: full batches at once, the rest when it has waited long enough. Reads no other raw event."""
 
-    def seal(records: DataFrame, number: int) -> None:
-        spark = records.sparkSession
-        ledger.seal(spark.read.parquet(raw_path), ledger_path, registry.hashes(), now_ns(), batch_size, flush=False)
+    def seal(raw: DataFrame, number: int) -> None:
+        ledger.seal(raw, ledger_path, registry.hashes(), now_ns(), batch_size, flush=False, batch_ns=batch_ns)
 
     return seal
 
@@ -77,30 +88,6 @@ def reobserve(sightings: DataFrame, key_cols: list[str], timeout_ms: int = REOBS
     return ordered.mapInPandas(run, schema)
 
 
-def reobserve_stream(sightings: DataFrame, key_cols: list[str], timeout_ms: int = REOBSERVE_MS) -> DataFrame:
-    """As reobserve(), over a stream: each key's last reported time is kept as state between micro-batches.
-
-    Within a micro-batch a key's sightings are taken in order of time; one that is older than the last reported is not reported.
-    """
-    names, schema = sightings.columns, sightings.schema
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = pd.concat(parts)["at_ms"].sort_values()
-        reported = []
-        for at in times:
-            if last is None or at - last >= timeout_ms:
-                last = int(at)
-                reported.append(last)
-        if reported:
-            state.update((last,))
-            yield pd.DataFrame({c: [key[key_cols.index(c)]] * len(reported) if c in key_cols else reported for c in names})
-
-    if set(names) != {*key_cols, "at_ms"}:
-        raise ValueError("sightings have their keys and at_ms")
-    return sightings.groupBy(*key_cols).applyInPandasWithState(run, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 def mine_stream(lines: DataFrame) -> DataFrame:
     """Template mining over a stream: `source`, `size`, `line_id`, `template`, the template of each line's cluster as it is after the line.
 
