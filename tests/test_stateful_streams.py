@@ -1,12 +1,15 @@
 """Streams that keep state between triggers."""
 
 import builtins
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import identity, ledger
+from tidemark.operators import identity, ledger, skipping, store
 from tidemark.plans.mapping import Registry
+from tidemark.plans.normalize import normalize
 from tidemark.sources import tail
 from tidemark.streaming import ingest, state
 
@@ -174,3 +177,55 @@ def test_ingest_seals_its_micro_batches(spark, tmp_path):
         seal = ingest.sealing(path, registry, lambda: 10**18, 2)
         ingest.ingest(ingest.read_lines(spark, str(tmp_path / "in")), "squid_access", str(tmp_path / "raw"), registry, str(tmp_path / f"cp{i}"), lambda n: 1_789_588_900_000_000_000 + n, lambda df, n: df.count(), seal=seal).awaitTermination()
     assert ledger.read(spark, path, "batches").count() == 2 and ledger.open_events(spark, path).count() == 1
+
+
+def _records(spark, rows):
+    df = spark.createDataFrame(rows, "event_uid string, source_id string, observed_time long, parse_status string, title string")
+    empty = normalize(identity.capture(spark.createDataFrame([], "raw_bytes binary, ns long"), "none", F.col("ns")), Registry(), sources=["none"])
+    more = {f.name: F.lit(None).cast(f.dataType) for f in empty.schema.fields if f.name not in df.columns}
+    return df.withColumns(more).drop("title")
+
+
+def test_upsert_touches_only_its_partitions(spark, tmp_path):
+    day, path = 86_400_000, str(tmp_path / "p")
+    rows = [(f"{s}{d}{i}", s, d * day + i, "quarantined", "t") for s in ("a", "b") for d in (0, 1) for i in range(3)]
+    assert store.upsert_table(_records(spark, rows), path, 1) == {"written": 12, "resolved": 0}
+    files = lambda: {f.relative_to(tmp_path) for f in (tmp_path / "p").rglob("*.parquet")}
+    before = files()
+    assert store.upsert_table(_records(spark, [("a00", "a", 0, "full", "t"), ("a09", "a", 9, "full", "t")]), path, 2) == {"written": 2, "resolved": 1}
+    changed = {str(f.parent) for f in before ^ files()}
+    assert changed == {"p/source_id=a/day=1970-01-01"}
+    got = {r.event_uid: (r.parse_status, r.first_status, r.first_seen_ns, r.resolved_at_ns) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 13 and got["a00"] == ("full", "quarantined", 1, 2) and got["a09"] == ("full", "full", 2, None) and got["b12"] == ("quarantined", "quarantined", 1, None)
+    assert store.upsert_table(_records(spark, rows[:1]), path, 3)["resolved"] == 0  # a resolved event that goes back keeps its stamp
+    assert store.upsert_table(_records(spark, []), path, 4) == {"written": 0, "resolved": 0}
+
+
+def test_search_opens_only_files_that_may_match(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, f"event {i} by User{i % 10} at host{i // 10}.example", "src") for i in range(80)]
+    spark.createDataFrame(rows, "id long, summary string, source_id string").repartitionByRange(8, "id").write.parquet(path)
+    index = skipping.index(spark.read.parquet(path), ("summary", "source_id")).persist()
+    for text, n in (("HOST3.exa", 1), ("user4 at host5", 1), ("ost7%ample", 1), ("nowhere", 0), ("by user", 8)):
+        files = skipping.files_with(index, text)
+        assert len(files) == n, text
+        want = {r.id for r in store.where(spark.read.parquet(path), search=text).collect()}
+        for f in set(spark.read.parquet(path).inputFiles()) - set(files):  # the others can't even be opened
+            p = Path(f.removeprefix("file://"))
+            p.rename(p.with_suffix(".away"))
+        assert {r.id for r in skipping.search(spark, path, index, text).collect()} == want
+        for p in (tmp_path / "t").glob("*.away"):
+            p.rename(p.with_suffix(".parquet"))
+    assert skipping.files_with(index, "a_b") is None and skipping.search(spark, path, index, "t_1").count() == store.where(spark.read.parquet(path), search="t_1").count()
+
+
+def test_lookup_by_uid_skips_row_groups(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    raw = identity.capture(spark.createDataFrame([(f"{i}".encode(), 10**18 + i * 10**9) for i in range(50)], "raw_bytes binary, ns long"), "s", F.col("ns"))
+    assert store.append(raw, path) == {"accepted": 50, "duplicates": 0} and store.append(raw, path) == {"accepted": 0, "duplicates": 50}
+    uid = raw.filter("received_at_ns = 1000000007000000000").first()["event_uid"]
+    found = store.get(spark.read.parquet(path), uid)
+    assert bytes(found.first()["raw_bytes"]) == b"7" and "EqualTo(event_uid" in found._jdf.queryExecution().toString()
+    file = next((tmp_path / "raw").rglob("*.parquet"))
+    meta = pq.read_metadata(file).row_group(0)
+    assert meta.column(meta.to_dict()["columns"].index(next(c for c in meta.to_dict()["columns"] if c["path_in_schema"] == "event_uid"))).statistics.has_min_max

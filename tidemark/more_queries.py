@@ -47,12 +47,12 @@ def iso_nanos(spark, sf_dir):
 
 @query("SELECT sha256(concat(event_id, ',', event_type)) AS raw_hash, event_type AS source_id FROM events WHERE event_id = (SELECT max(event_id) // 2 FROM events)")
 def raw_lookup(spark, sf_dir):
-    """The uid of the middle event is taken from a scan, then looked up."""
-    e = table(spark, sf_dir, "events")
-    raw = identity.capture(e.select("event_id", "event_type", line(F.col("event_id"), ",", F.col("event_type")).cast("binary").alias("raw_bytes"), (ms("ts") * 1_000_000).alias("ns")), F.col("event_type"), F.col("ns"))
-    middle = e.agg(F.expr("max(event_id) DIV 2")).first()[0]
-    uid = raw.filter(F.split(identity.text_of(F.col("raw_bytes")), ",")[0] == str(middle)).first()["event_uid"]
-    return store.get(raw, uid).select("raw_hash", "source_id")
+    """An event is looked up by its uid in a table by source and day, whose other days aren't read."""
+    e, path = table(spark, sf_dir, "events"), new_path(spark, "raw")
+    of = lambda x: identity.capture(x.select(line(F.col("event_id"), ",", F.col("event_type")).cast("binary").alias("raw_bytes"), "event_type", (ms("ts") * 1_000_000).alias("ns")), F.col("event_type"), F.col("ns"))
+    store.append(of(e), path)
+    middle = e.join(F.broadcast(e.agg(F.expr("max(event_id) DIV 2").alias("m"))), F.col("event_id") == F.col("m"))
+    return store.get(spark.read.parquet(path), of(middle).first()["event_uid"]).select("raw_hash", "source_id")
 
 
 @query("SELECT count(*) AS n FROM events")
@@ -319,11 +319,14 @@ def backfill_source(spark, sf_dir):
     """Discovery's proposal for a source is approved, written as a mapping, and the source's backlog replayed."""
     raw, folder = _vendor_raw(spark, sf_dir), tempfile.mkdtemp(prefix="mappings-")  # the driver's own files
     registry = Registry(folder)
-    before = store.upsert(None, normalize(raw, registry, sources=["none"]), 0)
+    path = new_path(spark, "projection")
+    store.upsert_table(normalize(raw, registry, sources=["none"]), path, 0)
+    before = written(spark.read.parquet(path), "before")
     found, _ = discovery.run(raw.filter("source_id = 'view'"), before.filter("source_id = 'view'"), discovery.empty_store(spark), 1)
     row = found.first()
     discovery.activate(row["source_id"], row["yaml"], "ana", folder, registry)
-    after = discovery.backfill(raw, before, registry, "view", 2)
+    discovery.backfill_table(raw, path, registry, "view", 2)
+    after = spark.read.parquet(path)
     n = after.filter("source_id = 'view'").agg(F.count(F.col("fields")["src_endpoint_ip"]).alias("with_source"))
     return discovery.backfill_counts(before, after, "view").join(n, F.lit(True))
 

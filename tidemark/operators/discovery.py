@@ -260,6 +260,11 @@ def backfill(raw: DataFrame, p: DataFrame, registry: Registry, source_id: str, n
     return store.upsert(p, normalize(raw.filter(F.col("source_id") == source_id), registry, sources=[source_id]), now_ns)
 
 
+def backfill_table(raw: DataFrame, path: str, registry: Registry, source_id: str, now_ns: int) -> dict[str, int]:
+    """As backfill(), into a projection table: only the source's days are read and written. Returns the counts of rows written and resolved."""
+    return store.upsert_table(normalize(raw.filter(F.col("source_id") == source_id), registry, sources=[source_id]), path, now_ns)
+
+
 def backfill_counts(before: DataFrame, after: DataFrame, source_id: str) -> DataFrame:
     """`replayed`, `normalized` (no longer quarantined), `still_quarantined` of a source."""
     a = after.filter(F.col("source_id") == source_id)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import written
+from tidemark.functions.lineage import released, written
 from tidemark.operators.identity import div
 from tidemark.plans.normalize import summary
 
 COUNTABLE = ("source_id", "parse_status", "class_uid", "severity_id", "dst_ip", "mapping_id", "first_status")
+#: Files of a partition of a projection, at most; so many tasks write a hot source's day.
+PARTS = 8
 _CARRIED = ("first_status", "first_seen_ns", "resolved_at_ns")
 
 
@@ -34,8 +36,11 @@ def append(events: DataFrame, path: str) -> dict[str, int]:
         parts = batch.select("source_id", "day").distinct()  # of one batch: a row for each source and day
         existing = spark.read.parquet(path).withColumn("day", F.col("day").cast("string")).join(F.broadcast(parts), ["source_id", "day"], "left_semi")
     new = written(new_events(batch, existing), "new")
-    new.write.mode("append").partitionBy("source_id", "day").parquet(path)
+    # uids grow with time: in sorted files with Bloom filters get() skips row groups by both
+    rows = new.sortWithinPartitions("source_id", "day", "event_uid").write.mode("append").option("parquet.bloom.filter.enabled#event_uid", "true")
+    rows.partitionBy("source_id", "day").parquet(path)
     accepted = new.count()
+    released(batch, new)
     return {"accepted": accepted, "duplicates": seen.get["submitted"] - accepted}
 
 
@@ -97,6 +102,41 @@ def upsert(prior: DataFrame | None, records: DataFrame, now_ns: int) -> DataFram
     return both.unionByName(prior.join(new.select("event_uid"), "event_uid", "left_anti").select(*both.columns))
 
 
+def day_of(observed_ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(observed_ms), "yyyy-MM-dd")
+
+
+def read_projection(spark, path: str, schema) -> DataFrame:
+    """A projection table as upsert_table() keeps it; of a table that isn't there, no row."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def upsert_table(records: DataFrame, path: str, now_ns: int) -> dict[str, int]:
+    """upsert() into a Parquet table by source and day of observation; returns the counts of rows written and resolved.
+
+    An event keeps its source and its day, so only the partitions of `records` are read, and only these are written anew (dynamic
+    partition overwrite); the files of all others stay. The result is written to the shared folder first, as it is made from what it replaces.
+    """
+    spark = records.sparkSession
+    new = written(records.withColumn("day", day_of(F.col("observed_time"))), "records")
+    touched: dict[str | None, list[str]] = {}
+    for source, day in new.select("source_id", "day").distinct().collect():  # of one batch
+        touched.setdefault(source, []).append(day)
+    if not touched:
+        released(new)
+        return {"written": 0, "resolved": 0}
+    within = F.lit(False)
+    for source, days in touched.items():
+        within = within | (F.col("source_id").eqNullSafe(F.lit(source)) & F.col("day").isin(days))
+    schema = upsert(None, new, now_ns).schema
+    prior = read_projection(spark, path, schema).filter(within) if _exists(spark, path) else None
+    out = written(upsert(prior, new, now_ns), "upserted")
+    out.repartition("source_id", "day", F.pmod(F.xxhash64("event_uid"), F.lit(PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "day").parquet(path)
+    counts = new.agg(F.countDistinct("event_uid").alias("written")).join(out.agg(F.count_if(F.col("resolved_at_ns") == now_ns).alias("resolved")), F.lit(True)).first().asDict()
+    released(new, out)
+    return counts
+
+
 def with_triage(projection: DataFrame, triage: DataFrame) -> DataFrame:
     """The projection with the last named verdict on each event; triage: event_uid, triage_status, triaged_by, triage_note, triaged_ns."""
     last = triage.groupBy("event_uid").agg(F.max_by(F.struct("triage_status", "triaged_by", "triage_note", "triaged_ns"), "triaged_ns").alias("t")).select("event_uid", "t.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import new_path, written
-from tidemark.operators import ledger
+from tidemark.operators import ledger, skipping, store
 from tidemark.plans import mapping
 from tidemark.plans.mapping import Mapping, Registry
 from tidemark.queries import EVENT_MAPPING, event_lines, event_records, line, ms, query, table
@@ -127,6 +127,34 @@ def inclusion_proofs(spark, sf_dir):
     return made.select("event_uid", "batch_id", siblings.alias("siblings"), "root", holds.alias("proves"))
 
 
+# -- tables ------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS at_ms, user_id % 3 AS u FROM events)
+  SELECT event_type AS source_id, strftime(make_timestamp(at_ms * 1000), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (u = 0 AND event_type <> 'view') AS resolved, count(*) FILTER (u <> 0 OR event_type = 'view') AS pending, 5 AS first_seen_ns FROM x GROUP BY 1, 2""")
+def upsert_partitions(spark, sf_dir):
+    """Two waves into a projection by source and day: the second resolves a third of the events of all sources but one, whose partitions it leaves."""
+    e, path = table(spark, sf_dir, "events"), new_path(spark, "projection")
+    records = event_records(spark, sf_dir).select(*(c for c in event_records(spark, sf_dir).columns if c not in ("event_uid", "source_id", "parse_status"))).limit(0)
+    plain = e.select(F.col("event_id").cast("string").alias("event_uid"), F.col("event_type").alias("source_id"), ms("ts").alias("observed_time"), F.col("user_id") % 3 == 0)
+    plain = plain.toDF("event_uid", "source_id", "observed_time", "again")
+    every = {f.name: F.lit(None).cast(f.dataType) for f in records.schema.fields if f.name != "observed_time"}
+    wave = lambda df, status: df.drop("again").withColumns({**every, "parse_status": F.lit(status)})
+    store.upsert_table(wave(plain, "quarantined"), path, 5)
+    store.upsert_table(wave(plain.filter("again AND source_id <> 'view'"), "full"), path, 9)
+    return spark.read.parquet(path).groupBy("source_id", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("resolved_at_ns") == 9).alias("resolved"), F.count_if(F.col("parse_status") == "quarantined").alias("pending"), F.min("first_seen_ns").alias("first_seen_ns"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE text ILIKE '%License%'")
+def search_skipping(spark, sf_dir):
+    """A search over a table of many files that reads those whose trigrams allow a match."""
+    path = new_path(spark, "texts")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("summary"), F.col("lang").alias("source_id"))
+    d.repartitionByRange(16, "doc_id").write.parquet(path)
+    index = written(skipping.index(spark.read.parquet(path), ("summary", "source_id")), "index")
+    return skipping.search(spark, path, index, "License").select("doc_id", "lang")
+
+
 # -- mappings ----------------------------------------------------------------------------------------------------------
 
 
