@@ -159,6 +159,20 @@ def parse(fmt: str, body: Column, names: Iterable[str] = ()) -> Column:
     raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
 
 
+def cells(fmt: str, body: Column) -> Column:
+    """The cells of csv, tsv and ssv bodies; white space around a cell is left to cell()."""
+    return {"csv": lambda: first_csv_record(body), "tsv": lambda: F.split(body, "\t"), "ssv": lambda: F.split(_strip(body), r"\s+")}[fmt]()
+
+
+def cell(cells: Column, place: int) -> Column:
+    return _strip(F.get(cells, F.lit(place - 1)))
+
+
+def cells_error(fmt: str, body: Column) -> Column:
+    reason = {"csv": "no csv record", "ssv": "empty body", "tsv": None}[fmt]
+    return F.when(_strip(body) == "", F.lit(reason).cast("string"))
+
+
 def _spec(fmt: str, body: Column, out) -> Column:
     mark, least = fmt.upper() + ":", 8 if fmt == "cef" else 6
     start = F.instr(body, mark)

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.binding import let
 from tidemark.operators.frames import STRATEGIES, format_of, with_body
 from tidemark.operators.identity import div, text_of
-from tidemark.operators.parsers import group_index, java_regex, parse
+from tidemark.operators.parsers import cell, cells, cells_error, group_index, java_regex, parse
 from tidemark.plans.catalogue import CLASSES, FIELDS, column, spark_type
 from tidemark.plans.mapping import Condition, Mapping, Ref, Registry, Spec
 
@@ -27,11 +26,12 @@ _STRINGS = "array<string>"
 
 
 def _resolve(ref: Ref) -> Column:
+    """A reference's text in a row with `body`, `cells` and `named`."""
     if ref.kind == "literal":
         return F.lit(None if ref.value is None else str(ref.value)).cast("string")
     if ref.kind == "positional":
-        return F.nullif(F.get(F.col("parsed.positional"), F.lit(ref.value - 1)), F.lit(""))
-    return F.col("body") if ref.value == "_raw" else F.try_element_at(F.col("parsed.named"), F.lit(ref.value))
+        return F.nullif(cell(F.col("cells"), ref.value), F.lit(""))
+    return F.col("body") if ref.value == "_raw" else F.try_element_at(F.col("named"), F.lit(ref.value))
 
 
 def predicate(c: Condition) -> Column:
@@ -46,33 +46,46 @@ def predicate(c: Condition) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def value_of(spec: Spec) -> Column:
-    """A field's text (`v`), and the transform failure if there was one (`failed`)."""
-    default = F.lit(None if spec.default is None else str(spec.default)).cast("string")
-
-    def after(value: Column, failed: Column) -> Column:
-        if spec.lookup:
-            value = F.when(value.isNotNull(), S.lookup(spec.lookup, value, default))
-        return F.struct(F.coalesce(value, default).alias("v"), failed.cast("string").alias("failed"))
-
-    def transformed(before: Column) -> Column:
-        done = S.TRANSFORMS[spec.transform](before) if spec.transform in S.TRANSFORMS else S.TIMED_TRANSFORMS[spec.transform](before, F.col("observed_time"))
-        return let(done, lambda x: after(x, F.when(before.isNotNull() & x.isNull(), f"{spec.transform} failed")))
-
+def _given(spec: Spec) -> Column:
+    """What a spec refers to, before its transform."""
     value = _resolve(spec.ref)
     if spec.regex:
         pattern, group = java_regex(spec.regex), group_index(spec.regex, spec.group)
         # no match, and an unmatched optional group, are no value
         value = F.when(value.rlike(pattern), F.nullif(F.regexp_extract(value, pattern, group), F.lit("")))
-    return let(value, transformed) if spec.transform else after(value, F.lit(None))
+    return value
+
+
+def _transformed(spec: Spec, value: Column) -> Column:
+    if spec.transform is None:
+        return value
+    return S.TRANSFORMS[spec.transform](value) if spec.transform in S.TRANSFORMS else S.TIMED_TRANSFORMS[spec.transform](value, F.col("observed_time"))
+
+
+def _text(spec: Spec, value: Column) -> Column:
+    """A field's text: the transformed value through the spec's lookup, or its default."""
+    default = F.lit(None if spec.default is None else str(spec.default)).cast("string")
+    if spec.lookup:
+        value = F.when(value.isNotNull(), S.lookup(spec.lookup, value, default))
+    return F.coalesce(value, default)
 
 
 def _case(rules: list[tuple[int, Column]]) -> Column:
     return reduce(lambda c, x: c.when(F.col("rule_at") == x[0], x[1]), rules, F)
 
 
+def _by_spec(m: Mapping, target: str) -> list[tuple[Spec, Column]]:
+    """The distinct specs of a target, each with whether the row's rule has it."""
+    rules: list[tuple[Spec, list[int]]] = []
+    for i, r in enumerate(m.rules):
+        if spec := r.fields.get(target):
+            known = next((at for s, at in rules if s == spec), None)
+            known.append(i) if known else rules.append((spec, [i]))
+    return [(s, F.col("rule_at").isin(*at)) for s, at in rules]
+
+
 def _semantic(f: dict[str, Column]) -> Column:
-    """Warnings about records whose shape suggests a wrong mapping."""
+    """Warnings about records whose shape suggests a wrong mapping; the addresses' numbers are columns."""
     src, dst, sport, dport = (f[f"{s}_endpoint.{p}"] for p in ("ip", "port") for s in ("src", "dst"))
     total, parts = f["traffic.bytes"], f["traffic.bytes_in"] + f["traffic.bytes_out"]
     drift = f["time"] - f["observed_time"]
@@ -80,42 +93,72 @@ def _semantic(f: dict[str, Column]) -> Column:
     return F.array_compact(F.array(
         say(src == dst, "same_endpoint: ", src),
         say((sport <= WELL_KNOWN_MAX) & (dport >= EPHEMERAL_MIN), "swapped_ports: ", sport.cast("string"), " ", dport.cast("string")),
-        say(S.is_global(src) & S.is_global(dst), "both_global: ", src, " ", dst),
+        say(S.is_global(src, F.col("__src_number")) & S.is_global(dst, F.col("__dst_number")), "both_global: ", src, " ", dst),
         say(parts > total, "byte_sum: ", parts.cast("string"), " over ", total.cast("string")),
         say(F.abs(drift) > DRIFT_MS, "clock_drift: ", F.format_string("%+.1fh", drift / 3_600_000.0)),
     ))
 
 
-def _source(raw: DataFrame, m: Mapping, now_ms: int | None) -> DataFrame:
-    names = [r.value for r in m.refs() if r.kind == "named" and r.value != "_raw"]
+def _parsed(raw: DataFrame, m: Mapping) -> DataFrame:
+    """`body`, `cells`, `named` and `error` of a mapping's events."""
     df = with_body(raw.withColumn("__text", text_of(F.col("raw_bytes"))), "__text")
+    if m.format in ("csv", "tsv", "ssv"):
+        return df.withColumns({"cells": cells(m.format, F.col("body")), "named": F.create_map().cast("map<string,string>"), "error": cells_error(m.format, F.col("body"))})
+    names = [r.value for r in m.refs() if r.kind == "named" and r.value != "_raw"]
     df = df.withColumn("parsed", parse(m.format, F.col("body"), names))
+    return df.withColumns({"cells": F.col("parsed.positional"), "named": F.col("parsed.named"), "error": F.col("parsed.error")})
+
+
+def _source(raw: DataFrame, m: Mapping, now_ms: int | None) -> DataFrame:
+    """The records of one mapping's events.
+
+    Values go through plain columns, one step after the other: what is used several times is a column of its own, which Catalyst doesn't
+    copy into its uses, and columns that nobody reads are pruned with all their steps. Structs are made of columns alone, so reading one of
+    their fields prunes the others.
+    """
+    df = _parsed(raw, m)
     chosen = F.coalesce(*(F.when(predicate(r.match) if r.match else F.lit(True), F.lit(i)) for i, r in enumerate(m.rules)), F.lit(-1))
-    df = df.withColumn("rule_at", F.when(F.col("parsed.error").isNull(), chosen).otherwise(-2))
+    df = df.withColumn("rule_at", F.when(F.col("error").isNull(), chosen).otherwise(-2))
     targets = list(dict.fromkeys(t for r in m.rules for t in r.fields))
-    found = {t: _case([(i, value_of(r.fields[t])) for i, r in enumerate(m.rules) if t in r.fields]) for t in targets}
-    df = df.select("event_uid", "raw_hash", "source_id", "observed_time", "parsed.error", "rule_at", F.struct(*(found[t].alias(column(t)) for t in targets)).alias("found"))
-    failed = F.array_compact(F.array(*(F.concat(F.lit(f"{t}: "), F.col("found")[column(t)]["failed"]) for t in targets)))
-    df = df.withColumn("texts", F.struct(*(F.col("found")[column(t)]["v"].alias(column(t)) for t in targets))).withColumn("failed", failed)
-    given = {t: F.col("texts")[column(t)] for t in targets}
-    df = df.withColumn("typed", F.struct(*(S.coerce(given[t], FIELDS[t], now_ms).alias(column(t)) for t in targets if t != "observed_time")))
-    typed = {t: F.col("typed")[column(t)] for t in targets if t != "observed_time"}
+    specs = {t: _by_spec(m, t) for t in targets}
+    kept = ["event_uid", "raw_hash", "source_id", "observed_time", "error", "rule_at"]
+    steps: dict[str, Column] = {}  # of specs that transform: what they are given, by target and place
+    for at, t in enumerate(targets):
+        steps |= {f"b{at}_{k}": F.when(own, _given(s)) for k, (s, own) in enumerate(specs[t]) if s.transform}
+    df = df.withColumns(steps) if steps else df
+    done = {f"d{at}_{k}": _transformed(s, F.col(f"b{at}_{k}")) for at, t in enumerate(targets) for k, (s, _) in enumerate(specs[t]) if s.transform}
+    df = df.withColumns(done) if done else df
+    texts, failed, constant = {}, [], {}
+    for at, t in enumerate(targets):
+        values = [(own, s, F.col(f"d{at}_{k}") if s.transform else _given(s)) for k, (s, own) in enumerate(specs[t])]
+        texts[f"x{at}"] = reduce(lambda c, v: c.when(v[0], _text(v[1], v[2])), values, F)
+        failed += [F.when(F.col(f"b{at}_{k}").isNotNull() & F.col(f"d{at}_{k}").isNull(), F.lit(f"{t}: {s.transform} failed")) for k, (s, _) in enumerate(specs[t]) if s.transform]
+        if all(s.ref.kind == "literal" and not s.transform and not s.regex for s, _ in specs[t]):
+            constant[t] = values  # folded by Catalyst, whatever its kind
+    df = df.select(*kept, *(c.alias(n) for n, c in texts.items()), (F.array_compact(F.array(*failed)) if failed else F.array().cast(_STRINGS)).alias("failed"))
+    given = {t: F.col(f"x{at}") for at, t in enumerate(targets)}
+    coercions = {t: S.coercion(FIELDS[t], now_ms) for t in targets if t != "observed_time" and t not in constant}
+    for step in range(max(map(len, coercions.values()), default=0)):
+        df = df.withColumns({f"t{targets.index(t)}": f[step](given[t] if step == 0 else F.col(f"t{targets.index(t)}")) for t, f in coercions.items() if len(f) > step})
+    fixed = {f"t{targets.index(t)}": reduce(lambda c, v, t=t: c.when(v[0], S.coerce(_text(v[1], v[2]), FIELDS[t], now_ms)), values, F) for t, values in constant.items() if t != "observed_time"}
+    df = df.withColumns(fixed) if fixed else df
+    typed = {t: F.col(f"t{at}") for at, t in enumerate(targets) if t != "observed_time"}
     matched = F.col("rule_at") >= 0
-    wrong = F.array_compact(F.array(*(F.when(given[t].isNotNull() & typed[t].isNull(), F.lit(f"{t}: not a valid {FIELDS[t]}")) for t in typed)))
-    fields = {n: F.when(matched, typed[n]) if n in typed else F.lit(None).cast(spark_type(k)) for n, k in FIELDS.items()}
     plausible = F.col("observed_time") >= S.LEAST_MS
     plausible = plausible if now_ms is None else plausible & (F.col("observed_time") <= now_ms + S.SKEW_MS)
-    fields["observed_time"] = F.when(matched & plausible, F.col("observed_time"))
     no_time = matched & (given["time"].isNull() if "time" in given else F.lit(True))
-    fields["time"] = F.when(no_time, fields["observed_time"]).otherwise(fields["time"])
-    df = df.withColumn("fields", F.struct(*(c.alias(column(n)) for n, c in fields.items())))
-    at = {n: F.col("fields")[column(n)] for n in FIELDS}
+    out = {f"o{targets.index(t)}": F.when(matched, c) for t, c in typed.items()} | {"o_observed": F.when(matched & plausible, F.col("observed_time"))}
+    df = df.withColumns(out | {"o_time": F.when(no_time, F.when(plausible, F.col("observed_time"))).otherwise(F.when(matched, typed["time"]) if "time" in typed else F.lit(None).cast("bigint"))})
+    special = {"time": F.col("o_time"), "observed_time": F.col("o_observed")}
+    at = {n: special.get(n, F.col(f"o{targets.index(n)}") if n in typed else F.lit(None).cast(spark_type(k))) for n, k in FIELDS.items()}
+    df = df.withColumns({"__src_number": S.ipv4_number(at["src_endpoint.ip"]), "__dst_number": S.ipv4_number(at["dst_endpoint.ip"])})
+    wrong = F.array_compact(F.array(*(F.when(given[t].isNotNull() & typed[t].isNull(), F.lit(f"{t}: not a valid {FIELDS[t]}")) for t in typed)))
     missing = F.when(matched & at["time"].isNull(), F.lit("time: required"))
     clock = F.when(~plausible, F.lit("observed_time: not a valid timestamp"))
-    df = df.withColumn("errors", F.when(matched, F.array_compact(F.concat(wrong, F.array(clock, missing)))).otherwise(F.array().cast(_STRINGS)))
+    empty = F.array().cast(_STRINGS)
+    df = df.withColumn("errors", F.when(matched, F.array_compact(F.concat(wrong, F.array(clock, missing)))).otherwise(empty))
     nothing = reduce(lambda a, n: a & at[n].isNull(), dict.fromkeys([*typed, "time", "observed_time"]), F.lit(True))
     warnings = F.when(matched, F.concat(F.col("failed"), _semantic(at))).when(F.col("rule_at") == -1, F.array(F.lit(f"no rule in {m.source} matched this event"))).otherwise(F.array(F.concat(F.lit("parse failed: "), F.col("error"))))
-    rule = F.col("rule_at")
     return df.select(
         "event_uid", "raw_hash", "source_id", "observed_time",
         F.when(~matched | ((F.size("errors") > 0) & nothing), "quarantined").when(F.size("errors") > 0, "partial").otherwise("full").alias("parse_status"),
@@ -123,9 +166,9 @@ def _source(raw: DataFrame, m: Mapping, now_ms: int | None) -> DataFrame:
         F.lit(m.source).alias("mapping_id"), F.lit(m.version).alias("mapping_version"), F.when(matched, F.lit(m.content_hash())).alias("mapping_hash"),
         _case([(i, F.lit(r.name)) for i, r in enumerate(m.rules)]).alias("rule_name"),
         F.when(matched, 1.0).otherwise(0.0).alias("mapping_coverage"),
-        "fields", F.create_map().cast("map<string,string>").alias("unmapped"), "errors", warnings.alias("warnings"),
-        F.when(no_time, F.array(F.lit(NO_TIME))).otherwise(F.array().cast(_STRINGS)).alias("notes"), rule.alias("__rule"),
-    ).drop("__rule")
+        F.struct(*(c.alias(column(n)) for n, c in at.items())).alias("fields"), F.create_map().cast("map<string,string>").alias("unmapped"), "errors", warnings.alias("warnings"),
+        F.when(no_time, F.array(F.lit(NO_TIME))).otherwise(empty).alias("notes"),
+    )
 
 
 def _unknown(raw: DataFrame) -> DataFrame:
@@ -166,4 +209,4 @@ def summary(fields: Column) -> Column:
     return F.coalesce(text("finding_info.title"), request, ends, F.lit("unparsed - awaiting a mapping"))
 
 
-__all__ = ["normalize", "predicate", "summary", "value_of", "CLASSES"]
+__all__ = ["normalize", "predicate", "summary", "CLASSES"]
