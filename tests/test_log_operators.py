@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,32 @@ def test_mining(spark):
     mined = templates.mine(df).persist()
     assert {r.line_id: r.first_id for r in mined.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
     assert templates.templates(df, mined).filter("first_id = 0").first().template == "login ok for <*> from <*>"
+
+
+def test_mining_in_shards_is_mining_in_one_tree(spark):
+    rng = random.Random(4)
+    words = ["open", "close", "read", "user", "é1", "a7", "<*>", "10", "x9y"]
+    rows = []
+    for n in range(3000):
+        source = rng.choice(["plain", "digits", "many"])
+        pick = words[:4] if source == "plain" else words
+        first = f"{''.join(rng.choice('abcdefghij') for _ in range(2))}" if source == "many" else rng.choice(pick)
+        rows.append((source, n, " ".join([first, *(rng.choice(pick) for _ in range(rng.randint(0, 5)))])))
+    rows += [("plain", 5000, None), ("plain", 5001, "  ")]
+    df = spark.createDataFrame(rows, "source string, line_id long, text string").repartition(3)
+    cut = {r.line_id: (r.source, r.size, r.line) for r in templates.sharded(df).collect()}
+    want, sizes, miners = {}, {}, {}
+    for line_id in sorted(cut):
+        source, size, text = cut[line_id]
+        miner, firsts = miners.setdefault((source, size), (templates.Miner(), []))
+        at = miner.add(text.split(" ") if text else [])
+        if at == len(firsts):
+            firsts.append(line_id)
+        want[line_id] = firsts[at]
+        sizes[firsts[at]] = sizes.get(firsts[at], 0) + 1
+    assert {r.line_id: r.first_id for r in templates.mine(df).collect()} == want
+    found = {r.first_id: (r.size, r.template) for r in templates.clusters(df).collect()}
+    assert found == {f: (sizes[f], " ".join(m.templates[i])) for m, firsts in miners.values() for i, f in enumerate(firsts)}
+    assert {r.first_id: (r.size, r.template or "") for r in templates.templates(df.fillna("", "text"), templates.mine(df)).collect()} == found
+    shards = {r.source: r.n for r in templates.sharded(df).groupBy("source").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert shards["plain"] > 16 and shards["digits"] == 1  # first tokens with digits, and wildcards, keep a source's lines together

@@ -1,8 +1,11 @@
 """Template mining: masking, tokens, and order-dependent clustering of log lines by a fixed-depth tree.
 
-Clusters never hold lines of different lengths, so lines are grouped by (source, token
-count) and each group is mined in order of its line numbers, streamed batch by batch:
-a task holds the templates of its group, not its lines.
+Clusters never hold lines of different lengths, and a line only meets clusters of the
+tree's leaf that it is led to. So lines are mined in shards of (source, token count, first tokens), in
+order of their line numbers, streamed batch by batch: a task holds the templates of a shard, not its
+lines. A shard goes one token deeper as long as the tree can't lead a line elsewhere than to its own token's branch,
+which is when no token of that place has a digit or is a wildcard and there are not more of them than a node's children:
+the result is that of one tree over all lines. A line that was met before, with no change since, costs one lookup.
 """
 
 from __future__ import annotations
@@ -11,10 +14,12 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import written
+
 WILD = "<*>"
 #: What is masked, in this order, and what stands for it.
 MASKS = (
@@ -26,6 +31,8 @@ MASKS = (
     (r"(?<![A-Za-z])-?\d+(?:\.\d+)?(?![A-Za-z])", WILD),
 )
 DEPTH, SIMILARITY, CHILDREN = 4, 0.4, 100
+#: Lines that a miner remembers between two changes, at most.
+MET = 100_000
 
 
 def mask(line: Column) -> Column:
@@ -53,6 +60,20 @@ class Miner:
         self.leaves: dict[tuple[str, ...], list[int]] = {}
         self.branches: dict[tuple[str, ...], set[str]] = {}
         self.templates: list[list[str]] = []
+        self.changes = 0
+        self.met: dict[str, int] = {}  # lines since the last change, and their clusters
+
+    def add_text(self, line: str) -> int:
+        """As add(), of tokens with one space between them."""
+        at = self.met.get(line)
+        if at is None:
+            before = self.changes
+            at = self.add(line.split(" ") if line else [])
+            if self.changes != before or len(self.met) >= MET:
+                self.met.clear()
+            if self.changes == before:  # a template that has just changed may rank otherwise for the same line
+                self.met[line] = at
+        return at
 
     def _path(self, line: list[str], grow: bool) -> tuple[str, ...] | None:
         path: tuple[str, ...] = ()
@@ -83,11 +104,14 @@ class Miner:
             self.templates.append(list(line))
             at = len(self.templates) - 1
             self.leaves.setdefault(self._path(line, grow=True), []).append(at)
+            self.changes += 1
         else:
-            self.templates[at] = [a if a in (b, WILD) else WILD for a, b in zip(self.templates[at], line, strict=True)]
+            merged = [a if a in (b, WILD) else WILD for a, b in zip(self.templates[at], line, strict=True)]
+            if merged != self.templates[at]:
+                self.templates[at] = merged
+                self.changes += 1
         return at
 
-
     def dumps(self) -> str:
         """The tree as JSON, for state kept between micro-batches."""
         flat = lambda d: [[list(k), sorted(v) if isinstance(v, set) else v] for k, v in d.items()]
@@ -103,31 +127,69 @@ class Miner:
         return out
 
 
-def mine(lines: DataFrame, depth: int = DEPTH, threshold: float = SIMILARITY) -> DataFrame:
-    """`source`, `line_id`, `first_id`: each line's cluster, named by its first line. lines: source, line_id, text."""
-    df = lines.select("source", "line_id", tokens(mask(F.col("text"))).alias("line")).withColumn("size", F.size("line"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        miners: dict[tuple, tuple[Miner, list[int]]] = {}
-        group = None
-        for part in parts:  # sorted by source, size and line, so one group is open at a time
-            first = []
-            for source, size, line_id, line in zip(part["source"], part["size"], part["line_id"], part["line"], strict=True):
-                if (source, size) != group:
-                    group = (source, size)
-                    miners = {group: (Miner(depth, threshold), [])}
-                miner, firsts = miners[group]
-                at = miner.add(list(line))
+def sharded(lines: DataFrame, depth: int = DEPTH, children: int = CHILDREN) -> DataFrame:
+    """`source`, `size`, `shard`, `line_id`, `line` (tokens with one space between them): lines of different shards never meet in the tree."""
+    cut = tokens(mask(F.col("text")))
+    df = lines.select("source", "line_id", F.coalesce(cut, F.array().cast("array<string>")).alias("t"))
+    df = df.select("source", F.size("t").alias("size"), "line_id", F.array_join("t", " ").alias("line"), *(F.get("t", F.lit(i)).alias(f"t{i}") for i in range(depth - 2)))
+    df = written(df, "masked").withColumn("shard", F.lit(""))  # read once for each token, masked once
+    key = ["source", "size", "shard"]
+    for i in range(depth - 2):
+        token = F.col(f"t{i}")
+        seen = df.groupBy(*key, token).agg(F.lit(1).alias("one"))
+        apart = seen.groupBy(*key).agg((~F.bool_or(F.coalesce(token.rlike(r"[0-9]|[^\x00-\x7F]") | (token == WILD), F.lit(False))) & (F.count("*") <= children)).alias("apart"))
+        if i:  # a shard that wasn't cut at a place isn't cut behind it
+            apart = apart.filter(F.length("shard") - F.length(F.replace("shard", F.lit("\n"), F.lit(""))) == i)
+        df = df.join(apart, key, "left").withColumn("shard", F.when(F.col("apart"), F.concat("shard", F.coalesce(token, F.lit("")), F.lit("\n"))).otherwise(F.col("shard"))).drop("apart")
+    return df.select("source", "size", "shard", "line_id", "line")
+
+
+def _mined(lines: DataFrame, depth: int, threshold: float, each: bool) -> DataFrame:
+    """Rows (`source`, `line_id`, `first_id`) of lines if `each`, and of clusters, without `line_id`, with `template` and `n`."""
+    def batch(source: list, line_id: list, first_id: list, template: list, n: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((source, line_id, first_id, template, n), kinds, strict=True)], names=["source", "line_id", "first_id", "template", "n"])
+
+    def ended(group: tuple, miner: Miner, firsts: list[int], counts: list[int]) -> pa.RecordBatch:
+        return batch([group[0]] * len(firsts), [None] * len(firsts), firsts, [" ".join(t) for t in miner.templates], counts)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, miner, firsts, counts = None, Miner(depth, threshold), [], []
+        for part in parts:  # sorted by shard and line, so one shard is open at a time
+            first, (sources, sizes, shards, ids, texts) = [], (part.column(i).to_pylist() for i in range(5))
+            for source, size, shard, line_id, line in zip(sources, sizes, shards, ids, texts, strict=True):
+                if (source, size, shard) != group:
+                    if group:
+                        yield ended(group, miner, firsts, counts)
+                    group, miner, firsts, counts = (source, size, shard), Miner(depth, threshold), [], []
+                at = miner.add_text(line)
                 if at == len(firsts):
                     firsts.append(line_id)
+                    counts.append(0)
+                counts[at] += 1
                 first.append(firsts[at])
-            yield pd.DataFrame({"source": part["source"], "line_id": part["line_id"], "first_id": first})
+            if each:
+                yield batch(sources, ids, first, [None] * len(ids), [None] * len(ids))
+        if group:
+            yield ended(group, miner, firsts, counts)
+
+    dealt = sharded(lines, depth).repartition("source", "size", "shard").sortWithinPartitions("source", "size", "shard", "line_id")
+    return dealt.mapInArrow(run, "source string, line_id bigint, first_id bigint, template string, n bigint")
+
+
+def mine(lines: DataFrame, depth: int = DEPTH, threshold: float = SIMILARITY) -> DataFrame:
+    """`source`, `line_id`, `first_id`: each line's cluster, named by its first line. lines: source, line_id, text."""
+    return _mined(lines, depth, threshold, each=True).filter("line_id IS NOT NULL").select("source", "line_id", "first_id")
+
 
-    return df.repartition("source", "size").sortWithinPartitions("source", "size", "line_id").mapInPandas(run, "source string, line_id bigint, first_id bigint")
+def clusters(lines: DataFrame, depth: int = DEPTH, threshold: float = SIMILARITY) -> DataFrame:
+    """`source`, `first_id`, `size`, `template`, `cluster_id`: each cluster's tokens on which all its lines agree, wildcards elsewhere; numbered by first line. Lines are read once and not joined again."""
+    found = _mined(lines, depth, threshold, each=False).select("source", "first_id", F.col("n").alias("size"), "template")
+    return found.withColumn("cluster_id", F.row_number().over(Window.partitionBy("source").orderBy("first_id")) - 1)
 
 
 def templates(lines: DataFrame, mined: DataFrame) -> DataFrame:
-    """Each cluster's template and size: tokens on which all its lines agree, wildcards elsewhere."""
+    """As clusters(), from assignments that are at hand: `source`, `line_id`, `first_id`."""
     both = lines.select("source", "line_id", tokens(mask(F.col("text"))).alias("line")).join(mined, ["source", "line_id"])
     places = both.select("source", "first_id", "line_id", F.posexplode("line").alias("i", "t")).groupBy("source", "first_id", "i").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     text = places.groupBy("source", "first_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(WILD).alias("t")))), lambda x: x["t"]), " ").alias("template"))

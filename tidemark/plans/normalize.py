@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.functions.binding import built
 from tidemark.operators.frames import STRATEGIES, format_of, with_body
 from tidemark.operators.identity import div, text_of
 from tidemark.operators.parsers import cell, cells, cells_error, group_index, java_regex, parse
@@ -23,6 +24,9 @@ WELL_KNOWN_MAX, EPHEMERAL_MIN, DRIFT_MS = 1023, 49152, 3_600_000
 NO_TIME = "no event time in the record: the receipt time stands in"
 RECORD = ("event_uid", "raw_hash", "source_id", "observed_time", "parse_status", "class_uid", "mapping_id", "mapping_version", "mapping_hash", "rule_name", "mapping_coverage", "fields", "unmapped", "errors", "warnings", "notes")
 _STRINGS = "array<string>"
+_PLACES = {n: i for i, n in enumerate(FIELDS)}
+#: What _semantic() looks at.
+_CHECKED = ("src_endpoint.ip", "dst_endpoint.ip", "src_endpoint.port", "dst_endpoint.port", "traffic.bytes", "traffic.bytes_in", "traffic.bytes_out", "time", "observed_time")
 
 
 def _resolve(ref: Ref) -> Column:
@@ -121,44 +125,46 @@ def _source(raw: DataFrame, m: Mapping, now_ms: int | None) -> DataFrame:
     df = df.withColumn("rule_at", F.when(F.col("error").isNull(), chosen).otherwise(-2))
     targets = list(dict.fromkeys(t for r in m.rules for t in r.fields))
     specs = {t: _by_spec(m, t) for t in targets}
+    at = {t: _PLACES[t] for t in targets}  # the same in all mappings, so that their expressions are
     kept = ["event_uid", "raw_hash", "source_id", "observed_time", "error", "rule_at"]
     steps: dict[str, Column] = {}  # of specs that transform: what they are given, by target and place
-    for at, t in enumerate(targets):
-        steps |= {f"b{at}_{k}": F.when(own, _given(s)) for k, (s, own) in enumerate(specs[t]) if s.transform}
+    for t in targets:
+        steps |= {f"b{at[t]}_{k}": F.when(own, _given(s)) for k, (s, own) in enumerate(specs[t]) if s.transform}
     df = df.withColumns(steps) if steps else df
-    done = {f"d{at}_{k}": _transformed(s, F.col(f"b{at}_{k}")) for at, t in enumerate(targets) for k, (s, _) in enumerate(specs[t]) if s.transform}
+    done = {f"d{at[t]}_{k}": built((s.transform, f"b{at[t]}_{k}"), lambda s=s, name=f"b{at[t]}_{k}": _transformed(s, F.col(name))) for t in targets for k, (s, _) in enumerate(specs[t]) if s.transform}
     df = df.withColumns(done) if done else df
     texts, failed, constant = {}, [], {}
-    for at, t in enumerate(targets):
-        values = [(own, s, F.col(f"d{at}_{k}") if s.transform else _given(s)) for k, (s, own) in enumerate(specs[t])]
-        texts[f"x{at}"] = reduce(lambda c, v: c.when(v[0], _text(v[1], v[2])), values, F)
-        failed += [F.when(F.col(f"b{at}_{k}").isNotNull() & F.col(f"d{at}_{k}").isNull(), F.lit(f"{t}: {s.transform} failed")) for k, (s, _) in enumerate(specs[t]) if s.transform]
+    for t in targets:
+        values = [(own, s, F.col(f"d{at[t]}_{k}") if s.transform else _given(s)) for k, (s, own) in enumerate(specs[t])]
+        texts[f"x{at[t]}"] = reduce(lambda c, v: c.when(v[0], _text(v[1], v[2])), values, F)
+        failed += [F.when(F.col(f"b{at[t]}_{k}").isNotNull() & F.col(f"d{at[t]}_{k}").isNull(), F.lit(f"{t}: {s.transform} failed")) for k, (s, _) in enumerate(specs[t]) if s.transform]
         if all(s.ref.kind == "literal" and not s.transform and not s.regex for s, _ in specs[t]):
             constant[t] = values  # folded by Catalyst, whatever its kind
     df = df.select(*kept, *(c.alias(n) for n, c in texts.items()), (F.array_compact(F.array(*failed)) if failed else F.array().cast(_STRINGS)).alias("failed"))
-    given = {t: F.col(f"x{at}") for at, t in enumerate(targets)}
+    given = {t: F.col(f"x{at[t]}") for t in targets}
     coercions = {t: S.coercion(FIELDS[t], now_ms) for t in targets if t != "observed_time" and t not in constant}
     for step in range(max(map(len, coercions.values()), default=0)):
-        df = df.withColumns({f"t{targets.index(t)}": f[step](given[t] if step == 0 else F.col(f"t{targets.index(t)}")) for t, f in coercions.items() if len(f) > step})
-    fixed = {f"t{targets.index(t)}": reduce(lambda c, v, t=t: c.when(v[0], S.coerce(_text(v[1], v[2]), FIELDS[t], now_ms)), values, F) for t, values in constant.items() if t != "observed_time"}
+        of = {t: f"x{at[t]}" if step == 0 else f"t{at[t]}" for t, f in coercions.items() if len(f) > step}
+        df = df.withColumns({f"t{at[t]}": built((FIELDS[t], now_ms, step, name), lambda t=t, name=name, step=step: coercions[t][step](F.col(name))) for t, name in of.items()})
+    fixed = {f"t{at[t]}": reduce(lambda c, v, t=t: c.when(v[0], S.coerce(_text(v[1], v[2]), FIELDS[t], now_ms)), values, F) for t, values in constant.items() if t != "observed_time"}
     df = df.withColumns(fixed) if fixed else df
-    typed = {t: F.col(f"t{at}") for at, t in enumerate(targets) if t != "observed_time"}
+    typed = {t: F.col(f"t{at[t]}") for t in targets if t != "observed_time"}
     matched = F.col("rule_at") >= 0
     plausible = F.col("observed_time") >= S.LEAST_MS
     plausible = plausible if now_ms is None else plausible & (F.col("observed_time") <= now_ms + S.SKEW_MS)
     no_time = matched & (given["time"].isNull() if "time" in given else F.lit(True))
-    out = {f"o{targets.index(t)}": F.when(matched, c) for t, c in typed.items()} | {"o_observed": F.when(matched & plausible, F.col("observed_time"))}
+    out = {f"o{at[t]}": F.when(matched, c) for t, c in typed.items()} | {"o_observed": F.when(matched & plausible, F.col("observed_time"))}
     df = df.withColumns(out | {"o_time": F.when(no_time, F.when(plausible, F.col("observed_time"))).otherwise(F.when(matched, typed["time"]) if "time" in typed else F.lit(None).cast("bigint"))})
-    special = {"time": F.col("o_time"), "observed_time": F.col("o_observed")}
-    at = {n: special.get(n, F.col(f"o{targets.index(n)}") if n in typed else F.lit(None).cast(spark_type(k))) for n, k in FIELDS.items()}
-    df = df.withColumns({"__src_number": S.ipv4_number(at["src_endpoint.ip"]), "__dst_number": S.ipv4_number(at["dst_endpoint.ip"])})
+    names = {n: f"o{at[n]}" for n in typed} | {"time": "o_time", "observed_time": "o_observed"}
+    fields = {n: F.col(names[n]) if n in names else built(("null", spark_type(k)), lambda k=k: F.lit(None).cast(spark_type(k))) for n, k in FIELDS.items()}
+    df = df.withColumns({f"__{e}_number": S.ipv4_number(fields[f"{e}_endpoint.ip"]) for e in ("src", "dst")})
     wrong = F.array_compact(F.array(*(F.when(given[t].isNotNull() & typed[t].isNull(), F.lit(f"{t}: not a valid {FIELDS[t]}")) for t in typed)))
-    missing = F.when(matched & at["time"].isNull(), F.lit("time: required"))
+    missing = F.when(matched & fields["time"].isNull(), F.lit("time: required"))
     clock = F.when(~plausible, F.lit("observed_time: not a valid timestamp"))
     empty = F.array().cast(_STRINGS)
     df = df.withColumn("errors", F.when(matched, F.array_compact(F.concat(wrong, F.array(clock, missing)))).otherwise(empty))
-    nothing = reduce(lambda a, n: a & at[n].isNull(), dict.fromkeys([*typed, "time", "observed_time"]), F.lit(True))
-    warnings = F.when(matched, F.concat(F.col("failed"), _semantic(at))).when(F.col("rule_at") == -1, F.array(F.lit(f"no rule in {m.source} matched this event"))).otherwise(F.array(F.concat(F.lit("parse failed: "), F.col("error"))))
+    nothing = reduce(lambda a, n: a & fields[n].isNull(), dict.fromkeys([*typed, "time", "observed_time"]), F.lit(True))
+    warnings = F.when(matched, F.concat(F.col("failed"), built(("semantic", *(names.get(n) for n in _CHECKED)), lambda: _semantic(fields)))).when(F.col("rule_at") == -1, F.array(F.lit(f"no rule in {m.source} matched this event"))).otherwise(F.array(F.concat(F.lit("parse failed: "), F.col("error"))))
     return df.select(
         "event_uid", "raw_hash", "source_id", "observed_time",
         F.when(~matched | ((F.size("errors") > 0) & nothing), "quarantined").when(F.size("errors") > 0, "partial").otherwise("full").alias("parse_status"),
@@ -166,7 +172,7 @@ def _source(raw: DataFrame, m: Mapping, now_ms: int | None) -> DataFrame:
         F.lit(m.source).alias("mapping_id"), F.lit(m.version).alias("mapping_version"), F.when(matched, F.lit(m.content_hash())).alias("mapping_hash"),
         _case([(i, F.lit(r.name)) for i, r in enumerate(m.rules)]).alias("rule_name"),
         F.when(matched, 1.0).otherwise(0.0).alias("mapping_coverage"),
-        F.struct(*(c.alias(column(n)) for n, c in at.items())).alias("fields"), F.create_map().cast("map<string,string>").alias("unmapped"), "errors", warnings.alias("warnings"),
+        F.struct(*(c.alias(column(n)) for n, c in fields.items())).alias("fields"), F.create_map().cast("map<string,string>").alias("unmapped"), "errors", warnings.alias("warnings"),
         F.when(no_time, F.array(F.lit(NO_TIME))).otherwise(empty).alias("notes"),
     )
 

@@ -345,7 +345,7 @@ def mask_tokens(spark, sf_dir):
 def mine_templates(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     lines = e.select(F.col("event_type").alias("source"), F.col("event_id").alias("line_id"), line("user ", F.col("user_id"), " did ", F.col("event_type"), " thing on 10.0.0.", F.col("user_id") % 200).alias("text"))
-    return templates.templates(lines, templates.mine(lines)).select("source", "size", "template")
+    return templates.clusters(lines).select("source", "size", "template")
 
 
 @query("SELECT round(count(*) FILTER (event_type <> 'view' AND NOT (event_type = 'click' AND event_id % 4 = 1) AND event_type <> 'error') / count(*), 6) AS accuracy FROM events")

@@ -98,8 +98,10 @@ def mine_stream(lines: DataFrame) -> DataFrame:
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         miner = templates.Miner.loads(state.get[0]) if state.exists else templates.Miner()
         rows = pd.concat(parts).sort_values("line_id")
+        before = miner.changes
         found = [" ".join(miner.templates[miner.add(list(line))]) for line in rows["line"]]
-        state.update((miner.dumps(),))
+        if miner.changes != before or not state.exists:
+            state.update((miner.dumps(),))
         yield pd.DataFrame({"source": [key[0]] * len(rows), "size": [key[1]] * len(rows), "line_id": rows["line_id"].to_numpy(), "template": found})
 
     return df.groupBy("source", "size").applyInPandasWithState(run, "source string, size int, line_id bigint, template string", "tree string", "append", GroupStateTimeout.NoTimeout)
