@@ -1,4 +1,4 @@
-"""Cutting of lineage where rows must come from one dealing: checkpoints and written tables in the shared folder."""
+"""How rows are dealt: written tables in the shared folder, where they must come from one dealing, and small unsplittable inputs."""
 
 from __future__ import annotations
 
@@ -40,3 +40,12 @@ def released(*tables: DataFrame) -> None:
                 raise ValueError(f"not a written table: {folder}")
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores if it comes in fewer pieces than there are: rows of one file that can't be split would cost one core all the work per row.
+
+    An input of many pieces, as large ones are, is left as it is, and isn't shuffled. Select the needed columns first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.lineage import written
+from tidemark.functions.lineage import spread, written
 from tidemark.operators import discovery, frames, identity, ledger, report, store, templates
 from tidemark.operators.parsers import parse
 from tidemark.plans.mapping import Mapping, Registry
@@ -68,7 +68,7 @@ rules:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("at", ms("ts"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", ms("ts").alias("at")))
     text = line("<134>Jan  2 03:04:05 host app[7]: type=", F.col("event_type"), " user=", F.col("user_id"), " sev=", F.col("user_id") % 7, " src=10.", F.col("user_id") % 200, ".", F.col("event_id") % 250, ".7 dst=192.168.", F.col("user_id") % 5, ".1 port=", F.col("event_id") % 70000, " size=", F.col("event_id") % 1500, ' url="http://h/', F.col("user_id"), '" at=', F.col("at"))
     return e.select("event_id", "event_type", "user_id", "at", text.cast("binary").alias("raw_bytes"), (F.col("at") * 1_000_000).alias("received_at_ns"))
 
@@ -139,7 +139,7 @@ def detect_format(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, concat('a,\"', l_returnflag, '\" b') AS quoted, l_linestatus AS plain, CAST(l_quantity AS BIGINT) AS number, 5 AS cells FROM lineitem")
 def parse_csv(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"))
     text = line(F.col("l_orderkey"), ", ", F.col("l_linenumber"), ',"a,""', F.col("l_returnflag"), '"" b",', F.col("l_linestatus"), " , ", F.col("l_quantity").cast("bigint"))
     p = li.select(parse("csv", text).alias("x")).select("x.positional")
     cell = lambda i: F.get("positional", F.lit(i))
@@ -232,7 +232,7 @@ def normalize_events(spark, sf_dir):
 @query("""SELECT concat('10.0.', l_suppkey % 200, '.', l_linenumber) AS dst_ip, CASE WHEN l_returnflag = 'R' THEN 'block' ELSE 'pass' END AS rule_name, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 3 ELSE 1 END) AS severity FROM lineitem GROUP BY 1, 2""")
 def firewall_by_destination(spark, sf_dir):
     """The flagship: firewall lines through the bundled mapping, counted by destination."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity"))
     action = F.when(F.col("l_returnflag") == "R", "block").otherwise("pass")
     text = line("<134>Sep 17 10:00:00 fw01 filterlog[1234]: 5,,,", F.col("l_orderkey"), ",em0,match,", action, ",in,4,0x0,,64,", F.col("l_partkey"), ",0,DF,6,tcp,60,198.18.0.9,10.0.", F.col("l_suppkey") % 200, ".", F.col("l_linenumber"), ",", F.col("l_partkey") % 60000 + 1, ",443,", F.col("l_quantity").cast("bigint"))
     raw = identity.capture(li.select(text.cast("binary").alias("raw_bytes"), (F.lit(1789650000000) * 1_000_000 + F.col("l_orderkey")).alias("ns")), "pfsense_filterlog", F.col("ns"))
@@ -316,8 +316,8 @@ def merkle_roots(spark, sf_dir):
 
 
 def _sealed(spark, sf_dir):
-    raw = identity.capture(event_lines(spark, sf_dir), "app_events", F.col("received_at_ns"))
-    leaf = ledger.leaves(raw, 500)
+    raw = written(identity.capture(event_lines(spark, sf_dir), "app_events", F.col("received_at_ns")), "raw")  # read for leaves and for their check
+    leaf = written(ledger.leaves(raw, 500), "leaves")
     return raw, leaf, ledger.chain(ledger.merkle_roots_of_arrays(leaf))
 
 
