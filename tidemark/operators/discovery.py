@@ -65,7 +65,8 @@ def common_keys(values: DataFrame) -> DataFrame:
 def samples_of(raw: DataFrame, limit: int = SAMPLES) -> DataFrame:
     """The newest `limit` events of each source, written once: `source_id`, `sample` (0 is the newest), `text`, `body`, `format`."""
     w = Window.partitionBy("source_id").orderBy(F.desc("received_at_ns"), F.desc("event_uid"))
-    newest = raw.withColumn("sample", F.row_number().over(w) - 1).filter(F.col("sample") < limit)
+    # compared as it is, so that Spark's group limit keeps `limit` rows of a source in each task before it sorts
+    newest = raw.withColumn("sample", F.row_number().over(w)).filter(F.col("sample") <= limit).withColumn("sample", F.col("sample") - 1)
     return written(frames.detect(newest.select("source_id", "sample", "event_uid", "raw_hash", "raw_bytes", "received_at_ns", text_of(F.col("raw_bytes")).alias("text")), "text"), "samples")
 
 

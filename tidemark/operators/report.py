@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dossiers(raw: DataFrame, projection: DataFrame, leaves: DataFrame, batches: DataFrame) -> DataFrame:
+def placed_events(raw: DataFrame, projection: DataFrame, leaves: DataFrame, batches: DataFrame) -> DataFrame:
     """Raw events with their bytes in hexadecimal, projection and place in the ledger; what is missing is null."""
     place = leaves.select("event_uid", "batch_id", "leaf_index").join(batches.select("batch_id", F.col("root").alias("batch_root")), "batch_id", "left")
     own = projection.drop(*(c for c in raw.columns if c in projection.columns and c != "event_uid"))

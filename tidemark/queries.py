@@ -416,7 +416,7 @@ def reobserve(spark, sf_dir):
 @query(f"""WITH {_P}, o AS (SELECT status, row_number() OVER (ORDER BY at_ms, event_id) AS n FROM p) SELECT (SELECT count(*) FROM o) AS events, (SELECT count(*) FROM o WHERE status = 'full') AS full_events, (SELECT (count(*) + 499) // 500 FROM o) AS batches, 0 AS unplaced""")
 def dossier_totals(spark, sf_dir):
     raw, leaf, chained = _sealed(spark, sf_dir)
-    d = report.dossiers(raw, projection(spark, sf_dir, "event_uid", "parse_status"), leaf, chained)
+    d = report.placed_events(raw, projection(spark, sf_dir, "event_uid", "parse_status"), leaf, chained)
     return d.agg(F.count("*").alias("events"), F.count_if(F.col("parse_status") == "full").alias("full_events"), F.countDistinct("batch_root").alias("batches"), F.count_if(F.col("leaf_index").isNull()).alias("unplaced"))
 
 
