@@ -201,16 +201,18 @@ def _groups(entries: DataFrame, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         bucket, salt = table["bucket"][0].as_py(), table["salt"][0].as_py()
         e = np.frombuffer(b"".join(table["entries"].to_pylist()), _ENTRY)
-        e = e[np.lexsort((e["doc"], e["key"]))]
-        e = e[np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["doc"][1:] != e["doc"][:-1]))]
-        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
+        # lists are of a key at its place: entries keep 32 bits of a key, so that keys of two places may be equal
+        e = e[np.lexsort((e["doc"], e["at"], e["key"]))]
+        other = np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["at"][1:] != e["at"][:-1]))
+        e, other = (x[other | np.append(True, e["doc"][1:] != e["doc"][:-1])] for x in (e, other))
+        start = np.flatnonzero(other)
         size = np.diff(np.append(start, len(e)))
         hubs = _hubs(e, start, size)
         leader = e[np.repeat(hubs, size)]
         small, large = (f(leader["n"], e["n"]).astype(np.int64) for f in (np.minimum, np.maximum))
         ok = (leader["doc"] != e["doc"]) & (100 * small >= percent * large) & (np.bitwise_count(leader["bits"] ^ e["bits"]) <= NEAR_BITS)
         # a whole list is named by its members, so equal lists of other keys come once; a part of a list by its key
-        names = mix(np.add.reduceat(mix(e["doc"].astype(U64)), start)) if salt == 0 else mix(U64(bucket << 32) ^ e["key"][start].astype(U64))
+        names = mix(np.add.reduceat(mix(e["doc"].astype(U64)), start)) if salt == 0 else mix(mix(U64(bucket << 32) ^ e["key"][start].astype(U64)) ^ e["at"][start].astype(U64))
         listed = size > (1 if salt == 0 else 0)
         if salt == 0:  # the one of the first key
             order = np.flatnonzero(listed)[np.lexsort((e["at"][start[listed]], names[listed]))]
@@ -369,7 +371,7 @@ def _candidates(cells: DataFrame, percent: int) -> DataFrame:
             first = np.argmax(count >= CHUNK - 1, axis=1)
             within = by_chunk[np.arange(len(a)), first]
             key = first * CHUNK + np.where(within.all(1), 0, np.argmin(within, axis=1))
-            ok = (count.sum(1) >= SYMBOLS - DISTANCE) & (key == at)
+            ok = (count.sum(1) >= SYMBOLS - DISTANCE) & (key >= at)  # equal lists stand under the first of their keys
             flagged[0][i + a[ok]] = True
             flagged[1][b[ok]] = True
         docs = np.unique(np.concatenate([one["doc"][flagged[0]], two["doc"][flagged[1]]]))
