@@ -154,6 +154,17 @@ def test_near_duplicates_split_hot_lists(spark):
     assert {x[1] for x in as_dict(near_duplicates.classify(df, width=2, hot=20)).values()} == {0}
 
 
+def test_near_duplicate_keys_of_two_places(spark):
+    """Keys of two places that agree in the 32 bits that entries keep make two lists, each under its own place."""
+    e = np.zeros(6, near_duplicates._ENTRY)
+    e["key"], e["doc"], e["at"], e["n"] = 7, [1, 2, 3, 4, 5, 1], [3, 9, 9, 9, 3, 9], 10
+    for salt in (0, 1):
+        df = spark.createDataFrame([(0, salt, bytearray(e.tobytes()))], "bucket int, salt int, entries binary")
+        got = near_duplicates._members(near_duplicates._groups(df, 80)).collect()
+        assert sorted((r["at"], r["doc"]) for r in got) == [(3, 1), (3, 5), (9, 1), (9, 2), (9, 3), (9, 4)]
+        assert len({r["name"] for r in got}) == 2
+
+
 def test_near_duplicates_family_below_the_threshold(spark):
     """A thousand pages of one template, every two of them a little less similar than the threshold: none is linked, and no round limit is met."""
     rows = [(i, " ".join([f"t{j}" for j in range(75)] + [f"own{i}x{j}" for j in range(10)])) for i in range(1000)]
@@ -354,9 +365,33 @@ def test_surrogates(spark):
     two = re.match(r'Mr\. (\w+n) (\w+) met Mrs (\w+a) (\w+) at 2[45]\d\.', got[2][0])
     assert two and two[2].lower() == two[4].lower()
     table = surrogates.assign(spark.createDataFrame([(i, f"user{i}@x.org 10.{i // 250}.{i % 250}.9") for i in range(1500)], "doc_id long, text string"), "k")
+    assert table.filter("kind = 'domain'").count() == 1
+    table = table.filter("kind <> 'domain'")
     assert table.count() == 3000 and table.select("kind", "surrogate").distinct().count() == 3000
 
 
+def test_surrogates_keep_checks_ranges_and_domains(spark):
+    import ipaddress
+
+    rows = [
+        (1, "anna@acme.com bob@ACME.com carl@other.org x@mail.acme.com"), (2, "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000, GB29NWBK60161331926819"),
+        (3, "SSN 123-45-6789, call 212-555-0199 or +1 (212) 555-0199"), (4, "from 2a02:8108::1:F, 2A02:8108:0:0:0:0:1:f and fe80::1%eth0; std::vector a::b ::1 10:20:30"), (5, "see fdab:cdef:abcd:abcd:abcd:abcd:abcd:abcd and fdaa::bb."),
+    ]
+    got = {d: t for d, t in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    one, two, three, four = (x.split("@")[1] for x in got[1].split())
+    assert one == two and len({one, three, four}) == 3 and all(x.endswith(".example") for x in (one, three, four))
+    assert len({x.split("@")[0] for x in got[1].split()[:3]}) == 3
+    spaced, plain, british = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20}), (GB\d\d[A-Z]{4}\d{14})", got[2]).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000"
+    for x in (plain, british):
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert re.fullmatch(r"SSN 9\d\d-\d\d-\d{4}, call ([01]\d\d)-(\d{3}-\d{4}) or \+1 \(\1\) \2", got[3])
+    net = ipaddress.ip_network("2001:db8::/32")
+    a, b, c = re.fullmatch(r"from (\S+), (\S+) and (\S+)%eth0; std::vector a::b ::1 10:20:30", got[4]).groups()
+    assert a == b != c and all(ipaddress.ip_address(x) in net for x in (a, c))
+    assert all(ipaddress.ip_address(x) in net for x in re.fullmatch(r"see (\S+) and (\S+)\.", got[5]).groups())
+
+
 def test_surrogates_resolve_collisions(spark, monkeypatch):
     real = surrogates.surrogate
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, form, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(real(kind, form, attempt, key)))

@@ -1,14 +1,16 @@
 """Keyed, type-consistent surrogates for personal data, in DataFrame functions only.
 
-Entities are found by one regular expression: e-mail and IPv4 addresses, payment cards,
+Entities are found by one regular expression: e-mail, IPv4 and IPv6 addresses, payment cards,
 telephone and social-security numbers, bank accounts, secrets, names after a title, and
 names that begin with one of a list of given names. Other names are not found.
-A mention has parts (a name: given and family name; else itself) with a kind and a
-canonical form, so all mentions of an entity, in whatever format, get one surrogate
+A mention has parts (a name: given and family name; an e-mail address: itself and its
+domain; else itself) with a kind and a canonical form, so all mentions of an entity, in whatever format, get one surrogate
 (coreference). The surrogate follows from SHA-512 of key, kind, canonical form and
 attempt. It keeps what the kind asks for: length, character classes and separators,
-the gender of the given name or else of the title, the script of names, Luhn digits of cards.
-Addresses stay in reserved ranges (.example, 240.0.0.0/4).
+the gender of the given name or else of the title, the script of names, the check digits of
+cards (Luhn) and bank accounts (mod 97). So that none is somebody's, surrogates stay in ranges that are
+never given out: domains in .example, addresses in 240.0.0.0/4 and 2001:db8::/32,
+social-security numbers from 900 on, ten-digit telephone numbers whose area code begins with 0 or 1.
 
 Collision checks run over the table of distinct parts: a surrogate that a smaller part
 of its kind has too, or that is itself a part in the corpus, is drawn again with the
@@ -51,20 +53,22 @@ SYLLABLES = {
 ENDINGS = {"latin": {"m": "n", "f": "a", "n": "e"}, "cyrillic": {"m": "н", "f": "а", "n": "е"}, "greek": {"m": "ς", "f": "α", "n": "ε"}}
 _TITLE = "(?:" + "|".join(t for x in TITLES.values() for t in x) + ")\\.?"
 _GIVEN = "(?:" + "|".join(n for x in GIVEN.values() for n in x) + ")"
-#: In the order in which they are tried at a place.
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: In the order in which they are tried at a place. An IPv6 address is one of 2000::/3, fc00::/7 or fe80::/10 and the like, as "a::b" is not one in prose.
 PATTERNS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: [0-9]{1,3}|[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2}(?: [0-9]{3}|[A-Z0-9]{3}))(?![A-Za-z0-9])",
     "secret": "(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
     "card": "(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])(?:\\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|\\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "ip6": f"(?<![A-Za-z0-9:.])(?:[23][0-9A-Fa-f]{{3}}|[Ff][CcDdEe][0-9A-Fa-f]{{2}})(?:(?::{_HEX}){{7}}|(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![A-Za-z0-9:])",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
     "person": f"(?<![\\p{{L}}])(?:{_TITLE} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9])(?: \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))?|{_GIVEN} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))",
 }
 ANY = "|".join(PATTERNS.values())
 #: What every entity contains: texts without it aren't searched.
-HINT = f"[0-9@]|(?:{_TITLE}|{_GIVEN}) "
+HINT = f"[0-9@]|::|:[A-Fa-f]{{1,4}}:|(?:{_TITLE}|{_GIVEN}) "
 _DIGITS = ("card", "ssn", "phone")
 _P = "__pii_"
 _PART = "struct<kind:string,form:string>"
@@ -89,18 +93,27 @@ def _gender(m: Column) -> Column:
     return F.when(given.isin(*GIVEN["f"]), "f").when(given.isin(*GIVEN["m"]), "m").when(title("m"), "m").when(title("f"), "f").otherwise("n")
 
 
+def _groups(address: Column) -> Column:
+    """An IPv6 address with all its eight groups of four digits."""
+    halves = F.split(F.lower(address), "::")
+    left, right = F.split(halves[0], ":"), F.coalesce(F.split(F.get(halves, F.lit(1)), ":"), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def _parts(m: Column) -> Column:
     """Kinds and canonical forms of a mention's parts."""
     kind = _kind(m)
     part = lambda k, form: F.struct(k.alias("kind"), form.alias("form"))
     digits = _digits(m)
-    form = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits)).when(kind.isin(*_DIGITS), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
+    form = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits)).when(kind.isin(*_DIGITS), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "ip6", _groups(m)).otherwise(m)
     names = F.split(F.regexp_replace(m, f"^{_TITLE} ", ""), " ")
     family = F.element_at(names, -1)
     family_part = part(F.concat(F.lit("family:n:"), _script(family)), F.lower(family))
     given_part = part(F.concat(F.lit("given:"), _gender(m), F.lit(":"), _script(names[0])), F.lower(names[0]))
     person = F.when(F.size(names) > 1, F.array(given_part, family_part)).otherwise(F.array(family_part))
-    return F.when(kind == "person", person).otherwise(F.array(part(kind, form)))
+    email = F.array(part(kind, form), part(F.lit("domain"), F.split(form, "@")[1]))
+    return F.when(kind == "person", person).when(kind == "email", email).otherwise(F.array(part(kind, form)))
 
 
 def _byte(h: Column, i: Column) -> Column:
@@ -122,6 +135,12 @@ def _luhn(digits: Column) -> Column:
     return F.concat(digits, ((10 - total % 10) % 10).cast("string"))
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder of digits and letters (A is 10) read as a number."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def _name(kind: Column, h: Column, more: Column) -> Column:
     gender, script = F.split(kind, ":")[1], F.split(kind, ":")[2]
 
@@ -135,19 +154,24 @@ def _name(kind: Column, h: Column, more: Column) -> Column:
 
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of a part."""
+    """The canonical surrogate of a part; that of an e-mail address keeps the domain, which is a part of its own."""
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 512)
     more = F.greatest(attempt - (WIDER - 1), F.lit(0)).cast("int")
     drawn = F.concat(_draw(form, h), F.substr(F.translate(h, "abcdef", "012345"), F.lit(101), more))
     parts = F.split(form, "@")
-    email = F.concat(_draw(parts[0], h), F.substr(h, F.lit(101), more), F.lit("@"), F.regexp_replace(_draw(parts[1], F.sha2(h, 512)), "\\.[^.]*$", ".example"))
+    email = F.concat(_draw(parts[0], h), F.substr(h, F.lit(101), more), F.lit("@"), parts[1])
+    domain = F.concat(F.substr(h, F.lit(101), more), F.regexp_replace(_draw(form, h), "\\.[^.]*$", ".example"))
     ip6 = F.concat(F.lit("2001:db8::"), F.substr(h, F.lit(101), F.lit(4)), F.lit(":"), F.substr(h, F.lit(105), F.lit(4)), F.lit(":"), F.substr(h, F.lit(109), F.lit(4)))
     ip = F.when(more > 0, ip6).otherwise(F.concat_ws(".", (240 + _byte(h, F.lit(0)) % 15).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3))))
+    groups = F.concat_ws(":", F.lit("2001:db8"), F.concat(F.lit("8"), F.substr(h, F.lit(1), F.lit(3))), *(F.substr(h, F.lit(4 * i + 1), F.lit(4)) for i in range(1, 6)))  # the 8 keeps it apart from ip6
     secret = F.when(form.rlike("^[0-9a-f]+$"), F.substr(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(form) + more)).otherwise(F.concat(F.regexp_extract(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", 0), _draw(F.regexp_replace(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", ""), h), F.substr(h, F.lit(101), more)))
     checked = _luhn(F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(14))))
     card = F.when(F.length(form) == 16, F.concat(checked, F.substr(drawn, F.lit(17), more))).otherwise(drawn)
-    iban = F.concat(F.substr(form, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3), F.length(drawn)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("phone", "ssn"), drawn).otherwise(_name(kind, h, more))
+    country, account = F.substr(form, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(5), F.length(drawn))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    rest = F.substr(drawn, F.lit(2), F.length(drawn))
+    phone = F.when(F.length(form) == 10, F.concat((_byte(h, F.lit(50)) % 2).cast("string"), rest)).otherwise(drawn)
+    return F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip6", groups).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "ssn", F.concat(F.lit("9"), rest)).otherwise(_name(kind, h, more))
 
 
 def _fill(mention: Column, chars: str, value: Column) -> Column:
@@ -172,7 +196,8 @@ def _render(mention: Column, attempts: Column, key: str) -> Column:
     title = F.regexp_extract(mention, f"^{_TITLE} ", 0)
     shout = F.regexp_replace(mention, f"^{_TITLE} ", "").rlike("^[\\p{Lu} '-]+$")
     names = F.array_join(F.transform(values, lambda v: F.when(shout, F.upper(v)).otherwise(F.initcap(v))), " ")
-    return F.when(kind == "person", F.concat(title, names)).when(kind.isin(*_DIGITS), _fill(mention, "0-9", values[0])).when(kind == "iban", _fill(mention, "A-Z0-9", values[0])).otherwise(values[0])
+    email = F.concat(F.split(values[0], "@")[0], F.lit("@"), F.get(values, F.lit(1)))
+    return F.when(kind == "person", F.concat(title, names)).when(kind == "email", email).when(kind.isin(*_DIGITS), _fill(mention, "0-9", values[0])).when(kind == "iban", _fill(mention, "A-Z0-9", values[0])).otherwise(values[0])
 
 
 def _mentions(text: Column) -> Column:
