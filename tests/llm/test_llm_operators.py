@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
+from tidemark.llm.queries import op10_pitman_yor
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -229,6 +230,64 @@ def test_pitman_yor_is_a_distribution(spark):
     assert end == pytest.approx(1 / 7.5, abs=0.05)  # a text has 6.5 words on average
 
 
+def test_pitman_yor_query_learns_whole_words(spark, tmp_path):
+    """Words that end alike are contexts of their own: what follows each is learnt, also of words outside ASCII."""
+    train = [(10_000 + i, f"{a} {b}") for i in range(200) for a, b in (("nation", "one"), ("station", "two"), ("ration", "three"), ("доля", "four"), ("воля", "five"))]
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    probes = [f"{a} {b}" for a in ("nation", "station", "ration", "доля", "воля") for b in ("one", "two", "three", "four", "five")]
+    spark.createDataFrame([*train, *zip(free, probes)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = as_dict(op10_pitman_yor(spark, str(tmp_path)))
+    score = {t: got[d][5] for d, t in zip(free, probes)}
+    seen = {t for _, t in train}
+    assert min(score[t] for t in seen) > max(score[t] for t in set(probes) - seen) + 2
+    assert all(abs(score[t] - math.log10(1 / 5)) < 0.1 for t in seen)
+
+
+@pytest.mark.parametrize("bucket_bytes", [10**6, 1000])
+def test_pitman_yor_of_whole_words_is_a_distribution(spark, bucket_bytes):
+    """Scores of texts of no, one and two words fix every context's end probability; the start's probabilities then sum to one.
+
+    p[w v] = s[w] a[w, v] e[v] and p[w] = s[w] e[w], so from e[w] + sum of a[w, v] = 1 follows 1 / e = 1 + (p[w v] / p[w]) (1 / e).
+    """
+    rng = random.Random(3)
+    vocabulary = [f"{c}aa" for c in "bcdfghklm"]
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [(10_000 + i, " ".join(rng.choices(vocabulary, range(1, 10), k=rng.randint(1, 12)))) for i in range(300)]
+    every = [*vocabulary, "zzaa"]
+    probes = ["", *every, *(f"{a} {b}" for a in every for b in every)]
+    docs = spark.createDataFrame([*train, *zip(free, probes)], "doc_id long, text string")
+    assert bucket_bytes > 1000 or len(pitman_yor._hot(docs, "text", 10)) > 5
+    got = as_dict(pitman_yor.score(docs, batch_bytes=4000, bucket_bytes=bucket_bytes, context_bytes=None))
+    p = {t: 10 ** got[d][5] for d, t in zip(free, probes)}
+    step = np.array([[p[f"{a} {b}"] / p[a] for b in every] for a in every])
+    ends = 1 / np.linalg.solve(np.eye(len(every)) - step, np.ones(len(every)))
+    assert ((0 < ends) & (ends < 1)).all()
+    assert p[""] + sum(p[w] / e for w, e in zip(every, ends)) == pytest.approx(1, abs=1e-9)
+
+
+def test_pitman_yor_of_lone_pairs_is_exact(spark):
+    """Pairs that occur once sit alone whatever is drawn, so scores follow from counts but for the parent's tables, which lie between one and all customers of a token."""
+    train = [(10_000 + i, t) for i, t in enumerate(("a b c", "b a", "c é"))]
+    assert not any(zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in train)
+    texts = {d: [None, *t.split(), None] for d, t in train}
+    follows = {(u, w) for t in texts.values() for u, w in zip(t, t[1:])}
+    assert len(follows) == sum(len(t) - 1 for t in texts.values())
+    joins, types = Counter(w for _, w in follows), len({w for _, w in follows})
+    opens = Counter(u for u, _ in follows)
+    got = as_dict(pitman_yor.score(spark.createDataFrame(train, "doc_id long, text string"), context_bytes=None))
+    d, s, rd, rs = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+    total = sum(joins.values())
+    for i, t in texts.items():
+        bounds = []
+        for few in (True, False):  # least and greatest probability of a token in the parent
+            p = 0.0
+            for u, w in zip(t, t[1:]):
+                root = (joins[w] - rd * (joins[w] if few else 1) + (rs + rd * (types if few else total)) / (types + 1)) / (rs + total)
+                p += math.log10((1 - d + (s + d * opens[u]) * root) / (s + opens[u]))
+            bounds.append(p)
+        assert bounds[0] - 1e-9 <= got[i][5] <= bounds[1] + 1e-9
+
+
 @pytest.mark.parametrize("customers", [6, 60])
 def test_gibbs_sweeps_reach_the_exact_distribution(customers):
     """Tables of dishes after sweeps from one table each, against their exact distribution: new ** tables times generalised Stirling numbers."""

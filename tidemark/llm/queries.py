@@ -66,7 +66,7 @@ def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+    return pitman_yor.score(_table(spark, sf_dir, "documents"), context_bytes=None)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
