@@ -288,6 +288,31 @@ def test_pitman_yor_of_lone_pairs_is_exact(spark):
         assert bounds[0] - 1e-9 <= got[i][5] <= bounds[1] + 1e-9
 
 
+def test_pitman_yor_keeps_no_message_while_batches_ask_again(spark, docs, monkeypatch):
+    """What is on disk besides the last questions is one table, of each bucket's samples and its contexts' tables."""
+    tables, real = {}, (pitman_yor.written, pitman_yor.released)
+
+    def written(df):
+        out = real[0](df)
+        tables[out.inputFiles()[0].rsplit("/", 1)[0]] = out
+        return out
+
+    def released(*dfs):
+        for df in dfs:
+            del tables[df.inputFiles()[0].rsplit("/", 1)[0]]
+        real[1](*dfs)
+
+    monkeypatch.setattr(pitman_yor, "written", written)
+    monkeypatch.setattr(pitman_yor, "released", released)
+    got = pitman_yor.score(docs, batch_bytes=30_000, bucket_bytes=30_000, context_bytes=None)
+    (known,) = tables.values()
+    states = [pitman_yor._Bucket.read(r["state"]) for r in known.filter("state IS NOT NULL").collect()]
+    assert any(len(s.kept) for s in states) and all(len(s.root_kept) for s in states)
+    assert not any(len(getattr(s, n)) for s in states for n in s.FIELDS if n not in s.ANSWERED)
+    assert known.filter("sample >= 0").count() == pitman_yor.SAMPLES * len(states) == known.count() - len(states)
+    assert got.count() == docs.count()
+
+
 @pytest.mark.parametrize("customers", [6, 60])
 def test_gibbs_sweeps_reach_the_exact_distribution(customers):
     """Tables of dishes after sweeps from one table each, against their exact distribution: new ** tables times generalised Stirling numbers."""

@@ -374,9 +374,11 @@ class _Bucket:
 
     Pairs whose customers move in most steps of a sweep come first. An owner of pairs is a key (by its place among the bucket's) or, after them, a hot token (`hots`:
     places among all hot ones). `contexts` are those of the pairs, ordered by their buckets; `kept` sums the samples' tables.
+    After the last sweep a row has only what answers are made of (ANSWERED).
     """
 
     FIELDS = {"owner": np.uint32, "context_at": np.uint32, "count": np.uint32, "tables": np.uint32, "sizes": np.uint32, "kept": np.uint32, "contexts": U64, "lone": np.uint32, "hots": np.uint32, "as_token": np.uint32, "root_tables": np.uint32, "root_sizes": np.uint32, "root_kept": np.uint32}
+    ANSWERED = ("kept", "root_kept")
 
     def __init__(self, **arrays: np.ndarray) -> None:
         for name, kind in self.FIELDS.items():
@@ -390,8 +392,8 @@ class _Bucket:
             at += n
         return cls(**arrays)
 
-    def packed(self) -> bytes:
-        arrays = [_planes(np.ascontiguousarray(getattr(self, n)).astype(k)) for n, k in self.FIELDS.items()]
+    def packed(self, last: bool = False) -> bytes:
+        arrays = [_planes(np.ascontiguousarray(getattr(self, n)[: 0 if last and n not in self.ANSWERED else None]).astype(k)) for n, k in self.FIELDS.items()]
         return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(arrays)
 
     def customers(self) -> np.ndarray:
@@ -433,13 +435,13 @@ class _Bucket:
             self.kept = seats.tables + (self.kept if len(self.kept) else 0)
             self.root_kept = np.concatenate([self.root_kept, root.customers, root.tables])
 
-    def rows(self, number: int, n_buckets: int) -> list[tuple]:
-        """The bucket's state, its share of the totals, and each context's tables for the context's bucket."""
+    def rows(self, number: int, n_buckets: int, last: bool = False) -> list[tuple]:
+        """The bucket's state (after the last sweep: what answers need of it), its share of the totals, and each context's tables for the context's bucket."""
         keys, customers = len(self.as_token), self.customers()
         sums = {Totals.TABLES: self.root_tables.sum(), Totals.CUSTOMERS: customers[:keys].sum(), Totals.TYPES: np.count_nonzero(self.as_token), Totals.TOKENS: self.as_token.sum()}
         sums |= dict(zip(self.hots.tolist(), customers[keys:], strict=True))
         tables = np.bincount(self.context_at, self.tables, minlength=len(self.contexts)).astype(np.int64)
-        return [(number, None, self.packed(), None, None, None, None), *((number, None, None, None, None, w, int(n)) for w, n in sums.items()), *_messages(number, self.contexts, tables, n_buckets)]
+        return [(number, None, self.packed(last), None, None, None, None), *((number, None, None, None, None, w, int(n)) for w, n in sums.items()), *_messages(number, self.contexts, tables, n_buckets)]
 
 
 _ROWS = "bucket int, home int, state binary, contexts binary, tables binary, what int, n bigint"
@@ -504,7 +506,7 @@ def _summed(table: pa.Table, answers: bool = True) -> pa.Table:
     return _table(rows)
 
 
-def _sweep(rows: DataFrame, sums: DataFrame, totals: Totals, turn: int, fresh: bool, kept: bool, n_buckets: int) -> DataFrame:
+def _sweep(rows: DataFrame, sums: DataFrame, totals: Totals, turn: int, fresh: bool, kept: bool, last: bool, n_buckets: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(totals)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -513,7 +515,7 @@ def _sweep(rows: DataFrame, sums: DataFrame, totals: Totals, turn: int, fresh: b
         number, b = left["bucket"][0].as_py(), _Bucket.read(left["state"][0].as_py())
         tables = _joined([_read_small(t) for t in right.sort_by("home")["tables"].to_pylist()])
         b.sample(shared.value, tables, np.random.default_rng([turn, number]), fresh, kept)
-        return _table(b.rows(number, n_buckets))
+        return _table(b.rows(number, n_buckets, last))
 
     answers = sums.filter("bucket >= 0").select("bucket", "home", "tables")
     return rows.filter("state IS NOT NULL").select("bucket", "state").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _ROWS)
@@ -546,18 +548,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     (sums, totals), samples, kept = sums_of(rows, -1), [], []
     for turn in range(1 + BURN_IN + SAMPLES):
         before = [rows, *([] if sums in kept else [sums])]
-        rows = written(_sweep(rows, sums, totals, turn, turn == 0, turn > BURN_IN, n))
+        rows = written(_sweep(rows, sums, totals, turn, turn == 0, turn > BURN_IN, turn == BURN_IN + SAMPLES, n))
         released(*before)
         sums, totals = sums_of(rows, turn)
         if turn > BURN_IN:
             samples.append(totals)
             kept.append(sums)  # its answers are for the next sweep
-    released(lone)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     tokens, known_types = totals.tokens, totals.types
     known = rows.filter("state IS NOT NULL").select("bucket", F.lit(-1).alias("sample"), "state", "contexts", "tables")
     for i, s in enumerate(kept):
         known = known.unionByName(s.filter(F.col("bucket") == OWN).select(F.col("home").alias("bucket"), F.lit(i).alias("sample"), "state", "contexts", "tables"))
+    known = written(known)  # the messages of the last sweep and the sums' answers would stay on disk while all batches ask again
+    released(lone, rows, *kept)
 
     def reply(left: pa.Table, right: pa.Table) -> pa.Table:
         asked, right = _Asked(left, n), right.sort_by("sample").to_pylist()
