@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, line_spread, near_duplicates, pitman_yor, quality, recompression, run_length_index, surrogates, tool_calls
 from tidemark.llm.queries import op10_pitman_yor
+from tidemark.llm.tokens import byte_view, pieces
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -114,6 +117,19 @@ def test_bpe_matches_the_library(spark, rows):
     assert enc.join(bpe.decode_ids(enc, TOKENIZER).withColumnRenamed("decoded", "d2"), "doc_id").filter("decoded <> d2").count() == 0
 
 
+def test_bpe_memory_of_a_task_is_bounded():
+    """A task that meets 300,000 distinct words holds some pieces' worth, not all of them."""
+    memory, rng = bpe._Memory(bpe.Tokenizer(Path(TOKENIZER).read_text(encoding="utf-8"))), random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)) for _ in range(1000)])
+    tracemalloc.start()
+    try:
+        for a, b in pieces(byte_view(texts)[1], bpe.PIECE_BYTES):
+            memory.decode(*memory.encode(texts.slice(a, b - a).to_pylist()))
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, rows, docs, width):
     sets, parent = {}, {}

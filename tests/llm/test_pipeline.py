@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -161,3 +162,21 @@ def test_stages_handle_edges(spark, stage):
     every = sorted(str(r[0]) for r in edge_rows())
     want = {"line_dedup": every, "decontaminate": every, "tokenise": every, "near_dedup": ["1", "1", "3", "4", "5", "6", "7", "None"]}
     assert ids == want.get(name, ids) and (name != "quality_rules" or not {"3", "4", "5", "6"} & set(ids))
+
+
+def test_stages_bound_arrow_batches(spark):
+    """3,000 texts of 5,000 bytes don't reach a Python worker in one batch, as Spark's default has it; a bound that the session has stays."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    corpus_pipeline.tokenise(spark, docs, "")
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * corpus_pipeline.ARROW_BYTES
+    spark.conf.set(corpus_pipeline.ARROW_BOUND, "9999999")
+    try:
+        corpus_pipeline.tokenise(spark, docs, "")
+        assert spark.conf.get(corpus_pipeline.ARROW_BOUND) == "9999999"
+    finally:
+        spark.conf.unset(corpus_pipeline.ARROW_BOUND)

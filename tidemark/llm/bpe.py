@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import byte_view, pieces
 
-#: Text bytes whose words are encoded together, and words kept between pieces.
-PIECE_BYTES, KEPT_WORDS = 1 << 20, 200_000
+#: Text bytes whose words are encoded together, and words kept between pieces: some 40 MB of a task, besides its Arrow batch and the tables.
+PIECE_BYTES, KEPT_WORDS = 1 << 18, 50_000
 _NO_RANK = np.iinfo(np.int64).max
 #: The word pattern of the public tokenizer file, and ASCII separators that Python takes for white space and the file does not.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -232,6 +232,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     key_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of earlier tasks, as Spark uses a worker again
         memory = _Memory(Tokenizer(spec.value))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
