@@ -1,15 +1,18 @@
+import datetime
 import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import more_queries  # noqa: F401  (it registers its queries)
 from tidemark.functions import scalars as S
 from tidemark.functions import clock
 from tidemark.operators import frames, identity, ledger, store, templates, views
 from tidemark.operators.parsers import parse, xml_values
 from tidemark.plans.mapping import Mapping, MappingError, Ref, Registry
 from tidemark.plans.normalize import NO_TIME, normalize
+from tidemark.queries import QUERIES
 
 NS = 1_789_650_000_000_000_000
 
@@ -200,6 +203,15 @@ def test_verify_finds_tampering(spark):
     assert reasons(chained.withColumn("root", F.when(F.col("batch_id") == 5, ledger.GENESIS).otherwise(F.col("root"))), leaf, raw)[4] == "root"
 
 
+def test_dossiers_name_each_event_once(spark, tmp_path):
+    """Beyond the 70,000 ports of the lines, and where lines of different events would be alike."""
+    rows = [(i, datetime.datetime(2024, 1, 1), 3, "click", 1.0, "{}") for i in (5, 70_005, 99_999, 210_005)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["dossiers"](spark, str(tmp_path)).collect()
+    assert sorted((r.event_id, r.received_ms, r.unplaced) for r in got) == [(i, 1_704_067_200_000, False) for i in (5, 70_005, 99_999, 210_005)]
+    assert {r.cef_head for r in got} == {"CEF:0|Tidemark|Tidemark|3|4002|HTTP Activity|2|"} and {r.start for r in got} == {b"<134>Jan  2 03:0".hex()}
+
+
 def test_mining(spark):
     lines = [("a", 0, "login ok for bob from 10.0.0.1"), ("a", 1, "login ok for eve from 10.0.0.2"), ("a", 2, "disk full on sda"), ("b", 3, "login ok for x from 1.1.1.1"), ("a", 4, "")]
     df = spark.createDataFrame(lines, "source string, line_id long, text string")

@@ -171,10 +171,10 @@ def hex_dump(spark, sf_dir):
 
 @query(f"""WITH {_P} SELECT event_id, concat('CEF:0|Tidemark|Tidemark|3|', class_uid, '|', {_NAME}, '|', list_element([0, 2, 3, 5, 7, 9, 10], severity + 1), '|') AS cef_head, at_ms AS received_ms, false AS unplaced, lower(hex(encode(substr(concat('<134>Jan  2 03:04:05 host'), 1, 16)))) AS start FROM p WHERE class_uid IS NOT NULL""")
 def dossiers(spark, sf_dir):
-    raw, leaf, chained = _sealed(spark, sf_dir)
-    d = views.dossiers(raw, projection(spark, sf_dir), leaf, chained).filter("class_uid IS NOT NULL")
+    raw, leaf, chained = _sealed(spark, sf_dir, numbered=True)
+    d = views.dossiers(raw, projection(spark, sf_dir, numbered=True), leaf, chained).filter("class_uid IS NOT NULL")
     at = F.regexp_extract("raw_text", r"at=(\d+)$", 1).cast("long")
-    event = F.coalesce(F.regexp_extract("raw_text", r"port=(\d+) size", 1).cast("long"), F.lit(-1))
+    event = F.regexp_extract("raw_text", r" id=(-?\d+) at=", 1).cast("long")
     start = F.replace(F.substring(F.split("hex", "\n")[0], 8, 60), F.lit(" "), F.lit(""))
     return d.select(event.alias("event_id"), F.concat(F.array_join(F.slice(F.split("cef", "[|]"), 1, 7), "|"), F.lit("|")).alias("cef_head"), at.alias("received_ms"), F.col("batch_root").isNull().alias("unplaced"), start.alias("start"))
 

@@ -67,23 +67,24 @@ rules:
 """
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """Events as log lines; `numbered` ones name their event_id, without which events of one time, user and type can have one line."""
     e = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", ms("ts").alias("at")))
-    text = line("<134>Jan  2 03:04:05 host app[7]: type=", F.col("event_type"), " user=", F.col("user_id"), " sev=", F.col("user_id") % 7, " src=10.", F.col("user_id") % 200, ".", F.col("event_id") % 250, ".7 dst=192.168.", F.col("user_id") % 5, ".1 port=", F.col("event_id") % 70000, " size=", F.col("event_id") % 1500, ' url="http://h/', F.col("user_id"), '" at=', F.col("at"))
+    text = line("<134>Jan  2 03:04:05 host app[7]: type=", F.col("event_type"), " user=", F.col("user_id"), " sev=", F.col("user_id") % 7, " src=10.", F.col("user_id") % 200, ".", F.col("event_id") % 250, ".7 dst=192.168.", F.col("user_id") % 5, ".1 port=", F.col("event_id") % 70000, " size=", F.col("event_id") % 1500, ' url="http://h/', F.col("user_id"), '"', *((" id=", F.col("event_id")) if numbered else ()), " at=", F.col("at"))
     return e.select("event_id", "event_type", "user_id", "at", text.cast("binary").alias("raw_bytes"), (F.col("at") * 1_000_000).alias("received_at_ns"))
 
 
-def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_records(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     """Events through capture and the compiled mapping; the uid carries no event id, so it is joined by order of the key."""
-    raw = identity.capture(event_lines(spark, sf_dir), "app_events", F.col("received_at_ns"))
+    raw = identity.capture(event_lines(spark, sf_dir, numbered), "app_events", F.col("received_at_ns"))
     registry = Registry()
     registry.add(Mapping.from_yaml(EVENT_MAPPING))
     return normalize(raw, registry, sources=["app_events"])
 
 
-def projection(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def projection(spark: SparkSession, sf_dir: str, *columns: str, numbered: bool = False) -> DataFrame:
     """The projection of the events as a table would hold it: written and read again, so that filters stop at it; only `columns`, if any are named."""
-    out = store.upsert(None, event_records(spark, sf_dir), 0)
+    out = store.upsert(None, event_records(spark, sf_dir, numbered), 0)
     return written(out.select(*columns) if columns else out, "projection")
 
 
@@ -315,8 +316,8 @@ def merkle_roots(spark, sf_dir):
     return ledger.merkle_roots(leaf, 1024)
 
 
-def _sealed(spark, sf_dir):
-    raw = written(identity.capture(event_lines(spark, sf_dir), "app_events", F.col("received_at_ns")), "raw")  # read for leaves and for their check
+def _sealed(spark, sf_dir, numbered=False):
+    raw = written(identity.capture(event_lines(spark, sf_dir, numbered), "app_events", F.col("received_at_ns")), "raw")  # read for leaves and for their check
     leaf = written(ledger.leaves(raw, 500), "leaves")
     return raw, leaf, ledger.chain(ledger.merkle_roots_of_arrays(leaf))
 
