@@ -492,6 +492,20 @@ def test_surrogates_keep_checks_ranges_and_domains(spark):
     assert all(ipaddress.ip_address(x) in net for x in re.fullmatch(r"see (\S+) and (\S+)\.", got[5]).groups())
 
 
+def test_surrogates_find_secrets_without_digits_alone_in_a_text(spark):
+    rows = [(1, "key " + "abcdef" * 6), (2, "key sk-" + "Qwertz" * 4), (3, "skin and bones: nothing"), (4, "see fdab::cdef")]
+    got = as_dict(surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", count=True))
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 0, 1] and "abcdef" * 6 not in got[1][0] and got[2][0].startswith("key sk-") and "Qwertz" not in got[2][0]
+
+
+def test_surrogates_of_a_mention_are_drawn_once(spark):
+    """A mention's values are bound: as many hashes stand in what renders it as parts are drawn, not as its characters are filled."""
+    mentions = spark.createDataFrame([("+1 (212) 555-0199",)], "m string")
+    none = F.array().cast("array<struct<kind:string,form:string,attempt:int>>")
+    plan = mentions.select(surrogates._render(F.col("m"), none, "k"))._jdf.queryExecution().analyzed().toString()
+    assert 1 <= plan.count("sha2(") <= 4
+
+
 def test_surrogates_resolve_collisions(spark, monkeypatch):
     real = surrogates.surrogate
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, form, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(real(kind, form, attempt, key)))

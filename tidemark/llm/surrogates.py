@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.binding import let
 from tidemark.llm.shared import keep
 
 WIDER = 8
@@ -54,21 +55,23 @@ ENDINGS = {"latin": {"m": "n", "f": "a", "n": "e"}, "cyrillic": {"m": "н", "f":
 _TITLE = "(?:" + "|".join(t for x in TITLES.values() for t in x) + ")\\.?"
 _GIVEN = "(?:" + "|".join(n for x in GIVEN.values() for n in x) + ")"
 _HEX = "[0-9A-Fa-f]{1,4}"
-#: In the order in which they are tried at a place. An IPv6 address is one of 2000::/3, fc00::/7 or fe80::/10 and the like, as "a::b" is not one in prose.
+_SECRET = "(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?"
+#: In the order in which they are tried at a place; an e-mail address begins where its characters do, or where the last entity ends. An IPv6 address is one of 2000::/3, fc00::/7 or fe80::/10 and the like, as "a::b" is not one in prose.
 PATTERNS = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
+    "email": "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: [0-9]{1,3}|[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2}(?: [0-9]{3}|[A-Z0-9]{3}))(?![A-Za-z0-9])",
-    "secret": "(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
+    "secret": f"(?<![A-Za-z0-9])(?:[0-9a-f]{{32,64}}|{_SECRET}[A-Za-z0-9]{{16,64}})(?![A-Za-z0-9])",
     "card": "(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])(?:\\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|\\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     "ip6": f"(?<![A-Za-z0-9:.])(?:[23][0-9A-Fa-f]{{3}}|[Ff][CcDdEe][0-9A-Fa-f]{{2}})(?:(?::{_HEX}){{7}}|(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![A-Za-z0-9:])",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "person": f"(?<![\\p{{L}}])(?:{_TITLE} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9])(?: \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))?|{_GIVEN} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))",
+    "person": f"(?=\\p{{Lu}})(?<![\\p{{L}}])(?:{_TITLE} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9])(?: \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))?|{_GIVEN} \\p{{Lu}}[\\p{{L}}'-]+(?![\\p{{L}}0-9]))",
 }
-ANY = "|".join(PATTERNS.values())
-#: What every entity contains: texts without it aren't searched.
-HINT = f"[0-9@]|::|:[A-Fa-f]{{1,4}}:|(?:{_TITLE}|{_GIVEN}) "
+#: What is asked first: an entity begins after other than a letter or digit, where the last one ends, or with one of these.
+ANY = "(?:(?<![A-Za-z0-9])|\\G|(?=[0-9+(\\p{Lu}]))(?:" + "|".join(PATTERNS.values()) + ")"
+#: What every entity contains: texts without it aren't searched. All texts are, for this, so names are only tried at capitals after other than a letter.
+HINT = f"[0-9@]|:[A-Fa-f]{{0,4}}:|(?<![A-Za-z0-9])(?:[a-f]{{32}}|{_SECRET}[A-Za-z]{{16}}|(?=\\p{{Lu}})(?:{_TITLE}|{_GIVEN}) )"
 _DIGITS = ("card", "ssn", "phone")
 _P = "__pii_"
 _PART = "struct<kind:string,form:string>"
@@ -101,9 +104,10 @@ def _groups(address: Column) -> Column:
     return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
 
 
-def _parts(m: Column) -> Column:
-    """Kinds and canonical forms of a mention's parts."""
-    kind = _kind(m)
+def _parts(m: Column, kind: Column | None = None) -> Column:
+    """Kinds and canonical forms of a mention's parts. kind: its _kind(), where it is bound already."""
+    if kind is None:
+        return let(_kind(m), lambda kind: _parts(m, kind))
     part = lambda k, form: F.struct(k.alias("kind"), form.alias("form"))
     digits = _digits(m)
     form = F.when(kind == "email", F.lower(m)).when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits)).when(kind.isin(*_DIGITS), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "ip6", _groups(m)).otherwise(m)
@@ -155,7 +159,11 @@ def _name(kind: Column, h: Column, more: Column) -> Column:
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of a part; that of an e-mail address keeps the domain, which is a part of its own."""
-    h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 512)
+    return let(F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 512), lambda h: _surrogate(kind, form, attempt, h))
+
+
+def _surrogate(kind: Column, form: Column, attempt: Column, h: Column) -> Column:
+    """surrogate() from the hash of key, kind, form and attempt."""
     more = F.greatest(attempt - (WIDER - 1), F.lit(0)).cast("int")
     drawn = F.concat(_draw(form, h), F.substr(F.translate(h, "abcdef", "012345"), F.lit(101), more))
     parts = F.split(form, "@")
@@ -164,7 +172,7 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     ip6 = F.concat(F.lit("2001:db8::"), F.substr(h, F.lit(101), F.lit(4)), F.lit(":"), F.substr(h, F.lit(105), F.lit(4)), F.lit(":"), F.substr(h, F.lit(109), F.lit(4)))
     ip = F.when(more > 0, ip6).otherwise(F.concat_ws(".", (240 + _byte(h, F.lit(0)) % 15).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3))))
     groups = F.concat_ws(":", F.lit("2001:db8"), F.concat(F.lit("8"), F.substr(h, F.lit(1), F.lit(3))), *(F.substr(h, F.lit(4 * i + 1), F.lit(4)) for i in range(1, 6)))  # the 8 keeps it apart from ip6
-    secret = F.when(form.rlike("^[0-9a-f]+$"), F.substr(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(form) + more)).otherwise(F.concat(F.regexp_extract(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", 0), _draw(F.regexp_replace(form, "^(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?", ""), h), F.substr(h, F.lit(101), more)))
+    secret = F.when(form.rlike("^[0-9a-f]+$"), F.substr(F.concat(h, F.sha2(h, 512)), F.lit(1), F.length(form) + more)).otherwise(F.concat(F.regexp_extract(form, f"^{_SECRET}", 0), _draw(F.regexp_replace(form, f"^{_SECRET}", ""), h), F.substr(h, F.lit(101), more)))
     checked = _luhn(F.concat(F.lit("9"), F.substr(drawn, F.lit(2), F.lit(14))))
     card = F.when(F.length(form) == 16, F.concat(checked, F.substr(drawn, F.lit(17), more))).otherwise(drawn)
     country, account = F.substr(form, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(5), F.length(drawn))
@@ -177,27 +185,32 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
 def _fill(mention: Column, chars: str, value: Column) -> Column:
     """A mention with its last characters of a class replaced, one by one, by those of a value; a value with more characters stands as it is."""
     count = lambda t: F.length(F.regexp_replace(t, f"[^{chars}]", ""))
-    kept = count(mention) - F.length(value)
 
-    def char(c: Column, i: Column) -> Column:
-        nth = count(F.substr(mention, F.lit(1), i + 1)) - kept
-        return F.when(c.rlike(f"[{chars}]") & (nth > 0), F.substr(value, nth, F.lit(1))).otherwise(c)
+    def filled(kept: Column) -> Column:
+        def char(c: Column, i: Column) -> Column:
+            nth = count(F.substr(mention, F.lit(1), i + 1)) - kept
+            return F.when(c.rlike(f"[{chars}]") & (nth > 0), F.substr(value, nth, F.lit(1))).otherwise(c)
 
-    return F.when(kept < 0, value).otherwise(F.array_join(F.transform(F.split(mention, ""), char), ""))
+        return F.when(kept < 0, value).otherwise(F.array_join(F.transform(F.split(mention, ""), char), ""))
+
+    return let(count(mention) - F.length(value), filled)
 
 
 def _render(mention: Column, attempts: Column, key: str) -> Column:
     """What stands for a mention. attempts: array of the parts that need later attempts."""
     def value(p: Column) -> Column:
         later = F.get(F.filter(attempts, lambda a: (a["kind"] == p["kind"]) & (a["form"] == p["form"])), F.lit(0))["attempt"]
-        return surrogate(p["kind"], p["form"], F.coalesce(later, F.lit(0)), key)
-
-    kind, values = _kind(mention), F.transform(_parts(mention), value)
-    title = F.regexp_extract(mention, f"^{_TITLE} ", 0)
-    shout = F.regexp_replace(mention, f"^{_TITLE} ", "").rlike("^[\\p{Lu} '-]+$")
-    names = F.array_join(F.transform(values, lambda v: F.when(shout, F.upper(v)).otherwise(F.initcap(v))), " ")
-    email = F.concat(F.split(values[0], "@")[0], F.lit("@"), F.get(values, F.lit(1)))
-    return F.when(kind == "person", F.concat(title, names)).when(kind == "email", email).when(kind.isin(*_DIGITS), _fill(mention, "0-9", values[0])).when(kind == "iban", _fill(mention, "A-Z0-9", values[0])).otherwise(values[0])
+        return let(F.coalesce(later, F.lit(0)), lambda attempt: surrogate(p["kind"], p["form"], attempt, key))
+
+    def of(kind: Column, values: Column) -> Column:
+        title = F.regexp_extract(mention, f"^{_TITLE} ", 0)
+        shout = F.regexp_replace(mention, f"^{_TITLE} ", "").rlike("^[\\p{Lu} '-]+$")
+        names = F.array_join(F.transform(values, lambda v: F.when(shout, F.upper(v)).otherwise(F.initcap(v))), " ")
+        email = F.concat(F.split(values[0], "@")[0], F.lit("@"), F.get(values, F.lit(1)))
+        return F.when(kind == "person", F.concat(title, names)).when(kind == "email", email).when(kind.isin(*_DIGITS), _fill(mention, "0-9", values[0])).when(kind == "iban", _fill(mention, "A-Z0-9", values[0])).otherwise(values[0])
+
+    # a value is used for each of its characters, so it is bound: once a mention and not once a character
+    return let(_kind(mention), lambda kind: let(F.transform(_parts(mention, kind), value), lambda values: of(kind, values)))
 
 
 def _mentions(text: Column) -> Column:
