@@ -3,11 +3,12 @@
 import builtins
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import identity, ledger, skipping, store
+from tidemark.operators import identity, ledger, skipping, store, templates
 from tidemark.plans.mapping import Registry
 from tidemark.plans.normalize import normalize
 from tidemark.sources import tail
@@ -229,3 +230,36 @@ def test_lookup_by_uid_skips_row_groups(spark, tmp_path):
     file = next((tmp_path / "raw").rglob("*.parquet"))
     meta = pq.read_metadata(file).row_group(0)
     assert meta.column(meta.to_dict()["columns"].index(next(c for c in meta.to_dict()["columns"] if c["path_in_schema"] == "event_uid"))).statistics.has_min_max
+
+
+def test_mining_keeps_trees_between_triggers(spark, tmp_path):
+    schema, out, cp = "source string, line_id long, text string", str(tmp_path / "mined"), str(tmp_path / "cp")
+    polls = [[("a", i, f"{w} from x{i % 3} ok") for i, w in enumerate(["open", "shut", "open", "warn"] * 20)], [("a", 103, "open to y ok"), ("a", 102, "shut from z ok"), ("b", 1, "open from q ok"), ("a", 101, None)], [("b", 2, "open from r ok"), ("a", 104, "warn by me ok")]]
+    miners, want = {}, {}
+    for rows in polls:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.mine_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, cp).awaitTermination()
+        for source, line_id, text in sorted(rows):
+            cut = (text or "").split()
+            miner = miners.setdefault((source, len(cut)), templates.Miner())
+            want[source, line_id] = (len(cut), " ".join(miner.templates[miner.add(cut)]))
+        got = ingest.mined(spark, out).collect()
+        assert len(got) == len(want) and {(r.source, r.line_id): (r.size, r.template) for r in got} == want
+    assert ("a", 104) in want and any("<*>" in t for _, t in want.values())
+
+
+def test_mining_holds_no_group_of_a_micro_batch():
+    """Rows leave with the part they came in, so a group's lines are never together in a task."""
+    taken = []
+
+    def parts():
+        for n in range(50):
+            taken.append(n)
+            ids = list(range(100 * n, 100 * n + 100))
+            yield pa.RecordBatch.from_arrays([pa.array(["s"] * 100), pa.array([3] * 100, pa.int32()), pa.array(ids, pa.int64()), pa.array([f"user {i % 7} left" for i in ids]), pa.nulls(100, pa.string())], names=["source", "size", "line_id", "line", "tree"])
+
+    seen = 0
+    for out in ingest.mined_parts(parts()):
+        seen += out.num_rows
+        assert seen >= 100 * len(taken)
+    assert seen == 5001  # and the tree

@@ -461,19 +461,14 @@ def template_similarity(spark, sf_dir):
 # -- streams -----------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, sf_dir, make, name):
-    """The result of a stream over the events table, written by one trigger that takes all there is."""
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
-    out = new_path(spark, name)
-    made = make(source)
-    made.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(made.schema).parquet(out)
-
-
 @query("SELECT event_type AS source, concat('user <*> did ', event_type, ' on <*>') AS template, count(*) AS n FROM events GROUP BY 1")
 def mine_stream(spark, sf_dir):
-    lines = lambda e: ingest.mine_stream(e.select(F.col("event_type").alias("source"), F.col("event_id").alias("line_id"), line("user ", F.col("user_id"), " did ", F.col("event_type"), " on 10.0.0.", F.col("user_id") % 200).alias("text")))
-    return _streamed(spark, sf_dir, lines, "mine").groupBy("source", "template").agg(F.count("*").alias("n"))
+    """By one trigger that takes all there is."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    lines = e.select(F.col("event_type").alias("source"), F.col("event_id").alias("line_id"), line("user ", F.col("user_id"), " did ", F.col("event_type"), " on 10.0.0.", F.col("user_id") % 200).alias("text"))
+    out = new_path(spark, "mine")
+    ingest.mine_stream(lines, out, new_path(spark, "mine-state")).awaitTermination()
+    return ingest.mined(spark, out).groupBy("source", "template").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_P} SELECT status AS parse_status, count(*) AS n, (SELECT count(*) FROM p) AS stored FROM p GROUP BY 1")

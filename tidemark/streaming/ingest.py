@@ -1,20 +1,22 @@
-"""Streaming ingest: micro-batches through capture, append and normalising, and keyed re-observation."""
+"""Streaming ingest: micro-batches through capture, append and normalising, keyed re-observation, and template mining."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import identity, ledger, store, templates
 from tidemark.plans.mapping import Registry
 from tidemark.plans.normalize import normalize
 
 REOBSERVE_MS = 60_000
+#: What mine_stream() writes: lines with their templates, and with neither the trees.
+MINED = "source string, size int, line_id bigint, template string, tree string"
 
 
 def read_lines(spark, path: str) -> DataFrame:
@@ -88,20 +90,61 @@ def reobserve(sightings: DataFrame, key_cols: list[str], timeout_ms: int = REOBS
     return ordered.mapInPandas(run, schema)
 
 
-def mine_stream(lines: DataFrame) -> DataFrame:
-    """Template mining over a stream: `source`, `size`, `line_id`, `template`, the template of each line's cluster as it is after the line.
-
-    Each (source, number of tokens) keeps its tree as state; within a micro-batch lines are taken in order of `line_id`.
+def mined_parts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MINED for rows (`source`, `size`, `line_id`, `line`, `tree`) that are sorted by group, a group's tree so far first; a part's rows leave before the next part is asked for."""
+    names = ["source", "size", "line_id", "template", "tree"]
+
+    def ended(group: tuple, miner: templates.Miner) -> pa.RecordBatch:
+        rows = ([group[0]], [group[1]], [None], [None], [miner.dumps()])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
+
+    group, miner, texts = None, templates.Miner(), {}
+    for part in parts:
+        found, done = [], []
+        for source, size, line, tree in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+            if (source, size) != group:
+                if group:
+                    done.append(ended(group, miner))
+                group, miner, texts = (source, size), templates.Miner.loads(tree) if tree else templates.Miner(), {}
+            if tree:
+                found.append(None)
+                continue
+            before = miner.changes
+            at = miner.add_text(line)
+            if miner.changes != before:
+                texts.clear()
+            if at not in texts:
+                texts[at] = " ".join(miner.templates[at])
+            found.append(texts[at])
+        out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(found, pa.string()), pa.nulls(len(found), pa.string())], names=names)
+        yield out.filter(part.column(4).is_null())
+        yield from done
+    if group:
+        yield ended(group, miner)
+
+
+def mine_stream(lines: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Template mining over a stream into the table that mined() reads: the template of each line's cluster as it is after the line. lines: source, line_id, text.
+
+    Each (source, number of tokens) keeps its tree; within a micro-batch its lines are taken in order of `line_id`. Spark sorts them and spills, and they
+    stream through a task that holds the tree and a batch of rows, so a micro-batch can be of any size. A micro-batch's lines, and the trees after it,
+    are one folder, `batch=<number>`: one that is run again starts from the same trees and writes its folder anew. `path` belongs to `checkpoint`.
     """
-    df = lines.select("source", "line_id", templates.tokens(templates.mask(F.col("text"))).alias("line")).withColumn("size", F.size("line"))
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        miner = templates.Miner.loads(state.get[0]) if state.exists else templates.Miner()
-        rows = pd.concat(parts).sort_values("line_id")
-        before = miner.changes
-        found = [" ".join(miner.templates[miner.add(list(line))]) for line in rows["line"]]
-        if miner.changes != before or not state.exists:
-            state.update((miner.dumps(),))
-        yield pd.DataFrame({"source": [key[0]] * len(rows), "size": [key[1]] * len(rows), "line_id": rows["line_id"].to_numpy(), "template": found})
-
-    return df.groupBy("source", "size").applyInPandasWithState(run, "source string, size int, line_id bigint, template string", "tree string", "append", GroupStateTimeout.NoTimeout)
+
+    def batch(df: DataFrame, number: int) -> None:
+        cut = F.coalesce(templates.tokens(templates.mask(F.col("text"))), F.array().cast("array<string>"))
+        null = F.lit(None).cast("string")
+        rows = df.select("source", "line_id", cut.alias("t")).select("source", F.size("t").alias("size"), "line_id", F.array_join("t", " ").alias("line"), null.alias("tree"))
+        if number:
+            before = df.sparkSession.read.schema(MINED).parquet(f"{path}/batch={number - 1}").filter("tree IS NOT NULL")
+            rows = rows.unionByName(before.select("source", "size", "line_id", null.alias("line"), "tree"))
+        dealt = rows.repartition("source", "size").sortWithinPartitions("source", "size", F.col("tree").isNull(), "line_id")
+        dealt.mapInArrow(mined_parts, MINED).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
+
+
+def mined(spark: SparkSession, path: str) -> DataFrame:
+    """`source`, `size`, `line_id`, `template` of the lines that mine_stream() has written; each line once."""
+    return store.read_projection(spark, path, MINED).filter("tree IS NULL").select("source", "size", "line_id", "template")
